@@ -1,0 +1 @@
+"""riskloom.streaming"""
