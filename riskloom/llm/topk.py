@@ -71,8 +71,8 @@ def _scores(block: _Block, batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np
         yield own, s, ok
 
 
-def _histogram(vectors: DataFrame, block: _Block, dim: int, low: np.ndarray, width: np.ndarray, need: np.ndarray, by_id: bool) -> dict[int, dict[int, int]]:
-    """For each query the counts of its highest bins, down to the one with the need-th value at least.
+def _histogram(vectors: DataFrame, block: _Block, dim: int, low: np.ndarray, high: np.ndarray, width: np.ndarray, need: np.ndarray, by_id: bool) -> dict[int, dict[int, int]]:
+    """For each query the counts of its highest bins from low to below high, down to the need-th value's at least.
 
     Values are scores, or the negative ids of the rows that tie at block.score. A task leaves out the bins
     below that of its own need-th value: the need-th of all rows isn't there.
@@ -88,7 +88,7 @@ def _histogram(vectors: DataFrame, block: _Block, dim: int, low: np.ndarray, wid
                     ok &= s == block.score
                     value = np.broadcast_to(-ids[:, None], s.shape)
                 place = (value - low) // width
-                ok &= (place >= 0) & (place < BINS)
+                ok &= (place >= 0) & (value < high)
                 place += np.arange(n) * BINS
                 total += np.bincount(place[ok], minlength=n * BINS).reshape(n, BINS)
         above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1] - total
@@ -109,10 +109,11 @@ def _select(vectors: DataFrame, block: _Block, dim: int, low: np.ndarray, width:
     A query with fewer values gets the lowest value its range has.
     """
     low, width, need = low.copy(), width.copy(), need.copy()
+    high = low + width * BINS
     there = np.zeros(len(need), np.int64)
     open_ = need > 0
     while True:
-        found = _histogram(vectors, block, dim, low, width, np.where(open_, need, 0), by_id)
+        found = _histogram(vectors, block, dim, low, high, width, np.where(open_, need, 0), by_id)
         for q in np.flatnonzero(open_):
             rest, last = need[q], 0
             for b, m in sorted(found.get(q, {}).items(), reverse=True):
@@ -126,6 +127,7 @@ def _select(vectors: DataFrame, block: _Block, dim: int, low: np.ndarray, width:
                 open_[q] = False
             need[q] = rest
             low[q] += last * width[q]
+            high[q] = low[q] + width[q]
             if width[q] == 1:
                 open_[q] = False
             width[q] = max(1, -(-int(width[q]) // BINS)) if open_[q] else width[q]
