@@ -6,8 +6,9 @@ similarity s share none of 2 * PERMUTATIONS / ROWS bands with probability (1 - s
 
 Documents with equal sets are one class from the start. In every bucket each class is first compared with the
 bucket's smallest id; classes still apart afterwards are compared with all others of their buckets, except
-where the distances to a common neighbour already rule a link out (1 - similarity is a metric). Links count
-only if the full sets confirm them. Groups are the links' connected components.
+where a bound rules a link out: the distances to a common neighbour (1 - similarity is a metric), or the bits
+that both sets have in a bitmap of BITS bits, plus the shingles that share a bit, which no intersection
+exceeds. Links count only if the full sets confirm them. Groups are the links' connected components.
 
 Defined cases: a document without words or with null text has an empty set and stays alone; with fewer than
 `size` words the whole sequence is its one shingle. Equal rows are linked like any equal sets; rows with
@@ -29,6 +30,7 @@ from . import _common as c, _text as t
 SIZE = 5
 PERCENT = 75
 PERMUTATIONS, ROWS = 64, 4
+BITS = 2048
 _NULL = -(2**63)
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -55,6 +57,13 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits as longs, one set for each hash."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(hashes % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _each(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
     """make(ids, sets) -> arrays, for the documents of each slice of a batch."""
 
@@ -71,17 +80,23 @@ def _each(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """id (null as the smallest long), n, set identity s1 and s2, bands."""
+    """id (null as the smallest long), n, set identity s1 and s2, bands, bitmap and how many shingles share a bit with another."""
 
     def make(ids, sets):
         none = np.zeros(0, np.int64)
         bands = [band_keys(min_max(x)) if len(x) else none for x in sets]
         s1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
         s2 = np.array([t.mix(x).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-        off = np.cumsum([0, *map(len, bands)], dtype=np.int32)
-        return [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(bands) if bands else none))]
+        maps = [bitmap(x) if len(x) else none for x in sets]
+        shared = [len(x) - int(np.bitwise_count(m.view(np.uint64)).sum()) for x, m in zip(sets, maps, strict=True)]
+
+        def lists(parts):
+            off = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else none))
+
+        return [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1), pa.array(s2), lists(bands), lists(maps), pa.array(shared, pa.int64())]
 
-    return _each(docs, size, "id long, n long, s1 long, s2 long, bands array<long>", make)
+    return _each(docs, size, "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>, slack long", make)
 
 
 def full_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -129,8 +144,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """id, n, comp for every row of docs."""
     sig = c.settle(signatures(docs, size), "sig")
-    classes = sig.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "bands")).alias("r"))
-    classes = c.settle(classes.select("s1", "s2", "n", "r.id", "r.bands"), "classes")
+    classes = sig.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "bands", "bits", "slack")).alias("r"))
+    classes = c.settle(classes.select("s1", "s2", "n", "r.*"), "classes")
     band = classes.select("id", "n", F.explode("bands").alias("band"))
     shared = c.settle(band.groupBy("band").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "centre"), "shared")
     member = c.settle(band.join(shared, "band"), "member")
@@ -159,11 +174,17 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
         return _labelled(sig, classes, comp)
     near = tried.select(F.col("a").alias("id"), F.col("b").alias("c"), (1 - F.col("i") / F.col("u")).alias("d"))
     near = near.groupBy("id").agg(F.min(F.struct("c", "d")).alias("near"))
-    open_ = c.settle(placed.join(mixed, "band").join(near, "id", "left").select("band", "id", "n", "comp", "main", F.col("near.c").alias("c"), F.col("near.d").alias("d")), "open")
-    few = open_.where("comp <> main").select("band", *[F.col(x).alias(x + "1") for x in ("id", "n", "comp", "c", "d")])
+    kept = classes.select("id", "bands", "bits", "slack")
+    open_ = placed.join(mixed, "band").join(near, "id", "left").join(kept, "id")
+    open_ = c.settle(open_.select("band", "id", "n", "comp", "main", F.col("near.c").alias("c"), F.col("near.d").alias("d"), "bands", "bits", "slack"), "open")
+    few = open_.where("comp <> main").select("band", *[F.col(x).alias(x + "1") for x in ("id", "n", "comp", "c", "d", "bands", "bits", "slack")])
     far = 1 - percent / 100 + 1e-9
-    pairs = few.join(open_, "band").where("comp <> comp1 and (comp = main or id < id1)")
-    pairs = pairs.where((100 * F.least("n", "n1") >= percent * F.greatest("n", "n1")) & ~F.coalesce((F.col("c") == F.col("c1")) & (F.abs(F.col("d") - F.col("d1")) > far), F.lit(False)))
+    possible = (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1")) & ~F.coalesce((F.col("c") == F.col("c1")) & (F.abs(F.col("d") - F.col("d1")) > far), F.lit(False))
+    once = F.element_at(F.filter(F.zip_with("bands", "bands1", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("band")
+    both = F.aggregate(F.zip_with("bits", "bits1", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda a, x: a + x)
+    most = F.least(both + F.least("slack", "slack1"), "n", "n1")
+    alike = 100 * most >= percent * (F.col("n") + F.col("n1") - most)
+    pairs = few.join(open_, "band").where("comp <> comp1 and (comp = main or id < id1)").where(possible & once & alike)
     pairs = pairs.select(F.greatest("id", "id1").alias("a"), F.least("id", "id1").alias("b")).distinct()
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     last = c.settle(_confirmed(pairs.join(done, ["a", "b"], "left_anti"), sets, percent), "tried")
