@@ -1,0 +1,530 @@
+"""Queries on feature tables: parsing, merging, cleaning, correlation, rules and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W, functions as F
+
+from ..functions import columns as c
+from ..operators import panel as p
+from .adapters import FEATURES, PN, PU, XL, XS, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
+from .series import ECON, LATEST, PCT, SCORES
+
+
+@query("p1_parse_periods", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN make_date(year(o_orderdate), 12, 31) WHEN 3 THEN make_date(year(o_orderdate), month(o_orderdate), 1) WHEN 5 THEN NULL ELSE make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1) END AS period FROM orders""")
+def p1(spark, d):
+    o = table(spark, d, "orders")
+    k, y, q = F.col("o_orderkey") % 6, F.year("o_orderdate").cast("string"), F.quarter("o_orderdate").cast("string")
+    text = F.when(k == 0, y).when(k == 1, F.concat(F.lit("Q"), q, F.lit(" "), y)).when(k == 2, F.concat(y, F.lit("-q"), q)).when(k == 3, F.concat(F.lit("M"), F.lpad(F.month("o_orderdate").cast("string"), 2, "0"), F.lit(" "), y)).when(k == 4, F.concat(F.lit(" "), y, F.lit("Q"), q)).otherwise("n/a")
+    return o.select("o_orderkey", c.parse_period(text).alias("period"))
+
+
+@query("p2_split_series_key", "SELECT p_partkey, upper(substr(split_part(p_name, ' ', 1), 1, 3)) AS entity, coalesce(split_part(p_name, ' ', 2), '') AS indicator, split_part(p_name, ' ', 9) AS missing FROM part")
+def p2(spark, d):
+    key = F.replace(F.col("p_name"), F.lit(" "), F.lit("."))
+    return table(spark, d, "part").select("p_partkey", F.upper(F.substring(c.key_part(key, 0), 1, 3)).alias("entity"), c.key_part(key, 1).alias("indicator"), c.key_part(key, 8).alias("missing"))
+
+
+@query("p3_clean_values", """SELECT event_id, value FROM events WHERE event_id % 5 NOT IN (1, 2, 3)""")
+def p3(spark, d):
+    k, v = F.col("event_id") % 5, F.col("value").cast("string")
+    text = F.when(k == 1, "NA").when(k == 2, " ").when(k == 3, "x").when(k == 4, F.concat(F.lit(" "), v)).otherwise(v)
+    return table(spark, d, "events").select("event_id", c.clean_number(text).alias("value")).where("value is not null")
+
+
+@query("p4_default_metadata", "SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN event_type END, '') AS unit, CASE WHEN event_id % 4 = 0 THEN 'Q' ELSE 'D' END AS freq, CASE event_type WHEN 'click' THEN 'Q' WHEN 'view' THEN 'A' ELSE 'M' END AS by_dataset FROM events")
+def p4(spark, d):
+    unit = F.coalesce(F.when(F.col("event_id") % 3 != 0, F.col("event_type")), F.lit(""))
+    freq = F.when(F.col("event_id") % 4 != 0, "D")
+    return table(spark, d, "events").select("event_id", unit.alias("unit"), c.frequency(freq, F.col("event_type")).alias("freq"), c.frequency(None, F.col("event_type"), ["click"], ["view"]).alias("by_dataset"))
+
+
+@query("p5_entity_rows", "SELECT 'nation' AS ds, i, t, round(v, 6) + 0.0 AS v FROM pn WHERE e = 'NATION_7' UNION ALL SELECT 'user', i, t, round(v, 6) + 0.0 FROM pu WHERE e = '7'", PN, PU)
+def p5(spark, d):
+    both = nation_panel(spark, d).withColumn("ds", F.lit("nation")).where(F.col("e") == F.upper(F.lit("nation_7"))).unionByName(user_panel(spark, d).withColumn("ds", F.lit("user")).where("e = '7'"))
+    return rounded(both.select("ds", "i", "t", "v"))
+
+
+@query("p6_unpivot_years", "SELECT '[BIS] ' || l_returnflag AS i, make_date(y::INT, 1, 1) AS t, n FROM (SELECT l_returnflag, year(l_shipdate) AS y, count(*) AS n FROM lineitem WHERE l_shipdate < DATE '1998-01-01' AND l_linestatus = 'F' AND year(l_shipdate) >= 1995 GROUP BY 1, 2)")
+def p6(spark, d):
+    rows = table(spark, d, "lineitem").where("l_linestatus = 'F'").withColumn("y", F.year("l_shipdate"))
+    wide = rows.groupBy("l_returnflag").pivot("y", [1995, 1996, 1997]).count()
+    out = wide.unpivot(["l_returnflag"], ["1995", "1996", "1997"], "y", "n").where("n is not null")
+    return out.select(F.concat(F.lit("[BIS] "), "l_returnflag").alias("i"), F.make_date(F.col("y").cast("int"), F.lit(1), F.lit(1)).alias("t"), "n")
+
+
+@query("p7_drop_aggregates", "SELECT n_name, n_regionkey FROM nation WHERE n_name NOT IN ('NATION_1', 'NATION_2', 'NATION_3')")
+def p7(spark, d):
+    out = spark.createDataFrame([("NATION_1",), ("NATION_2",), ("NATION_3",)], "n_name string")
+    return table(spark, d, "nation").join(F.broadcast(out), "n_name", "left_anti").select("n_name", "n_regionkey")
+
+
+@query("p8_aggregates_by_name", "SELECT p_name, min(p_brand) AS brand FROM part WHERE regexp_matches(lower(p_name), 'green|blue') GROUP BY p_name")
+def p8(spark, d):
+    return table(spark, d, "part").where(F.col("p_name").rlike("(?i)green|blue")).groupBy("p_name").agg(F.min("p_brand").alias("brand"))
+
+
+@query("p9_indicator_class", """SELECT CASE WHEN p_size % 5 = 0 THEN 'PERCENT' WHEN p_size % 5 = 1 THEN 'CURRENCY' WHEN p_size % 5 = 2 THEN 'BASIS_POINTS' WHEN p_size % 5 = 3 THEN 'COUNT' ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM part GROUP BY 1""")
+def p9(spark, d):
+    k = F.col("p_size") % 5
+    name = F.concat("p_type", F.when(k == 0, ", Percent").when(k == 1, ", US dollar").when(k == 2, ", Basis points").when(k == 3, ", Number of units").otherwise(""))
+    return table(spark, d, "part").groupBy(c.unit_class(name).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p10_keyword_search", "SELECT p_type, p_brand, count(DISTINCT p_size) AS n FROM part WHERE regexp_matches(lower(p_type), 's') AND regexp_matches(lower(p_name), 'e|a') AND contains(p_brand, '1') GROUP BY ALL HAVING count(DISTINCT p_size) > 5")
+def p10(spark, d):
+    hit = F.col("p_type").rlike("(?i)s") & F.col("p_name").rlike("(?i)e|a") & F.col("p_brand").contains("1")
+    return table(spark, d, "part").where(hit).groupBy("p_type", "p_brand").agg(F.countDistinct("p_size").alias("n")).where("n > 5")
+
+
+BOUNDS = {"price": (30000.0, 40000.0), "quantity": (24.0, 27.0), "balance": (0.0, 5000.0)}
+BOUND_SQL = "bo(f, lo, hi) AS (VALUES ('price', 30000.0::DOUBLE, 40000.0::DOUBLE), ('quantity', 24.0, 27.0), ('balance', 0.0, 5000.0))"
+
+
+def bounds(spark):
+    return F.broadcast(spark.createDataFrame([(k, *v) for k, v in BOUNDS.items()], "f string, lo double, hi double"))
+
+
+@query("p11_clip_to_bounds", "SELECT key, f, round(CASE WHEN v IS NOT NULL THEN greatest(lo, least(hi, v)) END, 6) AS v, v < lo OR v > hi AS clipped FROM xl JOIN bo USING (f)", XL, BOUND_SQL)
+def p11(spark, d):
+    x = long_features(spark, d).join(bounds(spark), "f")
+    return rounded(x.select("key", "f", c.clip(F.col("v"), F.col("lo"), F.col("hi")).alias("v"), ((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("clipped")))
+
+
+@query("p12_out_of_range", "SELECT key, f, round(v, 6) + 0.0 AS v FROM xl JOIN bo USING (f) WHERE v < lo OR v > hi", XL, BOUND_SQL)
+def p12(spark, d):
+    return rounded(long_features(spark, d).join(bounds(spark), "f").where("v < lo or v > hi").select("key", "f", "v"))
+
+
+@query("p13_log_transforms", "SELECT key, xl.f, round(CASE WHEN xl.f = 'tax' THEN -ln(1 + abs(v)) WHEN m < 0 THEN ln(1 + v - m) ELSE ln(1 + v) END, 6) + 0.0 AS v FROM xl JOIN (SELECT f, min(v) AS m FROM xl GROUP BY f) USING (f) WHERE v IS NOT NULL", XL)
+def p13(spark, d):
+    x = long_features(spark, d).where("v is not null")
+    low = x.groupBy("f").agg(F.min("v").alias("m"))
+    v = F.when(F.col("f") == "tax", -F.log1p(F.abs("v"))).when(F.col("m") < 0, F.log1p(F.col("v") - F.col("m"))).otherwise(F.log1p("v"))
+    return rounded(x.join(low, "f").select("key", "f", v.alias("v")))
+
+
+PATTERNS = {"steel": "steel", "large": "^large", "small_or_eco": "small|economy"}
+
+
+@query("l3_features_by_name", """SELECT p_brand AS e, f, arg_max(p_size, p_partkey) AS v, max(p_partkey) AS last_key FROM part JOIN (VALUES ('steel', 'steel'), ('large', '^large'), ('small_or_eco', 'small|economy')) q(f, r) ON regexp_matches(lower(p_type), r) GROUP BY ALL""")
+def l3(spark, d):
+    names = table(spark, d, "part").select("p_type").distinct()
+    rules = spark.createDataFrame(list(PATTERNS.items()), "f string, r string")
+    hits = names.join(F.broadcast(rules), F.expr("p_type rlike concat('(?i)', r)")).select("p_type", "f")
+    return table(spark, d, "part").join(F.broadcast(hits), "p_type").groupBy(F.col("p_brand").alias("e"), "f").agg(F.max_by("p_size", "p_partkey").alias("v"), F.max("p_partkey").alias("last_key"))
+
+
+@query("l4_clipped_ratio", "SELECT key, round(CASE WHEN quantity IS NOT NULL AND price IS NOT NULL AND price <> 0 THEN greatest(50, least(110, quantity / price * 100000)) END, 6) AS quality FROM xs", XS)
+def l4(spark, d):
+    ratio = F.when(F.col("price") != 0, F.col("quantity") / F.col("price") * 100000)
+    return rounded(supplier_features(spark, d).select("key", c.clip(ratio, 50.0, 110.0).alias("quality")))
+
+
+@query("l7_prioritised_lookup", """, cand AS (SELECT p_brand AS e, prio, p_name = pat AS exact, p_size AS y, p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END AS v FROM part JOIN (VALUES (1, (SELECT min(p_name) FROM part)), (2, 'a')) q(prio, pat) ON p_name = pat OR contains(lower(p_name), lower(pat))),
+  shadow AS (SELECT *, max(exact::INT) OVER (PARTITION BY e, prio) AS any_exact FROM cand),
+  r AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY prio, y DESC, id) AS k FROM shadow WHERE (any_exact = 0 OR exact) AND v IS NOT NULL) SELECT e, prio, y, v FROM r WHERE k = 1""".replace(", cand", "WITH cand", 1))
+def l7(spark, d):
+    part = table(spark, d, "part")
+    first = part.agg(F.min("p_name").alias("pat")).select(F.lit(1).alias("prio"), "pat")
+    rules = F.broadcast(first.unionByName(spark.createDataFrame([(2, "a")], "prio int, pat string")))
+    x = part.join(rules, (F.col("p_name") == F.col("pat")) | F.lower("p_name").contains(F.lower("pat")))
+    x = x.select(F.col("p_brand").alias("e"), "prio", (F.col("p_name") == F.col("pat")).alias("exact"), F.col("p_size").alias("y"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice")).alias("v"))
+    x = x.withColumn("any", F.max("exact").over(W.partitionBy("e", "prio"))).where("(not any or exact) and v is not null")
+    return x.withColumn("k", F.row_number().over(W.partitionBy("e").orderBy("prio", F.desc("y"), "id"))).where("k = 1").select("e", "prio", "y", "v")
+
+
+@query("l9_latest_dimensions", "SELECT e, " + ", ".join(f"round(arg_max(v, t) FILTER (i = '{i}'), 6) + 0.0 AS {i}, year(max(t) FILTER (i = '{i}'))::INT AS {i}_year" for i in ("price", "tax", "returned")) + " FROM pn WHERE v > 0 GROUP BY e", PN)
+def l9(spark, d):
+    return rounded(p.widen(p.latest(nation_panel(spark, d).where("v > 0")), {x: x for x in ("price", "tax", "returned")}))
+
+
+@query("j1_merge_features", "SELECT key, " + ", ".join(f"round(max(v) FILTER (f = '{f}'), 6) + 0.0 AS {f}" for f in FEATURES) + " FROM xl WHERE v IS NOT NULL GROUP BY key", XL)
+def j1(spark, d):
+    parts = [supplier_features(spark, d).unpivot(["key"], list(fs), "f", "v") for fs in (FEATURES[:3], FEATURES[3:])]
+    return rounded(parts[0].unionByName(parts[1]).where("v is not null").groupBy("key").pivot("f", list(FEATURES)).agg(F.max("v")))
+
+
+@query("j2_fill_from_secondary", "SELECT key, round(CASE WHEN coalesce(price, quantity * 1000, balance) < 20000 AND balance > 5 THEN balance ELSE coalesce(price, quantity * 1000, balance) END, 6) + 0.0 AS exposure FROM xs", XS)
+def j2(spark, d):
+    first = F.coalesce(F.col("price"), F.col("quantity") * 1000, F.col("balance"))
+    return rounded(supplier_features(spark, d).select("key", F.when((first < 20000) & (F.col("balance") > 5), F.col("balance")).otherwise(first).alias("exposure")))
+
+
+@query("j3_zero_for_reserve", "SELECT key, round(CASE WHEN nation IN (1, 2, 3, 5, 8) AND balance IS NULL THEN 0.0 ELSE balance END, 6) + 0.0 AS balance FROM xs", XS)
+def j3(spark, d):
+    return rounded(supplier_features(spark, d).select("key", F.when(F.col("nation").isin(1, 2, 3, 5, 8) & F.col("balance").isNull(), 0.0).otherwise(F.col("balance")).alias("balance")))
+
+
+@query("j4_cross_fill", "SELECT key, round(coalesce(discount, CASE WHEN n > 10 THEN tax * m END), 6) AS a, round(coalesce(tax, CASE WHEN n > 10 THEN discount / m END), 6) AS b FROM xs CROSS JOIN (SELECT median(discount / tax) AS m, count(discount / tax) AS n FROM xs WHERE tax <> 0)", XS)
+def j4(spark, d):
+    x = supplier_features(spark, d)
+    r = F.col("discount") / F.col("tax")
+    m = x.where("tax <> 0").agg(F.median(r).alias("m"), F.count(r).alias("n"))
+    out = x.join(F.broadcast(m))
+    return rounded(out.select("key", F.coalesce("discount", F.when(F.col("n") > 10, F.col("tax") * F.col("m"))).alias("a"), F.coalesce("tax", F.when(F.col("n") > 10, F.col("discount") / F.col("m"))).alias("b")))
+
+
+def _compared(a, b):
+    """status of two cells by their difference in percent of a."""
+    pct = F.when(a == 0, 0.0).otherwise((b - a) / a * 100)
+    return pct, F.when(a.isNull() & b.isNull(), "BOTH_NULL").when(a.isNull(), "RAW_NULL").when(b.isNull(), "PARQUET_NULL").when(F.abs(pct) < 1, "MATCH").when(F.abs(pct) < 5, "CLOSE").otherwise("DIVERGE")
+
+
+CHANGED = "CASE key % 4 WHEN 0 THEN v * 1.03::DOUBLE WHEN 1 THEN v * 1.2::DOUBLE WHEN 2 THEN NULL ELSE v END"
+
+
+@query("j9_compare_tables", f"""SELECT f, count(*) AS n, round(sum((status = 'MATCH')::INT)::DOUBLE / count(*) * 100, 6) AS match_pct, round(avg(abs(pct)), 6) AS mean_pct, sum((status IN ('RAW_NULL', 'PARQUET_NULL'))::INT)::BIGINT AS one_null FROM (SELECT f, pct,
+  CASE WHEN v IS NULL AND w IS NULL THEN 'BOTH_NULL' WHEN v IS NULL THEN 'RAW_NULL' WHEN w IS NULL THEN 'PARQUET_NULL' WHEN abs(pct) < 1 THEN 'MATCH' WHEN abs(pct) < 5 THEN 'CLOSE' ELSE 'DIVERGE' END AS status
+  FROM (SELECT f, v, w, CASE WHEN v = 0 THEN 0 ELSE (w - v) / v * 100 END AS pct FROM (SELECT key, f, v, {CHANGED} AS w FROM xl))) GROUP BY f""", XL)
+def j9(spark, d):
+    x = long_features(spark, d)
+    k = F.col("key") % 4
+    y = x.select("key", "f", F.when(k == 0, F.col("v") * 1.03).when(k == 1, F.col("v") * 1.2).when(k == 3, F.col("v")).alias("w"))
+    pct, status = _compared(F.col("v"), F.col("w"))
+    cells = x.join(y, ["key", "f"]).select("f", pct.alias("pct"), status.alias("s"))
+    one = F.sum(F.col("s").isin("RAW_NULL", "PARQUET_NULL").cast("int"))
+    return rounded(cells.groupBy("f").agg(F.count(F.lit(1)).alias("n"), (F.sum((F.col("s") == "MATCH").cast("int")) / F.count(F.lit(1)) * 100).alias("match_pct"), F.avg(F.abs("pct")).alias("mean_pct"), one.alias("one_null")))
+
+
+@query("j10_attach_dimensions", "SELECT e, round(econ, 6) AS econ, r_name AS region FROM ec LEFT JOIN nation ON n_name = e LEFT JOIN region ON n_regionkey = r_regionkey", PN, LATEST, PCT, SCORES)
+def j10(spark, d):
+    dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("e"), F.col("r_name").alias("region"))
+    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ECON, "econ").join(F.broadcast(dims), "e", "left"))
+
+
+BANDS = [("AAA", 90, 100), ("AA", 80, 90), ("A", 70, 80), ("BBB", 60, 70), ("BB", 50, 60), ("B", 40, 50), ("CCC", 30, 40), ("CC/C", 0, 30)]
+
+
+@query("j11_rating_bands", "SELECT o_orderkey, s, coalesce(b, 'NR') AS rating FROM (SELECT o_orderkey, (o_orderkey % 112 - 5)::DOUBLE AS s FROM orders) LEFT JOIN (VALUES " + ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in BANDS) + ") q(b, lo, hi) ON s >= lo AND s < hi")
+def j11(spark, d):
+    s = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 112 - 5).cast("double").alias("s"))
+    bands = F.broadcast(spark.createDataFrame(BANDS, "b string, lo int, hi int"))
+    return s.join(bands, (F.col("s") >= F.col("lo")) & (F.col("s") < F.col("hi")), "left").select("o_orderkey", "s", F.coalesce("b", F.lit("NR")).alias("rating"))
+
+
+@query("a4_suspicious_percent", "SELECT p_type, round(avg(p_retailprice), 6) AS mean FROM part WHERE p_size % 5 = 0 GROUP BY p_type HAVING avg(p_retailprice) > 500 OR avg(p_retailprice) < -100")
+def a4(spark, d):
+    name = F.when(F.col("p_size") % 5 == 0, F.concat("p_type", F.lit(", percent"))).otherwise(F.col("p_type"))
+    x = table(spark, d, "part").where(c.unit_class(name) == "PERCENT").groupBy("p_type").agg(F.avg("p_retailprice").alias("mean"))
+    return rounded(x.where("mean > 500 or mean < -100"))
+
+
+@query("a6_missing_rates", "SELECT f, round(avg((v IS NULL)::INT), 6) AS missing, CASE WHEN avg((v IS NULL)::INT) < 0.3 THEN 'low' WHEN avg((v IS NULL)::INT) <= 0.7 THEN 'moderate' ELSE 'high' END AS level FROM xl GROUP BY f", XL)
+def a6(spark, d):
+    m = F.avg(F.col("v").isNull().cast("int"))
+    return rounded(long_features(spark, d).groupBy("f").agg(m.alias("missing")).withColumn("level", F.when(F.col("missing") < 0.3, "low").when(F.col("missing") <= 0.7, "moderate").otherwise("high")))
+
+
+@query("a7_distribution", "SELECT f, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std, round(median(v), 5) + 0.0 AS median, round(skewness(v), 5) + 0.0 AS skew, abs(skewness(v)) > 2 AS skewed FROM xl GROUP BY f", XL)
+def a7(spark, d):
+    n = F.count("v")
+    skew = F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)
+    out = long_features(spark, d).groupBy("f").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.median("v").alias("median"), skew.alias("skew"))
+    return rounded(out.withColumn("skewed", F.abs("skew") > 2), 5)
+
+
+@query("a8_credit_ratio", "SELECT key, round(r, 6) AS ratio, round(r - median(r) OVER (), 6) + 0.0 AS gap FROM (SELECT key, price / quantity / 10 AS r FROM xs) WHERE r > 5 AND r < 500", XS)
+def a8(spark, d):
+    x = supplier_features(spark, d).select("key", (F.col("price") / F.when(F.col("quantity") != 0, F.col("quantity")) / 10).alias("ratio")).where("ratio > 5 and ratio < 500")
+    m = F.broadcast(x.agg(F.median("ratio").alias("m")))
+    return rounded(x.join(m).select("key", "ratio", (F.col("ratio") - F.col("m")).alias("gap")))
+
+
+@query("a9_exposure_share", "SELECT key, round(price / (price + coalesce(quantity, 0) * 1000 + coalesce(balance, 0) + coalesce(tax, 0)) * 100, 6) AS share FROM xs WHERE price > 0 AND price + coalesce(quantity, 0) * 1000 + coalesce(balance, 0) + coalesce(tax, 0) > 0", XS)
+def a9(spark, d):
+    z = lambda f: F.coalesce(F.col(f), F.lit(0.0))
+    total = F.col("price") + z("quantity") * 1000 + z("balance") + z("tax")
+    return rounded(supplier_features(spark, d).withColumn("t", total).where("price > 0 and t > 0").select("key", (F.col("price") / F.col("t") * 100).alias("share")))
+
+
+@query("a10_external_metrics", """SELECT key, round(fx, 6) AS fx, round(CASE WHEN months > 50 THEN NULL ELSE months END, 6) + 0.0 AS months, round(CASE WHEN balance / (quantity - tax) IS NOT NULL THEN greatest(-100, least(100, balance / CASE WHEN quantity - tax = 0 THEN 1 ELSE quantity - tax END)) END, 6) + 0.0 AS liab FROM (SELECT *, price / nullif(quantity, 0) AS fx, balance / 1000 / (tax * (price / nullif(quantity, 0)) / 12) AS months FROM xs)""", XS)
+def a10(spark, d):
+    fx = F.try_divide("price", "quantity")
+    months = F.col("balance") / 1000 / (F.col("tax") * fx / 12)
+    left = F.col("quantity") - F.col("tax")
+    liab = c.clip(F.col("balance") / F.when(left == 0, 1.0).otherwise(left), -100.0, 100.0)
+    return rounded(supplier_features(spark, d).select("key", fx.alias("fx"), F.when(months <= 50, months).alias("months"), liab.alias("liab")))
+
+
+@query("a11_balance_ratios", "SELECT key, round(CASE WHEN price <> 0 AND quantity > 0 THEN price / quantity * 100 END, 6) AS a, round(CASE WHEN discount <> 0 AND tax > 0 THEN discount / tax * 100 END, 6) AS b, round(CASE WHEN balance <> 0 AND price > 0 THEN balance / price * 100 END, 6) + 0.0 AS c FROM xs", XS)
+def a11(spark, d):
+    r = lambda a, b: F.when((F.col(a) != 0) & (F.col(b) > 0), F.try_divide(a, b) * 100)
+    return rounded(supplier_features(spark, d).select("key", r("price", "quantity").alias("a"), r("discount", "tax").alias("b"), r("balance", "price").alias("c")))
+
+
+PAIRS = [(a, b) for k, a in enumerate(FEATURES) for b in FEATURES[k + 1 :]]
+CORR = "co AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM xs" for a, b in PAIRS) + ")"
+
+
+def correlations(x):
+    """a, b, r of every pair of features, from one aggregate."""
+    one = x.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in PAIRS])
+    long = one.unpivot([], [f"{a}|{b}" for a, b in PAIRS], "ab", "r")
+    return long.select(F.split_part("ab", F.lit("|"), F.lit(1)).alias("a"), F.split_part("ab", F.lit("|"), F.lit(2)).alias("b"), "r")
+
+
+@query("a12_correlations", "SELECT a, b, round(r, 6) + 0.0 AS r, CASE WHEN abs(r) > 0.7 THEN 'HIGH' WHEN abs(r) > 0.4 THEN 'MED' ELSE 'LOW' END AS level FROM co", XS, CORR)
+def a12(spark, d):
+    return rounded(correlations(supplier_features(spark, d)).withColumn("level", F.when(F.abs("r") > 0.7, "HIGH").when(F.abs("r") > 0.4, "MED").otherwise("LOW")))
+
+
+@query("a13_correlation_pruning", "SELECT DISTINCT CASE WHEN na > nb THEN a ELSE b END AS dropped FROM (SELECT a, b, r, x.n AS na, y.n AS nb FROM co JOIN (SELECT f, count(*) - count(v) AS n FROM xl GROUP BY f) x ON a = x.f JOIN (SELECT f, count(*) - count(v) AS n FROM xl GROUP BY f) y ON b = y.f) WHERE abs(r) > 0.05", XL, CORR)
+def a13(spark, d):
+    x = supplier_features(spark, d)
+    nulls = long_features(spark, d).groupBy("f").agg(F.sum(F.col("v").isNull().cast("int")).alias("n"))
+    na, nb = (F.broadcast(nulls.select(F.col("f").alias(k), F.col("n").alias("n" + k))) for k in ("a", "b"))
+    return correlations(x).where(F.abs("r") > 0.05).join(na, "a").join(nb, "b").select(F.when(F.col("na") > F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("dropped")).distinct()
+
+
+def _weighted(v, w):
+    return F.coalesce(F.sum(v * w) / F.nullif(F.sum(F.when(v.isNotNull(), w)), F.lit(0.0)), F.lit(0.0))
+
+
+@query("a14_weighted_means", "SELECT round(coalesce(sum(price * key) / sum(CASE WHEN price IS NOT NULL THEN key END), 0), 5) AS price, round(coalesce(sum(tax * key) / sum(CASE WHEN tax IS NOT NULL THEN key END), 0), 6) AS tax, round(sum(key) / 1000.0::DOUBLE, 6) AS total FROM xs", XS)
+def a14(spark, d):
+    w = F.col("key").cast("double")
+    out = supplier_features(spark, d).agg(_weighted(F.col("price"), w).alias("price"), _weighted(F.col("tax"), w).alias("tax"), (F.sum("key") / 1000).alias("total"))
+    return out.select(F.round("price", 5).alias("price"), F.round("tax", 6).alias("tax"), F.round("total", 6).alias("total"))
+
+
+@query("a15_weighted_by_region", "SELECT r_name AS region, count(*) AS n, round(sum(price * key) / sum(CASE WHEN price IS NOT NULL THEN key END), 5) AS price FROM xs JOIN nation ON nation = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", XS)
+def a15(spark, d):
+    dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nation"), F.col("r_name").alias("region"))
+    w = F.col("key").cast("double")
+    mean = F.coalesce(F.sum(F.col("price") * w) / F.nullif(F.sum(F.when(F.col("price").isNotNull(), w)), F.lit(0.0)), F.avg("price"))
+    return rounded(supplier_features(spark, d).join(F.broadcast(dims), "nation").groupBy("region").agg(F.count(F.lit(1)).alias("n"), mean.alias("price")), 5)
+
+
+TIERS = ("very low", "low", "medium", "high", "very high")
+
+
+def _tier_sql(s):
+    return f"CASE WHEN {s} <= 2 THEN 'very low' WHEN {s} <= 4 THEN 'low' WHEN {s} <= 6 THEN 'medium' WHEN {s} <= 8 THEN 'high' ELSE 'very high' END"
+
+
+@query("a16_tier_distribution", f"SELECT tier, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM (SELECT {_tier_sql('s')} AS tier FROM (SELECT o_orderkey % 91 / 10.0::DOUBLE + 1 AS s FROM orders)) GROUP BY tier")
+def a16(spark, d):
+    s = F.col("o_orderkey") % 91 / 10.0 + 1
+    n = table(spark, d, "orders").groupBy(c.tier(s, (2, 4, 6, 8), TIERS).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(n.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy())))
+
+
+@query("a19_histogram", "SELECT least(20, floor((v - lo) / ((hi - lo) / 20)) + 1)::BIGINT AS bin, count(*) AS n FROM (SELECT p_retailprice AS v FROM part), (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) GROUP BY 1")
+def a19(spark, d):
+    v = table(spark, d, "part").select(F.col("p_retailprice").alias("v"))
+    lim = F.broadcast(v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
+    b = F.least(F.lit(20).cast("long"), F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20)) + 1)
+    return v.join(lim).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a20_imputation_health", "SELECT f, v, n, n > 20 AS warn FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, v) AS k FROM (SELECT 'size' AS f, p_size::DOUBLE AS v, count(*) AS n FROM part GROUP BY p_size UNION ALL SELECT 'brand', substr(p_brand, 7)::DOUBLE, count(*) FROM part GROUP BY p_brand)) WHERE k = 1")
+def a20(spark, d):
+    x = table(spark, d, "part").select(F.col("p_size").cast("double").alias("size"), F.substring("p_brand", 7, 9).try_cast("double").alias("brand"))
+    n = x.unpivot([], ["size", "brand"], "f", "v").groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("k", F.row_number().over(W.partitionBy("f").orderBy(F.desc("n"), "v"))).where("k = 1").select("f", "v", "n", (F.col("n") > 20).alias("warn"))
+
+
+@query("i4_median_fill", "SELECT key, xl.f, round(coalesce(v, m), 6) + 0.0 AS v FROM xl JOIN (SELECT f, median(v) AS m FROM xl GROUP BY f) USING (f)", XL)
+def i4(spark, d):
+    x = long_features(spark, d)
+    return rounded(x.join(x.groupBy("f").agg(F.median("v").alias("m")), "f").select("key", "f", F.coalesce("v", "m").alias("v")))
+
+
+@query("i7_cell_status", "SELECT key, CASE WHEN price IS NOT NULL THEN 'actual' WHEN quantity IS NULL THEN 'missing' WHEN abs(quantity - 25.5) <= 0.1 THEN 'proxy' ELSE 'imputed' END AS status FROM xs", XS)
+def i7(spark, d):
+    x = supplier_features(spark, d)
+    raw, filled = x.select("key", F.col("price").alias("raw")), x.select("key", F.col("quantity").alias("filled"))
+    status = F.when(F.col("raw").isNotNull(), "actual").when(F.col("filled").isNull(), "missing").when(F.abs(F.col("filled") - 25.5) <= 0.1, "proxy").otherwise("imputed")
+    return raw.join(filled, "key").select("key", status.alias("status"))
+
+
+@query("m1_min_max", "SELECT key, xl.f, round(CASE WHEN hi = lo THEN 0 ELSE (v - lo) / (hi - lo) END, 6) + 0.0 AS v FROM xl JOIN (SELECT f, min(v) AS lo, max(v) AS hi FROM xl GROUP BY f) USING (f) WHERE v IS NOT NULL", XL)
+def m1(spark, d):
+    x = long_features(spark, d).where("v is not null")
+    lim = x.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return rounded(x.join(lim, "f").select("key", "f", F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v")))
+
+
+ROBUST = "rb AS (SELECT f, median(v) AS m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM xl GROUP BY f), rs AS (SELECT key, xl.f, (v - m) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END AS v FROM xl JOIN rb USING (f) WHERE v IS NOT NULL)"
+
+
+@query("m2_robust_scale", "SELECT key, f, round(v, 6) + 0.0 AS v FROM rs", XL, ROBUST)
+def m2(spark, d):
+    return rounded(robust(long_features(spark, d)))
+
+
+def robust(x):
+    q = x.groupBy("f").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    iqr = F.col("q")[2] - F.col("q")[0]
+    return x.where("v is not null").join(q, "f").select("key", "f", ((F.col("v") - F.col("q")[1]) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias("v"))
+
+
+@query("m3_distance_from_one", """SELECT key, round(sqrt(sum(pow((v - w) / s, 2))), 5) + 0.0 AS dist FROM (SELECT key, f, coalesce(v, m) AS v, s, max(CASE WHEN key = 1 THEN coalesce(v, m) END) OVER (PARTITION BY f) AS w FROM xl JOIN (SELECT f, median(v) AS m, stddev_pop(v) AS s FROM xl GROUP BY f) USING (f)) GROUP BY key ORDER BY dist, key LIMIT 20""", XL)
+def m3(spark, d):
+    x = long_features(spark, d)
+    x = x.join(x.groupBy("f").agg(F.median("v").alias("m"), F.stddev_pop("v").alias("s")), "f").select("key", "f", F.coalesce("v", "m").alias("v"), "s")
+    one = F.broadcast(x.where("key = 1").select("f", F.col("v").alias("w")))
+    dist = F.sqrt(F.sum(F.pow((F.col("v") - F.col("w")) / F.col("s"), 2)))
+    return rounded(x.join(one, "f").groupBy("key").agg(dist.alias("dist")), 5).orderBy("dist", "key").limit(20)
+
+
+COVER = "cv AS (SELECT key, avg((v IS NOT NULL)::INT) AS cov, avg((v IS NOT NULL)::INT) FILTER (f IN ('price', 'quantity', 'returned')) AS econ, avg((v IS NOT NULL)::INT) FILTER (f NOT IN ('price', 'quantity', 'returned')) AS ind FROM xl GROUP BY key HAVING avg((v IS NOT NULL)::INT) >= 0.2)"
+
+
+def coverages(x):
+    have = F.col("v").isNotNull().cast("int")
+    econ = F.col("f").isin("price", "quantity", "returned")
+    return x.groupBy("key").agg(F.avg(have).alias("cov"), F.avg(F.when(econ, have)).alias("econ"), F.avg(F.when(~econ, have)).alias("ind")).where("cov >= 0.2")
+
+
+@query("r1_coverage", "SELECT key, round(cov, 6) AS cov, round(econ, 6) AS econ, round(ind, 6) AS ind FROM cv", XL, COVER)
+def r1(spark, d):
+    return rounded(coverages(long_features(spark, d)))
+
+
+RISK = """pi AS (SELECT key, 0.5::DOUBLE * coalesce(price, 35000) / 1000 + 0.5::DOUBLE * coalesce(quantity, 25) AS s FROM xs),
+rk AS (SELECT key, 1 + 9 * (1 - (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE) / count(*) OVER ()) AS risk FROM pi)"""
+
+
+def risks(x):
+    s = 0.5 * F.coalesce("price", F.lit(35000.0)) / 1000 + 0.5 * F.coalesce("quantity", F.lit(25.0))
+    ranked = p.percentile_rank(x.select("key", s.alias("s"), F.lit("s").alias("i")), "s")
+    return ranked.select("key", (1 + 9 * (1 - F.col("pct"))).alias("risk"))
+
+
+@query("r2_pillar_score", "SELECT key, round(risk, 6) AS risk FROM rk", XS, RISK)
+def r2(spark, d):
+    return rounded(risks(supplier_features(spark, d)))
+
+
+FLOOR = """, sh AS (SELECT key, cov, econ, ind, sqrt(cov) * risk + (1 - sqrt(cov)) * 5.5 AS s FROM rk JOIN cv USING (key)),
+fl AS (SELECT *, CASE WHEN least(econ, ind) < 0.3 THEN greatest(5.0, g) ELSE g END AS h FROM (SELECT *, CASE WHEN cov < 0.5 THEN greatest(s, 6.0) WHEN cov < 0.7 THEN greatest(s, 4.0) ELSE s END AS g FROM sh))"""
+
+
+def shrunk(x, long):
+    return risks(x).join(coverages(long), "key").withColumn("s", F.sqrt("cov") * F.col("risk") + (1 - F.sqrt("cov")) * 5.5)
+
+
+def floored(sh):
+    g = F.when(F.col("cov") < 0.5, F.greatest("s", F.lit(6.0))).when(F.col("cov") < 0.7, F.greatest("s", F.lit(4.0))).otherwise(F.col("s"))
+    return sh.withColumn("g", g).withColumn("h", F.when(F.least("econ", "ind") < 0.3, F.greatest(F.lit(5.0), "g")).otherwise(F.col("g")))
+
+
+@query("r3_confidence_shrink", "SELECT key, round(s, 6) AS s FROM sh", XL, COVER, RISK + FLOOR)
+def r3(spark, d):
+    return rounded(shrunk(supplier_features(spark, d), long_features(spark, d)).select("key", "s"))
+
+
+@query("r4_coverage_floors", "SELECT key, round(h, 1) AS risk_score, h > s AS risk_floor_applied FROM fl", XL, COVER, RISK + FLOOR)
+def r4(spark, d):
+    f = floored(shrunk(supplier_features(spark, d), long_features(spark, d)))
+    return f.select("key", F.round("h", 1).alias("risk_score"), (F.col("h") > F.col("s")).alias("risk_floor_applied"))
+
+
+@query("r5_pillar_outputs", "SELECT key, f, round((rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY f) * 10, 6) AS pillar FROM xl WHERE v IS NOT NULL AND f IN ('price', 'tax')", XL)
+def r5(spark, d):
+    x = long_features(spark, d).where("f in ('price', 'tax')")
+    return rounded(p.percentile_rank(x, "v", ["f"]).select("key", "f", (F.col("pct") * 10).alias("pillar")))
+
+
+@query("r6_hybrid_score", "SELECT key, round(greatest(1, least(10, 0.9 * risk + 0.1 * (1 + 9 * p))), 6) AS hybrid, round(3 * p, 6) AS adjustment FROM (SELECT *, key % 11 / 10.0::DOUBLE AS p FROM rk)", XS, RISK)
+def r6(spark, d):
+    x = risks(supplier_features(spark, d)).withColumn("p", F.col("key") % 11 / 10.0)
+    return rounded(x.select("key", c.hybrid(F.col("risk"), F.col("p")).alias("hybrid"), (3 * F.col("p")).alias("adjustment")))
+
+
+@query("r7_pillar_hybrid", "SELECT key, round(1 + 9 * (1 - greatest(0, least(100, 0.4 * (key % 101) + 0.4 * (key % 89) + 0.2 * (1 - key % 11 / 10.0::DOUBLE) * 100)) / 100), 6) AS hybrid FROM xs", XS)
+def r7(spark, d):
+    k = F.col("key")
+    return rounded(supplier_features(spark, d).select("key", c.hybrid_pillars(k % 101, k % 89, k % 11 / 10.0).alias("hybrid")))
+
+
+@query("r8_score_category", f"SELECT key, {_tier_sql('risk')} AS category FROM rk", XS, RISK)
+def r8(spark, d):
+    return risks(supplier_features(spark, d)).select("key", c.tier(F.col("risk"), (2, 4, 6, 8), TIERS).alias("category"))
+
+
+@query("r10_quality_checks", """SELECT 'range' AS name, bool_and(risk BETWEEN 1 AND 10) AS passed FROM rk UNION ALL SELECT 'spread', stddev_samp(risk) > 1.5 AND stddev_samp(risk) < 4 FROM rk UNION ALL SELECT 'coverage', abs(corr(cov, risk)) < 0.4 FROM rk JOIN cv USING (key)""", XL, COVER, RISK)
+def r10(spark, d):
+    x = risks(supplier_features(spark, d)).join(coverages(long_features(spark, d)), "key", "left")
+    std = F.stddev_samp("risk")
+    one = x.agg(F.bool_and(F.col("risk").between(1, 10)).alias("range"), ((std > 1.5) & (std < 4)).alias("spread"), (F.abs(F.corr("cov", "risk")) < 0.4).alias("coverage"))
+    return one.unpivot([], ["range", "spread", "coverage"], "name", "passed")
+
+
+@query("r11_expected_lists", "SELECT kind, count(*) AS n, round(avg(ok), 6) AS share FROM (SELECT kind, CASE WHEN kind = 'high' THEN risk >= 6 ELSE risk <= 4 END::INT AS ok FROM (SELECT key, CASE WHEN key % 10 = 1 THEN 'high' ELSE 'low' END AS kind FROM xs WHERE key % 10 IN (1, 2)) q LEFT JOIN rk USING (key)) GROUP BY kind", XS, RISK)
+def r11(spark, d):
+    x = supplier_features(spark, d)
+    asked = x.where("key % 10 in (1, 2)").select("key", F.when(F.col("key") % 10 == 1, "high").otherwise("low").alias("kind"))
+    ok = F.when(F.col("kind") == "high", F.col("risk") >= 6).otherwise(F.col("risk") <= 4).cast("int")
+    return rounded(asked.join(risks(x), "key", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg(ok).alias("share")))
+
+
+BASE = {"price": (35000.0, 0.001), "quantity": (25.0, 1.0), "tax": (0.04, -100.0)}
+
+
+@query("r14_factor_contributions", """SELECT e, i, round(x, 6) + 0.0 AS contribution, CASE WHEN x > 0.5 THEN 'positive' WHEN x < -0.5 THEN 'negative' ELSE 'neutral' END AS direction, row_number() OVER (PARTITION BY e ORDER BY round(x, 6) DESC, i) AS place
+  FROM (SELECT e, i, (v - CASE i WHEN 'price' THEN 35000.0::DOUBLE WHEN 'quantity' THEN 25.0::DOUBLE ELSE 0.04::DOUBLE END) * CASE i WHEN 'price' THEN 0.001::DOUBLE WHEN 'quantity' THEN 1.0::DOUBLE ELSE -100.0::DOUBLE END AS x FROM la WHERE i IN ('price', 'quantity', 'tax'))""", PN, LATEST)
+def r14(spark, d):
+    base = F.broadcast(spark.createDataFrame([(k, *v) for k, v in BASE.items()], "i string, base double, w double"))
+    x = p.latest(nation_panel(spark, d)).join(base, "i").select("e", "i", F.round((F.col("v") - F.col("base")) * F.col("w"), 6).alias("contribution"))
+    direction = F.when(F.col("contribution") > 0.5, "positive").when(F.col("contribution") < -0.5, "negative").otherwise("neutral")
+    place = F.row_number().over(W.partitionBy("e").orderBy(F.desc("contribution"), "i")).cast("long")
+    return rounded(x.withColumn("direction", direction).withColumn("place", place))
+
+
+COMMENT = """cm AS (SELECT e, max(v) FILTER (i = 'price') AS price, max(v) FILTER (i = 'quantity') AS quantity, max(v) FILTER (i = 'returned') AS returned FROM la GROUP BY e),
+cs AS (SELECT e, list_filter([CASE WHEN price > 36000 THEN 'Price level is strong' END, CASE WHEN quantity > 26 THEN 'Volume is strong' END], lambda x: x IS NOT NULL) AS strengths,
+  list_filter([CASE WHEN price < 35000 THEN 'Price level is weak' END, CASE WHEN quantity < 25 THEN 'Volume is weak' END, CASE WHEN returned > 0.4 THEN 'Returns are high' END], lambda x: x IS NOT NULL) AS risks FROM cm)"""
+
+
+def remarks(last):
+    """Strengths and risks of each entity as lists of sentences."""
+    m = last.groupBy("e").pivot("i", ["price", "quantity", "returned"]).agg(F.max("v"))
+    say = lambda cond, text: F.when(cond, text)
+    good = [say(F.col("price") > 36000, "Price level is strong"), say(F.col("quantity") > 26, "Volume is strong")]
+    bad = [say(F.col("price") < 35000, "Price level is weak"), say(F.col("quantity") < 25, "Volume is weak"), say(F.col("returned") > 0.4, "Returns are high")]
+    return m.select("e", F.array_compact(F.array(*good)).alias("strengths"), F.array_compact(F.array(*bad)).alias("risks"))
+
+
+@query("r15_commentary", "SELECT e, CASE WHEN price > 36000 THEN 'Price level is above range at ' WHEN price < 35000 THEN 'Price level is below range at ' ELSE 'Price level is in range at ' END || printf('%.0f', floor(price)) AS sentence FROM cm", PN, LATEST, COMMENT)
+def r15(spark, d):
+    m = p.latest(nation_panel(spark, d)).where("i = 'price'")
+    head = F.when(F.col("v") > 36000, "above").when(F.col("v") < 35000, "below").otherwise("in")
+    text = F.concat(F.lit("Price level is "), head, F.when(head == "in", " range at ").otherwise(" range at "), F.format_string("%d", F.floor("v")))
+    return m.select("e", text.alias("sentence"))
+
+
+VERDICT = "CASE WHEN len(risks) = 0 AND len(strengths) >= 2 THEN 'strong' WHEN len(risks) >= 2 THEN 'weak' ELSE 'adequate' END"
+
+
+def verdict():
+    return F.when((F.size("risks") == 0) & (F.size("strengths") >= 2), "strong").when(F.size("risks") >= 2, "weak").otherwise("adequate")
+
+
+@query("r16_entity_summary", f"SELECT e, array_to_string(strengths, '; ') AS strengths, array_to_string(risks, '; ') AS risks, len(strengths)::INT AS n_strengths, len(risks)::INT AS n_risks, {VERDICT} AS verdict FROM cs", PN, LATEST, COMMENT)
+def r16(spark, d):
+    x = remarks(p.latest(nation_panel(spark, d)))
+    return x.select("e", F.concat_ws("; ", "strengths").alias("strengths"), F.concat_ws("; ", "risks").alias("risks"), F.size("strengths").alias("n_strengths"), F.size("risks").alias("n_risks"), verdict().alias("verdict"))
+
+
+@query("r17_best_and_worst", "SELECT i, arg_max(e, v) AS best, arg_min(e, v) AS worst, round(max(v) - min(v), 6) + 0.0 AS spread FROM la WHERE i IN ('price', 'quantity') GROUP BY i HAVING count(*) >= 2", PN, LATEST)
+def r17(spark, d):
+    x = p.latest(nation_panel(spark, d)).where("i in ('price', 'quantity')").groupBy("i")
+    return rounded(x.agg(F.max_by("e", "v").alias("best"), F.min_by("e", "v").alias("worst"), (F.max("v") - F.min("v")).alias("spread"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n"))
+
+
+@query("r18_markdown_summary", f"SELECT e, '## ' || e || chr(10) || 'Overall: ' || {VERDICT} || CASE WHEN len(strengths) > 0 THEN chr(10) || array_to_string(list_transform(strengths, lambda x: '- + ' || x), chr(10)) ELSE '' END || CASE WHEN len(risks) > 0 THEN chr(10) || array_to_string(list_transform(risks, lambda x: '- ! ' || x), chr(10)) ELSE '' END AS text FROM cs", PN, LATEST, COMMENT)
+def r18(spark, d):
+    x = remarks(p.latest(nation_panel(spark, d))).withColumn("verdict", verdict())
+    lines = F.concat(F.array(F.concat(F.lit("## "), "e"), F.concat(F.lit("Overall: "), "verdict")), F.transform("strengths", lambda s: F.concat(F.lit("- + "), s)), F.transform("risks", lambda s: F.concat(F.lit("- ! "), s)))
+    return x.select("e", F.array_join(lines, "\n").alias("text"))
+
+
+@query("w16_watchlist", """SELECT key, round(risk, 6) AS risk, CASE WHEN price IS NULL AND quantity IS NULL THEN NULL WHEN quantity IS NULL OR price / 1000 >= quantity THEN 'price' ELSE 'quantity' END AS driver FROM rk JOIN xs USING (key) WHERE balance > (SELECT median(balance) FROM xs) AND risk > 6 ORDER BY round(risk, 6) DESC, key LIMIT 10""", XS, RISK)
+def w16(spark, d):
+    x = supplier_features(spark, d)
+    m = F.broadcast(x.agg(F.median("balance").alias("m")))
+    driver = F.when(F.col("price").isNull() & F.col("quantity").isNull(), F.lit(None).cast("string")).when(F.col("quantity").isNull() | (F.col("price") / 1000 >= F.col("quantity")), "price").otherwise("quantity")
+    rows = x.join(risks(x), "key").join(m).where("balance > m and risk > 6").select("key", F.round("risk", 6).alias("risk"), driver.alias("driver"))
+    return rows.orderBy(F.desc("risk"), "key").limit(10)

@@ -1,0 +1,442 @@
+"""Queries that need files, numpy helpers or pyspark.ml."""
+
+from __future__ import annotations
+
+import difflib
+import tempfile
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA, Imputer, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window as W, functions as F
+
+from ..functions import columns as c
+from ..operators import helpers as h, panel as p
+from .adapters import FEATURES, PN, PU, XL, XS, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, in /tmp where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    base = at.rstrip("/") if at else "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+# sources and sinks
+
+
+def read_wide(spark, path: str, dataset: str, key: str = "series_key", monthly: bool = True):
+    """The long panel of a wide CSV: period columns by their names, the rest is metadata."""
+    wide = spark.read.csv(path, header=True, inferSchema=False)
+    periods = [x for x in wide.columns if x[:2] in ("19", "20") or x[:1] in ("Q", "M") and x[1:2].isdigit()]
+    long = wide.unpivot([x for x in wide.columns if x not in periods], periods, "period_str", "text")
+    rows = long.withColumn("v", c.clean_number(F.col("text"))).where("v is not null")
+    return rows.select(F.upper(F.substring(c.key_part(F.col(key), 0), 1, 3)).alias("e"), c.key_part(F.col(key), 1).alias("i"), "period_str", c.parse_period(F.col("period_str"), monthly).alias("t"), "v", F.lit(dataset).alias("dataset"))
+
+
+def write_wide(spark, d) -> str:
+    x = nation_panel(spark, d).withColumn("period", F.concat(F.year("t").cast("string"), F.lit("-Q"), F.quarter("t").cast("string")))
+    names = [f"{y}-Q{q}" for y in range(1995, 2002) for q in range(1, 5)]
+    x = x.withColumn("series_key", F.concat(F.lpad(F.split_part("e", F.lit("_"), F.lit(2)), 3, "0"), F.lit("."), "i"))
+    path = scratch(spark, "wide")
+    x.groupBy("series_key").pivot("period", names).agg(F.first("v")).write.option("header", True).csv(path)
+    return path
+
+
+@query("s1_read_wide_csv", "SELECT lpad(split_part(e, '_', 2), 3, '0') AS e, i, t, round(v, 6) + 0.0 AS v, 'pn' AS dataset FROM pn", PN)
+def s1(spark, d):
+    return rounded(read_wide(spark, write_wide(spark, d), "pn").select("e", "i", "t", "v", "dataset"))
+
+
+@query("s2_newest_file", "SELECT 'csv' AS pattern, 1::BIGINT AS newest")
+def s2(spark, d):
+    path = write_wide(spark, d)
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_modification_time").alias("m")).distinct()
+    return files.select(F.regexp_extract("p", r"\.(csv)$", 1).alias("pattern"), "p", "m").groupBy("pattern").agg(F.max_by("p", "m").alias("p")).select("pattern", F.when(F.col("p").isNotNull(), 1).cast("long").alias("newest"))
+
+
+@query("s3_filtered_sector", "SELECT c_mktsegment AS sector, n_name AS country, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20 WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2")
+def s3(spark, d):
+    names = F.broadcast(table(spark, d, "nation").where("n_nationkey < 20"))
+    rows = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").join(names, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return rows.groupBy(F.col("c_mktsegment").alias("sector"), F.col("n_name").alias("country")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s4_merge_dimensions", "SELECT e, year(t)::INT AS y, " + ", ".join(f"round(arg_max(v, t) FILTER (i = '{i}'), 6) + 0.0 AS {i}" for i in ("price", "tax", "returned")) + " FROM pn WHERE v IS NOT NULL GROUP BY 1, 2", PN)
+def s4(spark, d):
+    parts = [nation_panel(spark, d).where(F.col("i") == i).select("e", F.year("t").alias("y"), "t", "v", F.lit(i).alias("dim")) for i in ("price", "tax", "returned")]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("v is not null")
+    return rounded(every.groupBy("e", "y").pivot("dim", ["price", "tax", "returned"]).agg(F.max_by("v", "t")))
+
+
+@query("s5_parquet_cache", "SELECT dataset, count(*) AS n FROM (SELECT 'nation' AS dataset FROM pn UNION ALL SELECT 'user' FROM pu) GROUP BY 1", PN, PU)
+def s5(spark, d):
+    path = scratch(spark, "cache")
+    both = nation_panel(spark, d).withColumn("dataset", F.lit("nation")).unionByName(user_panel(spark, d).withColumn("dataset", F.lit("user")))
+    both.write.partitionBy("dataset").parquet(path)
+    return spark.read.parquet(path).groupBy(F.col("dataset").cast("string").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s6_exports", "SELECT e, i, round(v, 6) + 0.0 AS v, t FROM pn ORDER BY e, i, t LIMIT 1000", PN)
+def s6(spark, d):
+    path = scratch(spark, "sample")
+    rounded(nation_panel(spark, d)).orderBy("e", "i", "t").limit(1000).write.json(path)
+    return spark.read.schema("e string, i string, t date, v double").json(path)
+
+
+# names
+
+
+@query("j12_similar_names", """SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT p_name AS n FROM part) a JOIN (SELECT DISTINCT p_name AS n FROM part) b ON a.n < b.n AND split_part(a.n, ' ', 1) = split_part(b.n, ' ', 1) AND levenshtein(a.n, b.n) <= 4""")
+def j12(spark, d):
+    n = table(spark, d, "part").select(F.col("p_name").alias("n")).distinct().withColumn("k", F.split_part("n", F.lit(" "), F.lit(1)))
+    a, b = n.withColumnRenamed("n", "a"), n.withColumnRenamed("n", "b")
+    return a.join(b, "k").where("a < b").where(F.levenshtein("a", "b") <= 4).select("a", "b")
+
+
+@query("j12_sequence_ratio")
+def j12_ratio(spark, d):
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+    n = table(spark, d, "part").select(F.col("p_name").alias("n")).distinct().withColumn("k", F.split_part("n", F.lit(" "), F.lit(1)))
+    pairs = n.withColumnRenamed("n", "a").join(n.withColumnRenamed("n", "b"), "k").where("a < b")
+    return rounded(pairs.select("a", "b", ratio("a", "b").alias("ratio")).where("ratio > 0.6"))
+
+
+# series
+
+
+@query("w6_p_values")
+def w6_p(spark, d):
+    @F.pandas_udf("double")
+    def tail(r2: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([h.t_tail((r * (k - 2) / (1 - r)) ** 0.5, int(k) - 2) if r is not None and r == r and r < 1 else (0.0 if r == r else None) for r, k in zip(r2, n, strict=True)])
+
+    return rounded(p.trends(user_panel(spark, d)).select("e", "i", "n", "r2", tail("r2", "n").alias("p")))
+
+
+@query("w13_smoothed")
+def w13(spark, d):
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("t")
+        return x.assign(smooth=h.smooth(x["v"].to_numpy()))[["e", "i", "t", "smooth"]]
+
+    return rounded(nation_panel(spark, d).where("v is not null").groupBy("e", "i").applyInPandas(run, "e string, i string, t date, smooth double"))
+
+
+@query("i2_spline_fill")
+def i2(spark, d):
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("t")
+        at, v = x["x"].to_numpy(float), x["v"].to_numpy(float)
+        have = ~np.isnan(v)
+        if have.any():
+            v = np.where(have, v, h.spline(at[have], v[have], at)) if have.sum() > 1 else np.full(len(v), v[have][0])
+        return x.assign(v=v)[["e", "i", "t", "v"]]
+
+    n = nation_panel(spark, d).withColumn("x", F.year("t") + F.month("t") / 12)
+    sparse = n.withColumn("v", F.when((F.length("e") + F.month("t") + F.year("t")) % 3 != 0, F.col("v")))
+    return rounded(sparse.groupBy("e", "i").applyInPandas(run, "e string, i string, t date, v double"), 5)
+
+
+# blocks of rows
+
+
+def knn_fill(wide, features, k: int = 5, block: int = 2000):
+    """key, f, v, confidence: every missing cell from the k nearest rows that have the feature.
+
+    Rows are packed in blocks by hash; each pair of blocks gives the k best donors of its cells, Spark merges them.
+    """
+    cells = wide.select("key", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    n = max(1, -(-cells.count() // block))
+    packed = cells.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("key", "x"))).alias("rows"))  # about `block` rows each
+    pairs = packed.select(F.col("b").alias("b1"), F.col("rows").alias("r1")).join(packed.select(F.col("b").alias("b2"), F.col("rows").alias("r2")), F.lit(True))
+
+    def run(batches):
+        for batch in batches:
+            for r1, r2 in zip(batch["r1"], batch["r2"], strict=True):
+                ka, kb = np.array([r["key"] for r in r1]), np.array([r["key"] for r in r2])
+                a, b = (np.array([r["x"] for r in rows], float) for rows in (r1, r2))
+                dist = h.nan_distances(a, b)
+                dist[ka[:, None] == kb[None, :]] = np.inf
+                out = []
+                for j in range(a.shape[1]):
+                    donors = np.flatnonzero(~np.isnan(b[:, j]))
+                    for i in np.flatnonzero(np.isnan(a[:, j])):
+                        near = donors[np.lexsort((kb[donors], dist[i, donors]))[:k]]
+                        out += [(int(ka[i]), features[j], float(dist[i, m]), int(kb[m]), float(b[m, j])) for m in near if np.isfinite(dist[i, m])]
+                yield pd.DataFrame(out, columns=["key", "f", "dist", "donor", "v"])
+
+    donors = pairs.select("r1", "r2").mapInPandas(run, "key long, f string, dist double, donor long, v double")
+    best = donors.withColumn("r", F.row_number().over(W.partitionBy("key", "f").orderBy("dist", "donor"))).where(F.col("r") <= k)
+    zero = F.min("dist").over(W.partitionBy("key", "f")) == 0
+    best = best.withColumn("w", F.when(zero, (F.col("dist") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), "dist")))
+    found = best.groupBy("key", "f").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+    means = wide.agg(*[F.avg(f).alias(f) for f in features]).unpivot([], list(features), "f", "m")
+    gaps = wide.unpivot(["key"], list(features), "f", "v").where("v is null").select("key", "f")
+    return gaps.join(found, ["key", "f"], "left").join(F.broadcast(means), "f").select("key", "f", F.coalesce("v", "m").alias("v"), F.when(F.coalesce("v", "m").isNotNull(), 0.7).otherwise(0.0).alias("confidence"))
+
+
+@query("i3_nearest_fill")
+def i3(spark, d):
+    return rounded(knn_fill(supplier_features(spark, d), FEATURES), 5)
+
+
+def gram_fill(wide, features, rank: int = 10):
+    """key, f, v, confidence: missing cells from a low-rank fit; only d x d sums reach the driver."""
+    names = list(features)
+    means = wide.agg(*[F.avg(f).alias(f) for f in names]).first()
+    start = np.array([0.0 if means[f] is None else means[f] for f in names])
+    k = min(rank, len(names) - 1)
+
+    def centred(pdf):
+        raw = pdf[names].to_numpy(float)
+        x = np.where(np.isnan(raw), start, raw)
+        m = x.mean(axis=1, keepdims=True)
+        return raw, x - m, m
+
+    def sums(batches):
+        g = np.zeros((len(names), len(names)))
+        for pdf in batches:
+            x = centred(pdf)[1]
+            g += x.T @ x
+        yield pd.DataFrame({"i": np.repeat(np.arange(len(names)), len(names)), "j": np.tile(np.arange(len(names)), len(names)), "g": g.ravel()})
+
+    parts = wide.mapInPandas(sums, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
+    g = np.zeros((len(names), len(names)))
+    g[parts["i"], parts["j"]] = parts["g"]
+    top = np.linalg.eigh(g)[1][:, ::-1][:, :k]
+
+    def fill(batches):
+        for pdf in batches:
+            raw, x, m = centred(pdf)
+            fit = x @ top @ top.T + m
+            r, j = np.nonzero(np.isnan(raw))
+            yield pd.DataFrame({"key": pdf["key"].to_numpy()[r], "f": np.array(names)[j], "v": fit[r, j], "confidence": 0.6})
+
+    return wide.select("key", *names).mapInPandas(fill, "key long, f string, v double, confidence double")
+
+
+@query("i5_low_rank_fill")
+def i5(spark, d):
+    return rounded(gram_fill(supplier_features(spark, d), FEATURES), 4)
+
+
+@query("i6_hybrid_fill")
+def i6(spark, d):
+    """Gaps first from neighbours, what is left from the low-rank fit; the lower confidence counts."""
+    wide = supplier_features(spark, d)
+    near, low = knn_fill(wide, FEATURES), gram_fill(wide, FEATURES).select("key", "f", F.col("v").alias("v2"), F.col("confidence").alias("c2"))
+    both = wide.unpivot(["key"], list(FEATURES), "f", "raw").join(near, ["key", "f"], "left").join(low, ["key", "f"], "left")
+    how = F.when(F.col("raw").isNotNull(), "real").when(F.col("v").isNotNull(), "neighbours").when(F.col("v2").isNotNull(), "low rank").otherwise("none")
+    sure = F.when(F.col("raw").isNotNull(), 1.0).when(F.col("v").isNotNull(), F.col("confidence")).otherwise(F.least("confidence", "c2"))
+    out = both.select("f", how.alias("how"), sure.alias("sure"))
+    return rounded(out.groupBy("f", "how").agg(F.count(F.lit(1)).alias("n"), F.avg("sure").alias("confidence")))
+
+
+@query("m11_nearest_peers", """SELECT key, peer, place FROM (SELECT a.key, b.key AS peer, row_number() OVER (PARTITION BY a.key ORDER BY round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6), b.key) AS place FROM (SELECT key, price / 1000 AS x, quantity AS y FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL) a JOIN (SELECT key, price / 1000 AS x, quantity AS y FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL) b ON a.key <> b.key) WHERE place <= 4""", XS)
+def m11(spark, d):
+    """All entities' nearest peers on two pillars, block against block."""
+    x = supplier_features(spark, d).where("price is not null and quantity is not null").select("key", (F.col("price") / 1000).alias("x"), F.col("quantity").alias("y"))
+    blocks = x.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(8))).groupBy("b").agg(F.collect_list(F.struct("key", "x", "y")).alias("rows"))
+    pairs = x.join(blocks.select("rows"), F.lit(True))
+    dist = lambda r: F.round(F.sqrt(F.pow(F.col("x") - r["x"], 2) + F.pow(F.col("y") - r["y"], 2)), 6)
+    near = F.slice(F.array_sort(F.transform(F.filter("rows", lambda r: r["key"] != F.col("key")), lambda r: F.struct(dist(r).alias("d"), r["key"].alias("peer")))), 1, 4)
+    every = pairs.select("key", F.explode(near).alias("n")).select("key", "n.d", "n.peer")
+    return every.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("d", "peer")).cast("long")).where("place <= 4").select("key", "peer", "place")
+
+
+# pyspark.ml
+
+
+def assembled(wide, scaler: str = "standard"):
+    filled = [f + "_" for f in FEATURES]
+    scale = StandardScaler(inputCol="raw", outputCol="x", withMean=True) if scaler == "standard" else RobustScaler(inputCol="raw", outputCol="x", withCentering=True)
+    stages = [Imputer(strategy="median", inputCols=list(FEATURES), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), scale]
+    return Pipeline(stages=stages).fit(wide).transform(wide)
+
+
+def first_component(wide, names):
+    """key, score of the first principal component, its share of the variance and loadings, the largest loading positive."""
+    x = assembled(wide)
+    pick = VectorAssembler(inputCols=list(names), outputCol="own")
+    cols = x.select("key", *[vector_to_array("x")[i].alias(f) for i, f in enumerate(FEATURES)])
+    model = PCA(k=min(5, len(names)), inputCol="own", outputCol="pc").fit(pick.transform(cols))
+    load = model.pc.toArray()[:, 0]
+    sign = 1.0 if load[np.abs(load).argmax()] > 0 else -1.0
+    scored = model.transform(pick.transform(cols)).select("key", (vector_to_array("pc")[0] * sign).alias("pc1"))
+    return scored, float(model.explainedVariance[0]), load * sign
+
+
+@query("m4_first_components")
+def m4(spark, d):
+    wide = supplier_features(spark, d)
+    econ, share, _ = first_component(wide, FEATURES[:3])
+    industry, share2, _ = first_component(wide, FEATURES[3:])
+    out = econ.withColumnRenamed("pc1", "econ").join(industry.withColumnRenamed("pc1", "industry"), "key")
+    return rounded(out.withColumns({"econ_share": F.lit(share), "industry_share": F.lit(share2)}), 4)
+
+
+@query("m5_oriented_components")
+def m5(spark, d):
+    """The component turned so that it rises with the anchor, log10 of the balance."""
+    wide = supplier_features(spark, d)
+    pc, _, _ = first_component(wide, FEATURES[:3])
+    anchored = pc.join(wide.select("key", F.log10(F.greatest(F.col("balance"), F.lit(100.0))).alias("anchor")), "key")
+    r = F.broadcast(anchored.agg(F.corr("pc1", "anchor").alias("r")))
+    return rounded(anchored.join(r).select("key", F.when(F.col("r") < 0, -F.col("pc1")).otherwise(F.col("pc1")).alias("pc1"), F.abs("r").alias("r")), 4)
+
+
+@query("m6_cluster_matrix", """SELECT key, round(max(v) FILTER (f = 'price'), 6) + 0.0 AS price, round(max(-v) FILTER (f = 'tax'), 6) + 0.0 AS tax, round(max(v) FILTER (f = 'balance'), 6) + 0.0 AS balance FROM xl WHERE f IN (SELECT f FROM xl GROUP BY f HAVING avg((v IS NOT NULL)::INT) > 0.5) AND f IN ('price', 'tax', 'balance') GROUP BY key HAVING avg((v IS NOT NULL)::INT) > 0.3""", XL)
+def m6(spark, d):
+    x = long_features(spark, d)
+    good = x.groupBy("f").agg(F.avg(F.col("v").isNotNull().cast("int")).alias("n")).where("n > 0.5").select("f")
+    x = x.join(F.broadcast(good), "f", "left_semi").where("f in ('price', 'tax', 'balance')").withColumn("v", F.when(F.col("f") == "tax", -F.col("v")).otherwise(F.col("v")))
+    w = x.groupBy("key").agg(*[F.max(F.when(F.col("f") == f, F.col("v"))).alias(f) for f in ("price", "tax", "balance")], F.avg(F.col("v").isNotNull().cast("int")).alias("n"))
+    return rounded(w.where("n > 0.3").drop("n"))
+
+
+def clustered(spark, d, k: int = 5):
+    """key, cluster (0 best by mean scaled value), x: the scaled features."""
+    x = assembled(supplier_features(spark, d), "robust")
+    pca = PCA(k=min(10, len(FEATURES)), inputCol="x", outputCol="pc").fit(x).transform(x)
+    fit = KMeans(k=k, seed=42, featuresCol="pc", predictionCol="c").fit(pca).transform(pca).select("key", "c", vector_to_array("x").alias("x"))
+    mean = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.size("x")
+    order = fit.groupBy("c").agg(F.avg(mean).alias("m")).withColumn("cluster", F.row_number().over(W.orderBy(F.desc("m"))) - 1)
+    return fit.join(F.broadcast(order.select("c", "cluster")), "c").select("key", "cluster", "x")
+
+
+@query("m7_clusters")
+def m7(spark, d):
+    return clustered(spark, d).select("key", "cluster", (100 - F.col("cluster") / 4 * 70).alias("score"))
+
+
+def importance(x):
+    """f, importance: binned mutual information of a feature and the cluster, over the largest."""
+    long = x.select("key", "cluster", F.posexplode("x").alias("f", "v"))
+    n = F.count(F.lit(1)).over(W.partitionBy("f"))
+    rank = F.row_number().over(W.partitionBy("f").orderBy("v", "key")) - 1
+    bins = long.withColumn("bin", F.floor(rank * 10 / n)).groupBy("f", "bin", "cluster").agg(F.count(F.lit(1)).alias("c"))
+    total = F.sum("c").over(W.partitionBy("f"))
+    joint = bins.withColumns({"p": F.col("c") / total, "pb": F.sum("c").over(W.partitionBy("f", "bin")) / total, "pc": F.sum("c").over(W.partitionBy("f", "cluster")) / total})
+    mi = joint.groupBy("f").agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pb") * F.col("pc")))).alias("mi"))
+    return mi.withColumn("importance", F.col("mi") / F.max("mi").over(W.partitionBy())).select("f", "importance")
+
+
+@query("m8_mutual_information")
+def m8(spark, d):
+    return rounded(importance(clustered(spark, d)), 4)
+
+
+@query("m9_cluster_scores")
+def m9(spark, d):
+    x = clustered(spark, d)
+    long = x.select("key", "cluster", F.posexplode("x").alias("f", "v")).join(F.broadcast(importance(x)), "f")
+    s = long.groupBy("key", "cluster").agg(F.sum(F.col("importance") * F.col("v") * 5).alias("a"))
+    score = c.clip(100 - F.col("cluster") / 4 * 70 + F.col("a"), 0.0, 100.0)
+    return rounded(s.withColumn("score", score).select("key", "score", c.tier_from(F.col("score"), (80, 65, 50, 35), ["very low", "low", "medium", "high", "very high"]).alias("tier")), 3)
+
+
+@query("m10_key_drivers", """SELECT key, f, round(z, 5) + 0.0 AS z, z < -0.5 AS risk, place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(round(z, 5)) DESC, f) AS place FROM (SELECT key, f, (v - m) / s AS z FROM xl JOIN (SELECT f, median(v) AS m, stddev_samp(v) AS s FROM xl GROUP BY f) USING (f) WHERE v IS NOT NULL)) WHERE place <= 5""", XL)
+def m10(spark, d):
+    x = long_features(spark, d)
+    x = x.where("v is not null").join(x.groupBy("f").agg(F.median("v").alias("m"), F.stddev_samp("v").alias("s")), "f").withColumn("z", F.round((F.col("v") - F.col("m")) / F.col("s"), 5))
+    x = x.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(F.desc(F.abs("z")), "f")).cast("long")).where("place <= 5")
+    return rounded(x.select("key", "f", "z", (F.col("z") < -0.5).alias("risk"), "place"))
+
+
+def labelled(spark, d):
+    """Supplier features with a label (many returns) and a weight that evens out the classes."""
+    x = supplier_features(spark, d).withColumn("label", (F.coalesce("returned", F.lit(0.0)) > 0.34).cast("double"))
+    w = F.broadcast(x.agg((F.sum(1 - F.col("label")) / F.greatest(F.sum("label"), F.lit(1.0))).alias("w")))
+    return x.join(w).withColumn("weight", F.when(F.col("label") == 1, F.col("w")).otherwise(1.0)).drop("w")
+
+
+def fitted(train, rounds: int = 10):
+    filled = [f + "_" for f in FEATURES[:4]]
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.1, weightCol="weight", seed=42, featuresCol="x")
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=list(FEATURES[:4]), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), RobustScaler(inputCol="raw", outputCol="x", withCentering=True), gbt]).fit(train)
+
+
+def probabilities(model, x):
+    return model.transform(x).select("key", "label", vector_to_array("probability")[1].alias("p"))
+
+
+def roc(scored):
+    """thr, tpr, fpr of each distinct probability, from running counts."""
+    g = scored.groupBy("p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    down = W.orderBy(F.desc("p"))
+    return g.withColumns({"tpr": F.try_divide(F.sum("pos").over(down), F.sum("pos").over(W.partitionBy())), "fpr": F.try_divide(F.sum("neg").over(down), F.sum("neg").over(W.partitionBy()))}).select("p", "tpr", "fpr")
+
+
+def auc(scored):
+    ranked = p.percentile_rank(scored.withColumn("i", F.lit(1)), "p", ["i"])
+    n1, n = F.sum("label"), F.count(F.lit(1))
+    return ranked.agg(F.try_divide(F.sum(F.col("label") * F.col("pct")) * n - n1 * (n1 + 1) / 2, n1 * (n - n1)).alias("auc"))
+
+
+@query("m12_event_classifier")
+def m12(spark, d):
+    x = labelled(spark, d)
+    return rounded(probabilities(fitted(x), x).withColumn("predicted", (F.col("p") >= 0.5).cast("int")), 4)
+
+
+@query("m13_cross_validated_auc")
+def m13(spark, d, k: int = 3):
+    x = labelled(spark, d).withColumn("fold", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("key", F.lit(42)))) % k)
+    parts = [auc(probabilities(fitted(x.where(F.col("fold") != i), 5), x.where(F.col("fold") == i))).withColumn("fold", F.lit(i)) for i in range(k)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return rounded(every.agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.count("auc").alias("folds")), 4)
+
+
+@query("m14_roc_curve", """SELECT p, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM (SELECT p, sum(pos) OVER (ORDER BY p DESC) / sum(pos) OVER () AS tpr, sum(neg) OVER (ORDER BY p DESC) / sum(neg) OVER () AS fpr FROM (SELECT p_size::DOUBLE AS p, sum(l)::DOUBLE AS pos, sum(1 - l)::DOUBLE AS neg FROM (SELECT p_size, (p_partkey % 3 = 0)::INT AS l FROM part) GROUP BY 1))""")
+def m14(spark, d):
+    s = table(spark, d, "part").select(F.col("p_size").cast("double").alias("p"), (F.col("p_partkey") % 3 == 0).cast("double").alias("label"))
+    return rounded(roc(s))
+
+
+@query("m15_evaluation", """SELECT l AS label, q AS predicted, count(*) AS n FROM (SELECT (p_partkey % 3 = 0)::INT AS l, (p_size >= 25)::INT AS q FROM part) GROUP BY ALL""")
+def m15(spark, d):
+    return table(spark, d, "part").groupBy((F.col("p_partkey") % 3 == 0).cast("int").alias("label"), (F.col("p_size") >= 25).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m14_auc", """SELECT round((sum(l * r) - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) AS auc FROM (SELECT l, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r, (sum(l) OVER ())::DOUBLE AS n1, (count(*) OVER ())::DOUBLE AS n FROM (SELECT p_size AS p, (p_partkey % 3 = 0)::INT AS l FROM part)) GROUP BY n1, n""")
+def m14_auc(spark, d):
+    return rounded(auc(table(spark, d, "part").select(F.col("p_size").cast("double").alias("p"), (F.col("p_partkey") % 3 == 0).cast("double").alias("label"))))
+
+
+@query("m16_importances")
+def m16(spark, d):
+    got = fitted(labelled(spark, d)).stages[-1].featureImportances.toArray()
+    top = max(got.max(), 1e-12)
+    rows = [(f, float(v / top)) for f, v in zip(FEATURES[:4], got, strict=True)]
+    return rounded(spark.createDataFrame(rows, "f string, importance double").orderBy(F.desc("importance"), "f").limit(10), 4)
+
+
+@query("a12_gram_correlations")
+def a12_gram(spark, d):
+    """The correlations of many columns (embeddings) from sums of products taken task by task."""
+    rows = table(spark, d, "embeddings").where("embedding is not null").select("embedding")
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
+
+    def sums(batches):
+        s, g, n = np.zeros(dim), np.zeros((dim, dim)), 0
+        for pdf in batches:
+            x = np.array(pdf["embedding"].to_list(), float)
+            s, g, n = s + x.sum(axis=0), g + x.T @ x, n + len(x)
+        i, j = np.triu_indices(dim, 1)
+        yield pd.DataFrame({"a": i, "b": j, "n": n, "sa": s[i], "sb": s[j], "saa": np.diag(g)[i], "sbb": np.diag(g)[j], "sab": g[i, j]})
+
+    t = rows.mapInPandas(sums, "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double").groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    var = lambda x: F.col("s" + x + x) - F.col("s" + x) * F.col("s" + x) / F.col("n")
+    return rounded(t.select("a", "b", (cov / F.sqrt(var("a") * var("b"))).alias("r")))
