@@ -35,7 +35,7 @@ from . import _common as c, _text as t
 
 WIDTH, GRAM = 100, 32
 #: Different contexts of one k-gram that a task sorts at most; more are grouped by Spark.
-MOST = 512
+MOST = 20_000
 #: Bits of the filters that keep the second pass from shuffling anchors that occur once; exact joins follow.
 FILTER_BITS = 1 << 26
 #: Anchors a task merges before it passes them on; rows it sorts at once, about.
