@@ -39,3 +39,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def join_by_size(left: DataFrame, right: DataFrame, on, how: str, right_rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast the right side when its counted rows are few enough, else shuffle both."""
     return left.join(F.broadcast(right) if right_rows <= most else right, on, how)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no column of that name in any case."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -363,11 +363,12 @@ def marks(docs: DataFrame) -> DataFrame:
     return c.settle(merged.mapInArrow(merge, "id long, spans array<long>"), "marks")
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with _spans: the flat starts and ends of what goes."""
-    found = marks(docs).withColumnsRenamed({"id": "_id", "spans": "_spans"})
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
-    return c.join_by_size(keyed, found, "_id", "left", found.count()).drop("_id")
+def _with_spans(docs: DataFrame, spans: str) -> DataFrame:
+    """docs with the flat starts and ends of what goes, in a column named `spans`."""
+    key = c.free(docs, "_id")
+    found = marks(docs).withColumnsRenamed({"id": key, "spans": spans})
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
+    return c.join_by_size(keyed, found, key, "left", found.count()).drop(key)
 
 
 def cut(raw: bytes, spans: list[int] | None) -> tuple[bytes, int]:
@@ -398,17 +399,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             a, b, n, h = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs).select("doc_id", "text", "_spans").mapInArrow(run, _SCHEMA)
+    return _with_spans(docs, "_spans").select("doc_id", "text", "_spans").mapInArrow(run, _SCHEMA)
 
 
 def keep_rest(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """docs with repeated bytes cut out of text (a character that is cut in half goes too); n_chars follows if there is one."""
-    schema = docs.schema
+    schema, gone = docs.schema, c.free(docs, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lengths = [], []
-            for text, spans in zip(batch.column("text"), batch.column("_spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column(gone), strict=True):
                 text, spans = text.as_py(), spans.as_py()
                 texts.append(cut(text.encode(), spans)[0].decode(errors="ignore") if text and spans else text)
                 lengths.append(None if text is None else len(texts[-1]))
@@ -418,8 +419,8 @@ def keep_rest(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -
                     column = pa.array(texts, pa.string())
                 elif name == "n_chars":
                     column = pa.array(lengths, pa.int64()).cast(column.type)
-                if name != "_spans":
+                if name != gone:
                     arrays.append((name, column))
             yield pa.RecordBatch.from_arrays([x for _, x in arrays], names=[n for n, _ in arrays])
 
-    return _with_spans(docs).select(*docs.columns, "_spans").mapInArrow(run, schema)
+    return _with_spans(docs, gone).select(*docs.columns, gone).mapInArrow(run, schema)
