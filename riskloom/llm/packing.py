@@ -30,8 +30,8 @@ from ._text import slices
 
 LENGTH = 1024
 END = 2
-#: Parts of a length's ranks.
-PARTS = 64
+#: Parts of a length's ranks, at least, and pieces for which one more is made; the packing is as good with any number.
+PARTS, PART_PIECES = 64, 100_000
 #: Bytes of text that are encoded together.
 STRETCH = 1 << 23
 
@@ -166,27 +166,20 @@ def supersteps(counts: dict[int, int], room: int = LENGTH) -> list[tuple[int, in
     return steps
 
 
-def packed(pieces: DataFrame, room: int = LENGTH, parts: int = PARTS) -> DataFrame:
+def packed(pieces: DataFrame, room: int = LENGTH, parts: int = PARTS, part_pieces: int = PART_PIECES) -> DataFrame:
     """pieces (doc_id, piece, length, ...; settled) with sequence_id and offset."""
     spark = pieces.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
-    dealt = pieces.withColumn("part", part)
-    counts = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # room x parts rows at most
-    per: dict[int, dict[int, int]] = {}
-    for r in counts:
-        per.setdefault(r["length"], {})[r["part"]] = r["n"]
-    starts, total = [], {}
-    for length, own in per.items():
-        at = 0
-        for p in sorted(own):
-            starts.append((length, p, at))
-            at += own[p]
-        total[length] = at
-    steps = supersteps(total, room)
-    first = spark.createDataFrame(starts, "length long, part long, before long")
-    plan = spark.createDataFrame(steps, "l long, rank0 long, pieces long, fit long, sequence0 long, offset0 long")
+    total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # room rows at most
+    many = [(length, max(parts, -(-n // part_pieces))) for length, n in total.items()]
+    split = F.broadcast(spark.createDataFrame(many, "length long, parts long"))
+    dealt = pieces.join(split, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    counts = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
+    first = c.settle(counts.select("length", "part", before.alias("before")), "parts")
+    plan = spark.createDataFrame(supersteps(total, room), "l long, rank0 long, pieces long, fit long, sequence0 long, offset0 long")
     inside = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = dealt.withColumn("i", inside - 1).join(F.broadcast(first), ["length", "part"]).withColumn("rank", F.col("before") + F.col("i"))
+    ranked = c.join_by_size(dealt.withColumn("i", inside - 1), first, ["length", "part"], "inner", sum(n for _, n in many))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("i"))
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("pieces")))
     at = F.col("rank") - F.col("rank0")
     return placed.select(*pieces.columns, (F.col("sequence0") + F.expr("(rank - rank0) div fit")).alias("sequence_id"), (F.col("offset0") + at % F.col("fit") * F.col("length")).alias("offset"))
