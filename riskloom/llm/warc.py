@@ -30,6 +30,7 @@ MAGIC = b"WARC/1.0\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of an archive file, about, and of a range that a task reads.
 FILE_BYTES, RANGE_BYTES = 1 << 26, 1 << 22
+#: Bytes read for a header at first; longer ones are read again.
 HEADER_BYTES = 1 << 16
 LEAST = 0
 
@@ -100,9 +101,11 @@ class _File:
         if end >= 0:
             head = have[at - have_at : end]
         else:
-            more = self.piece(at, HEADER_BYTES)
-            if (end := more.find(b"\r\n\r\n")) < 0:
-                return None
+            n = HEADER_BYTES
+            while (end := (more := self.piece(at, n)).find(b"\r\n\r\n")) < 0:
+                if len(more) < n or not more.startswith(MAGIC):
+                    return None
+                n *= 4
             head = more[:end]
         if not head.startswith(MAGIC) or not (length := re.search(rb"\r\nContent-Length: (\d{1,18})(?:\r\n|$)", head)):
             return None
