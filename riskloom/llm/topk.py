@@ -186,7 +186,8 @@ def search(vectors: DataFrame, is_query, k: int = K, block_size: int = BLOCK) ->
     for x in out[1:]:
         whole = whole.unionByName(x)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return whole.select("query_id", rank.alias("rank"), "vec_id", "score")
+    ranked = whole.select("query_id", rank.alias("rank"), "vec_id", "score")
+    return ranked.where(F.col("rank") <= k)  # equal ids at the cut come in together
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
