@@ -11,8 +11,9 @@ that both sets have in a bitmap of BITS bits, plus the shingles that share a bit
 exceeds. Links count only if the full sets confirm them. Groups are the links' connected components.
 
 Defined cases: a document without words or with null text has an empty set and stays alone; with fewer than
-`size` words the whole sequence is its one shingle. Equal rows are linked like any equal sets; rows with
-equal ids and different texts share a node, n_shingles is each row's own. A null id is a document like
+`size` words the whole sequence is its one shingle. Equal rows are linked like any equal sets. Rows with equal
+ids and different sets belong to the groups of their sets; sets whose smallest id is the same share a node, and
+links are confirmed on the smaller of them. n_shingles is each row's own. A null id is a document like
 others, its component_id is null and it is kept. Very long texts are hashed whole. An empty table gives an
 empty result. Extra columns are kept by `keep_one_of_each` and else not looked at.
 """
@@ -155,7 +156,7 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
         links = docs.sparkSession.createDataFrame([], "node long, comp long")
         return _labelled(sig, classes, links)
     mine = c.join_by_size(docs.select("doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))), involved.withColumnRenamed("id", "_id"), "_id", "left_semi", rows)
-    sets = c.settle(full_sets(mine, size).dropDuplicates(["id"]), "sets")
+    sets = c.settle(full_sets(mine, size).groupBy("id").agg(F.min("set").alias("set")), "sets")
 
     # one centre for each class, the smallest of its buckets', then the other centres while groups are apart
     star = member.where("id <> centre")
