@@ -42,7 +42,7 @@ TEMPLATES = {
     "LGPL": ("licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later"),
     "MIT": ("Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
-    "Proprietary": ("All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher", "This software is proprietary and confidential. Unauthorized copying is strictly prohibited"),
+    "Proprietary": ("All rights reserved", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher", "This software is proprietary and confidential. Unauthorized copying is strictly prohibited"),
 }
 #: Phrases that mention licences without granting one.
 DECOYS = (

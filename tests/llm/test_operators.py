@@ -216,6 +216,24 @@ def test_license_scan(spark):
     assert got == [None, None, None, "MIT", "Apache-2.0", "CC-BY-NC", "GPL", None]
 
 
+def test_license_lines_of_the_table(spark):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL",
+        "All rights reserved.": "Proprietary",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+        "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.train(docs)
+    want = {(r["doc_id"], f) for r in docs.collect() for x, f in lines.items() if x in (r["text"] or "").split("\n")}
+    assert {f for _, f in want} == set(lines.values())
+    got = {(r["doc_id"], f) for r in licenses.scan(docs, model).collect() for f in r["families"]}
+    assert got == want
+    decoys = frame(spark, ["all rights of the citizens are protected by law", "All rights of the citizens."])
+    assert [r["family"] for r in licenses.scan(decoys, model).collect()] == [None, None]
+
+
 def test_pipeline_stages():
     import corpus_pipeline
 
