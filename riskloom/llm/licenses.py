@@ -4,8 +4,11 @@ Features are hashed word unigrams and bigrams. The classifier is a sparse multin
 trained here on the templates with words dropped, swapped and surrounded by ordinary words, against an unknown
 class: paragraphs of a bounded sample of the corpus and phrases that only mention licences. A temperature fitted on held-out
 examples calibrates the probabilities. A paragraph is read in overlapping windows of WINDOW words, so a notice in
-the middle of a long paragraph counts as much as one that stands alone. A family is reported when its
-calibrated probability is P_LEAST at least and the window holds CONFIRM of a template's word pairs.
+the middle of a long paragraph counts as much as one that stands alone. Paragraphs end at blank lines and at
+the ends of texts; windows and word pairs go across single newlines, so a wrapped notice is read as a whole. Reported
+are the family whose calibrated probability is P_LEAST at least, when the window holds CONFIRM of one of its templates' word
+pairs, no more of another family's, and not merely a part of a notice of another family; and each family of which the window holds CONFIRM of a template's word pairs and
+CONFIRM of those among them that no other family has: a window with two notices has two families.
 
 Defined cases: null and empty texts have no paragraphs and no family. Very long texts and paragraphs are read
 whole. Several families in a document: the one with the highest probability is `family`, all are in `families`, sorted. Repeated rows get a
@@ -31,7 +34,7 @@ EPOCHS, COPIES = 60, 40
 
 #: Usual short notices of licence families.
 TEMPLATES = {
-    "AGPL": ("licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    "AGPL": ("licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "released under the Apache 2.0 license", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"),
     "BSD": ("licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY": ("licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"),
@@ -39,7 +42,7 @@ TEMPLATES = {
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"),
     "CC0": ("Released under CC0 1.0", "dedicated to the public domain under the Creative Commons Zero CC0 1.0 Universal dedication", "SPDX-License-Identifier: CC0-1.0"),
     "GPL": ("This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "licensed under the GPL version 2 or later", "SPDX-License-Identifier: GPL-3.0-only"),
-    "LGPL": ("licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    "LGPL": ("licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later"),
     "MIT": ("Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
     "Proprietary": ("All rights reserved", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher", "This software is proprietary and confidential. Unauthorized copying is strictly prohibited"),
@@ -55,6 +58,17 @@ FAMILIES = ("unknown", *sorted(TEMPLATES))
 _WORDY = np.ones(256, bool)
 _WORDY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _NEWLINE = 10
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+def _paragraph_ends(b: np.ndarray) -> np.ndarray:
+    """Where a blank line ends."""
+    lines = np.flatnonzero(b == _NEWLINE)
+    seen = np.cumsum(~_BLANK[b])[lines]
+    out = np.zeros(len(b), bool)
+    out[lines[1:][seen[1:] == seen[:-1]]] = True
+    return out
 
 
 def _grams(b: np.ndarray, off: np.ndarray):
@@ -71,7 +85,7 @@ def _grams(b: np.ndarray, off: np.ndarray):
         none = np.zeros(0, np.uint64)
         return starts, none, none, np.zeros(0, np.int64)
     one = t.Hashes(low).of(starts, ends)
-    breaks = np.cumsum((b == _NEWLINE) | edge[:-1])
+    breaks = np.cumsum(_paragraph_ends(b) | edge[:-1])
     paragraph = breaks[starts]
     two = np.zeros(len(one), np.uint64)
     same = paragraph[1:] == paragraph[:-1]
@@ -93,6 +107,10 @@ class Model:
         self.keys, self.weights, self.bias, self.temperature, self.templates = keys[order], weights[order], bias, temperature, templates
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(keys & np.uint64(65535)).astype(np.int64)] = True
+        others = {f: np.concatenate([p for g, p in templates if g != f] or [keys[:0]]) for f, _ in templates}
+        #: Of each template, the pairs that no other family has.
+        self.own = [np.setdiff1d(p, others[f]) for f, p in templates]
+        self.every_own = np.unique(np.concatenate(self.own or [keys[:0]]))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are features, and which ones."""
@@ -114,6 +132,22 @@ class Model:
             best, other = (max(best, share), other) if f == family else (best, max(other, share))
         return best >= CONFIRM and best >= other
 
+    def held(self, pairs: np.ndarray) -> set[int]:
+        """The families of which the window holds enough of a template, and enough of what no other family has."""
+        out = set()
+        for (f, every), own in zip(self.templates, self.own, strict=True):
+            if f not in out and len(own) and all(len(np.intersect1d(x, pairs)) >= CONFIRM * len(x) for x in (own, every)):
+                out.add(f)
+        return out
+
+    def explained(self, family: int, pairs: np.ndarray, held: set[int]) -> bool:
+        """Whether all that the window has of the family's templates is in templates of the families that are held."""
+        parts = {g: np.concatenate([p for f, p in self.templates if f == g]) for g in held | {family}}
+        if family in held or not held:
+            return False
+        mine = np.intersect1d(parts[family], pairs)
+        return bool(np.isin(mine, np.concatenate([parts[g] for g in held])).all())
+
 
 def examples(negatives: list[str], seed: int = 4) -> list[tuple[int, str]]:
     """(family, text): noisy templates and what belongs to no family."""
@@ -170,7 +204,7 @@ def train(docs: DataFrame, samples: int = SAMPLES, epochs: int = EPOCHS) -> Mode
             weights[x] -= 0.1 * p / np.sqrt(grads[x])
             bias -= 0.1 * p / np.sqrt(bias_grads)
     weights[np.abs(weights) < 0.05] = 0
-    some = np.flatnonzero(np.abs(weights).max(axis=1) > 0)
+    some = np.flatnonzero((np.abs(weights).max(axis=1) > 0) | np.isin(keys, known))  # templates' pairs are looked for in any case
     logits = np.array([bias + weights[index[i]].sum(axis=0) for i in held])
     temperature = min(np.linspace(0.5, 8, 31), key=lambda s: _loss(logits / s, label[held]))
     return Model(keys[some], weights[some], bias, float(temperature), [(f, np.unique(p)) for f, p in pairs if len(p)])
@@ -182,7 +216,7 @@ def _loss(z: np.ndarray, label: np.ndarray) -> float:
 
 
 def _found(model: Model, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float]]:
-    """(row, family, probability) of the confirmed windows of the rows of b."""
+    """(row, family, probability) of the families of the windows of the rows of b."""
     starts, one, two, paragraph = _grams(b, off)
     at1, f1 = model.find(one)
     at2, f2 = model.find(two)
@@ -191,6 +225,7 @@ def _found(model: Model, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
     at, feature = np.concatenate([at1, at2]), np.concatenate([f1, f2])
     first = np.searchsorted(paragraph, paragraph[at])
     place = at - first
+    named = at2[np.isin(two[at2], model.every_own)]
     out = []
     for shift in (0, STEP):  # two tilings of each paragraph
         window = (first << 32) + (place + shift) // WINDOW
@@ -201,13 +236,21 @@ def _found(model: Model, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
         np.add.at(logits, seen[0], model.weights[seen[1]])
         p = model.probabilities(logits)
         best = p.argmax(axis=1)
-        for w in np.flatnonzero((best > 0) & (p[np.arange(len(best)), best] >= P_LEAST)):
+        sure = (best > 0) & (p[np.arange(len(best)), best] >= P_LEAST)
+        compare = sure.copy()
+        compare[inverse[np.isin(at, named)]] = True
+        for w in np.flatnonzero(compare):
             mine = at[inverse == w]
             lo, hi = mine.min(), mine.max() + 1
             pairs = np.unique(two[lo:hi])
-            if model.confirmed(int(best[w]), pairs):
-                row = int(np.searchsorted(off, starts[lo], side="right")) - 1
-                out.append((row, int(best[w]), float(p[w, best[w]])))
+            families = model.held(pairs)
+            if sure[w] and int(best[w]) not in families and model.confirmed(int(best[w]), pairs):
+                near = slice(max(0, lo - STEP), hi + STEP)  # a window may hold only a part of another family's notice
+                around = np.unique(two[near][paragraph[near] == paragraph[lo]])
+                if not model.explained(int(best[w]), pairs, model.held(around)):
+                    families.add(int(best[w]))
+            row = int(np.searchsorted(off, starts[lo], side="right")) - 1
+            out += [(row, f, float(p[w, f])) for f in sorted(families)]
     return out
 
 

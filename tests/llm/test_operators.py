@@ -234,6 +234,35 @@ def test_license_lines_of_the_table(spark):
     assert [r["family"] for r in licenses.scan(decoys, model).collect()] == [None, None]
 
 
+def test_license_scan_of_wrapped_headers_and_dual_licences(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    lgpl = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""
+    bsd = """Redistribution and use in source and binary forms, with or without\r
+modification, are permitted provided that the following conditions\r
+are met:"""
+    mit = """// Permission is hereby granted, free of charge, to any person
+// obtaining a copy of this software and associated documentation
+// files (the "Software"), to deal in the Software without restriction"""
+    rng = random.Random(9)
+    lines = "\n".join(words(rng, 9) for _ in range(12))
+    want = [(gpl, ["GPL"]), (lgpl, ["LGPL"]), (bsd, ["BSD"]), (mit, ["MIT"])]
+    want += [(f"{lines}\n{x}\n{lines}", f) for x, f in want]
+    want += [(gpl.replace("\n", " "), ["GPL"]), (lgpl.replace("\n", " "), ["LGPL"])]
+    want += [("under the MIT license or the Apache License, Version 2.0", ["Apache-2.0", "MIT"]), (f"{gpl}\n\n{lgpl}", ["GPL", "LGPL"]), ("Licensed under CC BY-NC 4.0 or\nlicensed under CC BY 4.0", ["CC-BY", "CC-BY-NC"])]
+    want += [(f"{words(rng, k)}\n{x}\n{lines}", [f]) for k in range(30) for x, f in [("This work is licensed under the GNU General Public License, version 3.", "GPL"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC")]]
+    want += [("Licensed under the Mozilla\n \t\nPublic License 2.0", []), ("the license plate\nof the general public", []), (lines, []), ("\n\n", [])]
+    docs = frame(spark, [x for x, _ in want])
+    got = licenses.scan(docs, licenses.train(docs, epochs=20)).orderBy("doc_id").collect()
+    assert [r["families"] for r in got] == [f for _, f in want]
+    assert [r["n_paragraphs"] for r in got][:8] == [1] * 8 and [r["n_paragraphs"] for r in got][-4:] == [2, 1, 1, 0]
+
+
 def test_pipeline_stages():
     import corpus_pipeline
 
