@@ -17,6 +17,8 @@ are kept. Extra columns aren't looked at.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,27 +45,61 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The strings that the tokenizer's file (byte_bpe_50k.json) takes out of a text before all else, and their ids."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(x[k] for x in tokens for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take neighbouring characters into account aren't handled")
+    return {x["content"]: x["id"] for x in tokens}
+
+
 class Encoder:
-    """ids of whole texts as the tokenizer gives them, with special tokens' strings taken as ordinary text.
+    """ids of whole texts as the tokenizer gives them: `added` strings are their own ids, what is between them is
+    encoded by itself. Without `added`, special tokens' strings are taken as ordinary text.
 
     This kind of tokenizer starts a new token at every single space between two other characters that aren't white
     space. So texts are cut there and the distinct stretches of a batch are encoded together, each once. Texts with
     a stretch that begins or ends with white space are encoded in one piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = added or {}
+        self.split = "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))
         self.spaced = np.zeros(max(ranks.values()) + 1, bool)
         self.spaced[[i for x, i in ranks.items() if x[:1] == b" "]] = True
 
     def ids(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a column."""
         column = column.fill_null("")
+        if not self.added:
+            return self.ordinary(column)
+        has = np.zeros(len(column), bool)
+        for x in self.added:
+            has |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        if not has.any():
+            return self.ordinary(column)
+        parts, first = [], [0]  # of each text, by turns what is between added tokens and one of those
+        for text, cut in zip(column.to_pylist(), has, strict=True):
+            parts += re.split(f"({self.split})", text) if cut else [text]
+            first.append(len(parts))
+        own = np.zeros(len(parts), bool)
+        for lo, hi in zip(first, first[1:], strict=False):
+            own[lo + 1 : hi : 2] = True
+        between = iter(self.ordinary(pa.array([x for x, o in zip(parts, own, strict=True) if not o], column.type)))
+        coded = [np.array([self.added[x]], np.uint32) if o else next(between) for x, o in zip(parts, own, strict=True)]
+        return [np.concatenate(coded[lo:hi]) for lo, hi in zip(first, first[1:], strict=False)]
+
+    def ordinary(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a column without nulls, no string of which is special."""
         lists = pc.split_pattern(column, " ")
         off = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -100,12 +136,12 @@ def _sliced(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[tuple[pa.Record
         yield part, encoder.ids(part.column("text"))
 
 
-def tokenized(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece."""
+def tokenized(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece; added: strings with an id of their own (`added_tokens`)."""
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, added)
         for batch, ids_of in ((x, y) for x in batches for x, y in _sliced(x, encoder)):
             out: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
@@ -185,14 +221,14 @@ def packed(pieces: DataFrame, room: int = LENGTH, parts: int = PARTS, part_piece
     return placed.select(*pieces.columns, (F.col("sequence0") + F.expr("(rank - rank0) div fit")).alias("sequence_id"), (F.col("offset0") + at % F.col("fit") * F.col("length")).alias("offset"))
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
-    pieces = c.settle(tokenized(docs, path, length, end), "pieces")
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
+    pieces = c.settle(tokenized(docs, path, length, end, added), "pieces")
     return packed(pieces, length)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    return pack(docs)
+    return pack(docs, added=added_tokens())
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(c.table(spark, sf_dir, "documents"))
+    return pack(c.table(spark, sf_dir, "documents"), added=added_tokens())

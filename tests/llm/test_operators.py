@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -148,6 +149,28 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_with_the_tokenizer_as_loaded(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    rows = [*texts(), f"a {end} b", end, end * 3, f"{end}x  ", f" {end}\n\n two  spaces {end} é{end}", "<|endoftext|", f"<{end}>", (f"one two {end}\n") * 900, None, ""]
+    assert loaded.encode(rows[len(texts())], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, t in enumerate(rows):
+        ids = np.array([*loaded.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        start, piece, n = 0, 0, len(ids) % 1024 or 1024
+        while start < len(ids):
+            want.add((i, piece, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+            start, piece, n = start + n, piece + 1, 1024
+    for out in (packing.op10_packing(spark, str(tmp_path)), packing.packed_documents(spark, docs)):
+        got = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_topk_by_brute_force(spark):
     rng = np.random.default_rng(2)
     v = [[float(x) for x in r] for r in rng.normal(0, 0.3, (90, 4))]
