@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import tempfile
 import uuid
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -99,15 +100,38 @@ def j12(spark, d):
     return a.join(b, "k").where("a < b").where(F.levenshtein("a", "b") <= 4).select("a", "b")
 
 
-@query("j12_sequence_ratio")
-def j12_ratio(spark, d):
+def similar_by_ratio(names, least: float = 0.9):
+    """a, b, ratio of all pairs a < b of the distinct names n whose sequence-match ratio is above least.
+
+    The ratio is at most 2 x common characters / both lengths, so a pair has more than length x share characters of
+    each name in common: in one order of all (occurrence, character) the names' prefixes, as long as that leaves, share one.
+    """
+    share = least / (2 - least)
+
+    @F.pandas_udf("array<string>")
+    def prefix(n: pd.Series) -> pd.Series:
+        def run(x: str) -> list[str]:
+            seen, every = Counter(), []
+            for ch in x:
+                seen[ch] += 1
+                every.append((-seen[ch], ch))
+            return [f"{-k} {ch}" for k, ch in sorted(every)[: len(x) - int(len(x) * share - 1e-9)]]
+
+        return n.map(run)
+
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    n = table(spark, d, "part").select(F.col("p_name").alias("n")).distinct().withColumn("k", F.split_part("n", F.lit(" "), F.lit(1)))
+    n = names.select("n").where("n is not null").distinct().select("n", F.explode(prefix("n")).alias("k"))
     pairs = n.withColumnRenamed("n", "a").join(n.withColumnRenamed("n", "b"), "k").where("a < b")
-    return rounded(pairs.select("a", "b", ratio("a", "b").alias("ratio")).where("ratio > 0.6"))
+    close = F.least(F.length("a"), F.length("b")) * 2 > (F.length("a") + F.length("b")) * F.lit(least) - 1e-9
+    return pairs.where(close).select("a", "b").distinct().select("a", "b", ratio("a", "b").alias("ratio")).where(F.col("ratio") > least)
+
+
+@query("j12_sequence_ratio")
+def j12_ratio(spark, d):
+    return rounded(similar_by_ratio(table(spark, d, "part").select(F.col("p_name").alias("n"))))
 
 
 # series

@@ -121,3 +121,21 @@ def test_oracles(spark):
         con.execute(f"create view {t.split('.')[0]} as select * from '{SF}/{t}'")
     for name in sorted(registry.ORACLE_SQL)[::3]:  # a third of them; the rest is compared outside the tests
         _same(spark, con, name, registry.QUERIES[name], registry.ORACLE_SQL[name])
+
+
+def test_sequence_ratio_of_all_pairs(spark):
+    import difflib
+    import random
+
+    from riskloom.plans import models
+
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcde é😀") for _ in range(rng.randint(1, 45))) for _ in range(25)]
+    names = {*base, "total assets ratio", "totel assets ratio", "Total assets ratio", "the total assets ratio", "", "aaaa", "a" * 11, "a" * 9}
+    for x in base:
+        at = rng.randrange(len(x))
+        names |= {x[:at] + "z" + x[at + 1 :], x[:at] + x[at + 1 :], "q" + x, x + " y"}
+    want = {(a, b): r for a in names for b in names if a < b and (r := difflib.SequenceMatcher(None, a, b).ratio()) > 0.9}
+    got = models.similar_by_ratio(spark.createDataFrame([(x,) for x in [*names, *base, None]], "n string")).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["ratio"] for r in got} == want
+    assert any(a.split(" ")[0] != b.split(" ")[0] for a, b in want)
