@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows up to which a keyed side may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+from . import _files
+
+#: Bytes up to which a keyed side may be broadcast; beyond it the same join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: What a job that settles a table runs with: small Arrow batches, and no shuffle files left when it is over.
+_SETTLING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where unset (tests), one in /tmp."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local session gets one in /tmp; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -28,17 +36,40 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _settings(spark, _SETTLING):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        store, path = _files.at(df.settled_at)
+        store.delete_dir(path)
 
 
-def join_by_size(left: DataFrame, right: DataFrame, on, how: str, right_rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast the right side when its counted rows are few enough, else shuffle both."""
-    return left.join(F.broadcast(right) if right_rows <= most else right, on, how)
+def join_by_size(left: DataFrame, right: DataFrame, on, how: str, settled: DataFrame | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast the right side when the files of the settled table that it is (or is made of) are small enough, else shuffle both."""
+    small = _files.total((right if settled is None else settled).settled_at) <= most
+    return left.join(F.broadcast(right) if small else right, on, how)
 
 
 def free(df: DataFrame, name: str) -> str:

@@ -23,6 +23,12 @@ def listing(uri: str, suffix: str) -> list[tuple[str, int]]:
     return sorted((x.path, x.size) for x in found if x.is_file and x.base_name.endswith(suffix) and x.base_name[0] not in "._")
 
 
+def total(uri: str) -> int:
+    """Bytes of all files of a folder."""
+    store, path = at(uri)
+    return sum(x.size for x in store.get_file_info(fs.FileSelector(path, recursive=True)) if x.is_file)
+
+
 @contextmanager
 def writing(uri: str, name: str, token: str):
     """A stream whose file gets its name only when all is written; a repeated attempt replaces it."""

@@ -155,7 +155,7 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     if not rows:
         links = docs.sparkSession.createDataFrame([], "node long, comp long")
         return _labelled(sig, classes, links)
-    mine = c.join_by_size(docs.select("doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))), involved.withColumnRenamed("id", "_id"), "_id", "left_semi", rows)
+    mine = c.join_by_size(docs.select("doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))), involved.withColumnRenamed("id", "_id"), "_id", "left_semi", involved)
     sets = c.settle(full_sets(mine, size).groupBy("id").agg(F.min("set").alias("set")), "sets")
 
     # one centre for each class, the smallest of its buckets', then the other centres while groups are apart
@@ -226,7 +226,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None =
     key, names = c.free(docs, "_gone"), docs.columns
     gone = c.settle(found.where("id <> comp").select(F.col("id").alias(key)).distinct(), "gone")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
-    return c.join_by_size(keyed, gone, key, "left_anti", gone.count()).select(*names)
+    return c.join_by_size(keyed, gone, key, "left_anti").select(*names)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,9 +118,8 @@ def training_order(docs: DataFrame, **how) -> DataFrame:
     own = docs.withColumns({key: F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()), crc: F.sha1(F.coalesce("text", F.lit("")))})
     mixed = mix(own, keep=[key, crc], **how).groupBy(key, crc).agg(F.flatten(F.collect_list("_mix.positions")).alias(places), F.count(F.lit(1)).alias(n))
     mixed = c.settle(mixed.where(F.size(places) > 0), "mixed")
-    rows = mixed.count()
-    once = c.join_by_size(own, mixed.where(F.col(n) == 1).drop(n), [key, crc], "inner", rows)
-    again = c.join_by_size(own, mixed.where(F.col(n) > 1).drop(n), [key, crc], "inner", rows).dropDuplicates([key, crc])
+    once = c.join_by_size(own, mixed.where(F.col(n) == 1).drop(n), [key, crc], "inner", mixed)
+    again = c.join_by_size(own, mixed.where(F.col(n) > 1).drop(n), [key, crc], "inner", mixed).dropDuplicates([key, crc])
     copies = once.unionByName(again).select(*names, F.explode(places).alias(place))
     return copies.sort(place, "doc_id").select(*names)
 

@@ -214,7 +214,7 @@ def packed(pieces: DataFrame, room: int = LENGTH, parts: int = PARTS, part_piece
     first = c.settle(counts.select("length", "part", before.alias("before")), "parts")
     plan = spark.createDataFrame(supersteps(total, room), "l long, rank0 long, pieces long, fit long, sequence0 long, offset0 long")
     inside = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = c.join_by_size(dealt.withColumn("i", inside - 1), first, ["length", "part"], "inner", sum(n for _, n in many))
+    ranked = c.join_by_size(dealt.withColumn("i", inside - 1), first, ["length", "part"], "inner")
     ranked = ranked.withColumn("rank", F.col("before") + F.col("i"))
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("pieces")))
     at = F.col("rank") - F.col("rank0")

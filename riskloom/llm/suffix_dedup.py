@@ -1,25 +1,27 @@
 """Removal of repeated byte strings by a distributed suffix sort over a difference cover.
 
-A position is looked at only if it is sampled. The sample is a content-defined difference cover: the places of
-the smallest hashed k-gram of every window of WIDTH bytes. Like the residues of a periodic cover it gives any two
-equal windows a common shift at which both are sampled, but at 1/35 of the positions instead of 2/3.
-
-1. Every sampled position (anchor) stands for the windows it was picked by, a run of starts lo..hi. Anchors whose
-   runs read the same bytes form a class; all but the earliest of a class are repeats as a whole.
-2. Anchors of one k-gram with different bytes are suffix-sorted: to the right of the anchor and, reversed, to the
-   left. Suffixes are cut into characters of 8 bytes; triples of characters are sorted and named, triples of
-   names are sorted in turn (the recursion, which ends as WIDTH bytes are covered). The unsampled starts between
-   lo and hi are merged through the two ranks: neighbours' common prefixes tell which windows are equal.
-3. The bytes of windows that have an earlier equal one are removed.
-
-Spark deals the anchors out by k-gram after each task has merged equal classes. K-grams with more than MOST
-different contexts aren't sorted in one task: their windows are grouped by hash over all tasks instead, with the
-same result.
-
-Defined cases: a null text is empty. Texts shorter than WIDTH bytes lose nothing. Rows with equal ids count as one document
-read at the same places, so neither is an earlier occurrence of the other's same offset; if their texts differ,
-each loses what was found for that id at its offsets. A null id comes before all others. Very long texts are handled whole. An
-empty table gives an empty result. Extra columns are kept by `keep_rest` and else not looked at.
+The sample is a content-defined difference cover: the places of the smallest hashed k-gram of every window of
+WIDTH bytes. Like the residues of a periodic cover it gives any two equal windows a common shift at which both are
+sampled, but at 1/35 of the positions instead of 2/3. Every sampled position (anchor) stands for the windows it
+was picked by, a run of starts lo..hi.
+
+1. Anchors whose runs read the same bytes (two 64-bit hashes, of the k-gram and of the run) form a class; all but the
+   earliest are repeats as a whole. A task finds those inside its own rows, Spark deals the others out by hash.
+2. The earliest anchors of classes that share a k-gram with another class are suffix-sorted, to the right from the
+   k-gram's start and to the left from its end, reversed. Triples of 12-byte characters are range-sorted by Spark and named in
+   order; names and the next triples are sorted and named in turn, until the names cover WIDTH bytes.
+3. In that order adjacent suffixes' common prefixes are taken. An unsampled start d bytes before its anchor is
+   named by the groups of suffixes that agree with it in d bytes to the left and WIDTH - d to the right; starts with
+   equal names (merged through the sampled ranks) are equal windows. All but the earliest are repeats.
+
+No step depends on how often a k-gram, a context or a window occurs: a k-gram with more than WIDE contexts in one
+task's rows is dealt out by its contexts, equal suffixes are spread by their place over range partitions (names
+and groups go on across the borders), classes and windows are counted before they meet.
+
+Defined cases: a null text is empty. Texts shorter than WIDTH bytes lose nothing. Of rows with equal ids and
+different texts the one with the smaller hash of the text comes first; rows equal in both lose the same. A null id comes
+before all others. Very long texts are handled whole, in stretches that overlap. An empty table gives an empty
+result. Extra columns are kept by `keep_rest` and else not looked at.
 """
 
 from __future__ import annotations
@@ -29,18 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _common as c, _text as t
 
 WIDTH, GRAM = 100, 32
-#: Different contexts of one k-gram that a task sorts at most; more are grouped by Spark.
-MOST = 20_000
-#: Bits of the filters that keep the second pass from shuffling anchors that occur once; exact joins follow.
-FILTER_BITS = 1 << 26
-#: Anchors a task merges before it passes them on; rows it sorts at once, about.
-MERGED = 1 << 20
-TOGETHER = 20_000
+REACH = WIDTH - GRAM
+#: Bytes of a triple of characters; so many sorts name WIDTH bytes.
+TRIPLE = 36
+#: Anchors a task looks through before it passes them on.
+MERGED = 1 << 18
+#: Contexts of one k-gram in that many anchors beyond which they are dealt out one by one.
+WIDE = 16
+#: Rows of an Arrow batch that a task passes on.
+BATCH = 1 << 15
 _NULL = -(2**63)
 
 
@@ -79,296 +83,387 @@ def anchors(b: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = GRAM
     return h0.of(place, place + gram).view(np.int64), context.view(np.int64), place, lo, hi, np.searchsorted(off, place, side="right") - 1
 
 
-def _anchored(batch: pa.RecordBatch):
-    """ids, bytes, offsets and anchors of each slice of a batch."""
-    b, off = t.bytes_of(batch.column("text"))
-    ids = t.ids_of(batch.column("id"))
-    for lo, hi in t.slices(off):
-        own, o = b[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        yield ids[lo:hi], own, o, anchors(own, o)
+def _cols(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
 
 
-def _pack(lo: np.ndarray, place: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return (lo << 20) | ((place - lo) << 10) | (hi - lo)
+def _out(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    n = len(next(iter(columns.values())))
+    for x in range(0, n, BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(v[x : x + BATCH]) for v in columns.values()], names=list(columns))
 
 
-def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(kg, cx, id, at, n) with the earliest (id, at) of each (kg, cx) and the sum of n."""
-    kg, cx, ids, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((at, ids, cx, kg))
-    kg, cx, ids, at, n = kg[order], cx[order], ids[order], at[order], n[order]
-    new = np.ones(len(kg), bool)
-    new[1:] = (kg[1:] != kg[:-1]) | (cx[1:] != cx[:-1])
-    first = np.flatnonzero(new)
-    return kg[first], cx[first], ids[first], at[first], np.add.reduceat(n, first)
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before; the first one does."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """kg, cx, id, at (earliest), n, contexts of the anchors that aren't alone; at packs lo, place and hi."""
+def _last(new: np.ndarray) -> np.ndarray:
+    """For each row the last row at or before it where `new` holds."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def out():
-            merged = _merge(held)
-            for x in range(0, len(merged[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(y[x : x + (1 << 16)]) for y in merged], names=["kg", "cx", "id", "at", "n"])
+def _pack(lo: np.ndarray, place: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (lo << 20) | ((place - lo) << 10) | (hi - lo)
 
-        for batch in batches:
-            for ids, _, off, (kg, cx, place, lo, hi, row) in _anchored(batch):
-                base = off[row] if len(row) else row
-                held.append((kg, cx, ids[row], _pack(lo - base, place - base, hi - base), np.ones(len(kg), np.int64)))
-                size += len(kg)
-                if size >= MERGED:
-                    yield from out()
-                    held, size = [], 0
-        if size:
-            yield from out()
 
-    found = docs.mapInArrow(run, "kg long, cx long, id long, at long, n long").repartition("kg")
-    each = found.groupBy("kg", "cx").agg(F.min(F.struct("id", "at")).alias("first"), F.sum("n").alias("n"))
-    each = each.withColumn("contexts", F.count(F.lit(1)).over(W.partitionBy("kg")))
-    return each.where("n > 1 or contexts > 1").select("kg", "cx", "first.id", "first.at", "n", "contexts")
+def _end(at: np.ndarray) -> np.ndarray:
+    """Where the last window of a packed anchor ends."""
+    return (at >> 20) + (at & 1023) + WIDTH
 
 
-def first_key(kg, cx, ids, at):
-    """One 64-bit key for an anchor of a document."""
-    u = lambda x: x.view(np.uint64)
-    return t.mix(u(kg) + np.uint64(3) * u(cx) + t.mix(u(ids) * np.uint64(0x9E3779B97F4A7C15) + u(at))).view(np.int64)
+def _anchored(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """kg, cx, id, twin, at of the anchors of a batch, stretch by stretch; a longer text is cut into stretches that share WIDTH - 1 bytes."""
+    b, off = t.bytes_of(batch.column("text"))
+    ids, twins = t.ids_of(batch.column("id")), t.ids_of(batch.column("twin"))
+    for r0, r1 in t.slices(off):
+        for shift in range(0, max(1, int(off[r1] - off[r0])) if r1 == r0 + 1 else 1, t.SLICE):
+            own = b[off[r0] + shift : min(off[r1], off[r0] + shift + t.SLICE + WIDTH - 1)] if r1 == r0 + 1 else b[off[r0] : off[r1]]
+            o = np.array([0, len(own)]) if r1 == r0 + 1 else off[r0 : r1 + 1] - off[r0]
+            kg, cx, place, lo, hi, row = anchors(own, o)
+            if len(kg):
+                base = o[row] - shift
+                yield kg, cx, ids[r0:r1][row], twins[r0:r1][row], _pack(lo - base, place - base, hi - base)
+
+
+def _dealt(parts: list[tuple[np.ndarray, ...]], most: int) -> Iterator[pa.RecordBatch]:
+    """Of some anchors: marks of the repeats among them, and the earliest of each class with the key by which it is dealt.
+
+    e is an end for a mark, 0 for an anchor, -1 for one of a k-gram that is dealt out wide, and -2 for the row that tells
+    those anchors of such a k-gram that other tasks deal narrowly.
+    """
+    kg, cx, ids, twin, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, twin, ids, cx, kg))
+    kg, cx, ids, twin, at = (x[order] for x in (kg, cx, ids, twin, at))
+    new = _changes(kg, cx)
+    lead = _last(new)
+    again = ~new & ((ids != ids[lead]) | (twin != twin[lead]) | (at != at[lead]))
+    i, w, s, e = _runs(ids[again], twin[again], at[again] >> 20, _end(at[again]))
+    none = np.zeros(len(i), np.int64)
+    yield from _out({"deal": i, "kg": none, "cx": none, "id": i, "twin": w, "at": s, "e": e})
+    kg, cx, ids, twin, at = (x[new] for x in (kg, cx, ids, twin, at))
+    first = np.flatnonzero(_changes(kg))
+    contexts = np.diff(np.append(first, len(kg)))
+    wide = np.repeat(contexts > most, contexts)
+    deal = np.where(wide, t.mix(kg.view(np.uint64) ^ t.mix(cx.view(np.uint64))).view(np.int64), kg)
+    yield from _out({"deal": deal, "kg": kg, "cx": cx, "id": ids, "twin": twin, "at": at, "e": np.where(wide, -1, 0)})
+    told = first[contexts > most]
+    yield from _out({"deal": kg[told], "kg": kg[told], "cx": cx[told], "id": ids[told], "twin": twin[told], "at": at[told], "e": np.full(len(told), -2)})
+
+
+def _runs(ids: np.ndarray, twin: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The spans s..e of each document, merged where they touch, in order."""
+    order = np.lexsort((s, twin, ids))
+    ids, twin, s, e = ids[order], twin[order], s[order], e[order]
+    doc = _changes(ids, twin)
+    far = np.cumsum(doc) << 44  # later documents lie beyond all ends of earlier ones
+    reach = np.maximum.accumulate(e + far)
+    new = doc.copy()
+    new[1:] |= (s + far)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids))[: len(first)] - 1
+    return ids[first], twin[first], s[first], (reach - far)[last]
 
 
-def _small_filter(rows: DataFrame, make, bits: int = FILTER_BITS):
-    """A broadcast bitmap with two places for each key that make(batch) gives; OR-ed together by Spark word by word."""
+def _sorted_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (kg, cx, id, twin, at): marks (e > 0) of all but the first of a class, and the firsts of k-grams with several classes (e = 0).
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = make(batch)
-            if len(key):
-                p = np.unique(np.concatenate(_places(key, bits)))
-                yield pa.RecordBatch.from_arrays([pa.array(p >> 15), pa.array(p & 32767)], names=["w", "p"])
+    Between batches one row is kept: the first of the class that may go on, with what is known of its k-gram.
+    """
+    held: tuple | None = None  # kg, cx, id, twin, at, e of that row; whether it is still to be passed on
+    waits = False
+    for batch in batches:
+        kg, cx, ids, twin, at, e = _cols(batch, "kg", "cx", "id", "twin", "at", "e")
+        mark = e > 0
+        yield from _out({"id": ids[mark], "twin": twin[mark], "at": at[mark], "e": e[mark]})
+        kg, cx, ids, twin, at, e = (x[~mark] for x in (kg, cx, ids, twin, at, e))
+        if held is not None:
+            kg, cx, ids, twin, at, e = (np.concatenate([[h], x]) for h, x in zip(held, (kg, cx, ids, twin, at, e), strict=True))
+        if not len(kg):
+            continue
+        fresh = np.ones(len(kg), bool)
+        fresh[0] = held is None or waits
+        group = np.cumsum(_changes(kg)) - 1
+        real = np.flatnonzero(e != -2)
+        new = _changes(kg[real], cx[real])
+        classes = np.bincount(group[real[new]], minlength=group[-1] + 1)
+        several = (classes > 1) | (np.bincount(group[e < 0], minlength=group[-1] + 1) > 0)
+        lead = real[_last(new)]
+        again = ~new & ((ids[real] != ids[lead]) | (twin[real] != twin[lead]) | (at[real] != at[lead]))
+        again = real[again]
+        yield from _out({"id": ids[again], "twin": twin[again], "at": at[again] >> 20, "e": _end(at[again])})
+        first = real[new]
+        first = first[several[group[first]] & fresh[first]]
+        yield from _out({"id": ids[first], "twin": twin[first], "at": at[first], "e": np.zeros(len(first), np.int64)})
+        here = len(real) and group[real[-1]] == group[-1]
+        k = lead[-1] if here else len(kg) - 1  # a row with e = -2 may stand for a k-gram without anchors yet
+        waits = bool(here and not several[-1])
+        held = kg[k], cx[k], ids[k], twin[k], at[k], (-1 if several[-1] else 0) if here else -2
+
+
+def classes(docs: DataFrame, wide: int = WIDE, merged: int = MERGED) -> DataFrame:
+    """id, twin, at, e of docs (id, twin, text): marks (at..e) and, with e = 0, the anchors that are to be sorted."""
 
-    words = rows.mapInArrow(places, "w long, p long").groupBy("w").agg(F.bitmap_construct_agg("p").alias("b")).toArrow()
-    whole = np.zeros(bits // 8, np.uint8)
-    for w, b in zip(words.column("w").to_pylist(), words.column("b"), strict=True):
-        whole[w * 4096 : (w + 1) * 4096] = np.frombuffer(b.as_py(), np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(whole)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in _anchored(batch):
+                held.append(part)
+                size += len(part[0])
+                if size >= merged:
+                    yield from _dealt(held, wide)
+                    held, size = [], 0
+        if size:
+            yield from _dealt(held, wide)
 
+    found = docs.mapInArrow(run, "deal long, kg long, cx long, id long, twin long, at long, e long")
+    dealt = found.repartition("deal").drop("deal").sortWithinPartitions("kg", "cx", "id", "twin", "at")
+    return dealt.mapInArrow(_sorted_classes, "id long, twin long, at long, e long")
 
-def _places(key: np.ndarray, bits: int) -> list[np.ndarray]:
-    u = key.view(np.uint64)
-    return [(t.mix(u + np.uint64(i * 77 + 1)) % np.uint64(bits)).astype(np.int64) for i in range(2)]
 
+def sides(docs: DataFrame, to_sort: DataFrame) -> DataFrame:
+    """id, twin, at, side, bytes: from the k-gram to the right (side 0) and, reversed, to the left (side 1) of each anchor (id, twin, at)."""
+    places = to_sort.groupBy("id", "twin").agg(F.collect_list("at").alias("ats"))  # of one document
+    joined = docs.join(places, ["id", "twin"]).select("id", "twin", "text", "ats")
 
-def _in(whole: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
-    ok = np.ones(len(key), bool)
-    for p in _places(key, bits):
-        ok &= (whole[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-    return ok
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["id", "twin", "at", "side", "bytes"])
 
+        held = []
+        for batch in batches:
+            for i, w, text, ats in zip(*(batch.column(x) for x in ("id", "twin", "text", "ats")), strict=True):
+                i, w, raw = i.as_py(), w.as_py(), text.as_py().encode()
+                for at in ats.values.to_pylist():
+                    lo = at >> 20
+                    place = lo + (at >> 10 & 1023)
+                    held.append((i, w, at, 0, raw[place : lo + (at & 1023) + WIDTH]))
+                    held.append((i, w, at, 1, raw[lo : place + GRAM][::-1]))
+                    if len(held) >= BATCH:
+                        yield out(held)
+                        held = []
+        if held:
+            yield out(held)
 
-def _cols(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
+    return joined.mapInArrow(run, "id long, twin long, at long, side int, bytes binary")
 
 
-def _looked_at(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """kg, cx, id, at, bytes: the anchors of repeated classes, and with bytes the earliest of those to be sorted.
+def named(rows: DataFrame, level: int) -> DataFrame:
+    """rows (id, twin, at, side, bytes, name) with the rank of (name, next triple) among the distinct ones as their name.
 
-    Both filters let some others through.
+    Equal keys may lie in several range partitions, so no key is too frequent for a task. Each partition tells its first
+    and last key and how many it has; from these rows (two for each partition) follow the partitions' first names.
     """
-    def class_key(kg, cx):
-        return t.mix(kg.view(np.uint64) ^ t.mix(cx.view(np.uint64))).view(np.int64)
-
-    repeated = _small_filter(found.where("n > 1").select("kg", "cx"), lambda batch: class_key(*_cols(batch, "kg", "cx")))
-    to_sort = _small_filter(found.where("contexts > 1").select("kg", "cx", "id", "at"), lambda batch: first_key(*_cols(batch, "kg", "cx", "id", "at")))
+    key = F.concat(F.unhex(F.lpad(F.hex("name"), 16, "0")), F.expr(f"substring(bytes, {level * TRIPLE + 1}, {TRIPLE})"))
+    dealt = rows.withColumn("key", key).repartitionByRange("key", "id", "twin", "at").sortWithinPartitions("key", "id", "twin", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, n, last, part = ["id", "twin", "at", "side", "bytes", "name", "part", "edge"], -1, None, None
         for batch in batches:
-            for ids, b, off, (kg, cx, place, lo, hi, row) in _anchored(batch):
-                if not len(kg):
-                    continue
-                base = off[row]
-                at, own = _pack(lo - base, place - base, hi - base), ids[row]
-                again = _in(repeated.value, class_key(kg, cx), FILTER_BITS)
-                sort = _in(to_sort.value, first_key(kg, cx, own, at), FILTER_BITS)
-                for pick, with_bytes in ((np.flatnonzero(again), False), (np.flatnonzero(sort), True)):
-                    if len(pick):
-                        body = pa.array([b[x:y].tobytes() for x, y in zip(lo[pick], hi[pick] + WIDTH, strict=True)], pa.binary()) if with_bytes else pa.nulls(len(pick), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (kg, cx, own, at)] + [body], names=["kg", "cx", "id", "at", "bytes"])
-
-    return c.settle(docs.mapInArrow(run, "kg long, cx long, id long, at long, bytes binary"), "looked")
-
-
-def suffix_ranks(chars: np.ndarray) -> np.ndarray:
-    """Dense ranks of rows of 8-byte characters (n x 9): triples are sorted and named, then triples of names."""
-    n = len(chars)
-    triples = chars.reshape(n * 3, 3)
-    names = _named([triples[:, 0], triples[:, 1], triples[:, 2]]).reshape(n, 3)
-    return _named([names[:, 0], names[:, 1], names[:, 2]])
-
-
-def _named(keys: list[np.ndarray]) -> np.ndarray:
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), np.int64)
-    if len(order):
-        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(new)
-    return names
-
-
-def _extents(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of side (n x 72 bytes) in suffix order, and each one's common prefix with the one before."""
-    chars = side.view(">u8").astype(np.uint64)
-    order = np.argsort(suffix_ranks(chars), kind="stable")
-    s = side[order]
-    common = np.zeros(len(s), np.int64)
-    if len(s) > 1:
-        differ = s[1:] != s[:-1]
-        common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), side.shape[1])
-    return order, common
-
-
-def repeated_windows(group: np.ndarray, ids: np.ndarray, at: np.ndarray, body: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start) of the windows of anchors that have an earlier equal one in the same group.
-
-    Each anchor's right side (k-gram and what follows) and its reversed left side are padded to fixed length;
-    windows of one group at one distance to the anchor are equal if both sides' prefixes are.
+            keys = batch.column("key").to_pylist()
+            if not keys:
+                continue
+            new = np.fromiter((x != y for x, y in zip(keys, [last, *keys], strict=False)), bool, len(keys))
+            index = n + np.cumsum(new)
+            if last is None:
+                part = batch.column("part")[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())] + [pa.array([keys[0]], pa.binary()), pa.array([0], pa.int64()), pa.array([part], pa.int32()), pa.array([True])], names=names)
+            n, last = int(index[-1]), keys[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:5]), pa.array(index), batch.column("part"), pa.array(np.zeros(len(keys), bool))], names=names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())] + [pa.array([last], pa.binary()), pa.array([n], pa.int64()), pa.array([part], pa.int32()), pa.array([True])], names=names)
+
+    found = c.settle(dealt.withColumn("part", F.spark_partition_id()).mapInArrow(run, "id long, twin long, at long, side int, bytes binary, name long, part int, edge boolean"), "named")
+    edges: dict[int, list] = {}
+    for r in found.where("edge").select("part", "name", "bytes").collect():
+        edges.setdefault(r["part"], []).append((r["name"], bytes(r["bytes"])))
+    base, before, starts = 0, None, []
+    for part, own in sorted(edges.items()):
+        (_, first), (n, last) = min(own, key=lambda x: x[0]), max(own, key=lambda x: x[0])
+        base -= first == before
+        starts.append((part, base))
+        base, before = base + n + 1, last
+    offsets = found.sparkSession.createDataFrame(starts, "part int, base long")
+    out = found.where("not edge").join(F.broadcast(offsets), "part")
+    out = out.select("id", "twin", "at", "side", "bytes", (F.col("name") + F.col("base")).alias("name"))
+    out.settled_at = found.settled_at
+    return out
+
+
+def _common_prefix(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The length of the common prefix of each two strings of at most WIDTH bytes."""
+    x, y = (np.frombuffer(b"".join(s.ljust(WIDTH, b"\0") for s in q), np.uint8).reshape(-1, WIDTH) for q in (a, b))
+    differ = x != y
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)
+    return np.minimum(same, np.fromiter((min(len(p), len(q)) for p, q in zip(a, b, strict=True)), np.int64, len(a)))
+
+
+def adjacent(rows: DataFrame) -> DataFrame:
+    """id, twin, at, side, least, names: for each prefix of least, least + 1, ... bytes by which one of the anchor's windows may
+    agree with a neighbour, the group of suffixes that share it. Groups are named by where they start.
+
+    A partition doesn't know groups that start before it (-1); it tells its first and last suffix and the groups of its
+    last one, and from these rows (one for each partition) follow the groups that go on.
     """
-    n = len(group)
-    reach = WIDTH - GRAM
-    lo, back, run = at >> 20, (at >> 10) & 1023, at & 1023
-    right, left = np.zeros((n, 72), np.uint8), np.zeros((n, 72), np.uint8)
-    for i, x in enumerate(body):
-        raw, p = np.frombuffer(x, np.uint8), int(back[i])
-        after = raw[p + GRAM : p + GRAM + reach]
-        right[i, : len(after)] = after
-        before = raw[:p][::-1]
-        left[i, : len(before)] = before
-    r_order, r_common = _extents(right)
-    l_order, l_common = _extents(left)
-    rows, starts = [], []
-    names = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(reach + 1):  # windows that start d bytes before the anchor
-        have = np.flatnonzero((d <= back) & (d >= back - run))
-        if len(have) < 2:
-            continue
-        names[0][l_order] = np.cumsum(l_common < d) if d else 0
-        names[1][r_order] = np.cumsum(r_common < reach - d) if d < reach else 0
-        g, x, y = group[have], names[0][have], names[1][have]
-        start = lo[have] + back[have] - d
-        order = np.lexsort((start, ids[have], y, x, g))
-        same = np.zeros(len(order), bool)
-        o1, o0 = order[1:], order[:-1]
-        same[1:] = (g[o1] == g[o0]) & (x[o1] == x[o0]) & (y[o1] == y[o0])
-        again = order[same]
-        # a window that starts at the same place of the same id isn't earlier
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        lead = order[first[same]]
-        real = (ids[have][again] != ids[have][lead]) | (start[again] != start[lead])
-        rows.append(have[again[real]])
-        starts.append(start[again[real]])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(starts)) if rows else (none, none)
-
-
-def _runs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """id, first and last start of each run of consecutive starts."""
-    order = np.lexsort((starts, ids))
-    ids, starts = ids[order], starts[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + 1)
-    first = np.flatnonzero(new)
-    return ids[first], starts[first], starts[np.append(first[1:], len(ids)) - 1] if len(ids) else starts
-
-
-def _sorted_marks(to_sort: DataFrame) -> DataFrame:
-    """id, s, e of the repeats among the earliest anchors of different contexts, k-gram by k-gram."""
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        group, ids, at = (np.concatenate([x[i] for x in held]) for i in range(3))
-        row, start = repeated_windows(group, ids, at, [y for x in held for y in x[3]])
-        who, first, last = _runs(ids[row], start)
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(first), pa.array(last + WIDTH)], names=["id", "s", "e"])
+    level = WIDTH // TRIPLE
+    key = [F.col("name"), F.expr(f"substring(bytes, {level * TRIPLE + 1}, {TRIPLE})"), F.col("id"), F.col("twin"), F.col("at")]
+    dealt = rows.repartitionByRange(*key).sortWithinPartitions(*key).drop("name").withColumn("part", F.spark_partition_id())
+    lengths = np.arange(GRAM, WIDTH + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by kg; whole groups are sorted together, about TOGETHER rows at once."""
-        held, size = [], 0
-        for batch in batches:
-            kg, ids, at = _cols(batch, "kg", "id", "at")
-            held.append((kg, ids, at, batch.column("bytes").to_pylist()))
-            size += len(kg)
-            if size > TOGETHER:
-                last = kg[-1]
-                whole, rest = [], []
-                for g, i, a, x in held:
-                    cut = int(np.searchsorted(g, last))
-                    whole.append((g[:cut], i[:cut], a[:cut], x[:cut])), rest.append((g[cut:], i[cut:], a[cut:], x[cut:]))
-                if any(len(x[0]) for x in whole):
-                    yield flush(whole)
-                held = [x for x in rest if len(x[0])]
-                size = sum(len(x[0]) for x in held)
-        if held:
-            yield flush(held)
-
-    dealt = to_sort.select("kg", "id", "at", "bytes").repartition("kg").sortWithinPartitions("kg")
-    return dealt.mapInArrow(run, "id long, s long, e long")
+        schema = ["id", "twin", "at", "side", "least", "names", "part", "first", "last"]
+        start = np.full(len(lengths), -1, np.int64)  # of the last row's group, by length
+        held = None  # the last row, as long as its successor isn't known
+        before, number, opened, part = None, 0, None, 0
+
+        def flush(rows, after):
+            """Rows whose neighbours are known; after: the row behind them, or None at the end."""
+            nonlocal start, before, number
+            ids, twin, at, side, body = rows
+            strings = [bytes([k]) + x for k, x in zip(side, body, strict=True)]  # sides don't share a prefix
+            around = [strings[0] if before is None else before, *strings, *([after] if after is not None else [])]
+            common = np.maximum(_common_prefix([x[1:] for x in around[1:]], [x[1:] for x in around[:-1]]), 0)
+            common[[x[0] != y[0] for x, y in zip(around[1:], around[:-1], strict=True)]] = 0
+            if before is None:
+                common[0] = WIDTH  # may go on from the partition before
+            if after is None:
+                common = np.append(common, WIDTH)
+            n = len(ids)
+            here = np.arange(number, number + n)
+            back, run_ = (at >> 10) & 1023, at & 1023
+            right = side == 0
+            least = np.where(right, WIDTH - back, GRAM + back - run_)
+            most = np.minimum(np.where(right, WIDTH - back + run_, GRAM + back), np.maximum(common[:n], common[1 : n + 1]))
+            groups = np.empty((n, len(lengths)), np.int64)
+            for k, length in enumerate(lengths):
+                own = np.where(common[:n] < length, (part << 40) | here, -2)
+                own[0] = own[0] if own[0] != -2 else start[k]
+                groups[:, k] = own[_last(np.concatenate([[True], own[1:] != -2]))] if n else own
+            start, before, number = groups[-1].copy(), strings[-1], number + n
+            some = np.flatnonzero(most >= least)
+            sizes = (most - least + 1)[some]
+            begin = np.cumsum(sizes) - sizes
+            inside = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+            flat = groups[np.repeat(some, sizes), np.repeat(least[some] - GRAM, sizes) + inside]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, sizes.sum()).astype(np.int32)), pa.array(flat))
+            none = pa.nulls(len(some), pa.binary())
+            return pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in (ids, twin, at)), pa.array(side[some].astype(np.int32)), pa.array(least[some].astype(np.int32)), lists, pa.array(np.full(len(some), part, np.int32)), none, none], names=schema)
 
-
-def _hashed_marks(to_sort: DataFrame) -> DataFrame:
-    """The same for k-grams with very many contexts: windows are grouped by two hashes of their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = _cols(batch, "id", "at")
-            for i, a, x in zip(ids, at, batch.column("bytes").to_pylist(), strict=True):
-                raw = np.frombuffer(x, np.uint8)
-                s = np.arange(int(a & 1023) + 1)
-                h = [t.Hashes(raw, k).of(s, s + WIDTH).view(np.int64) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(s), i)), pa.array(s + (a >> 20))], names=["h0", "h1", "id", "s"])
-
-    windows = to_sort.select("id", "at", "bytes").mapInArrow(run, "h0 long, h1 long, id long, s long")
-    first = windows.groupBy("h0", "h1").agg(F.min(F.struct("id", "s")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h0", "h1", F.col("f.id").alias("fi"), F.col("f.s").alias("fs"))
-    first = c.settle(first, "first")
-    return windows.join(first, ["h0", "h1"]).where("id <> fi or s <> fs").select("id", "s", (F.col("s") + WIDTH).alias("e"))
-
-
-def marks(docs: DataFrame) -> DataFrame:
-    """id, spans: the byte ranges to remove, sorted, apart; one row for each id that has any."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), "text")
-    found = c.settle(classes(own), "classes")
-    looked = _looked_at(own, found)
-    first = found.where("n > 1").select("kg", "cx", F.col("id").alias("fi"), F.col("at").alias("fa"))
-    again = looked.where("bytes is null").join(first, ["kg", "cx"]).where("id <> fi or at <> fa")
-    whole = again.select("id", F.shiftright("at", 20).alias("s"), (F.shiftright("at", 20) + F.expr("at & 1023") + WIDTH).alias("e"))
-    several = found.where("contexts > 1").select("kg", "cx", "id", "at", "contexts")
-    to_sort = c.settle(looked.where("bytes is not null").distinct().join(several, ["kg", "cx", "id", "at"]), "sort")
-    parts = [whole, _sorted_marks(to_sort.where(F.col("contexts") <= MOST)), _hashed_marks(to_sort.where(F.col("contexts") > MOST))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    pairs = F.array_sort(F.collect_set(F.struct("s", "e")))
-    merged = every.groupBy("id").agg(pairs.alias("p"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for p in batch.column("p").to_pylist():
-                spans: list[list[int]] = []
-                for x in p:
-                    if spans and spans[-1][1] >= x["s"]:
-                        spans[-1][1] = max(spans[-1][1], x["e"])
-                    else:
-                        spans.append([x["s"], x["e"]])
-                out.append([y for x in spans for y in x])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "spans"])
-
-    return c.settle(merged.mapInArrow(merge, "id long, spans array<long>"), "marks")
+            if not batch.num_rows:
+                continue
+            rows = [*_cols(batch, "id", "twin", "at", "side"), batch.column("bytes").to_pylist()]
+            if held is None:
+                part = batch.column("part")[0].as_py()
+                opened = bytes([rows[3][0]]) + rows[4][0]
+            else:
+                rows = [np.concatenate([h, x]) if isinstance(x, np.ndarray) else h + x for h, x in zip(held, rows, strict=True)]
+            held = [x[-1:] for x in rows]
+            if len(rows[0]) > 1:
+                yield flush([x[:-1] for x in rows], bytes([held[3][0]]) + held[4][0])
+        if held is not None:
+            yield flush(held, None)
+            none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([start.tolist()], pa.list_(pa.int64())), pa.array([part], pa.int32()), pa.array([opened], pa.binary()), pa.array([before], pa.binary())], names=schema)
+
+    found = c.settle(dealt.mapInArrow(run, "id long, twin long, at long, side int, least int, names array<long>, part int, first binary, last binary"), "adjacent")
+    carried, last, groups = [], None, [-1] * len(lengths)
+    for r in found.where("last is not null").orderBy("part").select("part", "names", "first", "last").collect():
+        first = bytes(r["first"])
+        common = 0 if last is None or first[0] != last[0] else int(_common_prefix([first[1:]], [last[1:]])[0])
+        before = [g if common >= k else r["part"] << 40 for k, g in zip(lengths.tolist(), groups, strict=True)]
+        carried.append((r["part"], before))
+        groups = [b if g == -1 else g for g, b in zip(r["names"], before, strict=True)]
+        last = bytes(r["last"])
+    carry = found.sparkSession.createDataFrame(carried, "part int, before array<long>")
+    whole = F.transform("names", lambda x, i: F.when(x == -1, F.element_at("before", F.col("least") - GRAM + i + 1)).otherwise(x))
+    out = found.where("last is null").join(F.broadcast(carry), "part").select("id", "twin", "at", "side", "least", whole.alias("names"))
+    out.settled_at = found.settled_at
+    return out
+
+
+def repeated_windows(near: DataFrame) -> DataFrame:
+    """id, twin, at, e of the windows that have an earlier equal one, from the two sides of each anchor (`adjacent`)."""
+    side = lambda k, n: near.where(F.col("side") == k).select("id", "twin", "at", F.col("least").alias(f"l{n}"), F.col("names").alias(f"n{n}"))
+    both = side(0, "r").join(side(1, "l"), ["id", "twin", "at"])
+    lo = F.greatest(WIDTH + 1 - F.col("lr") - F.size("nr"), F.col("ll") - GRAM)
+    hi = F.least(WIDTH - F.col("lr"), F.col("ll") + F.size("nl") - 1 - GRAM)
+    both = both.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("d", F.explode(F.sequence("lo", "hi")))
+    start = F.shiftright("at", 20) + F.expr("(shiftright(at, 10) & 1023)") - F.col("d")
+    windows = c.settle(both.select("id", "twin", start.alias("s"), "d", F.element_at("nr", WIDTH - F.col("d") - F.col("lr") + 1).alias("r"), F.element_at("nl", F.col("d") + GRAM - F.col("ll") + 1).alias("l")), "windows")
+    first = windows.groupBy("d", "r", "l").agg(F.min(F.struct("id", "twin", "s")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    again = windows.join(first, ["d", "r", "l"]).where(F.struct("id", "twin", "s") != F.col("f"))
+    again = c.settle(again.select("id", "twin", F.col("s").alias("at"), (F.col("s") + WIDTH).alias("e")), "again")
+    c.forget(windows)
+    return again
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (id, twin, at) become one row for each document, with the flat starts and ends of what goes."""
+
+    def out(rows):
+        ids, twin, s, e = rows
+        first = np.flatnonzero(_changes(ids, twin))
+        flat = np.stack([s, e], axis=1).reshape(-1)
+        return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(twin[first]), pa.ListArray.from_arrays(pa.array(np.append(first * 2, len(flat)).astype(np.int32)), pa.array(flat))], names=["id", "twin", "spans"])
+
+    held = None
+    for batch in batches:
+        rows = _cols(batch, "id", "twin", "at", "e")
+        rows = _runs(*(np.concatenate(x) for x in zip(held, rows, strict=True))) if held is not None else _runs(*rows)
+        if not len(rows[0]):
+            continue
+        cut = int(np.flatnonzero(_changes(*rows[:2]))[-1])  # the last document may go on
+        if cut:
+            yield out([x[:cut] for x in rows])
+        held = [x[cut:] for x in rows]
+    if held is not None:
+        yield out(held)
+
+
+def with_keys(docs: DataFrame, key: str = "id", twin: str = "twin") -> tuple[DataFrame, bool]:
+    """docs (doc_id, text, ...) with what tells documents apart, and whether some share an id: key, and twin, which is 0 unless they do."""
+    told = c.free(docs, "_several")
+    docs = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), twin: F.lit(0).cast("long")})
+    several = c.settle(docs.groupBy(key).agg(F.count(F.lit(1)).alias(told)).where(F.col(told) > 1), "several")
+    if several.isEmpty():
+        c.forget(several)
+        return docs, False
+    joined = c.join_by_size(docs, several, key, "left")
+    return joined.withColumn(twin, F.when(F.col(told).isNotNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)).drop(told), True
+
+
+def marks(docs: DataFrame, wide: int = WIDE, merged: int = MERGED) -> DataFrame:
+    """id, twin, spans (settled): the byte ranges to remove from docs (doc_id, text), sorted, apart; a row for each document that has any."""
+    own, several = with_keys(docs.select("doc_id", "text"))
+    own = own.select("id", "twin", F.coalesce("text", F.lit("")).alias("text"))
+    found = c.settle(classes(own, wide, merged), "classes")
+    apart = own.dropDuplicates(["id", "twin"]) if several else own
+    rows = c.settle(sides(apart, found.where("e = 0")).withColumn("name", F.col("side").cast("long")), "sides")
+    for level in range(WIDTH // TRIPLE):
+        after = named(rows, level)
+        c.forget(rows)
+        rows = after
+    near = adjacent(rows)
+    c.forget(rows)
+    again = repeated_windows(near)
+    c.forget(near)
+    dealt = found.where("e > 0").unionByName(again).repartition("id", "twin").sortWithinPartitions("id", "twin", "at")
+    out = c.settle(dealt.mapInArrow(_merged, "id long, twin long, spans array<long>"), "marks")
+    c.forget(found, again)
+    return out
 
 
 def _with_spans(docs: DataFrame, spans: str) -> DataFrame:
     """docs with the flat starts and ends of what goes, in a column named `spans`."""
-    key = c.free(docs, "_id")
-    found = marks(docs).withColumnsRenamed({"id": key, "spans": spans})
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
-    return c.join_by_size(keyed, found, key, "left", found.count()).drop(key)
+    found = marks(docs)
+    key, twin = c.free(docs, "_id"), c.free(docs, "_twin")
+    keyed, _ = with_keys(docs, key, twin)
+    named_ = found.withColumnsRenamed({"id": key, "twin": twin, "spans": spans})
+    return c.join_by_size(keyed, named_, [key, twin], "left", found).drop(key, twin)
 
 
 def cut(raw: bytes, spans: list[int] | None) -> tuple[bytes, int]:

@@ -45,7 +45,7 @@ def with_targets(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha"))
     same = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n"))
     same = c.settle(same.where("n > 1 and target is not null").select("sha", "target"), "same")
-    joined = c.join_by_size(rows, same, "sha", "left", same.count(), 200_000)
+    joined = c.join_by_size(rows, same, "sha", "left")
     revisit = F.col("target").isNotNull() & ~F.col("target").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("target")).alias("refers_to"))
 

@@ -49,21 +49,47 @@ def spans_by_force(rows):
     return out
 
 
-def check_spans(spark, monkeypatch=None):
-    rows = texts()
-    got = {r["id"]: r["spans"] for r in sd.marks(frame(spark, rows)).collect()}
-    for i, gone in spans_by_force([(i, (t or "").encode()) for i, t in enumerate(rows)]).items():
-        edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0]))
-        assert list(edges) == list(got.get(i, [])), i
+def check_spans(spark, rows, **how):
+    """rows: (id, text)"""
+    df = spark.createDataFrame([(i, t, "en", None, None, 7) for i, t in rows], DOCS).repartition(3)
+    got = {(r["id"], r["twin"]): r["spans"] for r in sd.marks(df, **how).collect()}
+    gone = spans_by_force([(i, (t or "").encode()) for i, t in rows])
+    assert {i for i, _ in got} <= set(gone)
+    for i, own in gone.items():
+        edges = np.flatnonzero(np.diff(np.r_[0, own.astype(int), 0]))
+        assert list(edges) == list(got.get((i, 0), [])), i
 
 
 def test_suffix_dedup_by_brute_force(spark):
-    check_spans(spark)
+    check_spans(spark, list(enumerate(texts())))
+
+
+def test_suffix_dedup_when_every_k_gram_is_dealt_wide(spark):
+    check_spans(spark, list(enumerate(texts())), wide=1, merged=50)
+
+
+def test_suffix_dedup_with_hot_k_grams_and_passages(spark):
+    """One phrase of 40 bytes in every document, passages that only some documents share at its sides."""
+    rng = random.Random(11)
+    phrase, left, right = words(rng, 9)[:40], [words(rng, 30) for _ in range(4)], [words(rng, 30) for _ in range(4)]
+    rows = [(i, f"{words(rng, 5)} {rng.choice(left)[-rng.randint(0, 90):]} {phrase} {rng.choice(right)[:rng.randint(0, 90)]} {words(rng, 12)}") for i in range(300)]
+    check_spans(spark, rows, wide=8, merged=400)
+
+
+def test_suffix_dedup_in_stretches_of_a_long_text(spark):
+    rng = random.Random(12)
+    long = words(rng, 70_000)
+    assert len(long) > 262_144 + 1000
+    check_spans(spark, [(0, long), (1, long[262_000:262_700]), (2, "ab" * 140_000)])
 
 
-def test_suffix_dedup_beyond_the_sorting_bound(spark, monkeypatch):
-    monkeypatch.setattr(sd, "MOST", 1)
-    check_spans(spark)
+def test_suffix_dedup_with_equal_ids(spark):
+    rng = random.Random(13)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a), (1, b), (1, b), (None, a[:150]), (None, None), (0, b[50:200])]
+    out = sd.keep_rest(spark, spark.createDataFrame([(i, t, "en", None, None, 7) for i, t in rows], DOCS))
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, a[150:]), (1, b[:50] + b[200:]), (1, b[:50] + b[200:]), (None, a[:150]), (None, None), (0, b[50:200])], key=str)
 
 
 def test_suffix_dedup_keeps_columns_and_takes_empty_tables(spark):
