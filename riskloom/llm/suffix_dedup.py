@@ -43,6 +43,8 @@ TRIPLE = 36
 MERGED = 1 << 18
 #: Contexts of one k-gram in that many anchors beyond which they are dealt out one by one.
 WIDE = 16
+#: Groups of suffixes are named by partition and row: bits of the row's number.
+PART_BITS = 36
 #: Rows of an Arrow batch that a task passes on.
 BATCH = 1 << 15
 _NULL = -(2**63)
@@ -129,8 +131,9 @@ def _anchored(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
                 yield kg, cx, ids[r0:r1][row], twins[r0:r1][row], _pack(lo - base, place - base, hi - base)
 
 
-def _dealt(parts: list[tuple[np.ndarray, ...]], most: int) -> Iterator[pa.RecordBatch]:
+def _dealt(parts: list[tuple[np.ndarray, ...]], most: int | None) -> Iterator[pa.RecordBatch]:
     """Of some anchors: marks of the repeats among them, and the earliest of each class with the key by which it is dealt.
+    Without `most` each class is dealt by itself.
 
     e is an end for a mark, 0 for an anchor, -1 for one of a k-gram that is dealt out wide, and -2 for the row that tells
     those anchors of such a k-gram that other tasks deal narrowly.
@@ -147,10 +150,11 @@ def _dealt(parts: list[tuple[np.ndarray, ...]], most: int) -> Iterator[pa.Record
     kg, cx, ids, twin, at = (x[new] for x in (kg, cx, ids, twin, at))
     first = np.flatnonzero(_changes(kg))
     contexts = np.diff(np.append(first, len(kg)))
-    wide = np.repeat(contexts > most, contexts)
+    apart = contexts > most if most is not None else np.ones(len(first), bool)
+    wide = np.repeat(apart, contexts)
     deal = np.where(wide, t.mix(kg.view(np.uint64) ^ t.mix(cx.view(np.uint64))).view(np.int64), kg)
     yield from _out({"deal": deal, "kg": kg, "cx": cx, "id": ids, "twin": twin, "at": at, "e": np.where(wide, -1, 0)})
-    told = first[contexts > most]
+    told = first[apart] if most is not None else first[:0]
     yield from _out({"deal": kg[told], "kg": kg[told], "cx": cx[told], "id": ids[told], "twin": twin[told], "at": at[told], "e": np.full(len(told), -2)})
 
 
@@ -204,13 +208,14 @@ def _sorted_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         held = kg[k], cx[k], ids[k], twin[k], at[k], (-1 if several[-1] else 0) if here else -2
 
 
-def classes(docs: DataFrame, wide: int = WIDE, merged: int = MERGED) -> DataFrame:
-    """id, twin, at, e of docs (id, twin, text): marks (at..e) and, with e = 0, the anchors that are to be sorted."""
+def classes(rows: DataFrame, make, wide: int | None, merged: int = MERGED) -> DataFrame:
+    """id, twin, at, e: marks (at..e) of all but the earliest of the classes that make(batch) tells (kg, cx, id, twin, at),
+    and with e = 0 the earliest ones of each kg that has several classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in _anchored(batch):
+            for part in make(batch):
                 held.append(part)
                 size += len(part[0])
                 if size >= merged:
@@ -219,7 +224,7 @@ def classes(docs: DataFrame, wide: int = WIDE, merged: int = MERGED) -> DataFram
         if size:
             yield from _dealt(held, wide)
 
-    found = docs.mapInArrow(run, "deal long, kg long, cx long, id long, twin long, at long, e long")
+    found = rows.mapInArrow(run, "deal long, kg long, cx long, id long, twin long, at long, e long")
     dealt = found.repartition("deal").drop("deal").sortWithinPartitions("kg", "cx", "id", "twin", "at")
     return dealt.mapInArrow(_sorted_classes, "id long, twin long, at long, e long")
 
@@ -339,7 +344,7 @@ def adjacent(rows: DataFrame) -> DataFrame:
             most = np.minimum(np.where(right, WIDTH - back + run_, GRAM + back), np.maximum(common[:n], common[1 : n + 1]))
             groups = np.empty((n, len(lengths)), np.int64)
             for k, length in enumerate(lengths):
-                own = np.where(common[:n] < length, (part << 40) | here, -2)
+                own = np.where(common[:n] < length, (part << PART_BITS) | here, -2)
                 own[0] = own[0] if own[0] != -2 else start[k]
                 groups[:, k] = own[_last(np.concatenate([[True], own[1:] != -2]))] if n else own
             start, before, number = groups[-1].copy(), strings[-1], number + n
@@ -374,7 +379,7 @@ def adjacent(rows: DataFrame) -> DataFrame:
     for r in found.where("last is not null").orderBy("part").select("part", "names", "first", "last").collect():
         first = bytes(r["first"])
         common = 0 if last is None or first[0] != last[0] else int(_common_prefix([first[1:]], [last[1:]])[0])
-        before = [g if common >= k else r["part"] << 40 for k, g in zip(lengths.tolist(), groups, strict=True)]
+        before = [g if common >= k else r["part"] << PART_BITS for k, g in zip(lengths.tolist(), groups, strict=True)]
         carried.append((r["part"], before))
         groups = [b if g == -1 else g for g, b in zip(r["names"], before, strict=True)]
         last = bytes(r["last"])
@@ -393,12 +398,9 @@ def repeated_windows(near: DataFrame) -> DataFrame:
     hi = F.least(WIDTH - F.col("lr"), F.col("ll") + F.size("nl") - 1 - GRAM)
     both = both.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("d", F.explode(F.sequence("lo", "hi")))
     start = F.shiftright("at", 20) + F.expr("(shiftright(at, 10) & 1023)") - F.col("d")
-    windows = c.settle(both.select("id", "twin", start.alias("s"), "d", F.element_at("nr", WIDTH - F.col("d") - F.col("lr") + 1).alias("r"), F.element_at("nl", F.col("d") + GRAM - F.col("ll") + 1).alias("l")), "windows")
-    first = windows.groupBy("d", "r", "l").agg(F.min(F.struct("id", "twin", "s")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    again = windows.join(first, ["d", "r", "l"]).where(F.struct("id", "twin", "s") != F.col("f"))
-    again = c.settle(again.select("id", "twin", F.col("s").alias("at"), (F.col("s") + WIDTH).alias("e")), "again")
-    c.forget(windows)
-    return again
+    left = F.shiftleft(F.element_at("nl", F.col("d") + GRAM - F.col("ll") + 1), 7) + F.col("d")
+    windows = both.select("id", "twin", F.shiftleft(start, 20).alias("at"), F.element_at("nr", WIDTH - F.col("d") - F.col("lr") + 1).alias("kg"), left.alias("cx"))
+    return c.settle(classes(windows, lambda batch: [tuple(_cols(batch, "kg", "cx", "id", "twin", "at"))], None).where("e > 0"), "again")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +442,7 @@ def marks(docs: DataFrame, wide: int = WIDE, merged: int = MERGED) -> DataFrame:
     """id, twin, spans (settled): the byte ranges to remove from docs (doc_id, text), sorted, apart; a row for each document that has any."""
     own, several = with_keys(docs.select("doc_id", "text"))
     own = own.select("id", "twin", F.coalesce("text", F.lit("")).alias("text"))
-    found = c.settle(classes(own, wide, merged), "classes")
+    found = c.settle(classes(own, _anchored, wide, merged), "classes")
     apart = own.dropDuplicates(["id", "twin"]) if several else own
     rows = c.settle(sides(apart, found.where("e = 0")).withColumn("name", F.col("side").cast("long")), "sides")
     for level in range(WIDTH // TRIPLE):
