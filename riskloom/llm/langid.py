@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from . import _common as c
 
@@ -44,17 +44,17 @@ def train(docs: DataFrame, samples: int = SAMPLES, dict_bytes: int = DICT_BYTES)
     At most `samples` rows of each language are used, those with the smallest hash of their id; what is
     gathered on the driver is bounded by languages x dict_bytes.
     """
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    piece = max(64, dict_bytes // samples)
+    piece = _piece(max(64, dict_bytes // samples))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t")
+    picked = usable.select("lang", "doc_id", piece.alias("t")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= samples)
+    pieces: dict[str, dict[int, str]] = {}
+    for r in picked.orderBy("lang", "doc_id", F.desc("k")).collect():  # samples x languages at most
+        pieces.setdefault(r["lang"], {})[r["doc_id"]] = r["t"]
     found = []
     for row in counts:
-        one = usable.where(F.col("lang") == row["lang"])
-        mark = F.xxhash64("doc_id")
-        picked = one.select("doc_id", mark.alias("mark")).orderBy("mark", "doc_id").limit(samples)
-        ids = [r["doc_id"] for r in picked.collect() if r["doc_id"] is not None]
-        texts = one.where(F.col("doc_id").isin(ids)).select("doc_id", _piece(piece).alias("t")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-        body = b"\n".join(r["t"].lower().encode() for r in texts)[:dict_bytes]
+        body = b"\n".join(x.lower().encode() for x in pieces[row["lang"]].values())[:dict_bytes]
         if len(body) >= 8:
             found.append((row["lang"], body))
     return found
@@ -109,6 +109,7 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = BLOCK,
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """The rows of docs whose language is told apart clearly, with docs' own columns."""
+    c.small_batches(spark)
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

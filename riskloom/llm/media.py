@@ -90,29 +90,35 @@ def features_of(payload: bytes) -> str:
     return f"mean={mean:.3f};std={spread:.3f};entropy={abs(entropy):.3f};zero={int(counts[0]) / n:.4f};step={step:.3f}"
 
 
-def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """ZIP archives of docs (doc_id, text) in folder; the number of members."""
+def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """ZIP archives of docs (doc_id, text) in folder; their manifest (path, size, members), settled.
+
+    Every attempt of a task has files of its own; the manifest has those of the attempts that Spark took.
+    """
     _files.make_folder(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.filterwarnings("ignore", "Duplicate name")
-        part, token, number, members = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, 0
+        part, token, number = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         waiting = (row for batch in batches for row in zip(batch.column("doc_id"), batch.column("text"), strict=True))
         row = next(waiting, None)
         while row is not None:
-            with _files.writing(folder, f"part-{part:06d}-{number:04d}.zip", token) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-                size = 0
-                while row is not None and size < archive_bytes:
-                    doc_id, raw = row[0].as_py(), (row[1].as_py() or "").encode()
-                    image = encode_image(padded(raw), len(raw))
-                    archive.writestr(zipfile.ZipInfo(f"{'null' if doc_id is None else doc_id}.png"), image)
-                    size += len(image)
-                    members += 1
-                    row = next(waiting, None)
+            name, members = f"part-{part:06d}-{number:04d}-{token}.zip", 0
+            with _files.writing(folder, name, token) as out:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    size = 0
+                    while row is not None and size < archive_bytes:
+                        doc_id, raw = row[0].as_py(), (row[1].as_py() or "").encode()
+                        image = encode_image(padded(raw), len(raw))
+                        archive.writestr(zipfile.ZipInfo(f"{'null' if doc_id is None else doc_id}.png"), image)
+                        size += len(image)
+                        members += 1
+                        row = next(waiting, None)
+                whole = out.tell()
             number += 1
-        yield pa.RecordBatch.from_arrays([pa.array([members], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{_files.at(folder)[1]}/{name}"]), pa.array([whole], pa.int64()), pa.array([members], pa.int64())], names=["path", "size", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+    return c.settle(docs.select("doc_id", "text").mapInArrow(run, "path string, size long, members long"), "manifest")
 
 
 class _Range(InputPartition):
@@ -122,7 +128,10 @@ class _Range(InputPartition):
 
 
 class MediaArchives(DataSource):
-    """spark.read.format("media_archives").option("path", folder): archive, offset, name, media of each member."""
+    """spark.read.format("media_archives").option("path", folder): archive, offset, name, media of each member.
+
+    Option manifest: a folder of Parquet files (path, size) that name the archives to read; without it all of `path`.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -137,13 +146,15 @@ class MediaArchives(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        self.folder, self.manifest = options["path"], options.get("manifest")
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batch_bytes", BATCH_BYTES))
         self.tries = int(options.get("tries", TRIES))
 
     def partitions(self) -> list[_Range]:
-        return [_Range(path, lo, lo + self.range_bytes) for path, size in _files.listing(self.folder, ".zip") for lo in range(0, size, self.range_bytes)] or [_Range("", 0, 0)]
+        """Byte ranges of the archives; the plan of a scan, as of any file source, is made on the driver."""
+        files = _files.rows(self.manifest, ["path", "size"]) if self.manifest else _files.listing(self.folder, ".zip")
+        return [_Range(path, lo, lo + self.range_bytes) for path, size in files for lo in range(0, size, self.range_bytes)] or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -153,7 +164,7 @@ class _Reader(DataSourceReader):
             mine = sorted((x for x in archive.infolist() if partition.lo <= x.header_offset < partition.hi), key=lambda x: x.header_offset)
             held, size = [], 0
             for member in mine:
-                media = self._member(archive, member)
+                media = self._member(partition.path, archive, member)
                 held.append((partition.path, member.header_offset, member.filename, media))
                 size += len(media)
                 if size >= self.batch_bytes:
@@ -162,12 +173,15 @@ class _Reader(DataSourceReader):
             if held:
                 yield self._batch(held)
 
-    def _member(self, archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> bytes:
-        """One member by its offset; only it is tried again when reading it fails."""
+    def _member(self, path: str, archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> bytes:
+        """One member by its offset; when reading it fails, it alone is tried again, with the archive opened anew."""
         for left in range(self.tries - 1, -1, -1):
             try:
-                return archive.open(member).read()
-            except (OSError, zipfile.BadZipFile):
+                if left == self.tries - 1:
+                    return archive.open(member).read()
+                with _files.at(self.folder)[0].open_input_file(path) as file, zipfile.ZipFile(file) as again:
+                    return again.open(next(x for x in again.infolist() if x.header_offset == member.header_offset)).read()
+            except (OSError, zipfile.BadZipFile, zlib.error):
                 if not left:
                     raise
                 time.sleep(0.1)
@@ -207,5 +221,5 @@ def digests(media: DataFrame) -> DataFrame:
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = c.fresh_path(spark, "media")
-    write_archives(c.table(spark, sf_dir, "documents"), folder)
-    return digests(read_archives(spark, folder))
+    manifest = write_archives(c.table(spark, sf_dir, "documents"), folder)
+    return digests(read_archives(spark, folder, manifest=manifest.settled_at))

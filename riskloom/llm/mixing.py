@@ -77,6 +77,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     buckets = buckets or max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
     key = F.struct(F.md5(F.concat_ws("|", F.lit("mix"), F.col("doc_id").cast("string"))), F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit(""))))
     rows = docs.select(F.struct(*names).alias("_row"), F.col("source").alias("_source"), words().alias("_size"), key.alias("_key"))
+    rows = c.settle(rows, "sizes")
     prefix = F.conv(F.substring("_key.col1", 1, 8), 16, 10).cast("long")  # buckets follow the keys' order
     rows = rows.withColumn("_bucket", F.shiftright(prefix * buckets, 32).cast("int"))
     sums = c.settle(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum")), "sums")  # sources x buckets rows
@@ -125,13 +126,15 @@ def training_order(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
+    c.small_batches(spark)
     return training_order(docs)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(c.table(spark, sf_dir, "documents"), keep=["doc_id"])
     m = F.col("_mix")
-    return mixed.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"), m["copies"].cast("int").alias("copies"), F.element_at(m["positions"], F.when(m["copies"] > 0, 1)).alias("first_position"))
+    out = mixed.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), m["taken"].alias("taken"), m["copies"].cast("int").alias("copies"), F.element_at(m["positions"], F.when(m["copies"] > 0, 1)).alias("first_position"))
+    return out.sort(F.asc_nulls_last("first_position"), "doc_id")
 
 
 OP9_SQL = r"""

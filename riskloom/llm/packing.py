@@ -1,12 +1,12 @@
 """Best-fit packing of tokenized documents into sequences, in bulk-synchronous steps.
 
 Documents become token ids and an end id. A longer document is cut into full pieces, its first piece being the
-shorter one. Pieces are ranked inside their length (range-sorted by length, then by a hash), and so are gaps.
+shorter one. Pieces are range-sorted by length and hash, which ranks them inside their length; gaps are kept as runs of equal ones, in order.
 A superstep takes all pieces of one length, longest first: a sweep over the gaps in rising order finds each its
 successor, the smallest gap that fits; pieces and gaps of one size are matched by rank, so no two pieces want one
 place; the gaps are updated and the next length follows. What is left over opens new sequences. Since equal
 lengths and equal gaps are interchangeable, a superstep is a few rank intervals: the sweep itself works on counts
-(at most `length` of them, whatever the corpus), and Spark ranks the pieces and joins them to the intervals.
+(at most `length` of them, whatever the corpus, on the driver), and Spark sorts the pieces and joins their ranks to the intervals.
 The result is that of best-fit decreasing.
 
 Defined cases: a null or empty text is the end id alone. Repeated rows are packed each. Very long texts are
@@ -32,8 +32,6 @@ from ._text import slices
 
 LENGTH = 1024
 END = 2
-#: Parts of a length's ranks, at least, and pieces for which one more is made; the packing is as good with any number.
-PARTS, PART_PIECES = 64, 100_000
 #: Bytes of text that are encoded together.
 STRETCH = 1 << 23
 
@@ -202,21 +200,27 @@ def supersteps(counts: dict[int, int], room: int = LENGTH) -> list[tuple[int, in
     return steps
 
 
-def packed(pieces: DataFrame, room: int = LENGTH, parts: int = PARTS, part_pieces: int = PART_PIECES) -> DataFrame:
-    """pieces (doc_id, piece, length, ...; settled) with sequence_id and offset."""
-    spark = pieces.sparkSession
+def ranked(pieces: DataFrame) -> DataFrame:
+    """pieces, range-sorted by length and hash, with their rank inside their length.
+
+    A row's place in the sort is its place in its partition after the rows of the partitions before; what is told of each
+    partition is one row for each length in it.
+    """
+    order = ["length", F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "start", "ids_crc32"]
+    dealt = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = c.settle(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row")), "ranked")
+    first = dealt.groupBy("length", "_part").agg(F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("length").orderBy("_part")) - F.col("_n")  # a row for each partition at most
+    first = c.settle(first.select("length", "_part", (before - F.col("_least")).alias("_before")), "parts")
+    out = c.join_by_size(dealt, first, ["length", "_part"], "inner")
+    return out.withColumn("rank", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
+def packed(pieces: DataFrame, room: int = LENGTH) -> DataFrame:
+    """pieces (doc_id, piece, start, length, ids_crc32; settled) with sequence_id and offset."""
     total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # room rows at most
-    many = [(length, max(parts, -(-n // part_pieces))) for length, n in total.items()]
-    split = F.broadcast(spark.createDataFrame(many, "length long, parts long"))
-    dealt = pieces.join(split, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
-    counts = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
-    first = c.settle(counts.select("length", "part", before.alias("before")), "parts")
-    plan = spark.createDataFrame(supersteps(total, room), "l long, rank0 long, pieces long, fit long, sequence0 long, offset0 long")
-    inside = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = c.join_by_size(dealt.withColumn("i", inside - 1), first, ["length", "part"], "inner")
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("i"))
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("pieces")))
+    plan = pieces.sparkSession.createDataFrame(supersteps(total, room), "l long, rank0 long, pieces long, fit long, sequence0 long, offset0 long")
+    placed = ranked(pieces).join(F.broadcast(plan), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("pieces")))
     at = F.col("rank") - F.col("rank0")
     return placed.select(*pieces.columns, (F.col("sequence0") + F.expr("(rank - rank0) div fit")).alias("sequence_id"), (F.col("offset0") + at % F.col("fit") * F.col("length")).alias("offset"))
 
@@ -227,6 +231,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
+    c.small_batches(spark)
     return pack(docs, added=added_tokens())
 
 

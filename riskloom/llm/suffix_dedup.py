@@ -501,6 +501,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_rest(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """docs with repeated bytes cut out of text (a character that is cut in half goes too); n_chars follows if there is one."""
+    c.small_batches(spark)
     schema, gone = docs.schema, c.free(docs, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ ids. A last scoring keeps exactly the rows above the cuts.
 Queries are handled in blocks of bounded size, which travel with the tasks; candidates never move.
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component takes no part, nor does
-a row with a null id or a vector of another length than the longest. Equal query rows count once; repeated
+a row with a null id. A query meets the vectors of its own length only; each length is searched by itself (of query
+rows with equal ids and lengths the smallest vector is the query). Equal query rows count once; repeated
 candidate rows are candidates each. Fewer than k candidates: all. Ties go to the smaller id. An empty table
 or no query gives no rows. Extra columns are not looked at.
 """
@@ -157,36 +158,32 @@ def _search_block(vectors: DataFrame, block: _Block, dim: int, id_low: int, id_h
 
 
 def search(vectors: DataFrame, is_query, k: int = K, block_size: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of vectors (id, v) for each row that is_query (a condition on id) holds for."""
+    """query_id, rank, vec_id, score: the k best rows of vectors (id, v) for each row that is_query (a condition on id) holds for.
+
+    The vectors are settled as integers first, so no block parses them again; every block adds its rows to one folder.
+    """
     spark = vectors.sparkSession
+    vectors = c.settle(vectors.withColumn("query", F.coalesce(is_query, F.lit(False))), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    dim = vectors.agg(F.max(F.size("v"))).first()[0]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not dim:
-        return empty
-    vectors = vectors.where(F.size("v") == dim)
-    most, id_low, id_high, queries = vectors.agg(F.max(square), F.min("id"), F.max("id"), F.count(F.when(is_query, 1))).first()
-    if not queries:
-        return empty
-    blocks = -(-queries // block_size)
-    wanted = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = []
-    for i in range(blocks):
-        own = wanted.where(F.col("block") == i).groupBy("id").agg(F.min("v").alias("v")).toArrow().combine_chunks()
-        if not own.num_rows:
-            continue
-        ids = own.column("id").to_numpy()
-        v = _matrix(own.column("v").combine_chunks(), dim, np.int64)
-        order = np.argsort(ids)
-        bound = np.ceil(np.sqrt((v[order].astype(np.float64) ** 2).sum(axis=1) * most) * (1 + 1e-9)).astype(np.int64)
-        kind = np.float64 if most < 2**50 and bound.max() < 2**50 else np.int64  # doubles add such integers exactly
-        found = _search_block(vectors, _Block(ids[order], v[order], k, bound, kind), dim, id_low, id_high)
-        out.append(c.settle(found, "topk") if blocks > 1 else found)
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
+    kinds = vectors.groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("most"), F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.when(F.col("query"), 1)).alias("queries")).where("queries > 0")
+    folder, schema = c.fresh_path(spark, "topk"), "query_id long, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for dim, most, id_low, id_high, queries in kinds.orderBy("dim").collect():
+        own = vectors.where(F.size("v") == dim)
+        blocks = -(-queries // block_size)
+        wanted = own.where("query").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        for i in range(blocks):
+            block = wanted.where(F.col("block") == i).groupBy("id").agg(F.min("v").alias("v")).toArrow().combine_chunks()
+            if not block.num_rows:
+                continue
+            ids = block.column("id").to_numpy()
+            v = _matrix(block.column("v").combine_chunks(), dim, np.int64)
+            order = np.argsort(ids)
+            bound = np.ceil(np.sqrt((v[order].astype(np.float64) ** 2).sum(axis=1) * most) * (1 + 1e-9)).astype(np.int64)
+            kind = np.float64 if most < 2**50 and bound.max() < 2**50 else np.int64  # doubles add such integers exactly
+            _search_block(own.select("id", "v"), _Block(ids[order], v[order], k, bound, kind), dim, id_low, id_high).write.mode("append").parquet(folder)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    ranked = whole.select("query_id", rank.alias("rank"), "vec_id", "score")
+    ranked = spark.read.schema(schema).parquet(folder).select("query_id", rank.alias("rank"), "vec_id", "score")
     return ranked.where(F.col("rank") <= k)  # equal ids at the cut come in together
 
 

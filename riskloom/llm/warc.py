@@ -30,6 +30,8 @@ MAGIC = b"WARC/1.0\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of an archive file, about, and of a range that a task reads.
 FILE_BYTES, RANGE_BYTES = 1 << 26, 1 << 22
+#: Ranges of a task, about.
+RANGES = 4
 #: Bytes read for a header at first; longer ones are read again.
 HEADER_BYTES = 1 << 16
 LEAST = 0
@@ -63,26 +65,32 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     return MAGIC + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> int:
-    """Archive files of rows (page_id, url, html, refers_to); the number of records written."""
+def write(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Archive files of rows (page_id, url, html, refers_to); their manifest (path, size, records), settled.
+
+    Every attempt of a task has files of its own. The manifest has those of the attempts that Spark took, so what an
+    attempt that was lost or repeated has left is never read.
+    """
     _files.make_folder(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, token, number, records = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, 0
+        part, token, number = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         waiting = (row for batch in batches for row in zip(*(batch.column(x) for x in ("page_id", "url", "html", "refers_to")), strict=True))
         row = next(waiting, None)
         while row is not None:
-            with _files.writing(folder, f"part-{part:06d}-{number:04d}.warc", token) as out:
-                size = 0
+            name, size, records = f"part-{part:06d}-{number:04d}-{token}.warc", 0, 0
+            with _files.writing(folder, name, token) as out:
                 while row is not None and size < file_bytes:
                     page_id, url, html, target = (x.as_py() for x in row)
-                    size += out.write(one := record(page_id, url, (html or "").encode(), target)) or len(one)
+                    one = record(page_id, url, (html or "").encode(), target)
+                    out.write(one)
+                    size += len(one)
                     records += 1
                     row = next(waiting, None)
             number += 1
-        yield pa.RecordBatch.from_arrays([pa.array([records], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{_files.at(folder)[1]}/{name}"]), pa.array([size], pa.int64()), pa.array([records], pa.int64())], names=["path", "size", "records"])
 
-    return rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return c.settle(rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, size long, records long"), "manifest")
 
 
 class _File:
@@ -113,12 +121,19 @@ class _File:
         return block, block + int(length[1]) + 4, head
 
 
-def _ranges(spark: SparkSession, folder: str, range_bytes: int) -> tuple[DataFrame, int]:
-    files = _files.listing(folder, ".warc")
-    ranges = [(path, size, lo, min(lo + range_bytes, size)) for path, size in files for lo in range(0, size, range_bytes)]
-    most = max((-(-size // range_bytes) for _, size in files), default=0)
-    rows = spark.createDataFrame(ranges, "path string, size long, lo long, hi long")
-    return rows.repartition(max(1, min(len(ranges), 10_000))), most
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """path, size of a folder's archives that no manifest names."""
+    return spark.createDataFrame(_files.listing(folder, ".warc"), "path string, size long")
+
+
+def _ranges(manifest: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
+    """path, size, lo, hi of every range, and how many the largest file has."""
+    files = manifest.where("size > 0")
+    n = F.ceil(F.col("size") / range_bytes).cast("long")
+    most, ranges = files.agg(F.max(n), F.sum(n)).first()
+    rows = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("lo"))
+    rows = rows.withColumn("hi", F.least(F.col("lo") + range_bytes, F.col("size")))
+    return rows.repartition(max(1, -(-(ranges or 0) // RANGES)), "path", "lo"), most or 0
 
 
 def exits(ranges: DataFrame, folder: str) -> DataFrame:
@@ -162,9 +177,9 @@ def entries(spark: SparkSession, ranges: DataFrame, folder: str, most: int) -> D
 _SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """A row for each record of the folder's archives; digests of responses are taken from the bytes read."""
-    ranges, most = _ranges(spark, folder, range_bytes)
+def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, manifest: DataFrame | None = None) -> DataFrame:
+    """A row for each record of the folder's archives (those of the manifest, if there is one); digests of responses are taken from the bytes read."""
+    ranges, most = _ranges(listed(spark, folder) if manifest is None else manifest, range_bytes)
     if not most:
         return spark.createDataFrame([], _SCHEMA)
     true = entries(spark, ranges, folder, most)
@@ -201,10 +216,15 @@ def _parsed(head: bytes, block: bytes, path: str, at: int) -> dict:
 
 
 def round_trip(pages: DataFrame, least: int = LEAST, file_bytes: int = FILE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """pages written and read back, settled; it's an error if not as many records come back as were written."""
     spark = pages.sparkSession
     folder = c.fresh_path(spark, "warc")
-    write(with_targets(pages, least), folder, file_bytes)
-    return read(spark, folder, range_bytes)
+    manifest = write(with_targets(pages, least), folder, file_bytes)
+    out = c.settle(read(spark, folder, range_bytes, manifest), "records")
+    written, found = manifest.agg(F.sum("records")).first()[0] or 0, out.count()
+    if written != found:
+        raise ValueError(f"{written} records were written, {found} were read")
+    return out
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

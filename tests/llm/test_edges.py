@@ -53,10 +53,47 @@ def test_packing_takes_null_and_equal_ids(docs):
 def test_packing_with_many_parts(spark):
     rows = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 7).cast("int")).alias("text"))
     pieces = packing.c.settle(packing.tokenized(rows, length=16), "pieces")
-    few, many = (packing.packed(pieces, 16, parts=1, part_pieces=x).collect() for x in (10**6, 3))
-    for got in (few, many):
-        assert len(got) == 500 and len({(r["sequence_id"], r["offset"]) for r in got}) == 500
-    assert len({r["sequence_id"] for r in few}) == len({r["sequence_id"] for r in many})
+    ranks = packing.ranked(pieces).groupBy("length").agg(F.sort_array(F.collect_list("rank")).alias("r")).collect()
+    assert all(x["r"] == list(range(len(x["r"]))) for x in ranks) and sum(len(x["r"]) for x in ranks) == 500
+    got = packing.packed(pieces, 16).collect()
+    assert len(got) == 500 and len({(r["sequence_id"], r["offset"]) for r in got}) == 500
+
+
+def test_archives_that_no_manifest_names_are_not_read(spark, docs, tmp_path):
+    folder = str(tmp_path / "m")
+    manifest = media.write_archives(docs, folder)
+    media.write_archives(docs, folder)  # as a lost attempt would leave behind
+    assert media.digests(media.read_archives(spark, folder, manifest=manifest.settled_at)).count() == docs.count()
+    folder = str(tmp_path / "w")
+    pages = spark.createDataFrame([(i, None, "body" * i) for i in range(9)], "page_id long, url string, html string")
+    manifest = warc.write(warc.with_targets(pages), folder, 500)
+    warc.write(warc.with_targets(pages), folder, 500)
+    assert warc.read(spark, folder, 64, manifest).count() == 9 and warc.read(spark, folder, 64).count() == 18
+
+
+def test_media_member_is_read_again_from_its_archive(tmp_path):
+    import zipfile
+
+    path = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("1.png", b"one"), z.writestr("2.png", b"two")
+
+    class Broken(zipfile.ZipFile):
+        def open(self, *a, **b):
+            import zlib
+
+            raise zlib.error("lost")
+
+    reader = media._Reader({"path": str(tmp_path)})
+    with Broken(path) as z:
+        assert reader._member(path, z, z.infolist()[1]) == b"two"
+
+
+def test_topk_meets_vectors_of_the_same_length(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (2, [1.0, 1.0]), (20, [3.0, 1.0]), (3, [5.0, 5.0, 5.0]), (4, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(topk.whole_vectors(df), F.col("id") % 20 == 0).collect()}
+    assert got == {(0, 1, 1, 64 * 128), (20, 1, 2, 64 * 64 * 4)}
 
 
 def test_mixing_does_not_depend_on_buckets(spark):
