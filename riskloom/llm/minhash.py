@@ -5,10 +5,10 @@ largest value are kept. Bands of ROWS minima and bands of ROWS maxima are the bu
 similarity s share none of 2 * PERMUTATIONS / ROWS bands with probability (1 - s^4)^32, 5e-6 at s = 0.75.
 
 Documents with equal sets are one class from the start. In every bucket each class is first compared with the
-bucket's smallest id; classes still apart afterwards are compared with all others of their buckets, except
-where a bound rules a link out: the distances to a common neighbour (1 - similarity is a metric), or the bits
-that both sets have in a bitmap of BITS bits, plus the shingles that share a bit, which no intersection
-exceeds. Links count only if the full sets confirm them. Groups are the links' connected components.
+bucket's smallest id. Classes of buckets that hold several groups afterwards are compared if they share one of their
+rarest shingles, without which no two sets are similar enough, and no bound rules a link out: the
+distances to a common neighbour (1 - similarity is a metric), or the bits that both sets have in a bitmap of BITS
+bits, plus the shingles that share a bit, which no intersection exceeds. Links count only if the full sets confirm them. Groups are the links' connected components.
 
 Defined cases: a document without words or with null text has an empty set and stays alone; with fewer than
 `size` words the whole sequence is its one shingle. Equal rows are linked like any equal sets. Rows with equal
@@ -167,32 +167,57 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     tried = tried.unionByName(more)
     comp = _with_all(components(tried.where("ok")), involved)
 
-    # buckets that still hold several groups: classes outside the bucket's largest group meet all others there
+    # buckets that still hold several groups: their classes are compared by their rarest shingles
     placed = c.settle(member.join(comp.select(F.col("node").alias("id"), "comp"), "id"), "placed")
-    sizes = c.settle(placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")), "sizes")
-    mixed = c.settle(sizes.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("band", F.col("top.comp").alias("main")), "mixed")
+    mixed = c.settle(_several(placed, "band"), "mixed")
     if mixed.isEmpty():
         return _labelled(sig, classes, comp)
-    near = tried.select(F.col("a").alias("id"), F.col("b").alias("c"), (1 - F.col("i") / F.col("u")).alias("d"))
-    near = near.groupBy("id").agg(F.min(F.struct("c", "d")).alias("near"))
-    kept = classes.select("id", "bands", "bits", "slack")
-    open_ = placed.join(mixed, "band").join(near, "id", "left").join(kept, "id")
-    open_ = c.settle(open_.select("band", "id", "n", "comp", "main", F.col("near.c").alias("c"), F.col("near.d").alias("d"), "bands", "bits", "slack"), "open")
-    few = open_.where("comp <> main").select("band", *[F.col(x).alias(x + "1") for x in ("id", "n", "comp", "c", "d", "bands", "bits", "slack")])
-    far = 1 - percent / 100 + 1e-9
-    possible = (100 * F.least("n", "n1") >= percent * F.greatest("n", "n1")) & ~F.coalesce((F.col("c") == F.col("c1")) & (F.abs(F.col("d") - F.col("d1")) > far), F.lit(False))
-    once = F.element_at(F.filter(F.zip_with("bands", "bands1", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("band")
-    both = F.aggregate(F.zip_with("bits", "bits1", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda a, x: a + x)
-    most = F.least(both + F.least("slack", "slack1"), "n", "n1")
-    alike = 100 * most >= percent * (F.col("n") + F.col("n1") - most)
-    pairs = few.join(open_, "band").where("comp <> comp1 and (comp = main or id < id1)").where(possible & once & alike)
-    pairs = pairs.select(F.greatest("id", "id1").alias("a"), F.least("id", "id1").alias("b")).distinct()
+    open_ = c.settle(placed.join(mixed, "band").select("id", "comp").distinct(), "open")
+    pairs = c.settle(_candidates(sets.join(open_, "id"), percent), "pairs")
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    last = c.settle(_confirmed(pairs.join(done, ["a", "b"], "left_anti"), sets, percent), "tried")
+    near = tried.select(F.col("a").alias("id"), F.col("b").alias("c"), (1 - F.col("i") / F.col("u")).alias("d")).groupBy("id").agg(F.min(F.struct("c", "d")).alias("near"))
+    kept = c.settle(classes.select("id", "n", "bits", "slack").join(open_.select("id"), "id").join(near, "id", "left"), "kept")
+    side = lambda x, k: kept.select(F.col("id").alias(x), F.struct("n", "bits", "slack", F.col("near.c").alias("c"), F.col("near.d").alias("d")).alias(k))
+    both = pairs.join(done, ["a", "b"], "left_anti").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    far = 1 - percent / 100 + 1e-9
+    apart = F.coalesce((F.col("x.c") == F.col("y.c")) & (F.abs(F.col("x.d") - F.col("y.d")) > far), F.lit(False))
+    shared_bits = F.aggregate(F.zip_with("x.bits", "y.bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda a, x: a + x)
+    most = F.least(shared_bits + F.least("x.slack", "y.slack"), "x.n", "y.n")
+    alike = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
+    last = c.settle(_confirmed(both.where(~apart & alike).select("a", "b"), sets, percent), "tried")
     links = tried.where("ok").select("a", "b").unionByName(last.where("ok").select("a", "b"))
     return _labelled(sig, classes, components(links))
 
 
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of rows (key, id, comp) under which several groups meet, and the largest of these."""
+    sizes = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("k"))
+    return sizes.groupBy(key).agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select(key, F.col("top.comp").alias("main"))
+
+
+def _candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a > b of sets (id, set, comp) of different groups that may reach `percent`, ids alone.
+
+    Sets of n shingles that reach it share one of the n - ceil(percent * n / 100) + 1 rarest ones of each (the rarest
+    in one order for all), so shingles that many unlike sets have in common bring no pairs. From the first shared one
+    on, both have enough others left: what comes before it isn't shared. Under a shingle, sets outside its largest
+    group meet all others.
+    """
+    shingle = sets.select("id", "comp", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = shingle.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    ranked = shingle.join(often, "s").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("t"))  # one set's
+    alone = F.col("n") - F.size("t")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    rare = ranked.withColumn("p", prefix).where("p > 0").select("id", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), F.col("p"))).alias("at", "t"))
+    rare = c.settle(rare.select("id", "comp", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), F.col("t.s").alias("s")), "rare")
+    meet = c.settle(_several(rare, "s"), "meet")
+    rows = c.settle(rare.join(meet, "s"), "rows")
+    few = rows.where("comp <> main").select("s", *[F.col(x).alias(x + "1") for x in ("id", "n", "comp", "rest")])
+    enough = (100 + percent) * F.least("rest", "rest1") >= percent * (F.col("n") + F.col("n1"))
+    pairs = few.join(rows, "s").where("comp <> comp1 and (comp = main or id < id1)").where(enough)
+    return pairs.select(F.greatest("id", "id1").alias("a"), F.least("id", "id1").alias("b")).distinct()
+
+
 def _with_all(comp: DataFrame, nodes: DataFrame) -> DataFrame:
     """comp with the nodes that have no link, each its own group."""
     alone = nodes.select(F.col("id").alias("node")).join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
@@ -222,6 +247,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """docs without the rows whose group has a smaller id."""
+    c.small_batches(spark)
     found = c.settle(groups(docs), "groups")
     key, names = c.free(docs, "_gone"), docs.columns
     gone = c.settle(found.where("id <> comp").select(F.col("id").alias(key)).distinct(), "gone")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,19 @@ def test_topk_takes_repeated_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(9))
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.search(topk.whole_vectors(df), F.col("id") == 0, k=2).orderBy("rank").collect()]
     assert got == [(0, 1, 2), (0, 2, 1)]
+
+
+def test_minhash_with_thousands_of_unlike_sets_in_a_bucket(spark):
+    """A passage that makes up most of 6,000 unlike texts brings them into the same buckets, but no pairs; two copies with a changed word are linked."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage = [word() for _ in range(70)]
+    rows = [(i, " ".join([*(word() for _ in range(14)), *passage])) for i in range(6000)]
+    near = rows[77][1].split()
+    near[40] = "changed"
+    rows.append((9000, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = minhash.full_sets(docs).withColumn("comp", F.col("id"))
+    assert [(r["a"], r["b"]) for r in minhash._candidates(sets, 75).collect()] == [(9000, 77)]
+    got = minhash.near_duplicates(docs).where("not kept").collect()
+    assert [(r["doc_id"], r["component_id"]) for r in got] == [(9000, 77)]
