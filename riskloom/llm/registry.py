@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import langid, licenses, media, minhash, mixing, packing, suffix_dedup, topk, urlfilter, warc
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op5_minhash": minhash.OP5_SQL,
