@@ -104,7 +104,7 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = BLOCK,
             langs, scores, narrow = judge(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(narrow, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "text", held_out().alias("held_out")).transform(c.in_arrow, run, _SCHEMA)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str | None = N
         for batch in batches:
             yield batch.filter(pa.array([not x for x in judge(batch.column("text"))[2]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(c.in_arrow, run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

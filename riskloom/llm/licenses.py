@@ -279,7 +279,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                         family[row], score[row] = FAMILIES[f], p
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(paragraphs), pa.array(family, pa.string()), pa.array(score, pa.float64()), pa.array([sorted(x) for x in every], pa.list_(pa.string())), pa.array(windows, pa.int64())], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "text").transform(c.in_arrow, run, _SCHEMA)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([f"{_files.at(folder)[1]}/{name}"]), pa.array([whole], pa.int64()), pa.array([members], pa.int64())], names=["path", "size", "members"])
 
-    return c.settle(docs.select("doc_id", "text").mapInArrow(run, "path string, size long, members long"), "manifest")
+    return c.settle(docs.select("doc_id", "text").transform(c.in_arrow, run, "path string, size long, members long"), "manifest")
 
 
 class _Range(InputPartition):
@@ -216,7 +216,7 @@ def digests(media: DataFrame) -> DataFrame:
             kinds = {"long": pa.int64(), "string": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds[t]) for n, t in (x.split() for x in _SCHEMA.split(", "))], names=list(out))
 
-    return media.select("name", "media").mapInArrow(run, _SCHEMA)
+    return media.select("name", "media").transform(c.in_arrow, run, _SCHEMA)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

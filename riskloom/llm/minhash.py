@@ -77,7 +77,7 @@ def _each(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
                 arrays = make(ids[lo:hi], sets)
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").transform(c.in_arrow, run, schema)
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -152,7 +152,7 @@ def tokenized(docs: DataFrame, path: str | None = None, length: int = LENGTH, en
                     start, size, piece = start + size, length, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(c.in_arrow, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def supersteps(counts: dict[int, int], room: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:

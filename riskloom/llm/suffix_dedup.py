@@ -224,9 +224,9 @@ def classes(rows: DataFrame, make, wide: int | None, merged: int = MERGED) -> Da
         if size:
             yield from _dealt(held, wide)
 
-    found = rows.mapInArrow(run, "deal long, kg long, cx long, id long, twin long, at long, e long")
+    found = rows.transform(c.in_arrow, run, "deal long, kg long, cx long, id long, twin long, at long, e long")
     dealt = found.repartition("deal").drop("deal").sortWithinPartitions("kg", "cx", "id", "twin", "at")
-    return dealt.mapInArrow(_sorted_classes, "id long, twin long, at long, e long")
+    return dealt.transform(c.in_arrow, _sorted_classes, "id long, twin long, at long, e long")
 
 
 def sides(docs: DataFrame, to_sort: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def sides(docs: DataFrame, to_sort: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    return joined.mapInArrow(run, "id long, twin long, at long, side int, bytes binary")
+    return joined.transform(c.in_arrow, run, "id long, twin long, at long, side int, bytes binary")
 
 
 def named(rows: DataFrame, level: int) -> DataFrame:
@@ -281,7 +281,7 @@ def named(rows: DataFrame, level: int) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())] + [pa.array([last], pa.binary()), pa.array([n], pa.int64()), pa.array([part], pa.int32()), pa.array([True])], names=names)
 
-    found = c.settle(dealt.withColumn("part", F.spark_partition_id()).mapInArrow(run, "id long, twin long, at long, side int, bytes binary, name long, part int, edge boolean"), "named")
+    found = c.settle(dealt.withColumn("part", F.spark_partition_id()).transform(c.in_arrow, run, "id long, twin long, at long, side int, bytes binary, name long, part int, edge boolean"), "named")
     edges: dict[int, list] = {}
     for r in found.where("edge").select("part", "name", "bytes").collect():
         edges.setdefault(r["part"], []).append((r["name"], bytes(r["bytes"])))
@@ -374,7 +374,7 @@ def adjacent(rows: DataFrame) -> DataFrame:
             none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([start.tolist()], pa.list_(pa.int64())), pa.array([part], pa.int32()), pa.array([opened], pa.binary()), pa.array([before], pa.binary())], names=schema)
 
-    found = c.settle(dealt.mapInArrow(run, "id long, twin long, at long, side int, least int, names array<long>, part int, first binary, last binary"), "adjacent")
+    found = c.settle(dealt.transform(c.in_arrow, run, "id long, twin long, at long, side int, least int, names array<long>, part int, first binary, last binary"), "adjacent")
     carried, last, groups = [], None, [-1] * len(lengths)
     for r in found.where("last is not null").orderBy("part").select("part", "names", "first", "last").collect():
         first = bytes(r["first"])
@@ -454,7 +454,7 @@ def marks(docs: DataFrame, wide: int = WIDE, merged: int = MERGED) -> DataFrame:
     again = repeated_windows(near)
     c.forget(near)
     dealt = found.where("e > 0").unionByName(again).repartition("id", "twin").sortWithinPartitions("id", "twin", "at")
-    out = c.settle(dealt.mapInArrow(_merged, "id long, twin long, spans array<long>"), "marks")
+    out = c.settle(dealt.transform(c.in_arrow, _merged, "id long, twin long, spans array<long>"), "marks")
     c.forget(found, again)
     return out
 
@@ -496,7 +496,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             a, b, n, h = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, "_spans").select("doc_id", "text", "_spans").mapInArrow(run, _SCHEMA)
+    return _with_spans(docs, "_spans").select("doc_id", "text", "_spans").transform(c.in_arrow, run, _SCHEMA)
 
 
 def keep_rest(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
@@ -521,4 +521,4 @@ def keep_rest(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -
                     arrays.append((name, column))
             yield pa.RecordBatch.from_arrays([x for _, x in arrays], names=[n for n, _ in arrays])
 
-    return _with_spans(docs, gone).select(*docs.columns, gone).mapInArrow(run, schema)
+    return _with_spans(docs, gone).select(*docs.columns, gone).transform(c.in_arrow, run, schema)

@@ -97,7 +97,7 @@ def _histogram(vectors: DataFrame, block: _Block, dim: int, low: np.ndarray, hig
         if len(q):
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(b, pa.int32()), pa.array(total[q, b], pa.int64())], names=["q", "b", "n"])
 
-    counted = vectors.mapInArrow(count, "q int, b int, n long").groupBy("q", "b").agg(F.sum("n").alias("n")).toArrow()
+    counted = vectors.transform(c.in_arrow, count, "q int, b int, n long").groupBy("q", "b").agg(F.sum("n").alias("n")).toArrow()
     found: dict[int, dict[int, int]] = {}
     for q, b, m in zip(*(counted.column(x).to_pylist() for x in ("q", "b", "n")), strict=True):
         found.setdefault(q, {})[b] = m
@@ -154,7 +154,7 @@ def _search_block(vectors: DataFrame, block: _Block, dim: int, id_low: int, id_h
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(ids[r]), pa.array(s[r, q])], names=["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(keep, "query_id long, vec_id long, score long")
+    return vectors.transform(c.in_arrow, keep, "query_id long, vec_id long, score long")
 
 
 def search(vectors: DataFrame, is_query, k: int = K, block_size: int = BLOCK) -> DataFrame:

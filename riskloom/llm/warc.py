@@ -90,7 +90,7 @@ def write(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFra
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([f"{_files.at(folder)[1]}/{name}"]), pa.array([size], pa.int64()), pa.array([records], pa.int64())], names=["path", "size", "records"])
 
-    return c.settle(rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, size long, records long"), "manifest")
+    return c.settle(rows.select("page_id", "url", "html", "refers_to").transform(c.in_arrow, run, "path string, size long, records long"), "manifest")
 
 
 class _File:
@@ -156,7 +156,7 @@ def exits(ranges: DataFrame, folder: str) -> DataFrame:
                 if places:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(places)), pa.array(places, pa.int64()), pa.array([leads[x] for x in places], pa.int64())], names=["path", "at", "out"])
 
-    return ranges.mapInArrow(run, "path string, at long, out long")
+    return ranges.transform(c.in_arrow, run, "path string, at long, out long")
 
 
 def entries(spark: SparkSession, ranges: DataFrame, folder: str, most: int) -> DataFrame:
@@ -198,7 +198,7 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, manif
                     at = after
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    return inside.select("path", "size", "hi", "at").mapInArrow(run, _SCHEMA)
+    return inside.select("path", "size", "hi", "at").transform(c.in_arrow, run, _SCHEMA)
 
 
 def _parsed(head: bytes, block: bytes, path: str, at: int) -> dict:
