@@ -32,30 +32,69 @@ def covered(last: DataFrame, least: int) -> DataFrame:
     return last.join(enough, "i", "left_semi")
 
 
+def covered_matrix(sets: Sequence[tuple[str, DataFrame, int]]) -> DataFrame:
+    """One row for each entity of any dataset, a column `dataset_indicator` for each indicator that enough entities have.
+
+    sets: (dataset, latest values, least entities). The columns are the indicators found, whose number the pivot reads first.
+    """
+    every = None
+    for name, last, least in sets:
+        part = covered(last, least).select("e", F.concat(F.lit(name + "_"), "i").alias("i"), "v")
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("e").pivot("i").agg(F.max("v"))
+
+
+def period_matrix(sets: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """One row for each (entity, period) of any dataset, sorted, with the mean of each indicator found, prefixed by its dataset."""
+    every = None
+    for name, panel in sets:
+        part = panel.select("e", "t", F.concat(F.lit(name + "_"), "i").alias("i"), "v")
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("e", "t").pivot("i").agg(F.avg("v")).sort("e", "t")
+
+
 def coverage(panel: DataFrame, *keys: str, other: str) -> DataFrame:
     return panel.groupBy(*keys).agg(F.countDistinct(other).alias(f"n_{other}"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def percentile_rank(rows: DataFrame, value: str = "v", by: Sequence[str] = ("i",), name: str = "pct") -> DataFrame:
-    """rows with a non-null value and their mean rank over the count, ties averaged.
+def running(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), bins: int = 64) -> DataFrame:
+    """counts (one row for each value of a group) with each sum over the group's smaller values (before_x) and over all (all_x).
 
-    Ranks come from running counts over the distinct values of a group, so a hot group's rows are counted before they are ordered.
+    A group is cut into bins at approximate quantiles, which any row tells from its value alone: bins are summed first, then the
+    rows of a bin are ordered by themselves, so no task orders a whole group.
     """
+    cuts = F.percentile_approx(value, [k / bins for k in range(1, bins)], 10_000).alias("_cuts")
+    cuts = counts.groupBy(*by).agg(cuts)
+    placed = counts.join(cuts, list(by)) if by else counts.crossJoin(F.broadcast(cuts))  # one row
+    placed = placed.withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    keys = [*by, "_bin"]
+    whole = placed.groupBy(*keys).agg(*[F.sum(x).alias(f"_sum_{x}") for x in sums])
+    over = W.partitionBy(*by)  # `bins` rows of each group
+    ahead = over.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.select(*keys, *[F.coalesce(F.sum(f"_sum_{x}").over(ahead), F.lit(0)).alias(f"_first_{x}") for x in sums], *[F.sum(f"_sum_{x}").over(over).alias(f"all_{x}") for x in sums])
+    inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumns({f"_in_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).join(whole, keys)
+    return placed.withColumns({f"before_{x}": F.col(f"_first_{x}") + F.col(f"_in_{x}") for x in sums}).drop("_bin", *[f"{k}_{x}" for k in ("_first", "_in") for x in sums])
+
+
+def percentile_rank(rows: DataFrame, value: str = "v", by: Sequence[str] = ("i",), name: str = "pct") -> DataFrame:
+    """rows with a non-null value and their mean rank over the count, ties averaged; equal values are counted before they are ordered."""
     good = rows.where(F.col(value).isNotNull())
-    counts = good.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    order = W.partitionBy(*by).orderBy(value)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    counts = counts.withColumn("_n", F.sum("_c").over(W.partitionBy(*by)))
-    counts = counts.withColumn(name, (F.col("_before") + (F.col("_c") + 1) / 2) / F.col("_n")).drop("_c", "_before", "_n")
-    return good.join(counts, [*by, value])
-
-
-def weighted_percentiles(last: DataFrame, weights: dict[str, float], name: str) -> DataFrame:
-    """The mean over an entity's indicators of percentile x 100 x |weight|; a negative weight turns the percentile."""
-    ranked = percentile_rank(last.where(F.col("i").isin(*weights)))
-    w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("i")]
-    part = F.when(w < 0, 1 - F.col("pct")).otherwise(F.col("pct")) * 100 * F.abs(w)
-    return ranked.groupBy("e").agg(F.avg(part).alias(name))
+    counts = running(good.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), value, ["_c"], by)
+    pct = (F.col("before__c") + (F.col("_c") + 1) / 2) / F.col("all__c")
+    return good.join(counts.select(*by, value, pct.alias(name)), [*by, value])
+
+
+def weighted_percentiles(last: DataFrame, *scores: tuple[str, dict[str, float]]) -> DataFrame:
+    """e and, for each (name, weights), the mean over the entity's indicators of percentile x 100 x |weight|; a negative weight turns
+    the percentile. An entity without any of a score's indicators has null there. All scores share one ranking."""
+    ranked = percentile_rank(last.where(F.col("i").isin(*{i for _, weights in scores for i in weights})))
+
+    def mean(weights: dict[str, float]) -> Column:
+        w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("i")]
+        return F.avg(F.when(w < 0, 1 - F.col("pct")).otherwise(F.col("pct")) * 100 * F.abs(w))
+
+    return ranked.groupBy("e").agg(*[mean(weights).alias(name) for name, weights in scores])
 
 
 def numbered(panel: DataFrame) -> DataFrame:

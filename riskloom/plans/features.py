@@ -189,7 +189,7 @@ def j9(spark, d):
 @query("j10_attach_dimensions", "SELECT e, round(econ, 6) AS econ, r_name AS region FROM ec LEFT JOIN nation ON n_name = e LEFT JOIN region ON n_regionkey = r_regionkey", PN, LATEST, PCT, SCORES)
 def j10(spark, d):
     dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("e"), F.col("r_name").alias("region"))
-    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ECON, "econ").join(F.broadcast(dims), "e", "left"))
+    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ("econ", ECON)).join(F.broadcast(dims), "e", "left"))
 
 
 BANDS = [("AAA", 90, 100), ("AA", 80, 90), ("A", 70, 80), ("BBB", 60, 70), ("BB", 50, 60), ("B", 40, 50), ("CCC", 30, 40), ("CC/C", 0, 30)]
@@ -388,7 +388,7 @@ rk AS (SELECT key, 1 + 9 * (1 - (rank() OVER (ORDER BY s) + (count(*) OVER (PART
 
 def risks(x):
     s = 0.5 * F.coalesce("price", F.lit(35000.0)) / 1000 + 0.5 * F.coalesce("quantity", F.lit(25.0))
-    ranked = p.percentile_rank(x.select("key", s.alias("s"), F.lit("s").alias("i")), "s")
+    ranked = p.percentile_rank(x.select("key", s.alias("s")), "s", [])
     return ranked.select("key", (1 + 9 * (1 - F.col("pct"))).alias("risk"))
 
 

@@ -345,9 +345,9 @@ def m7(spark, d):
 def importance(x):
     """f, importance: binned mutual information of a feature and the cluster, over the largest."""
     long = x.select("key", "cluster", F.posexplode("x").alias("f", "v"))
-    n = F.count(F.lit(1)).over(W.partitionBy("f"))
-    rank = F.row_number().over(W.partitionBy("f").orderBy("v", "key")) - 1
-    bins = long.withColumn("bin", F.floor(rank * 10 / n)).groupBy("f", "bin", "cluster").agg(F.count(F.lit(1)).alias("c"))
+    cuts = long.groupBy("f").agg(F.percentile_approx("v", [k / 10 for k in range(1, 10)], 10_000).alias("cuts"))  # a row for each feature
+    bin_ = F.size(F.filter("cuts", lambda x: x < F.col("v")))
+    bins = long.join(F.broadcast(cuts), "f").groupBy("f", bin_.alias("bin"), "cluster").agg(F.count(F.lit(1)).alias("c"))
     total = F.sum("c").over(W.partitionBy("f"))
     joint = bins.withColumns({"p": F.col("c") / total, "pb": F.sum("c").over(W.partitionBy("f", "bin")) / total, "pc": F.sum("c").over(W.partitionBy("f", "cluster")) / total})
     mi = joint.groupBy("f").agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pb") * F.col("pc")))).alias("mi"))
@@ -396,12 +396,12 @@ def probabilities(model, x):
 def roc(scored):
     """thr, tpr, fpr of each distinct probability, from running counts."""
     g = scored.groupBy("p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    down = W.orderBy(F.desc("p"))
-    return g.withColumns({"tpr": F.try_divide(F.sum("pos").over(down), F.sum("pos").over(W.partitionBy())), "fpr": F.try_divide(F.sum("neg").over(down), F.sum("neg").over(W.partitionBy()))}).select("p", "tpr", "fpr")
+    share = lambda x: F.try_divide(F.col(f"all_{x}") - F.col(f"before_{x}"), F.col(f"all_{x}"))
+    return p.running(g, "p", ["pos", "neg"]).select("p", share("pos").alias("tpr"), share("neg").alias("fpr"))
 
 
 def auc(scored):
-    ranked = p.percentile_rank(scored.withColumn("i", F.lit(1)), "p", ["i"])
+    ranked = p.percentile_rank(scored, "p", [])
     n1, n = F.sum("label"), F.count(F.lit(1))
     return ranked.agg(F.try_divide(F.sum(F.col("label") * F.col("pct")) * n - n1 * (n1 + 1) / 2, n1 * (n - n1)).alias("auc"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W, functions as F
 from ..operators import panel as p
 from .adapters import IV, PN, PU, error_spans, nation_panel, query, rounded, table, user_panel
 
+EVENTS = ("click", "error", "purchase", "signup", "view")
+INDICATORS = ("price", "quantity", "discount", "tax", "returned")
 LATEST = "la AS (SELECT e, i, arg_max(v, t) AS v, year(max(t))::INT AS year FROM pn GROUP BY e, i)"
 PCT = "pc AS (SELECT e, i, v, (rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY i) AS pct FROM la)"
 ECON, INDUSTRY = {"price": 1.0, "quantity": 0.8, "returned": -1.0}, {"discount": -0.5, "tax": -1.0, "quantity": 1.0}
@@ -30,17 +32,21 @@ def l2(spark, d):
     return rounded(p.widen(p.latest(nation_panel(spark, d)), {"price": "mean_price", "tax": "mean_tax"}))
 
 
-@query("l5_covered_matrix", """SELECT e, round(max(v) FILTER (i = 'click'), 6) AS click, round(max(v) FILTER (i = 'error'), 6) AS error, round(max(v) FILTER (i = 'purchase'), 6) AS purchase
-  FROM (SELECT e, i, arg_max(v, t) AS v FROM pu GROUP BY e, i) WHERE i IN (SELECT i FROM pu GROUP BY i HAVING count(DISTINCT e) >= 10) GROUP BY e""", PU)
+@query("l5_covered_matrix", "SELECT e, " + ", ".join(f"round(max(v) FILTER (c = 'user_{x}'), 6) + 0.0 AS user_{x}" for x in EVENTS) + ", " + ", ".join(f"round(max(v) FILTER (c = 'nation_{x}'), 6) + 0.0 AS nation_{x}" for x in INDICATORS) + """
+  FROM (SELECT e, 'user_' || i AS c, arg_max(v, t) AS v, count(DISTINCT e) OVER (PARTITION BY i) AS n, 10 AS least FROM pu GROUP BY e, i UNION ALL SELECT e, 'nation_' || i, arg_max(v, t), count(DISTINCT e) OVER (PARTITION BY i), 20 FROM pn GROUP BY e, i) WHERE n >= least GROUP BY e""", PU, PN)
 def l5(spark, d):
-    kept = p.covered(p.latest(user_panel(spark, d)), 10)
-    return rounded(kept.groupBy("e").agg(*[F.max(F.when(F.col("i") == x, F.col("v"))).alias(x) for x in ("click", "error", "purchase")]))
+    """All indicators that enough entities have, by dataset, each with its own bound; the columns are those that there are."""
+    return rounded(p.covered_matrix([("user", p.latest(user_panel(spark, d)), 10), ("nation", p.latest(nation_panel(spark, d)), 20)]))
 
 
-@query("l6_period_matrix", """SELECT e, t, round(avg(v) FILTER (i = 'price'), 6) AS n_price, round(avg(v) FILTER (i = 'quantity'), 6) AS n_quantity, round(avg(v) FILTER (i = 'tax'), 6) AS n_tax FROM pn GROUP BY e, t""", PN)
+@query("l6_period_matrix", "SELECT e, t, " + ", ".join(f"round(avg(v) FILTER (c = 'n_{x}'), 6) + 0.0 AS n_{x}" for x in INDICATORS) + ", " + ", ".join(f"round(avg(v) FILTER (c = 'o_{x}'), 6) + 0.0 AS o_{x}" for x in ("1-URGENT", "5-LOW")).replace("o_1-URGENT,", '"o_1-URGENT",').replace("AS o_5-LOW", 'AS "o_5-LOW"') + """
+  FROM (SELECT e, t, 'n_' || i AS c, v FROM pn UNION ALL SELECT n_name, make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1), 'o_' || o_orderpriority, 1.0 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND year(o_orderdate) >= 1996) GROUP BY e, t""", PN)
 def l6(spark, d):
-    named = nation_panel(spark, d).withColumn("i", F.concat(F.lit("n_"), "i"))
-    return rounded(named.groupBy("e", "t").pivot("i", ["n_price", "n_quantity", "n_tax"]).agg(F.avg("v")))
+    """Two datasets on one (entity, period) grid, prefixed, all indicators that there are, in order."""
+    nations = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("e"))
+    orders = table(spark, d, "orders").where("o_orderpriority in ('1-URGENT', '5-LOW') and year(o_orderdate) >= 1996").join(nations, F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.select("e", F.make_date(F.year("o_orderdate"), F.quarter("o_orderdate") * 3, F.lit(1)).alias("t"), F.col("o_orderpriority").alias("i"), F.lit(1.0).alias("v"))
+    return rounded(p.period_matrix([("n", nation_panel(spark, d)), ("o", orders)]))
 
 
 @query("l8_annual_resample", """SELECT e, i, year::INT AS year, round(v, 6) + 0.0 AS v, t FROM (SELECT *, max(t) OVER (PARTITION BY e, i) AS l FROM (SELECT e, i, year(t) AS year, arg_max(v, t) AS v, max(t) AS t FROM pn GROUP BY ALL)) WHERE t >= l - INTERVAL 60 MONTH""", PN)
@@ -94,12 +100,12 @@ def w1(spark, d):
 
 @query("w2_economic_score", "SELECT e, round(econ, 6) AS econ FROM ec", PN, LATEST, PCT, SCORES)
 def w2e(spark, d):
-    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ECON, "econ"))
+    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ("econ", ECON)))
 
 
 @query("w2_industry_score", "SELECT e, round(industry, 6) AS industry FROM ind", PN, LATEST, PCT, SCORES)
 def w2i(spark, d):
-    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), INDUSTRY, "industry"))
+    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ("industry", INDUSTRY)))
 
 
 @query("w4_composite_score", """SELECT e, round(econ, 6) AS econ, round(industry, 6) AS industry, round(c, 1) AS composite,
@@ -109,7 +115,7 @@ def w4(spark, d):
     from ..functions.columns import tier_from
 
     last = p.latest(nation_panel(spark, d))
-    both = p.weighted_percentiles(last, ECON, "econ").join(p.weighted_percentiles(last, INDUSTRY, "industry"), "e", "full").fillna(50.0, ["econ", "industry"])
+    both = p.weighted_percentiles(last, ("econ", ECON), ("industry", INDUSTRY)).fillna(50.0, ["econ", "industry"])
     c = both.withColumn("c", F.round((F.col("econ") + F.col("industry")) / 2, 6))
     names = ["Very Low Risk", "Low Risk", "Moderate Risk", "High Risk", "Very High Risk"]
     return rounded(c.select("e", "econ", "industry", F.round("c", 1).alias("composite"), tier_from(F.col("c"), (80, 65, 50, 35), names).alias("tier")))
@@ -182,11 +188,11 @@ def w12(spark, d):
 
 @query("w14_rankings", """SELECT e, round(econ, 6) AS econ, row_number() OVER (ORDER BY round(econ, 6) DESC, e) AS from_top, row_number() OVER (ORDER BY round(econ, 6), e) AS from_bottom, round((rank() OVER (ORDER BY round(econ, 6)) - 1)::DOUBLE / count(*) OVER (), 6) AS share_below FROM ec ORDER BY econ DESC, e LIMIT 10""", PN, LATEST, PCT, SCORES)
 def w14(spark, d):
-    s = rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ECON, "econ"))
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    below = (F.rank().over(W.orderBy("econ")) - 1) / n
-    out = s.select("e", "econ", F.row_number().over(W.orderBy(F.desc("econ"), "e")).cast("long").alias("from_top"), F.row_number().over(W.orderBy("econ", "e")).cast("long").alias("from_bottom"), below.alias("share_below"))
-    return rounded(out.orderBy(F.desc("econ"), "e").limit(10))
+    s = rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ("econ", ECON)))
+    counts = p.running(s.groupBy("econ").agg(F.count(F.lit(1)).alias("c")), "econ", ["c"])
+    among = F.row_number().over(W.partitionBy("econ").orderBy("e"))
+    top = s.join(counts, "econ").withColumn("k", among.cast("long")).orderBy(F.desc("econ"), "e").limit(10)
+    return rounded(top.select("e", "econ", (F.col("all_c") - F.col("before_c") - F.col("c") + F.col("k")).alias("from_top"), (F.col("before_c") + F.col("k")).alias("from_bottom"), (F.col("before_c") / F.col("all_c")).alias("share_below")))
 
 
 @query("i1_gap_fill", """SELECT e, i, t, round(CASE WHEN v IS NOT NULL THEN v WHEN k = 1 THEN coalesce(l.v, f.v) WHEN l IS NOT NULL AND f IS NOT NULL THEN l.v + (f.v - l.v) * (x - l.x) / (f.x - l.x)
