@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def parse_period(text: Column, monthly: bool = True) -> Column:
@@ -87,3 +88,52 @@ def hybrid_pillars(econ: Column, industry: Column, p: Column, weights: tuple[flo
         raise ValueError("weights must sum to 1")
     safe = clip(weights[0] * econ + weights[1] * industry + weights[2] * (1 - p) * 100, 0.0, 100.0)
     return 1 + 9 * (1 - safe / 100)
+
+
+#: Phrases in the names of entities that are groups of others.
+AGGREGATES = (
+    "Area", "ASEAN", "Euro area", "World", "Advanced", "Emerging", "Sub-Saharan", "Middle East", "Commonwealth", "European Union",
+    "OECD", "G7", "G20", "Latin America", " and ", "Western Hemisphere", "Developing", "Low-income", "Heavily indebted",
+)
+
+
+def names_aggregate(name: Column, phrases: Sequence[str] = AGGREGATES) -> Column:
+    """Whether a name holds any of the phrases, in any case."""
+    return name.rlike("(?i)" + "|".join(re.escape(x) for x in phrases))
+
+
+def long_years(wide: DataFrame, prefix: str, name: str = "i", value: str = "n") -> DataFrame:
+    """A table of one row for each indicator and a column for each year as i (prefixed), t (1 January), value; nulls are left out."""
+    years = [x for x in wide.columns if x.isdigit()]
+    out = wide.unpivot([name], years, "y", value).where(F.col(value).isNotNull())
+    return out.select(F.concat(F.lit(prefix), name).alias(name), F.make_date(F.col("y").cast("int"), F.lit(1), F.lit(1)).alias("t"), value)
+
+
+#: Inputs of the balance ratios.
+BALANCE_INPUTS = ("income", "expenses", "assets", "interbank_deposits", "liabilities", "non_interest", "net_interest", "debt_securities", "provisions", "npl", "large_exposures", "capital", "government_claims", "gross_loans", "deposits")
+#: ratio: (input that must not be zero and whose year counts, numerator, denominator).
+_BALANCE = {
+    "margin": ("income", "income - expenses", "assets"),
+    "interbank": ("interbank_deposits", "interbank_deposits", "liabilities"),
+    "non_interest_share": ("non_interest", "non_interest", "all_income"),
+    "securities": ("debt_securities", "debt_securities", "assets"),
+    "provisioning": ("provisions", "provisions", "npl"),
+    "concentration": ("large_exposures", "large_exposures", "capital"),
+    "sovereign": ("government_claims", "government_claims", "gross_loans"),
+    "funding": ("deposits", "deposits", "liabilities"),
+}
+
+
+def balance_sql() -> list[tuple[str, str, str, str]]:
+    """(ratio, guarding input, numerator, denominator) of each balance ratio, as SQL."""
+    return [(r, a, n if " " not in n else f"({n})", b) for r, (a, n, b) in _BALANCE.items()]
+
+
+def balance_ratios(wide: DataFrame) -> DataFrame:
+    """e and the eight ratios in percent with their numerator's year, from a column for each input and `input_y`; a zero or absent input gives none."""
+    x = wide.withColumn("all_income", F.col("non_interest") + F.col("net_interest"))
+    out = []
+    for ratio, guard, numerator, denominator in balance_sql():
+        there = F.expr(f"{guard} <> 0 and {denominator} > 0")
+        out += [F.when(there, F.expr(f"{numerator} / {denominator} * 100")).alias(ratio), F.when(there, F.col(guard + "_y")).alias(ratio + "_year")]
+    return x.select("e", *out)

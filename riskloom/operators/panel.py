@@ -204,3 +204,45 @@ def fill_gaps(panel: DataFrame) -> DataFrame:
     near = F.least(c("x") - c("l.x"), c("f.x") - c("x"))
     sure = F.when(c("v").isNotNull(), 1.0).when(c("k") == 0, 0.0).when(c("k") == 1, 0.1).otherwise(F.greatest(F.lit(0.1), 1 - near / 5))
     return p.select("e", "i", "t", filled.alias("v"), sure.alias("confidence"))
+
+
+def merge_sets(sets: Sequence[DataFrame], features: Sequence[str]) -> DataFrame:
+    """One row for each key of any set (key, f, v), a column for each feature."""
+    every = sets[0].select("key", "f", "v")
+    for x in sets[1:]:
+        every = every.unionByName(x.select("key", "f", "v"))
+    return every.groupBy("key").pivot("f", list(features)).agg(F.max("v"))
+
+
+def features_by_name(panel: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """e, f, v, year: the last value by t of the rows (e, n, t, v) whose name n fits the feature's pattern, in any case.
+
+    Patterns are tried on distinct names; a name may serve several features.
+    """
+    rows = panel.where("t is not null and v is not null")
+    fits = F.array_compact(F.array(*[F.when(F.col("n").rlike("(?i)" + r), F.lit(f)) for f, r in patterns.items()]))
+    names = rows.select("n").distinct().select("n", F.explode(fits).alias("f"))
+    last = rows.join(names, "n").groupBy("e", "f").agg(F.max(F.struct("t", "v")).alias("x"))
+    return last.select("e", "f", F.col("x.v").alias("v"), F.year("x.t").alias("year"))
+
+
+def credit_ratios(last: DataFrame, private: str, total: str, output: str, private_range: tuple[float, float] = (5.0, 500.0), total_range: tuple[float, float] = (5.0, 600.0)) -> DataFrame:
+    """e, private, total, gap, year, gdp_year from latest values (e, i, v, year): credit / 1000 / output in percent.
+
+    Rows whose private ratio is out of range go, a total out of range is null; the gap is the distance from the median row.
+    """
+    pick = lambda code, what: F.max(F.when(F.col("i") == code, F.col(what)))
+    wide = last.where(F.col("i").isin(private, total, output)).groupBy("e").agg(pick(private, "v").alias("p"), pick(total, "v").alias("t"), pick(output, "v").alias("g"), pick(private, "year").alias("year"), pick(output, "year").alias("gdp_year"))
+    ratio = lambda x: F.when(F.col("g") != 0, F.col(x) / 1000 / F.col("g") * 100)
+    inside = lambda x, lim: (F.col(x) > lim[0]) & (F.col(x) < lim[1])
+    wide = wide.withColumns({"private": ratio("p"), "total": ratio("t")}).where(inside("private", private_range))
+    median = F.broadcast(wide.agg(F.median("private").alias("m")))  # one row
+    return wide.crossJoin(median).select("e", "private", F.when(inside("total", total_range), F.col("total")).alias("total"), (F.col("private") - F.col("m")).alias("gap"), "year", "gdp_year")
+
+
+def claim_share(rows: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """e, share: the first code's claim in percent of all, missing ones counting as 0, where it is above 0."""
+    value = lambda x: F.max(F.when(F.col("i") == x, F.col("v")))
+    total = sum((F.coalesce(value(x), F.lit(0.0)) for x in codes[1:]), F.coalesce(value(codes[0]), F.lit(0.0)))
+    wide = rows.where(F.col("i").isin(*codes)).groupBy("e").agg(value(codes[0]).alias("g"), total.alias("s"))
+    return wide.where("g > 0").select("e", (F.col("g") / F.col("s") * 100).alias("share"))

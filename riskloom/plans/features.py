@@ -44,12 +44,10 @@ def p5(spark, d):
     return rounded(both.select("ds", "i", "t", "v"))
 
 
-@query("p6_unpivot_years", "SELECT '[BIS] ' || l_returnflag AS i, make_date(y::INT, 1, 1) AS t, n FROM (SELECT l_returnflag, year(l_shipdate) AS y, count(*) AS n FROM lineitem WHERE l_shipdate < DATE '1998-01-01' AND l_linestatus = 'F' AND year(l_shipdate) >= 1995 GROUP BY 1, 2)")
+@query("p6_unpivot_years", "SELECT '[BIS] ' || l_returnflag AS i, make_date(y::INT, 1, 1) AS t, n FROM (SELECT l_returnflag, year(l_shipdate) AS y, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2)")
 def p6(spark, d):
     rows = table(spark, d, "lineitem").where("l_linestatus = 'F'").withColumn("y", F.year("l_shipdate"))
-    wide = rows.groupBy("l_returnflag").pivot("y", [1995, 1996, 1997]).count()
-    out = wide.unpivot(["l_returnflag"], ["1995", "1996", "1997"], "y", "n").where("n is not null")
-    return out.select(F.concat(F.lit("[BIS] "), "l_returnflag").alias("i"), F.make_date(F.col("y").cast("int"), F.lit(1), F.lit(1)).alias("t"), "n")
+    return c.long_years(rows.groupBy(F.col("l_returnflag").alias("i")).pivot("y").count(), "[BIS] ")
 
 
 @query("p7_drop_aggregates", "SELECT n_name, n_regionkey FROM nation WHERE n_name NOT IN ('NATION_1', 'NATION_2', 'NATION_3')")
@@ -58,9 +56,22 @@ def p7(spark, d):
     return table(spark, d, "nation").join(F.broadcast(out), "n_name", "left_anti").select("n_name", "n_regionkey")
 
 
-@query("p8_aggregates_by_name", "SELECT p_name, min(p_brand) AS brand FROM part WHERE regexp_matches(lower(p_name), 'green|blue') GROUP BY p_name")
+def _named(key, name):
+    """SQL: a name with one of the phrases in it for some keys."""
+    return f"{name} || CASE {key} % 40 " + " ".join(f"WHEN {k} THEN ' {x.upper()} x'" for k, x in enumerate(c.AGGREGATES)) + " ELSE '' END"
+
+
+@query("p8_aggregates_by_name", f"SELECT e, arg_min(n, k) AS name FROM (SELECT p_brand || '-' || (p_partkey % 40)::VARCHAR AS e, p_partkey AS k, {_named('p_partkey', 'p_type')} AS n FROM part) GROUP BY e HAVING " + " OR ".join(f"contains(lower(arg_min(n, k)), '{x.lower()}')" for x in c.AGGREGATES))
 def p8(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").rlike("(?i)green|blue")).groupBy("p_name").agg(F.min("p_brand").alias("brand"))
+    k = F.col("p_partkey") % 40
+    tail = F.when(k < len(c.AGGREGATES), F.get(F.array(*[F.lit(f" {x.upper()} x") for x in c.AGGREGATES]), k.cast("int"))).otherwise("")
+    names = table(spark, d, "part").select(F.concat("p_brand", F.lit("-"), k.cast("string")).alias("e"), F.concat("p_type", tail).alias("n"), "p_partkey")
+    return names.groupBy("e").agg(F.min_by("n", "p_partkey").alias("name")).where(c.names_aggregate(F.col("name")))
+
+
+@query("p8_phrases_of_ones_own", "SELECT p_name, min(p_brand) AS brand FROM part WHERE regexp_matches(lower(p_name), 'green|blue') GROUP BY p_name")
+def p8_own(spark, d):
+    return table(spark, d, "part").where(c.names_aggregate(F.col("p_name"), ["green", "BLUE"])).groupBy("p_name").agg(F.min("p_brand").alias("brand"))
 
 
 @query("p9_indicator_class", """SELECT CASE WHEN p_size % 5 = 0 THEN 'PERCENT' WHEN p_size % 5 = 1 THEN 'CURRENCY' WHEN p_size % 5 = 2 THEN 'BASIS_POINTS' WHEN p_size % 5 = 3 THEN 'COUNT' ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM part GROUP BY 1""")
@@ -103,15 +114,35 @@ def p13(spark, d):
     return rounded(x.join(low, "f").select("key", "f", v.alias("v")))
 
 
-PATTERNS = {"steel": "steel", "large": "^large", "small_or_eco": "small|economy"}
-
-
-@query("l3_features_by_name", """SELECT p_brand AS e, f, arg_max(p_size, p_partkey) AS v, max(p_partkey) AS last_key FROM part JOIN (VALUES ('steel', 'steel'), ('large', '^large'), ('small_or_eco', 'small|economy')) q(f, r) ON regexp_matches(lower(p_type), r) GROUP BY ALL""")
+#: The name patterns of the thirteen features.
+PATTERNS = {
+    "capital_adequacy": "Regulatory capital to risk-weighted assets.*Core FSI",
+    "npl_ratio": "Nonperforming loans to total gross loans.*Core FSI",
+    "roe": "Return on equity.*Core FSI",
+    "roa": "Return on assets.*Core FSI",
+    "liquid_assets_st_liab": "Liquid assets to short term liabilities.*Core FSI",
+    "liquid_assets_total": "Liquid assets to total assets.*Percent",
+    "deposit_to_total_assets": "Deposits to total.*assets.*Percent",
+    "customer_deposits_loans": "Customer deposits to total.*loans.*Percent",
+    "fx_loan_exposure": "Foreign currency.*loans.*Percent",
+    "tier1_capital": "Tier 1 capital to risk-weighted assets.*Core FSI",
+    "npl_provisions": "Provisions to nonperforming loans.*Percent",
+    "loan_concentration": "Loan concentration.*Percent",
+    "real_estate_loans": "Residential real estate loans to total gross loans.*Core FSI",
+}
+#: Names as the panels have them, by p_partkey % 26; every second one fits no pattern.
+NAMES = [x.replace(".*", ", ") + (", PERCENT" if k % 2 else ", percent") for k, x in enumerate(PATTERNS.values())]
+NAME_SQL = "CASE p_partkey % 26 " + " ".join(f"WHEN {2 * k} THEN '{x.upper() if k % 3 == 0 else x}'" for k, x in enumerate(NAMES)) + " ELSE p_type END"
+
+
+@query("l3_features_by_name", f"SELECT p_brand AS e, f, arg_max(v, t) AS v, year(max(t))::INT AS year FROM (SELECT p_brand, {NAME_SQL} AS n, p_retailprice AS v, make_date(1990 + (p_partkey // 26 % 30)::INT, (p_partkey % 12)::INT + 1, (p_partkey // 780 % 28)::INT + 1) AS t FROM part) JOIN (VALUES " + ", ".join(f"('{f}', '{r.lower()}')" for f, r in PATTERNS.items()) + ") q(f, r) ON regexp_matches(lower(n), r) GROUP BY p_brand, f")
 def l3(spark, d):
-    names = table(spark, d, "part").select("p_type").distinct()
-    rules = spark.createDataFrame(list(PATTERNS.items()), "f string, r string")
-    hits = names.join(F.broadcast(rules), F.expr("p_type rlike concat('(?i)', r)")).select("p_type", "f")
-    return table(spark, d, "part").join(F.broadcast(hits), "p_type").groupBy(F.col("p_brand").alias("e"), "f").agg(F.max_by("p_size", "p_partkey").alias("v"), F.max("p_partkey").alias("last_key"))
+    """Patterns meet distinct names only; of equal dates of an entity and feature the larger value counts."""
+    k = F.col("p_partkey")
+    pick = F.when(k % 2 == 0, F.get(F.array(*[F.lit(x.upper() if i % 3 == 0 else x) for i, x in enumerate(NAMES)]), ((k % 26) / 2).cast("int")))
+    t = F.make_date((F.lit(1990) + F.floor(k / 26) % 30).cast("int"), (k % 12 + 1).cast("int"), (F.floor(k / 780) % 28 + 1).cast("int"))
+    panel = table(spark, d, "part").select(F.col("p_brand").alias("e"), F.coalesce(pick, "p_type").alias("n"), t.alias("t"), F.col("p_retailprice").alias("v"))
+    return p.features_by_name(panel, PATTERNS)
 
 
 @query("l4_clipped_ratio", "SELECT key, round(CASE WHEN quantity IS NOT NULL AND price IS NOT NULL AND price <> 0 THEN greatest(50, least(110, quantity / price * 100000)) END, 6) AS quality FROM xs", XS)
@@ -138,10 +169,26 @@ def l9(spark, d):
     return rounded(p.widen(p.latest(nation_panel(spark, d).where("v > 0")), {x: x for x in ("price", "tax", "returned")}))
 
 
-@query("j1_merge_features", "SELECT key, " + ", ".join(f"round(max(v) FILTER (f = '{f}'), 6) + 0.0 AS {f}" for f in FEATURES) + " FROM xl WHERE v IS NOT NULL GROUP BY key", XL)
+SIX = ("supplier_balance", "customer_balance", "order_value", "mean_quantity", "brand_price", "name_length")
+
+
+@query("j1_merge_features", """, s1 AS (SELECT s_nationkey AS k, avg(s_acctbal) AS supplier_balance FROM supplier WHERE s_nationkey % 7 <> 0 GROUP BY 1), s2 AS (SELECT c_nationkey AS k, avg(c_acctbal) AS customer_balance FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1),
+  s3 AS (SELECT c_nationkey AS k, avg(o_totalprice) AS order_value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey > 3 GROUP BY 1), s4 AS (SELECT s_nationkey AS k, avg(l_quantity) AS mean_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
+  s5 AS (SELECT p_size AS k, avg(p_retailprice) AS brand_price FROM part WHERE p_size >= 20 GROUP BY 1), s6 AS (SELECT n_nationkey AS k, length(n_name)::DOUBLE AS name_length FROM nation WHERE n_nationkey < 20)
+  SELECT coalesce(s1.k, s2.k, s3.k, s4.k, s5.k, s6.k)::BIGINT AS key, """.replace(", s1", "WITH s1", 1) + ", ".join(f"round({x}, 5) + 0.0 AS {x}" for x in SIX) + " FROM s1 FULL JOIN s2 ON s2.k = s1.k FULL JOIN s3 ON s3.k = coalesce(s1.k, s2.k) FULL JOIN s4 ON s4.k = coalesce(s1.k, s2.k, s3.k) FULL JOIN s5 ON s5.k = coalesce(s1.k, s2.k, s3.k, s4.k) FULL JOIN s6 ON s6.k = coalesce(s1.k, s2.k, s3.k, s4.k, s5.k)")
 def j1(spark, d):
-    parts = [supplier_features(spark, d).unpivot(["key"], list(fs), "f", "v") for fs in (FEATURES[:3], FEATURES[3:])]
-    return rounded(parts[0].unionByName(parts[1]).where("v is not null").groupBy("key").pivot("f", list(FEATURES)).agg(F.max("v")))
+    """Six feature sets of six tables, each with keys of its own, merged by their keys (one union and one pivot, not five joins)."""
+    t = lambda name: table(spark, d, name)
+    mean = lambda x, key, v, name: x.groupBy(F.col(key).cast("long").alias("key")).agg(F.avg(v).alias("v")).withColumn("f", F.lit(name))
+    sets = [
+        mean(t("supplier").where("s_nationkey % 7 <> 0"), "s_nationkey", "s_acctbal", SIX[0]),
+        mean(t("customer").where("c_nationkey % 5 <> 0"), "c_nationkey", "c_acctbal", SIX[1]),
+        mean(t("orders").join(t("customer").where("c_nationkey > 3"), F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", "o_totalprice", SIX[2]),
+        mean(t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")), "s_nationkey", "l_quantity", SIX[3]),
+        mean(t("part").where("p_size >= 20"), "p_size", "p_retailprice", SIX[4]),
+        t("nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("key"), F.length("n_name").cast("double").alias("v"), F.lit(SIX[5]).alias("f")),
+    ]
+    return rounded(p.merge_sets(sets, SIX), 5)
 
 
 @query("j2_fill_from_secondary", "SELECT key, round(CASE WHEN coalesce(price, quantity * 1000, balance) < 20000 AND balance > 5 THEN balance ELSE coalesce(price, quantity * 1000, balance) END, 6) + 0.0 AS exposure FROM xs", XS)
@@ -204,17 +251,42 @@ def j11(spark, d):
 
 @query("a4_suspicious_percent", "SELECT p_type, round(avg(p_retailprice), 6) AS mean FROM part WHERE p_size % 5 = 0 GROUP BY p_type HAVING avg(p_retailprice) > 500 OR avg(p_retailprice) < -100")
 def a4(spark, d):
-    name = F.when(F.col("p_size") % 5 == 0, F.concat("p_type", F.lit(", percent"))).otherwise(F.col("p_type"))
-    x = table(spark, d, "part").where(c.unit_class(name) == "PERCENT").groupBy("p_type").agg(F.avg("p_retailprice").alias("mean"))
+    x = _classed(spark, d).where("kind = 'PERCENT'").groupBy("p_type").agg(F.avg("p_retailprice").alias("mean"))
     return rounded(x.where("mean > 500 or mean < -100"))
 
 
+def _classed(spark, d):
+    name = F.when(F.col("p_size") % 5 == 0, F.concat("p_type", F.lit(", percent"))).when(F.col("p_size") % 5 == 1, F.concat("p_type", F.lit(", US dollar"))).otherwise(F.col("p_type"))
+    return table(spark, d, "part").withColumn("kind", c.unit_class(name))
+
+
+@query("a4_not_percent", "SELECT p_type, kind, n, round(mean, 6) AS mean, row_number() OVER (ORDER BY n DESC, p_type, kind) AS place FROM (SELECT p_type, CASE WHEN p_size % 5 = 1 THEN 'CURRENCY' ELSE 'UNKNOWN' END AS kind, count(*) AS n, avg(p_retailprice) AS mean FROM part WHERE p_size % 5 <> 0 GROUP BY 1, 2) ORDER BY n DESC, p_type, kind LIMIT 50")
+def a4_rest(spark, d):
+    """The other indicators by class, those with most rows first (the 50 of the report)."""
+    x = _classed(spark, d).where("kind <> 'PERCENT'").groupBy("p_type", "kind").agg(F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("mean"))
+    top = rounded(x.orderBy(F.desc("n"), "p_type", "kind").limit(50))
+    return top.withColumn("place", F.row_number().over(W.partitionBy().orderBy(F.desc("n"), "p_type", "kind")).cast("long"))  # 50 rows
+
+
 @query("a6_missing_rates", "SELECT f, round(avg((v IS NULL)::INT), 6) AS missing, CASE WHEN avg((v IS NULL)::INT) < 0.3 THEN 'low' WHEN avg((v IS NULL)::INT) <= 0.7 THEN 'moderate' ELSE 'high' END AS level FROM xl GROUP BY f", XL)
 def a6(spark, d):
     m = F.avg(F.col("v").isNull().cast("int"))
     return rounded(long_features(spark, d).groupBy("f").agg(m.alias("missing")).withColumn("level", F.when(F.col("missing") < 0.3, "low").when(F.col("missing") <= 0.7, "moderate").otherwise("high")))
 
 
+@query("a6_level_counts", "SELECT count(*) AS features, count(*) FILTER (m < 0.3) AS low, count(*) FILTER (m BETWEEN 0.3 AND 0.7) AS moderate, count(*) FILTER (m > 0.7) AS high, count(*) FILTER (1 - m < 0.5) AS below_half, round(avg(1 - m), 6) AS coverage, CASE WHEN avg(1 - m) >= 0.5 AND count(*) FILTER (m > 0.7) * 2 < count(*) THEN 'VALID' ELSE 'REVIEW' END AS verdict FROM (SELECT f, avg((v IS NULL)::INT) AS m FROM (SELECT * FROM xl UNION ALL SELECT key, 'rare', CASE WHEN key % 10 = 0 THEN 1.0::DOUBLE END FROM xs UNION ALL SELECT key, 'half', CASE WHEN key % 2 = 0 THEN 1.0::DOUBLE END FROM xs) GROUP BY f)", XL)
+def a6_levels(spark, d):
+    """How many features have low, moderate and high shares of missing values, and whether the table is fit for use."""
+    x = long_features(spark, d)
+    keys = supplier_features(spark, d).select("key")
+    more = [keys.select("key", F.lit(name).alias("f"), F.when(F.col("key") % k == 0, 1.0).alias("v")) for name, k in (("rare", 10), ("half", 2))]
+    m = x.unionByName(more[0]).unionByName(more[1]).groupBy("f").agg(F.avg(F.col("v").isNull().cast("int")).alias("m"))
+    count = lambda cond: F.count(F.when(cond, 1))
+    n, high, cover = F.count(F.lit(1)), count(F.col("m") > 0.7), F.avg(1 - F.col("m"))
+    out = m.agg(n.alias("features"), count(F.col("m") < 0.3).alias("low"), count(F.col("m").between(0.3, 0.7)).alias("moderate"), high.alias("high"), count(1 - F.col("m") < 0.5).alias("below_half"), cover.alias("coverage"), F.when((cover >= 0.5) & (high * 2 < n), "VALID").otherwise("REVIEW").alias("verdict"))
+    return rounded(out)
+
+
 @query("a7_distribution", "SELECT f, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std, round(median(v), 5) + 0.0 AS median, round(skewness(v), 5) + 0.0 AS skew, abs(skewness(v)) > 2 AS skewed FROM xl GROUP BY f", XL)
 def a7(spark, d):
     n = F.count("v")
@@ -223,18 +295,30 @@ def a7(spark, d):
     return rounded(out.withColumn("skewed", F.abs("skew") > 2), 5)
 
 
-@query("a8_credit_ratio", "SELECT key, round(r, 6) AS ratio, round(r - median(r) OVER (), 6) + 0.0 AS gap FROM (SELECT key, price / quantity / 10 AS r FROM xs) WHERE r > 5 AND r < 500", XS)
+A8 = """ra AS (SELECT e, CASE WHEN g <> 0 THEN p / 1000 / g * 100 END AS pr, CASE WHEN g <> 0 THEN t / 1000 / g * 100 END AS tr, py, gy FROM (SELECT e, max(v) FILTER (i = 'price') AS p, max(v * 1e6) FILTER (i = 'tax') AS t, max(v) FILTER (i = 'quantity') AS g, max(year) FILTER (i = 'price') AS py, max(year) FILTER (i = 'quantity') AS gy FROM la GROUP BY e))"""
+
+
+@query("a8_credit_ratio", "SELECT e, round(pr, 6) AS private, round(CASE WHEN tr > 5 AND tr < 160 THEN tr END, 6) AS total, round(pr - median(pr) OVER (), 6) + 0.0 AS gap, py AS year, gy AS gdp_year FROM ra WHERE pr > 5 AND pr < 160", PN, LATEST, A8)
 def a8(spark, d):
-    x = supplier_features(spark, d).select("key", (F.col("price") / F.when(F.col("quantity") != 0, F.col("quantity")) / 10).alias("ratio")).where("ratio > 5 and ratio < 500")
-    m = F.broadcast(x.agg(F.median("ratio").alias("m")))
-    return rounded(x.join(m).select("key", "ratio", (F.col("ratio") - F.col("m")).alias("gap")))
+    """Latest private and total credit over latest output, each of its own year, and the private ratio's distance from the median entity's."""
+    last = p.latest(nation_panel(spark, d)).withColumn("v", F.when(F.col("i") == "tax", F.col("v") * 1e6).otherwise(F.col("v")))
+    return rounded(p.credit_ratios(last, "price", "tax", "quantity", (5.0, 160.0), (5.0, 160.0)))
+
+
+#: Codes of the eight component claims (the first is the government's), here by line number and status.
+CLAIMS = ("1F", "1O", "2F", "2O", "3F", "3O", "4F", "4O")
+CLAIM_SQL = "cl AS (SELECT l_suppkey AS e, l_linenumber::VARCHAR || l_linestatus AS i, sum(round(l_quantity * 100)::BIGINT)::DOUBLE / 100 AS v FROM lineitem GROUP BY 1, 2)"
 
 
-@query("a9_exposure_share", "SELECT key, round(price / (price + coalesce(quantity, 0) * 1000 + coalesce(balance, 0) + coalesce(tax, 0)) * 100, 6) AS share FROM xs WHERE price > 0 AND price + coalesce(quantity, 0) * 1000 + coalesce(balance, 0) + coalesce(tax, 0) > 0", XS)
+@query("a9_exposure_share", "SELECT e, round(g / (" + " + ".join(f"coalesce(max(v) FILTER (i = '{x}'), 0)" for x in CLAIMS) + ") * 100, 6) AS share FROM (SELECT *, max(v) FILTER (i = '1F') OVER (PARTITION BY e) AS g FROM cl) GROUP BY e, g HAVING g > 0", CLAIM_SQL)
 def a9(spark, d):
-    z = lambda f: F.coalesce(F.col(f), F.lit(0.0))
-    total = F.col("price") + z("quantity") * 1000 + z("balance") + z("tax")
-    return rounded(supplier_features(spark, d).withColumn("t", total).where("price > 0 and t > 0").select("key", (F.col("price") / F.col("t") * 100).alias("share")))
+    return rounded(p.claim_share(claims(spark, d), CLAIMS))
+
+
+def claims(spark, d):
+    """e, i, v: sums by supplier, line number and status."""
+    code = F.concat(F.col("l_linenumber").cast("string"), "l_linestatus")
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("e"), code.alias("i")).agg((F.sum(F.round(F.col("l_quantity") * 100).cast("long")) / 100).alias("v"))
 
 
 @query("a10_external_metrics", """SELECT key, round(fx, 6) AS fx, round(CASE WHEN months > 50 THEN NULL ELSE months END, 6) + 0.0 AS months, round(CASE WHEN balance / (quantity - tax) IS NOT NULL THEN greatest(-100, least(100, balance / CASE WHEN quantity - tax = 0 THEN 1 ELSE quantity - tax END)) END, 6) + 0.0 AS liab FROM (SELECT *, price / nullif(quantity, 0) AS fx, balance / 1000 / (tax * (price / nullif(quantity, 0)) / 12) AS months FROM xs)""", XS)
@@ -246,10 +330,19 @@ def a10(spark, d):
     return rounded(supplier_features(spark, d).select("key", fx.alias("fx"), F.when(months <= 50, months).alias("months"), liab.alias("liab")))
 
 
-@query("a11_balance_ratios", "SELECT key, round(CASE WHEN price <> 0 AND quantity > 0 THEN price / quantity * 100 END, 6) AS a, round(CASE WHEN discount <> 0 AND tax > 0 THEN discount / tax * 100 END, 6) AS b, round(CASE WHEN balance <> 0 AND price > 0 THEN balance / price * 100 END, 6) + 0.0 AS c FROM xs", XS)
+#: The inputs of the balance ratios, here by line number and return flag.
+INPUTS = dict(zip(c.BALANCE_INPUTS, [f"{k}{x}" for k in range(1, 6) for x in "ANR"], strict=True))
+BI = "bi AS (SELECT e, i, arg_max(v, y) AS v, max(y) AS y FROM (SELECT l_suppkey AS e, l_linenumber::VARCHAR || l_returnflag AS i, year(l_shipdate)::INT AS y, sum(CASE WHEN l_suppkey % 9 = 0 AND l_linenumber = 4 THEN 0 ELSE round(l_quantity * 100)::BIGINT END)::DOUBLE / 100 AS v FROM lineitem WHERE (l_orderkey + l_linenumber) % 3 = 0 GROUP BY 1, 2, 3) GROUP BY e, i),\nbw AS (SELECT e, " + ", ".join(f"max(v) FILTER (i = '{x}') AS {k}, max(y) FILTER (i = '{x}') AS {k}_y" for k, x in INPUTS.items()) + " FROM bi GROUP BY e)"
+
+
+@query("a11_balance_ratios", "SELECT e, " + ", ".join(f"round(CASE WHEN {a} <> 0 AND {b} > 0 THEN {n} / {b} * 100 END, 6) + 0.0 AS {r}, CASE WHEN {a} <> 0 AND {b} > 0 THEN {a}_y END AS {r}_year" for r, a, n, b in c.balance_sql()) + " FROM (SELECT *, non_interest + net_interest AS all_income FROM bw)", BI)
 def a11(spark, d):
-    r = lambda a, b: F.when((F.col(a) != 0) & (F.col(b) > 0), F.try_divide(a, b) * 100)
-    return rounded(supplier_features(spark, d).select("key", r("price", "quantity").alias("a"), r("discount", "tax").alias("b"), r("balance", "price").alias("c")))
+    code = F.concat(F.col("l_linenumber").cast("string"), "l_returnflag")
+    v = F.when((F.col("l_suppkey") % 9 == 0) & (F.col("l_linenumber") == 4), F.lit(0).cast("long")).otherwise(F.round(F.col("l_quantity") * 100).cast("long"))
+    years = table(spark, d, "lineitem").where("(l_orderkey + l_linenumber) % 3 = 0").groupBy(F.col("l_suppkey").alias("e"), code.alias("i"), F.year("l_shipdate").alias("y")).agg((F.sum(v) / 100).alias("v"))
+    last = years.groupBy("e", "i").agg(F.max_by("v", "y").alias("v"), F.max("y").alias("y"))
+    wide = last.groupBy("e").agg(*[F.max(F.when(F.col("i") == x, F.col(col))).alias(k + end) for k, x in INPUTS.items() for col, end in (("v", ""), ("y", "_y"))])
+    return rounded(c.balance_ratios(wide))
 
 
 PAIRS = [(a, b) for k, a in enumerate(FEATURES) for b in FEATURES[k + 1 :]]
@@ -268,31 +361,51 @@ def a12(spark, d):
     return rounded(correlations(supplier_features(spark, d)).withColumn("level", F.when(F.abs("r") > 0.7, "HIGH").when(F.abs("r") > 0.4, "MED").otherwise("LOW")))
 
 
-@query("a13_correlation_pruning", "SELECT DISTINCT CASE WHEN na > nb THEN a ELSE b END AS dropped FROM (SELECT a, b, r, x.n AS na, y.n AS nb FROM co JOIN (SELECT f, count(*) - count(v) AS n FROM xl GROUP BY f) x ON a = x.f JOIN (SELECT f, count(*) - count(v) AS n FROM xl GROUP BY f) y ON b = y.f) WHERE abs(r) > 0.05", XL, CORR)
+#: Features with near copies, the order in which they are preferred (a smaller number wins), and their copies' suffix.
+PRIORITY = {"price": 1, "quantity": 1, "tax": 2, "tax_again": 1, "balance": 2, "balance_again": 2, "price_fsibsis": 1, "quantity_more": 1}
+COPIES = "xc AS (SELECT *, price * 2 + key % 3 AS price_fsibsis, tax * 3 AS tax_again, CASE WHEN key % 2 = 0 THEN balance END AS balance_again, CASE WHEN key % 3 > 0 THEN quantity * 5 END AS quantity_more FROM xs)"
+ALL_PAIRS = [(a, b) for k, a in enumerate(PRIORITY) for b in list(PRIORITY)[k + 1 :]]
+RANKED = "cp AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) - count({a}) AS na, count(*) - count({b}) AS nb, {PRIORITY[a]} AS pa, {PRIORITY[b]} AS pb FROM xc" for a, b in ALL_PAIRS) + ")"
+
+
+@query("a13_correlation_pruning", "SELECT DISTINCT CASE WHEN ends_with(a, '_fsibsis') AND NOT ends_with(b, '_fsibsis') THEN a WHEN ends_with(b, '_fsibsis') AND NOT ends_with(a, '_fsibsis') THEN b WHEN pa > pb THEN a WHEN pb > pa THEN b WHEN na > nb THEN a ELSE b END AS dropped FROM cp WHERE abs(r) > 0.85", XS, COPIES, RANKED)
 def a13(spark, d):
     x = supplier_features(spark, d)
-    nulls = long_features(spark, d).groupBy("f").agg(F.sum(F.col("v").isNull().cast("int")).alias("n"))
-    na, nb = (F.broadcast(nulls.select(F.col("f").alias(k), F.col("n").alias("n" + k))) for k in ("a", "b"))
-    return correlations(x).where(F.abs("r") > 0.05).join(na, "a").join(nb, "b").select(F.when(F.col("na") > F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("dropped")).distinct()
+    x = x.withColumns({"price_fsibsis": F.col("price") * 2 + F.col("key") % 3, "tax_again": F.col("tax") * 3, "balance_again": F.when(F.col("key") % 2 == 0, F.col("balance")), "quantity_more": F.when(F.col("key") % 3 > 0, F.col("quantity") * 5)})
+    return dropped(x, PRIORITY)
+
+
+def dropped(x, priority, limit: float = 0.85, suffix: str = "_fsibsis"):
+    """Of each two features that correlate beyond limit the one that goes: with the suffix, else of the larger priority number, else with more nulls, else the second."""
+    pairs = [(a, b) for k, a in enumerate(priority) for b in list(priority)[k + 1 :]]
+    one = x.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), F.count(F.when(F.col(a).isNull(), 1)).alias("na"), F.count(F.when(F.col(b).isNull(), 1)).alias("nb"), F.lit(priority[a]).alias("pa"), F.lit(priority[b]).alias("pb")).alias(f"{a}|{b}") for a, b in pairs])
+    rows = one.select(F.explode(F.array(*[F.col(f"`{a}|{b}`") for a, b in pairs])).alias("x")).select("x.*").where(F.abs("r") > limit)
+    ends = lambda c: F.col(c).endswith(suffix)
+    loser = F.when(ends("a") & ~ends("b"), F.col("a")).when(ends("b") & ~ends("a"), F.col("b")).when(F.col("pa") > F.col("pb"), F.col("a")).when(F.col("pb") > F.col("pa"), F.col("b")).when(F.col("na") > F.col("nb"), F.col("a")).otherwise(F.col("b"))
+    return rows.select(loser.alias("dropped")).distinct()
 
 
 def _weighted(v, w):
     return F.coalesce(F.sum(v * w) / F.nullif(F.sum(F.when(v.isNotNull(), w)), F.lit(0.0)), F.lit(0.0))
 
 
-@query("a14_weighted_means", "SELECT round(coalesce(sum(price * key) / sum(CASE WHEN price IS NOT NULL THEN key END), 0), 5) AS price, round(coalesce(sum(tax * key) / sum(CASE WHEN tax IS NOT NULL THEN key END), 0), 6) AS tax, round(sum(key) / 1000.0::DOUBLE, 6) AS total FROM xs", XS)
+@query("a14_weighted_means", "SELECT " + ", ".join(f"round(coalesce(sum({x} * key) / nullif(sum(CASE WHEN {x} IS NOT NULL THEN key END), 0), 0), 5) AS {x}" for x in FEATURES[:5]) + ", round(sum(key) / 1000.0::DOUBLE, 5) AS total, round(coalesce(sum(price * 0) / nullif(sum(CASE WHEN price IS NOT NULL THEN 0 END), 0), 0), 5) AS without_weight FROM xs", XS)
 def a14(spark, d):
+    """Five measures' weighted means, 0 without any weight, and the sum of the weights in thousands."""
     w = F.col("key").cast("double")
-    out = supplier_features(spark, d).agg(_weighted(F.col("price"), w).alias("price"), _weighted(F.col("tax"), w).alias("tax"), (F.sum("key") / 1000).alias("total"))
-    return out.select(F.round("price", 5).alias("price"), F.round("tax", 6).alias("tax"), F.round("total", 6).alias("total"))
+    out = supplier_features(spark, d).agg(*[_weighted(F.col(x), w).alias(x) for x in FEATURES[:5]], (F.sum("key") / 1000).alias("total"), _weighted(F.col("price"), F.lit(0.0)).alias("without_weight"))
+    return rounded(out, 5)
 
 
-@query("a15_weighted_by_region", "SELECT r_name AS region, count(*) AS n, round(sum(price * key) / sum(CASE WHEN price IS NOT NULL THEN key END), 5) AS price FROM xs JOIN nation ON nation = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", XS)
+@query("a15_weighted_by_region", "SELECT *, rank() OVER (ORDER BY price DESC) AS place, price = max(price) OVER () AS highest, price = min(price) OVER () AS lowest FROM (SELECT r_name AS region, count(*) AS n, round(coalesce(sum(price * w) / nullif(sum(CASE WHEN price IS NOT NULL THEN w END), 0), avg(price)), 5) AS price FROM (SELECT *, CASE WHEN nation % 5 = 2 THEN 0 ELSE key END AS w FROM xs) JOIN nation ON nation = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1)", XS)
 def a15(spark, d):
+    """Weighted by region, the plain mean where a region has no weight; ranked, with the highest and the lowest one (a row for each region)."""
     dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nation"), F.col("r_name").alias("region"))
-    w = F.col("key").cast("double")
+    w = F.when(F.col("nation") % 5 == 2, 0.0).otherwise(F.col("key").cast("double"))
     mean = F.coalesce(F.sum(F.col("price") * w) / F.nullif(F.sum(F.when(F.col("price").isNotNull(), w)), F.lit(0.0)), F.avg("price"))
-    return rounded(supplier_features(spark, d).join(F.broadcast(dims), "nation").groupBy("region").agg(F.count(F.lit(1)).alias("n"), mean.alias("price")), 5)
+    by = rounded(supplier_features(spark, d).join(dims, "nation").groupBy("region").agg(F.count(F.lit(1)).alias("n"), mean.alias("price")), 5)
+    every = W.partitionBy()
+    return by.select("*", F.rank().over(every.orderBy(F.desc("price"))).cast("long").alias("place"), (F.col("price") == F.max("price").over(every)).alias("highest"), (F.col("price") == F.min("price").over(every)).alias("lowest"))
 
 
 TIERS = ("very low", "low", "medium", "high", "very high")
@@ -309,12 +422,13 @@ def a16(spark, d):
     return rounded(n.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy())))
 
 
-@query("a19_histogram", "SELECT least(20, floor((v - lo) / ((hi - lo) / 20)) + 1)::BIGINT AS bin, count(*) AS n FROM (SELECT p_retailprice AS v FROM part), (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) GROUP BY 1")
+@query("a19_histogram", "SELECT least(20, floor((v - lo) / ((hi - lo) / 20)) + 1)::BIGINT AS bin, count(*) AS n, round(any_value(m), 5) AS mean, round(any_value(md), 5) AS median, round(any_value(sd), 5) AS std FROM (SELECT p_retailprice AS v FROM part), (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, avg(p_retailprice) AS m, median(p_retailprice) AS md, stddev_samp(p_retailprice) AS sd FROM part) GROUP BY 1")
 def a19(spark, d):
+    """20 equal bins; the mean, median and deviation of all values stand in each row."""
     v = table(spark, d, "part").select(F.col("p_retailprice").alias("v"))
-    lim = F.broadcast(v.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
+    lim = F.broadcast(v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_samp("v").alias("std")))  # one row
     b = F.least(F.lit(20).cast("long"), F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20)) + 1)
-    return v.join(lim).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(v.join(lim).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("mean", "median", "std")]), 5)
 
 
 @query("a20_imputation_health", "SELECT f, v, n, n > 20 AS warn FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, v) AS k FROM (SELECT 'size' AS f, p_size::DOUBLE AS v, count(*) AS n FROM part GROUP BY p_size UNION ALL SELECT 'brand', substr(p_brand, 7)::DOUBLE, count(*) FROM part GROUP BY p_brand)) WHERE k = 1")
@@ -359,13 +473,25 @@ def robust(x):
     return x.where("v is not null").join(q, "f").select("key", "f", ((F.col("v") - F.col("q")[1]) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias("v"))
 
 
-@query("m3_distance_from_one", """SELECT key, round(sqrt(sum(pow((v - w) / s, 2))), 5) + 0.0 AS dist FROM (SELECT key, f, coalesce(v, m) AS v, s, max(CASE WHEN key = 1 THEN coalesce(v, m) END) OVER (PARTITION BY f) AS w FROM xl JOIN (SELECT f, median(v) AS m, stddev_pop(v) AS s FROM xl GROUP BY f) USING (f)) GROUP BY key ORDER BY dist, key LIMIT 20""", XL)
+M3 = "ds AS (SELECT key, round(sqrt(sum(pow((v - w) / s, 2))), 5) + 0.0 AS dist FROM (SELECT key, f, coalesce(v, m) AS v, s, max(CASE WHEN key = 1 THEN coalesce(v, m) END) OVER (PARTITION BY f) AS w FROM xl JOIN (SELECT f, median(v) AS m, stddev_pop(v) AS s FROM xl GROUP BY f) USING (f)) GROUP BY key)"
+
+
+@query("m3_distance_from_one", "SELECT * FROM ds ORDER BY dist, key LIMIT 20", XL, M3)
 def m3(spark, d):
-    x = long_features(spark, d)
-    x = x.join(x.groupBy("f").agg(F.median("v").alias("m"), F.stddev_pop("v").alias("s")), "f").select("key", "f", F.coalesce("v", "m").alias("v"), "s")
-    one = F.broadcast(x.where("key = 1").select("f", F.col("v").alias("w")))
-    dist = F.sqrt(F.sum(F.pow((F.col("v") - F.col("w")) / F.col("s"), 2)))
-    return rounded(x.join(one, "f").groupBy("key").agg(dist.alias("dist")), 5).orderBy("dist", "key").limit(20)
+    return distances(supplier_features(spark, d)).orderBy("dist", "key").limit(20)
+
+
+@query("m3_farthest_from_one", "SELECT * FROM ds ORDER BY dist DESC, key LIMIT 20", XL, M3)
+def m3_far(spark, d):
+    return distances(supplier_features(spark, d)).orderBy(F.desc("dist"), "key").limit(20)
+
+
+def distances(wide, key: int = 1):
+    """key, dist: standardised Euclidean distance from one entity, gaps at the median; what all rows need is one row of medians, deviations and the entity's own values."""
+    stats = [y for f in FEATURES for y in (F.median(f).alias(f + "_m"), F.stddev_pop(f).alias(f + "_s"), F.max(F.when(F.col("key") == key, F.col(f))).alias(f + "_w"))]
+    x = wide.crossJoin(F.broadcast(wide.agg(*stats)))
+    step = lambda f: F.pow((F.coalesce(f, f + "_m") - F.coalesce(f + "_w", f + "_m")) / F.col(f + "_s"), 2)
+    return rounded(x.select("key", F.sqrt(sum((step(f) for f in FEATURES[1:]), step(FEATURES[0]))).alias("dist")), 5)
 
 
 COVER = "cv AS (SELECT key, avg((v IS NOT NULL)::INT) AS cov, avg((v IS NOT NULL)::INT) FILTER (f IN ('price', 'quantity', 'returned')) AS econ, avg((v IS NOT NULL)::INT) FILTER (f NOT IN ('price', 'quantity', 'returned')) AS ind FROM xl GROUP BY key HAVING avg((v IS NOT NULL)::INT) >= 0.2)"
@@ -421,9 +547,12 @@ def r4(spark, d):
     return f.select("key", F.round("h", 1).alias("risk_score"), (F.col("h") > F.col("s")).alias("risk_floor_applied"))
 
 
-@query("r5_pillar_outputs", "SELECT key, f, round((rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY f) * 10, 6) AS pillar FROM xl WHERE v IS NOT NULL AND f IN ('price', 'tax')", XL)
+@query("r5_pillar_outputs", "SELECT key, f, round((rank() OVER (PARTITION BY f ORDER BY v) + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY f) * 10, 6) AS pillar FROM (SELECT key, f, v FROM xl WHERE v IS NOT NULL AND f IN ('price', 'tax') UNION ALL SELECT key, 'combined', 0.5::DOUBLE * price / 1000 + 0.5::DOUBLE * quantity FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL)", XL)
 def r5(spark, d):
-    x = long_features(spark, d).where("f in ('price', 'tax')")
+    """Each component and the combined one as percentile x 10."""
+    wide = supplier_features(spark, d)
+    both = wide.select("key", F.lit("combined").alias("f"), (0.5 * F.col("price") / 1000 + 0.5 * F.col("quantity")).alias("v"))
+    x = long_features(spark, d).where("f in ('price', 'tax')").unionByName(both)
     return rounded(p.percentile_rank(x, "v", ["f"]).select("key", "f", (F.col("pct") * 10).alias("pillar")))
 
 
@@ -487,12 +616,57 @@ def remarks(last):
     return m.select("e", F.array_compact(F.array(*good)).alias("strengths"), F.array_compact(F.array(*bad)).alias("risks"))
 
 
-@query("r15_commentary", "SELECT e, CASE WHEN price > 36000 THEN 'Price level is above range at ' WHEN price < 35000 THEN 'Price level is below range at ' ELSE 'Price level is in range at ' END || printf('%.0f', floor(price)) AS sentence FROM cm", PN, LATEST, COMMENT)
+#: Bounds of the commentary's measures (good, then warning) and the direction that is good.
+LIMITS = {"capital": (14.0, 10.5, True), "npl": (3.0, 5.0, False), "roe": (10.0, 0.0, True), "liquidity": (40.0, 25.0, True), "growth": (3.0, 0.0, True), "inflation": (3.0, 7.0, False)}
+#: The measures as sums over a nation's latest values, scaled into the bounds' range, and their wording.
+SOURCES = {"capital": ("price", 0.00035, 0.0), "npl": ("returned", 10.0, 0.0), "roe": ("quantity", 1.0, -20.0), "liquidity": ("quantity", 1.3, 0.0), "growth": ("tax", 100.0, -2.0), "inflation": ("discount", 100.0, 0.0)}
+WORDS = {
+    "capital": ("Capital is strong at %.1f%% of assets", "Capital is adequate at %.1f%% of assets", "Capital is weak at %.1f%% of assets"),
+    "npl": ("Bad loans are low at %.1f%%", "Bad loans are moderate at %.1f%%", "Bad loans are high at %.1f%%"),
+    "roe": ("Return on equity is healthy at %.1f%%", "Return on equity is thin at %.1f%%", "Return on equity is negative at %.1f%%"),
+    "liquidity": ("Liquid assets are ample at %.1f%%", "Liquid assets are adequate at %.1f%%", "Liquid assets are short at %.1f%%"),
+    "growth": ("Output grows well at %.1f%%", "Output grows slowly at %.1f%%", "Output shrinks at %.1f%%"),
+    "inflation": ("Prices are stable at %.1f%%", "Prices rise at %.1f%%", "Prices rise fast at %.1f%%"),
+}
+TREND_WORDS = ("%s has improved by %.1f%% over %d periods", "%s has declined by %.1f%% over %d periods", "%s has been stable")
+PEER_WORDS = ("Stands above its peers in %s at percentile %d", "Stands below its peers in %s at percentile %d, median %.1f")
+
+
+def _level_sql(k):
+    good, warn, up = LIMITS[k]
+    op = ">=" if up else "<="
+    return f"CASE WHEN v {op} {good} THEN '{WORDS[k][0]}' WHEN v {op} {warn} THEN '{WORDS[k][1]}' ELSE '{WORDS[k][2]}' END"
+
+
+R15 = """lm AS (SELECT e, i, v, pct, median(v) OVER (PARTITION BY i) AS med FROM pc), tn AS (SELECT e, i, (row_number() OVER (PARTITION BY e, i ORDER BY t) - 1)::DOUBLE AS x, v FROM pn),
+tt AS (SELECT e, i, count(*) AS n, regr_slope(v, x) / abs(avg(v)) * 100 AS sp FROM tn GROUP BY e, i HAVING count(*) >= 4 AND avg(v) <> 0)"""
+
+
+@query("r15_commentary", "SELECT e, topic, sentence FROM (" + " UNION ALL ".join(f"SELECT e, '{k}' AS topic, printf({_level_sql(k)}, v) AS sentence FROM (SELECT e, round(v * {a}::DOUBLE + {b}, 6) + 0.0 AS v FROM la WHERE i = '{i}')" for k, (i, a, b) in SOURCES.items()) + f""" UNION ALL
+  SELECT e, 'trend ' || i, CASE WHEN sp > 2 THEN printf('{TREND_WORDS[0]}', i, round(abs(sp), 6), n) WHEN sp < -2 THEN printf('{TREND_WORDS[1]}', i, round(abs(sp), 6), n) ELSE printf('{TREND_WORDS[2]}', i) END FROM tt UNION ALL
+  SELECT e, 'peers ' || i, CASE WHEN pct * 100 >= 60 THEN printf('{PEER_WORDS[0]}', i, floor(round(pct * 100, 6))::BIGINT) ELSE printf('{PEER_WORDS[1]}', i, floor(round(pct * 100, 6))::BIGINT, round(med, 6)) END FROM lm)""", PN, LATEST, PCT, R15)
 def r15(spark, d):
-    m = p.latest(nation_panel(spark, d)).where("i = 'price'")
-    head = F.when(F.col("v") > 36000, "above").when(F.col("v") < 35000, "below").otherwise("in")
-    text = F.concat(F.lit("Price level is "), head, F.when(head == "in", " range at ").otherwise(" range at "), F.format_string("%d", F.floor("v")))
-    return m.select("e", text.alias("sentence"))
+    """A sentence for each of six measures, the trend and the standing among peers of each indicator, with formatted values."""
+    panel = nation_panel(spark, d)
+    last = p.latest(panel)
+
+    def level(k):
+        (i, a, b), (good, warn, up) = SOURCES[k], LIMITS[k]
+        x = last.where(F.col("i") == i).select("e", (F.round(F.col("v") * a + b, 6) + 0.0).alias("v"))
+        at = (lambda y: F.col("v") >= y) if up else (lambda y: F.col("v") <= y)
+        text = F.when(at(good), F.format_string(WORDS[k][0], "v")).when(at(warn), F.format_string(WORDS[k][1], "v")).otherwise(F.format_string(WORDS[k][2], "v"))
+        return x.select("e", F.lit(k).alias("topic"), text.alias("sentence"))
+
+    out = level("capital")
+    for k in list(SOURCES)[1:]:
+        out = out.unionByName(level(k))
+    change, way = F.round(F.abs("slope_pct"), 6), F.col("slope_pct")
+    trend = F.when(way > 2, F.format_string(TREND_WORDS[0], "i", change, "n")).when(way < -2, F.format_string(TREND_WORDS[1], "i", change, "n")).otherwise(F.format_string(TREND_WORDS[2], "i"))
+    out = out.unionByName(p.trends(panel).where("slope_pct is not null").select("e", F.concat(F.lit("trend "), "i").alias("topic"), trend.alias("sentence")))
+    place, med = F.floor(F.round(F.col("pct") * 100, 6)), F.round("med", 6)
+    peers = p.percentile_rank(last).join(last.groupBy("i").agg(F.median("v").alias("med")), "i")
+    said = F.when(F.col("pct") * 100 >= 60, F.format_string(PEER_WORDS[0], "i", place)).otherwise(F.format_string(PEER_WORDS[1], "i", place, med))
+    return out.unionByName(peers.select("e", F.concat(F.lit("peers "), "i").alias("topic"), said.alias("sentence")))
 
 
 VERDICT = "CASE WHEN len(risks) = 0 AND len(strengths) >= 2 THEN 'strong' WHEN len(risks) >= 2 THEN 'weak' ELSE 'adequate' END"
