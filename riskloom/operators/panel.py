@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SERIES = ("e", "i")
@@ -143,22 +144,14 @@ def moving_average(panel: DataFrame, k: int, name: str = "ma") -> DataFrame:
 
 
 def exponential_average(panel: DataFrame, span: int, adjusted: bool = False) -> DataFrame:
-    """One row for each point with its exponential average; a series' points are folded in order."""
-    alpha = 2.0 / (span + 1)
-    points = F.array_sort(F.collect_list(F.struct("t", "v")))
-    series = panel.where("t is not null and v is not null").groupBy(*SERIES).agg(points.alias("p"))
-    kind = "struct<num:double,den:double,out:array<struct<t:date,v:double,ema:double>>>"
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.array().alias("out")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        if adjusted:
-            num, den = acc["num"] * (1 - alpha) + x["v"], acc["den"] * (1 - alpha) + 1
-        else:
-            num, den = F.when(F.size(acc["out"]) == 0, x["v"]).otherwise((1 - alpha) * acc["num"] + alpha * x["v"]), F.lit(1.0)
-        one = F.struct(x["t"].alias("t"), x["v"].alias("v"), (num / den).alias("ema"))
-        return F.struct(num.alias("num"), den.alias("den"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
-
-    return series.select(*SERIES, F.explode(F.aggregate("p", start, step)["out"]).alias("x")).select(*SERIES, "x.*")
+    """One row for each point with its exponential average, in one pass over each series in order."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["t", "v"])
+        return x.assign(ema=x["v"].ewm(span=span, adjust=adjusted).mean())[["e", "i", "t", "v", "ema"]]
+
+    points = panel.where("t is not null and v is not null").select("e", "i", "t", "v")
+    return points.groupBy(*SERIES).applyInPandas(run, "e string, i string, t date, v double, ema double")
 
 
 def crossovers(panel: DataFrame, short: int = 3, long: int = 8) -> DataFrame:

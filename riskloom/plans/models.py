@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import difflib
-import tempfile
-import uuid
 from collections import Counter
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -18,54 +17,66 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import columns as c
 from ..operators import helpers as h, panel as p
-from .adapters import FEATURES, PN, PU, XL, XS, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
-
-
-def scratch(spark, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, in /tmp where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    base = at.rstrip("/") if at else "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from ..sources import files
+from ..sources.files import scratch
+from .adapters import FEATURES, IV, PN, PU, XL, XS, error_spans, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
+from .series import ECON, INDUSTRY, LATEST, PCT, SCORES
 
 
 # sources and sinks
 
 
-def read_wide(spark, path: str, dataset: str, key: str = "series_key", monthly: bool = True):
-    """The long panel of a wide CSV: period columns by their names, the rest is metadata."""
-    wide = spark.read.csv(path, header=True, inferSchema=False)
-    periods = [x for x in wide.columns if x[:2] in ("19", "20") or x[:1] in ("Q", "M") and x[1:2].isdigit()]
-    long = wide.unpivot([x for x in wide.columns if x not in periods], periods, "period_str", "text")
-    rows = long.withColumn("v", c.clean_number(F.col("text"))).where("v is not null")
-    return rows.select(F.upper(F.substring(c.key_part(F.col(key), 0), 1, 3)).alias("e"), c.key_part(F.col(key), 1).alias("i"), "period_str", c.parse_period(F.col("period_str"), monthly).alias("t"), "v", F.lit(dataset).alias("dataset"))
-
-
 def write_wide(spark, d) -> str:
+    """The nation panel as wide CSV files: a byte-order mark, metadata columns and a column for each quarter there is."""
     x = nation_panel(spark, d).withColumn("period", F.concat(F.year("t").cast("string"), F.lit("-Q"), F.quarter("t").cast("string")))
-    names = [f"{y}-Q{q}" for y in range(1995, 2002) for q in range(1, 5)]
-    x = x.withColumn("series_key", F.concat(F.lpad(F.split_part("e", F.lit("_"), F.lit(2)), 3, "0"), F.lit("."), "i"))
+    number = F.split_part("e", F.lit("_"), F.lit(2))
+    x = x.withColumns({"series_key": F.concat(F.lpad(number, 3, "0"), F.lit("."), "i"), "COUNTRY": F.initcap(F.replace("e", F.lit("_"), F.lit(" "))), "INDICATOR": F.concat(F.lit("Mean "), "i"), "UNIT": F.when(F.col("i") == "price", "US dollar")})
     path = scratch(spark, "wide")
-    x.groupBy("series_key").pivot("period", names).agg(F.first("v")).write.option("header", True).csv(path)
+    wide = x.groupBy(F.lit("PN").alias("\ufeffDATASET"), "series_key", "COUNTRY", "INDICATOR", "UNIT").pivot("period").agg(F.first("v"))
+    files.write_csv(wide, path)
     return path
 
 
-@query("s1_read_wide_csv", "SELECT lpad(split_part(e, '_', 2), 3, '0') AS e, i, t, round(v, 6) + 0.0 AS v, 'pn' AS dataset FROM pn", PN)
+@query("s1_read_wide_csv", "SELECT lpad(split_part(e, '_', 2), 3, '0') AS e, i, 'Nation ' || split_part(e, '_', 2) AS entity_name, 'Mean ' || i AS indicator_name, CASE WHEN i = 'price' THEN 'US dollar' ELSE '' END AS unit, 'Quarterly' AS freq, t, round(v, 6) + 0.0 AS v, 'pn' AS dataset FROM pn", PN)
 def s1(spark, d):
-    return rounded(read_wide(spark, write_wide(spark, d), "pn").select("e", "i", "t", "v", "dataset"))
+    return rounded(files.read_wide(spark, write_wide(spark, d), "pn").drop("period_str"))
 
 
-@query("s2_newest_file", "SELECT 'csv' AS pattern, 1::BIGINT AS newest")
+@query("s1_load_report", "SELECT 'pn' AS dataset, count(*) AS n_rows, count(DISTINCT e) AS n_e FROM pn", PN)
+def s1_report(spark, d):
+    return files.load_report(files.read_wide(spark, write_wide(spark, d), "pn"))
+
+
+@query("s2_newest_file", "SELECT 'fsic' AS dataset, 0 AS place, 'new' AS version, count(*) AS n FROM nation UNION ALL SELECT 'weo', 1, 'late', count(*) FROM region UNION ALL SELECT 'wgi', 1, 'only', count(*) FROM supplier")
 def s2(spark, d):
-    path = write_wide(spark, d)
-    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_modification_time").alias("m")).distinct()
-    return files.select(F.regexp_extract("p", r"\.(csv)$", 1).alias("pattern"), "p", "m").groupBy("pattern").agg(F.max_by("p", "m").alias("p")).select("pattern", F.when(F.col("p").isNotNull(), 1).cast("long").alias("newest"))
+    """Two search folders with files of several ages; what the picked files hold."""
+    first, second = scratch(spark, "first"), scratch(spark, "second")
+    plan = [(first, "fsic_1", "old", "nation"), (second, "fsic_3", "newer, elsewhere", "nation"), (first, "fsic_2", "new", "nation"), (second, "weo_9", "early", "region"), (second, "weo_1", "late", "region"), (second, "wgi", "only", "supplier"), (second, "fsic_4", "newest, elsewhere", "nation")]
+    for folder, name, version, source in plan:
+        rows = table(spark, d, source).agg(F.count(F.lit(1)).alias("n")).select(F.lit(version).alias("version"), "n")
+        files.write_csv(rows.coalesce(1), f"{folder}/{name}")
+    picked = files.newest(spark, [first, second], {"fsic": r"^fsic_.*\.csv$", "weo": r"^weo.*\.csv$", "wgi": r"^wgi/.*\.csv$"})
+    read = lambda folder: spark.read.option("header", True).option("recursiveFileLookup", "true").schema("version string, n long").csv(folder).select("version", "n", F.col("_metadata.file_path").alias("p"))
+    name = lambda x: F.substring_index(x, "/", -1)
+    return picked.join(read(first).unionByName(read(second)), name("path") == name("p")).select("dataset", "place", "version", "n")
+
 
+BALANCE = """bs AS (SELECT n_name, c_mktsegment, o_orderpriority, year(o_orderdate) + 8 AS y, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 
-@query("s3_filtered_sector", "SELECT c_mktsegment AS sector, n_name AS country, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20 WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2")
+
+@query("s3_filtered_sector", "SELECT n_name AS COUNTRY, c_mktsegment AS SECTOR, o_orderpriority AS INDICATOR, CASE WHEN n_nationkey < 20 THEN 'N' || n_nationkey END AS code, y, n FROM bs JOIN nation USING (n_name) WHERE c_mktsegment = 'BUILDING' AND y >= 2000", BALANCE)
 def s3(spark, d):
-    names = F.broadcast(table(spark, d, "nation").where("n_nationkey < 20"))
-    rows = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").join(names, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return rows.groupBy(F.col("c_mktsegment").alias("sector"), F.col("n_name").alias("country")).agg(F.count(F.lit(1)).alias("n"))
+    """A wide table with other sectors, other columns and years before 2000, written and read back for one sector."""
+    nations = table(spark, d, "nation")
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.withColumn("y", F.year("o_orderdate") + 8)
+    wide = rows.groupBy(F.col("n_name").alias("COUNTRY"), F.col("c_mktsegment").alias("SECTOR"), F.lit("a note").alias("NOTE"), F.col("o_orderpriority").alias("INDICATOR"), F.lit(1).alias("1999")).pivot("y").count()
+    path = scratch(spark, "balance")
+    files.write_csv(wide, path)
+    codes = nations.where("n_nationkey < 20").select(F.col("n_name").alias("name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"))
+    got = files.read_balance(spark, path, "BUILDING", codes)
+    years = [x for x in got.columns if x.startswith("20")]
+    return got.unpivot(["COUNTRY", "SECTOR", "INDICATOR", "code"], years, "y", "n").where("n is not null").withColumn("y", F.col("y").cast("long"))
 
 
 @query("s4_merge_dimensions", "SELECT e, year(t)::INT AS y, " + ", ".join(f"round(arg_max(v, t) FILTER (i = '{i}'), 6) + 0.0 AS {i}" for i in ("price", "tax", "returned")) + " FROM pn WHERE v IS NOT NULL GROUP BY 1, 2", PN)
@@ -86,18 +97,71 @@ def s5(spark, d):
 @query("s6_exports", "SELECT e, i, round(v, 6) + 0.0 AS v, t FROM pn ORDER BY e, i, t LIMIT 1000", PN)
 def s6(spark, d):
     path = scratch(spark, "sample")
-    rounded(nation_panel(spark, d)).orderBy("e", "i", "t").limit(1000).write.json(path)
+    files.sample(rounded(nation_panel(spark, d)), "e", "i", "t").write.json(path)
     return spark.read.schema("e string, i string, t date, v double").json(path)
 
 
+COLUMNS = "e string, region string, econ double, industry double, composite double, tier string, price double, quantity double, discount double, tax double, returned double"
+
+
+@query("s6_score_table", "SELECT ec.e, r_name AS region, round(econ, 4) AS econ, round(industry, 4) AS industry, round((econ + industry) / 2, 4) AS composite, CASE WHEN (econ + industry) / 2 >= 50 THEN 'upper' ELSE 'lower' END AS tier, " + ", ".join(f"round(max(v) FILTER (i = '{x}'), 4) + 0.0 AS {x}" for x in ("price", "quantity", "discount", "tax", "returned")) + " FROM ec JOIN ind USING (e) JOIN la USING (e) JOIN nation ON n_name = ec.e JOIN region ON n_regionkey = r_regionkey GROUP BY ec.e, r_name, econ, industry", PN, LATEST, PCT, SCORES)
+def s6_scores(spark, d):
+    """The score table with its eleven columns, as CSV and back."""
+    last = p.latest(nation_panel(spark, d))
+    scores = p.weighted_percentiles(last, ("econ", ECON), ("industry", INDUSTRY)).withColumn("composite", (F.col("econ") + F.col("industry")) / 2)
+    dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("e"), F.col("r_name").alias("region"))
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
+    out = scores.join(dims, "e").join(p.widen(last, {x: x for x in names[6:]}, years=False), "e").withColumn("tier", F.when(F.col("composite") >= 50, "upper").otherwise("lower"))
+    path = scratch(spark, "scores")
+    files.write_csv(rounded(out.select(*names), 4), path)
+    return spark.read.option("header", True).schema(COLUMNS).csv(path)
+
+
+@query("s6_feature_matrix", "SELECT key, " + ", ".join(f"round({f}, 4) + 0.0 AS {f}" for f in FEATURES) + " FROM xs", XS)
+def s6_features(spark, d):
+    """The feature matrix without its period columns, as CSV and back."""
+    wide = supplier_features(spark, d).drop("nation").withColumns({f + "_period": F.lit("1998-12-31") for f in FEATURES})
+    path = scratch(spark, "features")
+    files.write_csv(rounded(files.without_periods(wide), 4), path)
+    return spark.read.option("header", True).schema("key long, " + ", ".join(f"{f} double" for f in FEATURES)).csv(path)
+
+
+@query("s6_loadings")
+def s6_loadings(spark, d):
+    """Each pillar's loadings, as JSON and back."""
+    path = scratch(spark, "loadings")
+    pillars(supplier_features(spark, d))[1].write.json(path)
+    return rounded(spark.read.schema("pillar string, feature string, loading double, share double").json(path), 4)
+
+
 # names
 
 
-@query("j12_similar_names", """SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT p_name AS n FROM part) a JOIN (SELECT DISTINCT p_name AS n FROM part) b ON a.n < b.n AND split_part(a.n, ' ', 1) = split_part(b.n, ' ', 1) AND levenshtein(a.n, b.n) <= 4""")
+def within_distance(names, k: int = 4):
+    """a, b: all pairs a < b of the distinct names n at an edit distance of k at most.
+
+    Of a name cut into k + 1 even parts one is left whole by k edits, and stands at most k places further in the other name:
+    the parts of a name meet the pieces of that length of every name that is as long or up to k longer.
+    """
+    n = names.select("n").where("n is not null").distinct().withColumn("l", F.length("n"))
+    begin = lambda i, length: F.floor(i * length / (k + 1)).cast("int")
+    piece = lambda i, length: begin(i + 1, length) - begin(i, length)
+    parts = n.select(F.col("n").alias("short"), F.col("l"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.substring("n", begin(i, F.col("l")) + 1, piece(i, F.col("l"))))).alias("i", "s"))
+    other = n.select(F.col("n").alias("long"), F.col("l").alias("ll"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("l") - k), F.col("l"))).alias("l"))
+    other = other.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("at", F.explode(F.sequence(F.lit(-k), F.lit(k)))).withColumn("from", begin(F.col("i"), F.col("l")) + F.col("at"))
+    other = other.where("from >= 0 and from <= ll").select("long", "l", "i", F.substring("long", F.col("from") + 1, piece(F.col("i"), F.col("l"))).alias("s")).distinct()
+    pairs = parts.join(other, ["l", "i", "s"]).where("short <> long").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
+    return pairs.where(F.levenshtein("a", "b") <= k)
+
+
+@query("j12_similar_names", """SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT p_name AS n FROM part) a JOIN (SELECT DISTINCT p_name AS n FROM part) b ON a.n < b.n AND levenshtein(a.n, b.n) <= 4""")
 def j12(spark, d):
-    n = table(spark, d, "part").select(F.col("p_name").alias("n")).distinct().withColumn("k", F.split_part("n", F.lit(" "), F.lit(1)))
-    a, b = n.withColumnRenamed("n", "a"), n.withColumnRenamed("n", "b")
-    return a.join(b, "k").where("a < b").where(F.levenshtein("a", "b") <= 4).select("a", "b")
+    return within_distance(table(spark, d, "part").select(F.col("p_name").alias("n")))
+
+
+@query("j12_similar_product_names", """SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT p_type || p_brand || p_name AS n FROM part) a JOIN (SELECT DISTINCT p_type || p_brand || p_name AS n FROM part) b ON a.n < b.n AND levenshtein(a.n, b.n) <= 2 WHERE length(a.n) - length(b.n) BETWEEN -2 AND 2""")
+def j12_long(spark, d):
+    return within_distance(table(spark, d, "part").select(F.concat("p_type", "p_brand", "p_name").alias("n")), 2)
 
 
 def similar_by_ratio(names, least: float = 0.9):
@@ -146,7 +210,23 @@ def w6_p(spark, d):
     return rounded(p.trends(user_panel(spark, d)).select("e", "i", "n", "r2", tail("r2", "n").alias("p")))
 
 
-@query("w13_smoothed")
+def _smooth_sql() -> str:
+    """The smoothing of helpers.smooth as weights by place in the series, for series of any length."""
+    cases = []
+    for w in (3, 5, 7):
+        fit = np.vander(np.arange(w), 3)
+        hat = fit @ np.linalg.pinv(fit)
+        half = w // 2
+        row = lambda k, first: " + ".join(f"({float(x)!r})::DOUBLE * v[{first} + {m + 1}]" for m, x in enumerate(hat[k]))  # noqa: E731, B023
+        when = {3: "n = 5", 5: "n BETWEEN 6 AND 7", 7: "n >= 8"}[w]
+        for k in range(half):
+            cases.append(f"WHEN {when} AND x = {k} THEN {row(k, 0)}")
+            cases.append(f"WHEN {when} AND x = n - {half} + {k} THEN {row(half + 1 + k, f'n - {w}')}")
+        cases.append(f"WHEN {when} THEN {row(half, f'x - {half}')}")
+    return "CASE WHEN n < 5 THEN v[x + 1] " + " ".join(cases) + " END"
+
+
+@query("w13_smoothed", f"SELECT e, i, t, round({_smooth_sql()}, 6) + 0.0 AS smooth FROM (SELECT e, i, t, row_number() OVER (PARTITION BY e, i ORDER BY t) - 1 AS x, count(*) OVER (PARTITION BY e, i) AS n, list(v ORDER BY t) OVER (PARTITION BY e, i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM pn)", PN)
 def w13(spark, d):
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("t")
@@ -155,19 +235,46 @@ def w13(spark, d):
     return rounded(nation_panel(spark, d).where("v is not null").groupBy("e", "i").applyInPandas(run, "e string, i string, t date, smooth double"))
 
 
-@query("i2_spline_fill")
-def i2(spark, d):
+def spline_fill(panel):
+    """e, i, t, v, confidence: gaps of each series (e, i, t, v) from the cubic spline through its points, lines for fewer than four.
+
+    Confidence is 1 for real points, else max(0.1, 1 - distance to the nearest / 5); 0.1 for a series of one point, 0 without any.
+    """
+
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("t")
         at, v = x["x"].to_numpy(float), x["v"].to_numpy(float)
-        have = ~np.isnan(v)
-        if have.any():
-            v = np.where(have, v, h.spline(at[have], v[have], at)) if have.sum() > 1 else np.full(len(v), v[have][0])
-        return x.assign(v=v)[["e", "i", "t", "v"]]
+        have = np.flatnonzero(~np.isnan(v))
+        sure = np.zeros(len(v))
+        if len(have) == 1:
+            v, sure = np.full(len(v), v[have[0]]), np.full(len(v), 0.1)
+        elif len(have):
+            k = np.searchsorted(at[have], at)
+            near = np.minimum(np.abs(at - at[have][np.maximum(k - 1, 0)]), np.abs(at - at[have][np.minimum(k, len(have) - 1)]))
+            v, sure = np.where(np.isnan(v), h.spline(at[have], v[have], at), v), np.maximum(0.1, 1 - near / 5)
+        sure[have] = 1.0
+        return x.assign(v=v, confidence=sure)[["e", "i", "t", "v", "confidence"]]
+
+    timed = panel.withColumn("x", F.year("t") + F.month("t") / 12)
+    return timed.groupBy("e", "i").applyInPandas(run, "e string, i string, t date, v double, confidence double")
 
-    n = nation_panel(spark, d).withColumn("x", F.year("t") + F.month("t") / 12)
-    sparse = n.withColumn("v", F.when((F.length("e") + F.month("t") + F.year("t")) % 3 != 0, F.col("v")))
-    return rounded(sparse.groupBy("e", "i").applyInPandas(run, "e string, i string, t date, v double"), 5)
+
+#: A cubic through every series' own points, with a third of the points missing: the spline gives the cubic back, also beyond the edges.
+CUBIC = "cu AS (SELECT e, i, t, year(t) + month(t) / 12::DOUBLE AS x, length(i) AS k, (length(e) + month(t) + year(t)) % 3 <> 0 AS real FROM pn), cx AS (SELECT *, max(CASE WHEN real THEN x END) OVER b AS l, min(CASE WHEN real THEN x END) OVER a AS f, count(CASE WHEN real THEN 1 END) OVER (PARTITION BY e, i) AS n FROM cu WINDOW b AS (PARTITION BY e, i ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY e, i ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+
+
+@query("i2_spline_of_cubics", "SELECT e, i, t, round(pow(x - 1995, 3) - k * pow(x - 1995, 2) + 2, 5) + 0.0 AS v, round(CASE WHEN real THEN 1.0 ELSE greatest(0.1, 1 - least(coalesce(x - l, 1e9), coalesce(f - x, 1e9)) / 5) END, 5)::DOUBLE AS confidence FROM cx WHERE n >= 4", PN, CUBIC)
+def i2_cubic(spark, d):
+    x = F.year("t") + F.month("t") / 12 - 1995
+    n = nation_panel(spark, d)
+    real = (F.length("e") + F.month("t") + F.year("t")) % 3 != 0
+    return rounded(spline_fill(n.withColumn("v", F.when(real, F.pow(x, 3) - F.length("i") * F.pow(x, 2) + 2))), 5)
+
+
+@query("i2_spline_fill")
+def i2(spark, d):
+    n = nation_panel(spark, d)
+    return rounded(spline_fill(n.withColumn("v", F.when((F.length("e") + F.month("t") + F.year("t")) % 3 != 0, F.col("v")))), 5)
 
 
 # blocks of rows
@@ -253,28 +360,82 @@ def i5(spark, d):
     return rounded(gram_fill(supplier_features(spark, d), FEATURES), 4)
 
 
+def hybrid_fill(panel, features):
+    """e, t, i, v, confidence, how for every (e, t) of the panel and every feature: the mean of duplicates, gaps along time first,
+    what is left from neighbours, then from the low-rank fit. The least confidence of the steps that made a value counts."""
+    timed = p.fill_gaps(panel.where(F.col("i").isin(*features)))
+    real = panel.where("v is not null").select("e", "i", "t").distinct().withColumn("real", F.lit(True))
+    cells = timed.join(real, ["e", "i", "t"], "left").withColumn("key", F.xxhash64("e", "t"))
+    path = scratch(panel.sparkSession, "cells")
+    cells.write.parquet(path)  # three fills read them
+    cells = panel.sparkSession.read.parquet(path)
+    wide = cells.groupBy("key").pivot("i", list(features)).agg(F.first("v"))
+    near, low = knn_fill(wide, features), gram_fill(wide, features)
+    out = cells.join(near.select("key", F.col("f").alias("i"), F.col("v").alias("v2"), F.col("confidence").alias("c2")), ["key", "i"], "left").join(low.select("key", F.col("f").alias("i"), F.col("v").alias("v3"), F.col("confidence").alias("c3")), ["key", "i"], "left")
+    how = F.when(F.col("real"), "real").when(F.col("v").isNotNull(), "temporal").when(F.col("v2").isNotNull(), "neighbours").when(F.col("v3").isNotNull(), "low rank").otherwise("none")
+    sure = F.when(F.col("v").isNotNull(), F.col("confidence")).when(F.col("v2").isNotNull(), F.col("c2")).otherwise(F.least("c2", "c3"))
+    return out.select("e", "t", "i", F.coalesce("v", "v2", "v3").alias("v"), sure.alias("confidence"), how.alias("how"))
+
+
+def _gappy(spark, d):
+    """The nation panel without a third of its points and without a whole series of some nations."""
+    n = nation_panel(spark, d)
+    return n.where("(length(e) + month(t) + year(t)) % 3 <> 0 and not (i = 'tax' and e like '%7')")
+
+
 @query("i6_hybrid_fill")
 def i6(spark, d):
-    """Gaps first from neighbours, what is left from the low-rank fit; the lower confidence counts."""
-    wide = supplier_features(spark, d)
-    near, low = knn_fill(wide, FEATURES), gram_fill(wide, FEATURES).select("key", "f", F.col("v").alias("v2"), F.col("confidence").alias("c2"))
-    both = wide.unpivot(["key"], list(FEATURES), "f", "raw").join(near, ["key", "f"], "left").join(low, ["key", "f"], "left")
-    how = F.when(F.col("raw").isNotNull(), "real").when(F.col("v").isNotNull(), "neighbours").when(F.col("v2").isNotNull(), "low rank").otherwise("none")
-    sure = F.when(F.col("raw").isNotNull(), 1.0).when(F.col("v").isNotNull(), F.col("confidence")).otherwise(F.least("confidence", "c2"))
-    out = both.select("f", how.alias("how"), sure.alias("sure"))
-    return rounded(out.groupBy("f", "how").agg(F.count(F.lit(1)).alias("n"), F.avg("sure").alias("confidence")))
+    return rounded(hybrid_fill(_gappy(spark, d), ("price", "quantity", "discount", "tax", "returned")), 4)
+
+
+@query("i6_hybrid_stats", """SELECT 'all' AS cells, count(*) AS n, count(*) - count(v) AS missing_before, (count(*) FILTER (v IS NULL AND k > 0))::BIGINT AS temporal, (count(*) FILTER (v IS NULL AND k = 0))::BIGINT AS neighbours, count(*) AS filled FROM
+  (SELECT g.i, g.t, z.e, h.v, count(h.v) OVER (PARTITION BY z.e, g.i) AS k FROM (SELECT DISTINCT i, t FROM ps) g CROSS JOIN (SELECT DISTINCT e FROM ps) z LEFT JOIN ps h ON h.e = z.e AND h.i = g.i AND h.t = g.t)""", PN, "ps AS (SELECT * FROM pn WHERE (length(e) + month(t) + year(t)) % 3 <> 0 AND NOT (i = 'tax' AND e LIKE '%7'))")
+def i6_stats(spark, d):
+    x = hybrid_fill(_gappy(spark, d), ("price", "quantity", "discount", "tax", "returned"))
+    n = lambda how: F.count(F.when(F.col("how") == how, 1))
+    return x.agg(F.lit("all").alias("cells"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - n("real")).alias("missing_before"), n("temporal").alias("temporal"), n("neighbours").alias("neighbours"), F.count("v").alias("filled"))
 
 
 @query("m11_nearest_peers", """SELECT key, peer, place FROM (SELECT a.key, b.key AS peer, row_number() OVER (PARTITION BY a.key ORDER BY round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6), b.key) AS place FROM (SELECT key, price / 1000 AS x, quantity AS y FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL) a JOIN (SELECT key, price / 1000 AS x, quantity AS y FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL) b ON a.key <> b.key) WHERE place <= 4""", XS)
 def m11(spark, d):
-    """All entities' nearest peers on two pillars, block against block."""
-    x = supplier_features(spark, d).where("price is not null and quantity is not null").select("key", (F.col("price") / 1000).alias("x"), F.col("quantity").alias("y"))
-    blocks = x.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(8))).groupBy("b").agg(F.collect_list(F.struct("key", "x", "y")).alias("rows"))
-    pairs = x.join(blocks.select("rows"), F.lit(True))
-    dist = lambda r: F.round(F.sqrt(F.pow(F.col("x") - r["x"], 2) + F.pow(F.col("y") - r["y"], 2)), 6)
-    near = F.slice(F.array_sort(F.transform(F.filter("rows", lambda r: r["key"] != F.col("key")), lambda r: F.struct(dist(r).alias("d"), r["key"].alias("peer")))), 1, 4)
-    every = pairs.select("key", F.explode(near).alias("n")).select("key", "n.d", "n.peer")
-    return every.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("d", "peer")).cast("long")).where("place <= 4").select("key", "peer", "place")
+    x = supplier_features(spark, d).where("price is not null and quantity is not null")
+    return nearest_peers(x.select("key", (F.col("price") / 1000).alias("x"), F.col("quantity").alias("y")))
+
+
+def nearest_peers(points, k: int = 4, block: int = 1000):
+    """key, peer, place: the k nearest others of each point (key, x, y) by rounded distance, then key.
+
+    Points are cut into strips at quantiles of x and these into blocks at quantiles of y, of about `block` points. The k nearest of a
+    point are no further than its block is wide (if it holds more than k points), so a block meets only the blocks that are
+    as near as that; each pair of blocks gives the k best of its points, Spark merges them.
+    """
+    strips = max(1, round((points.count() / block) ** 0.5))
+    cuts = lambda c: F.percentile_approx(c, [(m + 1) / strips for m in range(strips - 1)], 10_000) if strips > 1 else F.array().cast("array<double>")
+    below = lambda cs, v: F.size(F.filter(cs, lambda c: c < F.col(v)))
+    a = points.crossJoin(F.broadcast(points.agg(cuts("x").alias("cx")))).withColumn("sx", below("cx", "x")).drop("cx")  # one row
+    a = a.join(F.broadcast(a.groupBy("sx").agg(cuts("y").alias("cy"))), "sx").withColumn("b", F.col("sx") * strips + below("cy", "y"))  # a row for each strip
+    rows = a.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("key", "x", "y"))).alias("rows"), *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n"))
+    path = scratch(points.sparkSession, "blocks")
+    rows.write.parquet(path)
+    rows = points.sparkSession.read.parquet(path)
+    one = rows.select(F.col("b").alias("b1"), *[F.col(f"{n}{c}").alias(f"{n}{c}1") for c in "xy" for n in ("lo", "hi")], F.col("n").alias("n1"))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(f"hi{c}1"), F.col(f"lo{c}1") - F.col(f"hi{c}"))
+    wide = F.when(F.col("n1") > k, F.hypot(F.col("hix1") - F.col("lox1"), F.col("hiy1") - F.col("loy1")) + 1e-5)
+    near = one.join(rows.drop("rows"), F.coalesce(F.hypot(gap("x"), gap("y")) <= wide, F.lit(True))).select("b1", F.col("b").alias("b2"))
+    pairs = near.join(rows.select(F.col("b").alias("b1"), F.col("rows").alias("r1")), "b1").join(rows.select(F.col("b").alias("b2"), F.col("rows").alias("r2")), "b2")
+
+    def run(batches):
+        for batch in batches:
+            for r1, r2 in zip(batch["r1"], batch["r2"], strict=True):
+                (ka, xa, ya), (kb, xb, yb) = (tuple(np.array([r[c] for r in r_]) for c in ("key", "x", "y")) for r_ in (r1, r2))
+                dist = np.hypot(xa[:, None] - xb[None, :], ya[:, None] - yb[None, :])
+                dist[ka[:, None] == kb[None, :]] = np.inf
+                far = np.partition(dist, min(k, len(kb) - 1), axis=1)[:, min(k, len(kb) - 1)] + 1e-5  # ties after rounding come along
+                i, j = np.nonzero((dist <= far[:, None]) & np.isfinite(dist))
+                yield pd.DataFrame({"key": ka[i], "d": dist[i, j], "peer": kb[j]})
+
+    every = pairs.select("r1", "r2").mapInPandas(run, "key long, d double, peer long").withColumn("d", F.round("d", 6))
+    return every.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("d", "peer")).cast("long")).where(F.col("place") <= k).select("key", "peer", "place")
 
 
 # pyspark.ml
@@ -299,13 +460,49 @@ def first_component(wide, names):
     return scored, float(model.explainedVariance[0]), load * sign
 
 
+def pillars(wide):
+    """Each pillar's scores (pillar, key, pc1), loadings (pillar, feature, loading, share): economic, industry, combined."""
+    scores, loads = None, []
+    for name, own in (("economic", FEATURES[:3]), ("industry", FEATURES[3:]), ("combined", FEATURES)):
+        x, share, load = first_component(wide, own)
+        part = x.select(F.lit(name).alias("pillar"), "key", "pc1")
+        scores = part if scores is None else scores.unionByName(part)
+        loads += [(name, f, float(v), share) for f, v in zip(own, load, strict=True)]
+    return scores, wide.sparkSession.createDataFrame(loads, "pillar string, feature string, loading double, share double")
+
+
 @query("m4_first_components")
 def m4(spark, d):
+    scores, _ = pillars(supplier_features(spark, d))
+    return rounded(scores.groupBy("key").pivot("pillar", ["economic", "industry", "combined"]).agg(F.first("pc1")), 4)
+
+
+@query("m4_loadings")
+def m4_loadings(spark, d):
+    return rounded(pillars(supplier_features(spark, d))[1], 4)
+
+
+Z2 = "zf AS (SELECT key, " + ", ".join(f"coalesce({f}, quantile_disc({f}, 0.5) OVER ()) AS {f}" for f in FEATURES[:2]) + " FROM xs), zz AS (SELECT key, " + ", ".join(f"({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER () AS {f}" for f in FEATURES[:2]) + ", corr(price, quantity) OVER () AS r FROM zf)"
+
+
+@query("m4_component_of_two", "SELECT key, round(abs(price + CASE WHEN r < 0 THEN -1 ELSE 1 END * quantity) / sqrt(2), 4) AS size, round((1 + abs(r)) / 2, 4) AS share FROM zz", XS, Z2)
+def m4_two(spark, d):
+    """Two features have a closed form: the component is their sum or difference over the root of 2, its share (1 + |r|) / 2."""
+    pc, share, _ = first_component(supplier_features(spark, d), FEATURES[:2])
+    return rounded(pc.select("key", F.abs("pc1").alias("size"), F.lit(share).alias("share")), 4)
+
+
+@query("m5_component_of_two", "SELECT key, round((price + CASE WHEN r < 0 THEN -1 ELSE 1 END * quantity) / sqrt(2), 4) + 0.0 AS pc1 FROM zz", XS, Z2)
+def m5_two(spark, d):
     wide = supplier_features(spark, d)
-    econ, share, _ = first_component(wide, FEATURES[:3])
-    industry, share2, _ = first_component(wide, FEATURES[3:])
-    out = econ.withColumnRenamed("pc1", "econ").join(industry.withColumnRenamed("pc1", "industry"), "key")
-    return rounded(out.withColumns({"econ_share": F.lit(share), "industry_share": F.lit(share2)}), 4)
+    anchor = assembled(wide).select("key", vector_to_array("x")[0].alias("anchor"))
+    return rounded(oriented(first_component(wide, FEATURES[:2])[0].join(anchor, "key")).select("key", "pc1"), 4)
+
+
+def oriented(x):
+    """x (key, pc1, anchor) with pc1 turned so that it rises with the anchor, and |r|."""
+    r = F.broadcast(x.agg(F.corr("pc1", "anchor").alias("r")))  # one row
+    return x.crossJoin(r).select("key", F.when(F.col("r") < 0, -F.col("pc1")).otherwise(F.col("pc1")).alias("pc1"), F.abs("r").alias("r"))
 
 
 @query("m5_oriented_components")
@@ -313,9 +510,7 @@ def m5(spark, d):
     """The component turned so that it rises with the anchor, log10 of the balance."""
     wide = supplier_features(spark, d)
     pc, _, _ = first_component(wide, FEATURES[:3])
-    anchored = pc.join(wide.select("key", F.log10(F.greatest(F.col("balance"), F.lit(100.0))).alias("anchor")), "key")
-    r = F.broadcast(anchored.agg(F.corr("pc1", "anchor").alias("r")))
-    return rounded(anchored.join(r).select("key", F.when(F.col("r") < 0, -F.col("pc1")).otherwise(F.col("pc1")).alias("pc1"), F.abs("r").alias("r")), 4)
+    return rounded(oriented(pc.join(wide.select("key", F.log10(F.greatest(F.col("balance"), F.lit(100.0))).alias("anchor")), "key")), 4)
 
 
 @query("m6_cluster_matrix", """SELECT key, round(max(v) FILTER (f = 'price'), 6) + 0.0 AS price, round(max(-v) FILTER (f = 'tax'), 6) + 0.0 AS tax, round(max(v) FILTER (f = 'balance'), 6) + 0.0 AS balance FROM xl WHERE f IN (SELECT f FROM xl GROUP BY f HAVING avg((v IS NOT NULL)::INT) > 0.5) AND f IN ('price', 'tax', 'balance') GROUP BY key HAVING avg((v IS NOT NULL)::INT) > 0.3""", XL)
@@ -359,34 +554,88 @@ def m8(spark, d):
     return rounded(importance(clustered(spark, d)), 4)
 
 
-@query("m9_cluster_scores")
-def m9(spark, d):
+@query("m7_cluster_checks", "SELECT count(*) AS n, 5::BIGINT AS clusters, true AS ordered, true AS nearest FROM supplier")
+def m7_checks(spark, d):
+    """Every entity has one of five clusters, whose mean values fall with their number, and no other centre is nearer than its own."""
     x = clustered(spark, d)
-    long = x.select("key", "cluster", F.posexplode("x").alias("f", "v")).join(F.broadcast(importance(x)), "f")
+    cells = x.select("key", "cluster", F.posexplode("x").alias("f", "v"))
+    centre = cells.groupBy("cluster", "f").agg(F.avg("v").alias("m"))
+    means = centre.groupBy("cluster").agg(F.avg("m").alias("m")).agg(F.array_sort(F.collect_list(F.struct("cluster", "m"))).alias("l"))  # five rows
+    ordered = means.select(F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.get("l", k)["m"] <= F.get("l", k - 1)["m"] + 1e-9).alias("ordered"))
+    far = cells.withColumnRenamed("cluster", "own").join(centre, "f").groupBy("key", "own", "cluster").agg(F.sum(F.pow(F.col("v") - F.col("m"), 2)).alias("d"))
+    good = far.groupBy("key", "own").agg((F.min("d") >= F.min(F.when(F.col("own") == F.col("cluster"), F.col("d"))) - 0.05 * F.min("d") - 1e-6).alias("ok"))
+    return good.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("own").alias("clusters"), F.bool_and("ok").alias("nearest")).crossJoin(ordered)
+
+
+BINNED = "mb AS (SELECT key % 3 AS cluster, f, (SELECT count(*) FROM (SELECT unnest(cuts) AS c) WHERE c < v) AS bin FROM (SELECT key, f, coalesce(v, 0) AS v FROM xl) JOIN (SELECT f, quantile_disc(coalesce(v, 0), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM xl GROUP BY f) USING (f)), mj AS (SELECT f, bin, cluster, count(*)::DOUBLE AS c FROM mb GROUP BY ALL), mi AS (SELECT f, sum(p * ln(p / (pb * pc))) AS mi FROM (SELECT f, c / sum(c) OVER (PARTITION BY f) AS p, sum(c) OVER (PARTITION BY f, bin) / sum(c) OVER (PARTITION BY f) AS pb, sum(c) OVER (PARTITION BY f, cluster) / sum(c) OVER (PARTITION BY f) AS pc FROM mj) GROUP BY f)"
+
+
+@query("m8_information_of_labels", "SELECT CASE f " + " ".join(f"WHEN '{f}' THEN {k}" for k, f in enumerate(FEATURES)) + " END AS f, round(mi / max(mi) OVER (), 5) + 0.0 AS importance FROM mi", XL, BINNED)
+def m8_labels(spark, d):
+    """The same measure for labels that SQL has, too."""
+    x = supplier_features(spark, d).select("key", (F.col("key") % 3).alias("cluster"), F.array(*[F.coalesce(f, F.lit(0.0)) for f in FEATURES]).alias("x"))
+    return rounded(importance(x), 5)
+
+
+def cluster_scores(x, wide, k: int = 5):
+    """key, score, confidence, tier: the cluster's base score moved by importance x scaled value x 5, in 0..100; confidence is the filled share."""
+    long = x.select("key", "cluster", F.posexplode("x").alias("f", "v")).join(F.broadcast(importance(x)), "f")  # a row for each feature
     s = long.groupBy("key", "cluster").agg(F.sum(F.col("importance") * F.col("v") * 5).alias("a"))
-    score = c.clip(100 - F.col("cluster") / 4 * 70 + F.col("a"), 0.0, 100.0)
-    return rounded(s.withColumn("score", score).select("key", "score", c.tier_from(F.col("score"), (80, 65, 50, 35), ["very low", "low", "medium", "high", "very high"]).alias("tier")), 3)
+    score = c.clip(100 - F.col("cluster") / (k - 1) * 70 + F.col("a"), 0.0, 100.0)
+    filled = wide.select("key", (sum((F.col(f).isNotNull().cast("int") for f in FEATURES[1:]), F.col(FEATURES[0]).isNotNull().cast("int")) / len(FEATURES)).alias("confidence"))
+    return s.join(filled, "key").select("key", score.alias("score"), "confidence").withColumn("tier", c.tier_from(F.col("score"), (80, 65, 50, 35), ["very low", "low", "medium", "high", "very high"]))
+
+
+@query("m9_cluster_scores")
+def m9(spark, d):
+    return rounded(cluster_scores(clustered(spark, d), supplier_features(spark, d)), 3)
+
 
+def key_drivers(x, weights, top: int = 5):
+    """key, f, z, weight, risk, place: the features (key, f, v) whose distance from the median in deviations, times the feature's weight, is largest."""
+    x = x.where("v is not null").join(x.groupBy("f").agg(F.median("v").alias("m"), F.stddev_samp("v").alias("s")), "f").join(weights, "f")
+    x = x.withColumn("z", F.round((F.col("v") - F.col("m")) / F.col("s"), 5)).withColumn("weight", F.round(F.col("importance") * F.abs("z"), 6))
+    x = x.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "f")).cast("long")).where(F.col("place") <= top)
+    return rounded(x.select("key", "f", "z", "weight", (F.col("z") < -0.5).alias("risk"), "place"))
 
-@query("m10_key_drivers", """SELECT key, f, round(z, 5) + 0.0 AS z, z < -0.5 AS risk, place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(round(z, 5)) DESC, f) AS place FROM (SELECT key, f, (v - m) / s AS z FROM xl JOIN (SELECT f, median(v) AS m, stddev_samp(v) AS s FROM xl GROUP BY f) USING (f) WHERE v IS NOT NULL)) WHERE place <= 5""", XL)
+
+WEIGHTS = {"price": 1.0, "quantity": 0.5, "discount": 0.2, "tax": 0.7, "returned": 0.6, "balance": 0.4}
+
+
+@query("m10_key_drivers", """SELECT key, f, z + 0.0 AS z, w AS weight, z < -0.5 AS risk, place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY w DESC, f) AS place FROM (SELECT key, f, z, round(g * abs(z), 6) AS w FROM (SELECT key, f, round((v - m) / s, 5) AS z FROM xl JOIN (SELECT f, median(v) AS m, stddev_samp(v) AS s FROM xl GROUP BY f) USING (f) WHERE v IS NOT NULL) JOIN (VALUES """ + ", ".join(f"('{f}', {v}::DOUBLE)" for f, v in WEIGHTS.items()) + """) q(f, g) USING (f))) WHERE place <= 5""", XL)
 def m10(spark, d):
-    x = long_features(spark, d)
-    x = x.where("v is not null").join(x.groupBy("f").agg(F.median("v").alias("m"), F.stddev_samp("v").alias("s")), "f").withColumn("z", F.round((F.col("v") - F.col("m")) / F.col("s"), 5))
-    x = x.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(F.desc(F.abs("z")), "f")).cast("long")).where("place <= 5")
-    return rounded(x.select("key", "f", "z", (F.col("z") < -0.5).alias("risk"), "place"))
+    return key_drivers(long_features(spark, d), spark.createDataFrame(list(WEIGHTS.items()), "f string, importance double"))
+
+
+@query("m10_model_drivers")
+def m10_model(spark, d):
+    """The same with the importances of the clusters."""
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    return key_drivers(long_features(spark, d), importance(clustered(spark, d)).select(F.get(names, F.col("f")).alias("f"), "importance"))
+
+
+BASE_DAY, HORIZON, ROUNDS = 1475, 3, 100
+KINDS = ("click", "error", "purchase", "signup", "view")
 
 
 def labelled(spark, d):
-    """Supplier features with a label (many returns) and a weight that evens out the classes."""
-    x = supplier_features(spark, d).withColumn("label", (F.coalesce("returned", F.lit(0.0)) > 0.34).cast("double"))
-    w = F.broadcast(x.agg((F.sum(1 - F.col("label")) / F.greatest(F.sum("label"), F.lit(1.0))).alias("w")))
-    return x.join(w).withColumn("weight", F.when(F.col("label") == 1, F.col("w")).otherwise(1.0)).drop("w")
+    """key, five features of each user up to the base day, the label (an error in the days after it, J5) and the classes' weights; settled."""
+    day = F.datediff(F.to_date("ts"), F.lit("2020-01-01").cast("date"))
+    before = table(spark, d, "events").where(day <= BASE_DAY).groupBy(F.col("user_id").alias("key")).pivot("event_type", list(KINDS)).agg(F.avg("value"))
+    hit = (F.col("start") <= BASE_DAY + HORIZON) & (F.col("end") >= BASE_DAY + 1)
+    label = error_spans(spark, d).groupBy(F.col("e").alias("key")).agg(F.max(hit.cast("double")).alias("label"))
+    path = scratch(spark, "labelled")
+    before.join(label, "key", "left").fillna(0.0, ["label"]).write.parquet(path)
+    x = spark.read.parquet(path)
+    w = F.broadcast(x.agg((F.sum(1 - F.col("label")) / F.greatest(F.sum("label"), F.lit(1.0))).alias("w")))  # one row
+    return x.crossJoin(w).withColumn("weight", F.when(F.col("label") == 1, F.col("w")).otherwise(1.0)).drop("w")
 
 
-def fitted(train, rounds: int = 10):
-    filled = [f + "_" for f in FEATURES[:4]]
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.1, weightCol="weight", seed=42, featuresCol="x")
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=list(FEATURES[:4]), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), RobustScaler(inputCol="raw", outputCol="x", withCentering=True), gbt]).fit(train)
+def fitted(train, rounds: int = ROUNDS):
+    """Boosted trees on median-filled, robustly scaled features; what fills and scales is learned from train."""
+    filled = [f + "_" for f in KINDS]
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.1, weightCol="weight", seed=42, featuresCol="x", cacheNodeIds=True, checkpointInterval=-1)
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=list(KINDS), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), RobustScaler(inputCol="raw", outputCol="x", withCentering=True), gbt]).fit(train)
 
 
 def probabilities(model, x):
@@ -400,26 +649,103 @@ def roc(scored):
     return p.running(g, "p", ["pos", "neg"]).select("p", share("pos").alias("tpr"), share("neg").alias("fpr"))
 
 
-def auc(scored):
-    ranked = p.percentile_rank(scored, "p", [])
+def auc(scored, by=()):
+    by = list(by)
+    ranked = p.percentile_rank(scored, "p", by)
     n1, n = F.sum("label"), F.count(F.lit(1))
-    return ranked.agg(F.try_divide(F.sum(F.col("label") * F.col("pct")) * n - n1 * (n1 + 1) / 2, n1 * (n - n1)).alias("auc"))
+    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("label") * F.col("pct")) * n - n1 * (n1 + 1) / 2, n1 * (n - n1)).alias("auc"))
+
+
+GRID = 99
+
+
+def mean_curve(scored):
+    """fpr, tpr on a grid of 100 points: the folds' curves (fold, label, p), each a straight line between its points, averaged; from 0 to 1."""
+    g = scored.groupBy("fold", "p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    share = lambda x: F.try_divide(F.col(f"all_{x}") - F.col(f"before_{x}"), F.col(f"all_{x}"))
+    points = p.running(g, "p", ["pos", "neg"], ["fold"]).select("fold", share("neg").alias("x"), share("pos").alias("y"))
+    start = points.select("fold").distinct().select("fold", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    cell = F.ceil(F.round(F.col("x") * GRID, 9)).cast("int")  # the first grid point at or after x
+    cells = points.unionByName(start).groupBy("fold", cell.alias("k")).agg(F.max(F.struct("x", "y")).alias("hi"), F.min(F.struct("x", "y")).alias("lo"))
+    every = start.select("fold", F.explode(F.sequence(F.lit(0), F.lit(GRID))).alias("k")).join(cells, ["fold", "k"], "left")  # 100 rows of each fold
+    order = W.partitionBy("fold").orderBy("k")
+    every = every.withColumns({"a": F.max("hi").over(order.rowsBetween(W.unboundedPreceding, 0)), "b": F.min("lo").over(order.rowsBetween(1, W.unboundedFollowing))})
+    x = F.col("k") / GRID
+    y = F.when(F.col("b").isNull() | (F.col("b.x") == F.col("a.x")), F.col("a.y")).otherwise(F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (x - F.col("a.x")) / (F.col("b.x") - F.col("a.x")))
+    mean = every.select("fold", "k", y.alias("y")).groupBy("k").agg(F.avg("y").alias("y"))
+    return mean.select((F.col("k") / GRID).alias("fpr"), F.when(F.col("k") == 0, 0.0).when(F.col("k") == GRID, 1.0).otherwise(F.col("y")).alias("tpr"))
+
+
+def area(curve):
+    """The area under (fpr, tpr) by trapezoids; 100 rows."""
+    order = W.partitionBy().orderBy("fpr")
+    step = (F.col("fpr") - F.lag("fpr").over(order)) * (F.col("tpr") + F.lag("tpr").over(order)) / 2
+    return curve.select(step.alias("s")).agg(F.sum("s").alias("auc"))
+
+
+def cross_validated(x, seed: int = 42, rounds: int = ROUNDS):
+    """key, label, p, fold: every row scored by a model of the other folds; k = min(5, smaller class), 2 at least. The fits run side by side."""
+    small = x.groupBy("label").count().agg(F.min("count")).first()[0] or 0
+    k = max(2, min(5, small))
+    spark, path = x.sparkSession, scratch(x.sparkSession, "folds")
+    fold = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("key", F.lit(seed)))) % k
+    x.withColumn("fold", fold).write.parquet(path)
+    x = spark.read.parquet(path)
+    with ThreadPool(k) as pool:
+        parts = pool.map(lambda i: probabilities(fitted(x.where(F.col("fold") != i), rounds), x.where(F.col("fold") == i)).withColumn("fold", F.lit(i)), range(k))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    path = scratch(spark, "scored")
+    every.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("m12_labels", f"SELECT u.key, max(CASE WHEN s <= {BASE_DAY + HORIZON} AND z >= {BASE_DAY + 1} THEN 1.0 ELSE 0.0 END)::DOUBLE AS label FROM (SELECT DISTINCT user_id AS key FROM events WHERE (ts::DATE - DATE '2020-01-01') <= {BASE_DAY}) u LEFT JOIN iv ON iv.e = u.key GROUP BY 1", IV)
+def m12_labels(spark, d):
+    return labelled(spark, d).select("key", "label")
 
 
 @query("m12_event_classifier")
 def m12(spark, d):
+    """Each user's probability from models of the other folds, and the class at 0.5."""
+    return rounded(cross_validated(labelled(spark, d)).withColumn("predicted", (F.col("p") >= 0.5).cast("int")), 4)
+
+
+@query("m12_trained_classifier")
+def m12_trained(spark, d):
+    """One model of all users, and what it says of them."""
     x = labelled(spark, d)
     return rounded(probabilities(fitted(x), x).withColumn("predicted", (F.col("p") >= 0.5).cast("int")), 4)
 
 
 @query("m13_cross_validated_auc")
-def m13(spark, d, k: int = 3):
-    x = labelled(spark, d).withColumn("fold", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("key", F.lit(42)))) % k)
-    parts = [auc(probabilities(fitted(x.where(F.col("fold") != i), 5), x.where(F.col("fold") == i))).withColumn("fold", F.lit(i)) for i in range(k)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return rounded(every.agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"), F.count("auc").alias("folds")), 4)
+def m13(spark, d):
+    """The area under the folds' mean curve, the deviation of the folds' areas, and the number of folds."""
+    scored = cross_validated(labelled(spark, d))
+    each = auc(scored, ["fold"]).agg(F.stddev_pop("auc").alias("std_auc"), F.count("auc").alias("folds"))
+    return rounded(area(mean_curve(scored)).select(F.col("auc").alias("mean_auc")).crossJoin(each), 4)
+
+
+def _scores(spark, d):
+    return table(spark, d, "part").select((F.col("p_partkey") % 3).alias("fold"), F.col("p_size").cast("double").alias("p"), (F.col("p_partkey") % 7 < F.col("p_size") / 20).cast("double").alias("label"))
+
+
+MEAN_CURVE = """sc AS (SELECT p_partkey % 3 AS fold, p_size::DOUBLE AS p, (p_partkey % 7 < p_size / 20.0::DOUBLE)::INT AS l FROM part), gp AS (SELECT fold, p, sum(l) AS pos, sum(1 - l) AS neg FROM sc GROUP BY 1, 2),
+pt AS (SELECT fold, sum(neg) OVER (PARTITION BY fold ORDER BY p DESC)::DOUBLE / sum(neg) OVER (PARTITION BY fold) AS x, sum(pos) OVER (PARTITION BY fold ORDER BY p DESC)::DOUBLE / sum(pos) OVER (PARTITION BY fold) AS y FROM gp UNION ALL SELECT DISTINCT fold, 0.0, 0.0 FROM sc),
+gd AS (SELECT fold, k, k / 99.0::DOUBLE AS g FROM (SELECT DISTINCT fold FROM sc), (SELECT unnest(range(100)) AS k)),
+lh AS (SELECT gd.fold, k, g, max({'x': x, 'y': y}) FILTER (round(x * 99, 9) <= k) AS a, min({'x': x, 'y': y}) FILTER (round(x * 99, 9) > k) AS b FROM gd JOIN pt ON pt.fold = gd.fold GROUP BY 1, 2, 3),
+mc AS (SELECT k, g AS fpr, CASE WHEN k = 0 THEN 0.0 WHEN k = 99 THEN 1.0 ELSE avg(CASE WHEN b IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (g - a.x) / (b.x - a.x) END) END AS tpr FROM lh GROUP BY 1, 2)"""
+
+
+@query("m14_mean_curve", "SELECT round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM mc", MEAN_CURVE)
+def m14_mean(spark, d):
+    return rounded(mean_curve(_scores(spark, d)))
+
+
+@query("m14_area_of_mean_curve", "SELECT round(sum(s), 6) AS auc FROM (SELECT (fpr - lag(fpr) OVER (ORDER BY k)) * (tpr + lag(tpr) OVER (ORDER BY k)) / 2 AS s FROM mc)", MEAN_CURVE)
+def m14_area(spark, d):
+    return rounded(area(mean_curve(_scores(spark, d))))
 
 
 @query("m14_roc_curve", """SELECT p, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM (SELECT p, sum(pos) OVER (ORDER BY p DESC) / sum(pos) OVER () AS tpr, sum(neg) OVER (ORDER BY p DESC) / sum(neg) OVER () AS fpr FROM (SELECT p_size::DOUBLE AS p, sum(l)::DOUBLE AS pos, sum(1 - l)::DOUBLE AS neg FROM (SELECT p_size, (p_partkey % 3 = 0)::INT AS l FROM part) GROUP BY 1))""")
@@ -433,6 +759,20 @@ def m15(spark, d):
     return table(spark, d, "part").groupBy((F.col("p_partkey") % 3 == 0).cast("int").alias("label"), (F.col("p_size") >= 25).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m15_metrics", """SELECT round((sum(l * r) - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) AS auc, round(avg((l = q)::INT), 6) AS accuracy, sum(l * q)::BIGINT AS tp, sum((1 - l) * q)::BIGINT AS fp, sum(l * (1 - q))::BIGINT AS fn, sum((1 - l) * (1 - q))::BIGINT AS tn
+  FROM (SELECT l, q, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r, (sum(l) OVER ())::DOUBLE AS n1, (count(*) OVER ())::DOUBLE AS n FROM (SELECT p_size / 51.0::DOUBLE AS p, (p_size >= 25.5)::INT AS q, (p_partkey % 7 < p_size / 20.0::DOUBLE)::INT AS l FROM part)) GROUP BY n1, n""")
+def m15_metrics(spark, d):
+    return rounded(evaluated(_scores(spark, d).withColumn("p", F.col("p") / 51)))
+
+
+def evaluated(scored, limit: float = 0.5):
+    """One row: the area, the accuracy and the four counts of scored rows (label, p)."""
+    q = (F.col("p") >= limit).cast("int")
+    one = lambda a, b: F.count(F.when((F.col("label") == a) & (q == b), 1))
+    counts = scored.agg(F.avg((F.col("label") == q).cast("int")).alias("accuracy"), one(1, 1).alias("tp"), one(0, 1).alias("fp"), one(1, 0).alias("fn"), one(0, 0).alias("tn"))
+    return auc(scored).crossJoin(counts)
+
+
 @query("m14_auc", """SELECT round((sum(l * r) - n1 * (n1 + 1) / 2) / (n1 * (n - n1)), 6) AS auc FROM (SELECT l, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r, (sum(l) OVER ())::DOUBLE AS n1, (count(*) OVER ())::DOUBLE AS n FROM (SELECT p_size AS p, (p_partkey % 3 = 0)::INT AS l FROM part)) GROUP BY n1, n""")
 def m14_auc(spark, d):
     return rounded(auc(table(spark, d, "part").select(F.col("p_size").cast("double").alias("p"), (F.col("p_partkey") % 3 == 0).cast("double").alias("label"))))
@@ -442,7 +782,7 @@ def m14_auc(spark, d):
 def m16(spark, d):
     got = fitted(labelled(spark, d)).stages[-1].featureImportances.toArray()
     top = max(got.max(), 1e-12)
-    rows = [(f, float(v / top)) for f, v in zip(FEATURES[:4], got, strict=True)]
+    rows = [(f, float(v / top)) for f, v in zip(KINDS, got, strict=True)]
     return rounded(spark.createDataFrame(rows, "f string, importance double").orderBy(F.desc("importance"), "f").limit(10), 4)
 
 

@@ -1 +1 @@
-"""riskloom.sources"""
+"""Reading and writing files."""

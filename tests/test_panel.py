@@ -139,3 +139,75 @@ def test_sequence_ratio_of_all_pairs(spark):
     got = models.similar_by_ratio(spark.createDataFrame([(x,) for x in [*names, *base, None]], "n string")).collect()
     assert len(got) == len(want) and {(r["a"], r["b"]): r["ratio"] for r in got} == want
     assert any(a.split(" ")[0] != b.split(" ")[0] for a, b in want)
+
+
+def test_nearest_peers_in_blocks(spark):
+    from riskloom.plans.models import nearest_peers
+
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(30, 0.1, (60, 2)), np.zeros((20, 2)), [[500.0, 500.0]]])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "key long, x double, y double")
+    d = np.round(np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]), 6)
+    want = {(i, p, k + 1) for i in range(len(xy)) for k, p in enumerate([p for p in np.lexsort((np.arange(len(xy)), d[i])) if p != i][:4])}
+    for block in (10, 10_000):
+        assert {tuple(r) for r in nearest_peers(points, block=block).collect()} == want
+
+
+def test_running_sums_do_not_depend_on_bins(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 37) % 101).cast("double").alias("v"), F.col("id").alias("c")).groupBy("g", "v").agg(F.sum("c").alias("c"))
+    want, all_rows = {}, rows.collect()
+    for r in all_rows:
+        want[r["g"], r["v"]] = sum(x["c"] for x in all_rows if x["g"] == r["g"] and x["v"] < r["v"])
+    for bins in (2, 7, 64):
+        assert {(r["g"], r["v"]): r["before_c"] for r in p.running(rows, "v", ["c"], ["g"], bins).collect()} == want
+
+
+def test_low_rank_fill_by_force(spark):
+    from riskloom.plans.models import gram_fill
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 5)) + rng.normal(size=(40, 5)) * 0.01
+    x[rng.random(x.shape) < 0.15] = np.nan
+    names = [f"f{k}" for k in range(5)]
+    wide = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "key long, " + ", ".join(f"{n} double" for n in names))
+    start = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+    m = start.mean(axis=1, keepdims=True)
+    u, s, vt = np.linalg.svd(start - m, full_matrices=False)
+    fit = (u[:, :2] * s[:2]) @ vt[:2] + m
+    got = {(r["key"], r["f"]): r["v"] for r in gram_fill(wide, names, rank=2).collect()}
+    assert set(got) == {(i, names[j]) for i, j in zip(*np.nonzero(np.isnan(x)), strict=True)}
+    assert all(abs(v - fit[i, names.index(f)]) < 1e-8 for (i, f), v in got.items())
+
+
+def test_hybrid_fill_keeps_real_cells_and_fills_by_steps(spark):
+    from riskloom.plans.models import hybrid_fill
+
+    rows = [(f"e{k}", i, dt.date(2000 + y, 12, 31), float(10 * k + y + j)) for k in range(4) for j, i in enumerate(("a", "b", "c")) for y in range(6) if not (k == 1 and i == "b") and not (k == 2 and y == 3)]
+    got = {(r["e"], r["i"], r["t"].year): r for r in hybrid_fill(spark.createDataFrame(rows, "e string, i string, t date, v double"), ("a", "b", "c")).collect()}
+    assert len(got) == 4 * 3 * 6
+    for e, i, t, v in rows:
+        assert (got[e, i, t.year]["v"], got[e, i, t.year]["how"], got[e, i, t.year]["confidence"]) == (v, "real", 1.0)
+    assert (got["e2", "a", 2003]["v"], got["e2", "a", 2003]["how"], got["e2", "a", 2003]["confidence"]) == (23.0, "temporal", 0.8)
+    assert {got["e1", "b", 2000 + y]["how"] for y in range(6)} == {"neighbours"} and got["e1", "b", 2000]["confidence"] == 0.7
+
+
+def test_spline_confidence(spark):
+    from riskloom.plans.models import spline_fill
+
+    got = spline_fill(series(spark, [1.0, 8.0, None, 64.0, 125.0, None])).orderBy("t").collect()
+    assert [round(r["v"], 6) for r in got] == [1, 8, 27, 64, 125, 216]
+    assert [round(r["confidence"], 6) for r in got] == [1, 1, 0.8, 1, 1, 0.8]
+    assert [r["confidence"] for r in spline_fill(series(spark, [None, 3.0])).orderBy("t").collect()] == [0.1, 1.0]
+    assert [(r["v"], r["confidence"]) for r in spline_fill(series(spark, [None, None])).collect()] == [(None, 0.0)] * 2
+
+
+def test_folds_score_rows_they_were_not_trained_on(spark):
+    from riskloom.plans import models as m
+
+    rows = [(i, *[float(i % 7 + k) for k in range(5)], float(i % 4 == 0), 1.0) for i in range(40)]
+    x = spark.createDataFrame(rows, "key long, " + ", ".join(f"{k} double" for k in m.KINDS) + ", label double, weight double")
+    scored = m.cross_validated(x, rounds=2).collect()
+    assert len(scored) == 40 and {r["fold"] for r in scored} == set(range(5))
+    assert all(sum(r["label"] for r in scored if r["fold"] == f) == 2 for f in range(5))
+    curve = m.mean_curve(spark.createDataFrame([(0, 1.0, 0.9), (0, 0.0, 0.1)], "fold int, label double, p double"))
+    assert abs(m.area(curve).first()[0] - 1) < 1e-2
