@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("riskloom.llm")
-from riskloom.llm import langid, media, minhash, mixing, packing, suffix_dedup, topk, urlfilter, warc  # noqa: E402
+from riskloom.llm import langid, licenses, media, minhash, mixing, packing, suffix_dedup, topk, urlfilter, warc  # noqa: E402
 
 CLASHES = ["_id", "_spans", "_gone", "_mix", "_row", "_source", "_size", "_key", "_bucket", "_doc", "_crc", "_position", "id", "n", "comp", "kg", "band", "part", "rank", "length"]
 LONG = "some words that go on and on in a long line " * 30
@@ -144,3 +144,105 @@ def test_minhash_with_thousands_of_unlike_sets_in_a_bucket(spark):
     assert [(r["a"], r["b"]) for r in minhash._candidates(sets, 75).collect()] == [(9000, 77)]
     got = minhash.near_duplicates(docs).where("not kept").collect()
     assert [(r["doc_id"], r["component_id"]) for r in got] == [(9000, 77)]
+
+
+def test_language_id_of_odd_rows(spark, docs):
+    rows = [(i, f"{'the cat sat on the mat and ' if i % 2 else 'le chat est sur la table et '}{i}", "en" if i % 2 else "fr", None, None) for i in range(60)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(i).alias(x) for i, x in enumerate(CLASHES)])
+    both = docs.unionByName(more)
+    model = langid.train(both)
+    assert {x for x, _ in model} == {"en", "fr"}
+    got = langid.predict(both, model)
+    assert got.count() == 67 and got.where("doc_id is null").count() == 3
+    kept = langid.keep_identified(spark, both)
+    assert kept.columns == both.columns and kept.where("text is null or text = ''").count() == 0
+    tie = [("a", b"x" * 300), ("b", b"x" * 300)]
+    assert {(r["score"], r["rejected"]) for r in langid.predict(more, tie).collect()} == {(0.0, True)}
+    long = spark.createDataFrame([(1, "le chat est sur la table et " * 60_000)], "doc_id long, text string")
+    assert langid.predict(long, model).first()["lang_pred"] == "fr"
+    none = both.limit(0)
+    assert langid.train(none) == [] and langid.predict(none, model).count() == 0 and langid.keep_identified(spark, none).count() == 0
+
+
+def test_language_id_query_by_independent_compression(spark, tmp_path):
+    import zlib
+
+    import zstandard
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet")).collect()
+    model = langid.train(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    for r in langid.op1_language_id(spark, str(tmp_path)).collect():
+        text = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if not text or not any(ch.isalpha() for ch in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        raw, sizes = text.lower().encode(), {}
+        for lang, body in model:
+            d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            one = lambda x, d=d: len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+            sizes[lang] = sum(one(raw[k : k + langid.BLOCK]) - one(b"") for k in range(0, len(raw), langid.BLOCK))
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[r["lang_pred"]] == best and abs(r["score"] - (second - best) / second) < 1e-9
+
+
+def test_license_scan_of_odd_rows(spark, docs):
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, notice), (1, notice), (None, notice), (2, LONG * 900 + "\n\n" + notice), (3, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("family", F.lit("mine")).withColumn("families", F.lit(1))
+    model = licenses.train(docs, epochs=5)
+    got = licenses.scan(table, model).collect()
+    assert [(r["doc_id"], r["family"]) for r in got if r["family"]] == [(1, "Apache-2.0"), (1, "Apache-2.0"), (None, "Apache-2.0"), (2, "Apache-2.0")]
+    assert licenses.scan(table.limit(0), model).count() == 0 and len(licenses.train(table.limit(0), epochs=2).keys) > 0
+
+
+def test_license_families_of_notices_that_no_template_has(spark):
+    """Recall and precision on wordings of other authors, held out from the templates."""
+    notices = {
+        "MIT": ["This project is released under the terms of the MIT license.", "The code is available under the MIT License, see LICENSE for details."],
+        "Apache-2.0": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 since this file is licensed under the Apache License, Version 2.0", "Distributed under the Apache License, Version 2.0 (the License)"],
+        "GPL": ["This file is free software, you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation."],
+    }
+    clean = ["The license plate of the car was found by the public near the general store.", "She studied at MIT and later wrote about the Apache people.", "Rights of way are reserved for cyclists and the general public.", "Permission was granted to the school to use the hall free of charge."]
+    rows = [(f, x) for f, every in notices.items() for x in every] + [(None, x) for x in clean]
+    docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, text string")
+    got = [r["family"] for r in licenses.scan(docs, licenses.train(docs, epochs=20)).orderBy("doc_id").collect()]
+    right = sum(g == w for g, (w, _) in zip(got, rows, strict=True) if w)
+    assert right >= 4 and all(g is None for g, (w, _) in zip(got, rows, strict=True) if w is None), got
+
+
+def test_url_filter_of_empty_tables_and_equal_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string")
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+    both = urlfilter.judge(pages, [("allow", "org/"), ("block", "org/")]).orderBy("page_id").collect()
+    assert [(r["_rule"], r["_verdict"]) for r in both] == [("org/", "block"), (None, "allow")]  # of equal rules the blocking one
+    assert urlfilter.judge(pages, []).where("_verdict = 'allow'").count() == 2
+
+
+def test_media_digests_by_force(spark, docs, tmp_path):
+    import hashlib
+    import math
+    import struct
+    import zipfile
+    import zlib
+
+    manifest = media.write_archives(docs, str(tmp_path / "m"))
+    stored = [(z.namelist()[k], z.read(x)) for r in manifest.collect() for z in [zipfile.ZipFile(r["path"])] for k, x in enumerate(z.infolist())]
+    got = media.digests(media.read_archives(spark, str(tmp_path / "m"))).collect()
+    assert sorted((r["media_bytes"], r["media_sha256"]) for r in got) == sorted((len(b), hashlib.sha256(b).hexdigest()) for _, b in stored)
+    for name, body in stored:
+        at = body.index(b"IDAT")
+        (n,) = struct.unpack(">I", body[at - 4 : at])
+        lines = zlib.decompress(body[at + 4 : at + 4 + n])
+        payload = b"".join(lines[k + 1 : k + 65] for k in range(0, len(lines), 65))
+        r = next(x for x in got if x["media_sha256"] == hashlib.sha256(body).hexdigest())
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        mean = sum(payload) / len(payload)
+        std = math.sqrt(max(0.0, sum(x * x for x in payload) / len(payload) - mean * mean))
+        entropy = -sum(c / len(payload) * math.log2(c / len(payload)) for c in (payload.count(x) for x in set(payload)))
+        step = sum(abs(a - b) for a, b in zip(payload[1:], payload, strict=False)) / max(1, len(payload) - 1)
+        want = f"mean={mean:.3f};std={std:.3f};entropy={abs(entropy):.3f};zero={payload.count(0) / len(payload):.4f};step={step:.3f}"
+        assert r["feature"] == want
+    empty = media.write_archives(docs.limit(0), str(tmp_path / "e"))
+    assert media.digests(media.read_archives(spark, str(tmp_path / "e"), manifest=empty.settled_at)).count() == 0
