@@ -79,8 +79,10 @@ def running(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str
 
 
 def percentile_rank(rows: DataFrame, value: str = "v", by: Sequence[str] = ("i",), name: str = "pct") -> DataFrame:
-    """rows with a non-null value and their mean rank over the count, ties averaged; equal values are counted before they are ordered."""
-    good = rows.where(F.col(value).isNotNull())
+    """rows with a non-null value (and group) and their mean rank over the count, ties averaged; equal values are counted before they are ordered."""
+    good = rows
+    for x in (value, *by):
+        good = good.where(F.col(x).isNotNull())
     counts = running(good.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), value, ["_c"], by)
     pct = (F.col("before__c") + (F.col("_c") + 1) / 2) / F.col("all__c")
     return good.join(counts.select(*by, value, pct.alias(name)), [*by, value])
