@@ -28,8 +28,8 @@ from . import _common as c, _text as t
 
 #: Documents whose paragraphs are examples of the unknown class, at most.
 SAMPLES = 400
-#: Lines of a sampled document that training reads.
-LINES = 8
+#: Lines of a sampled document that training reads, and characters of a line: what reaches the driver is bounded.
+LINES, LINE_CHARS = 8, 4000
 WINDOW, STEP = 24, 12
 P_LEAST, CONFIRM = 0.5, 0.6
 EPOCHS, COPIES = 60, 40
@@ -170,9 +170,9 @@ def examples(negatives: list[str], seed: int = 4) -> list[tuple[int, str]]:
 
 def train(docs: DataFrame, samples: int = SAMPLES, epochs: int = EPOCHS, lines: int = LINES) -> Model:
     """The classifier. The bounded sample it is fitted on: of at most `samples` documents, those with the smallest hash of their
-    id, `lines` lines, the first ones, with 2 * WINDOW words of each give paragraphs of no family."""
+    id, `lines` lines, the first ones, with 2 * WINDOW words (and LINE_CHARS characters) of each give paragraphs of no family."""
     usable = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull())
-    picked = usable.select("doc_id", F.xxhash64("doc_id").alias("m"), F.slice(F.split("text", "\n"), 1, lines).alias("p")).orderBy("m", "doc_id", "p").limit(samples).collect()
+    picked = usable.select("doc_id", F.xxhash64("doc_id").alias("m"), F.transform(F.slice(F.split("text", "\n"), 1, lines), lambda x: F.substring(x, 1, LINE_CHARS)).alias("p")).orderBy("m", "doc_id", "p").limit(samples).collect()
     rows = [{"p": p} for _, p in sorted({r["doc_id"]: r["p"] for r in reversed(picked)}.items())]
     pairs = [(f, _of_text(x)[1]) for f, family in enumerate(FAMILIES) if f for x in TEMPLATES[family]]
     known = np.unique(np.concatenate([p for _, p in pairs]))
