@@ -112,7 +112,25 @@ class Model:
         others = {f: np.concatenate([p for g, p in templates if g != f] or [keys[:0]]) for f, _ in templates}
         #: Of each template, the pairs that no other family has.
         self.own = [np.setdiff1d(p, others[f]) for f, p in templates]
-        self.every_own = np.unique(np.concatenate(self.own or [keys[:0]]))
+        self.counts = [self._places(sets) for sets in ([p for _, p in templates], self.own)]
+
+    def _places(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Which features are in which of the sets of pairs, and how many features make up CONFIRM of each set (at least one)."""
+        inside = np.stack([np.isin(self.keys, x) for x in sets], axis=1) if sets else np.zeros((len(self.keys), 0), bool)
+        others = np.array([len(x) for x in sets], np.int64) - inside.sum(axis=0)  # pairs that aren't features might all be there
+        need = np.array([max(1, CONFIRM * len(x)) for x in sets]) - others
+        return inside, np.where([len(x) > 0 for x in sets], need, np.inf)
+
+    def may_hold(self, window: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """Which of n windows have enough of a template's pairs for `held`, from the distinct (window, feature) rows, sorted by window."""
+        enough = True
+        for inside, need in self.counts:
+            some = np.flatnonzero(inside.any(axis=1)[feature])
+            total = np.zeros((n, inside.shape[1]), np.int64)
+            row, which = np.nonzero(inside[feature[some]])
+            np.add.at(total, (window[some][row], which), 1)
+            enough = enough & (total >= need)
+        return enough.any(axis=1)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are features, and which ones."""
@@ -228,25 +246,21 @@ def _found(model: Model, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
     at, feature = np.concatenate([at1, at2]), np.concatenate([f1, f2])
     first = np.searchsorted(paragraph, paragraph[at])
     place = at - first
-    named = at2[np.isin(two[at2], model.every_own)]
     out = []
     for shift in (0, STEP):  # two tilings of each paragraph
         window = (first << 32) + (place + shift) // WINDOW
         names, inverse = np.unique(window, return_inverse=True)
         # a feature counts once in a window
-        seen = np.unique(np.stack([inverse, feature]), axis=1)
-        logits = np.tile(model.bias, (len(names), 1))
-        np.add.at(logits, seen[0], model.weights[seen[1]])
-        p = model.probabilities(logits)
+        w_of, f_of = np.divmod(np.unique(inverse * len(model.keys) + feature), len(model.keys))
+        p = model.probabilities(model.bias + np.add.reduceat(model.weights[f_of], np.searchsorted(w_of, np.arange(len(names))), axis=0))
         best = p.argmax(axis=1)
         sure = (best > 0) & (p[np.arange(len(best)), best] >= P_LEAST)
-        compare = sure.copy()
-        compare[inverse[np.isin(at, named)]] = True
-        for w in np.flatnonzero(compare):
+        maybe = model.may_hold(w_of, f_of, len(names))
+        for w in np.flatnonzero(sure | maybe):
             mine = at[inverse == w]
             lo, hi = mine.min(), mine.max() + 1
             pairs = np.unique(two[lo:hi])
-            families = model.held(pairs)
+            families = model.held(pairs) if maybe[w] else set()
             if sure[w] and int(best[w]) not in families and model.confirmed(int(best[w]), pairs):
                 near = slice(max(0, lo - STEP), hi + STEP)  # a window may hold only a part of another family's notice
                 around = np.unique(two[near][paragraph[near] == paragraph[lo]])
