@@ -119,13 +119,14 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     while True:
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
         around = both(edges)
-        low = c.settle(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
-        large = around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        near = c.settle(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        large = around.where("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = c.settle(large, name)
         # small star: smaller neighbours and the node itself are linked to the smallest
         low = c.settle(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = c.settle(small, name)
+        before, edges = edges, c.settle(small, name)
+        c.forget(before, near, large, low)
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
         if state == seen:
             break
