@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,15 @@ def test_packing_with_many_parts(spark):
     assert len(got) == 500 and len({(r["sequence_id"], r["offset"]) for r in got}) == 500
 
 
+def test_packing_plan_stays_small():
+    rng = np.random.default_rng(3)
+    for most in (1, 3, 1000, 10**9):
+        counts = {n: int(k) for n, k in enumerate(rng.integers(1, most + 1, 1024), 1)}
+        steps = packing.supersteps(counts)
+        assert len(steps) <= 4 * 1024 * 12
+        assert sum(x[2] for x in steps) == sum(counts.values())
+
+
 def test_archives_that_no_manifest_names_are_not_read(spark, docs, tmp_path):
     folder = str(tmp_path / "m")
     manifest = media.write_archives(docs, folder)
