@@ -112,28 +112,30 @@ def full_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """node, comp: the smallest node reachable, for every node of edges (a, b); alternating large and small stars."""
+    """node, comp: the smallest node reachable, for every node of edges (a, b); alternating large and small stars until every group is one star."""
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = c.settle(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = None
-    while True:
+    while not _stars(edges):
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
         around = both(edges)
         near = c.settle(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         large = around.where("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = c.settle(large, name)
         # small star: smaller neighbours and the node itself are linked to the smallest
-        low = c.settle(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         before, edges = edges, c.settle(small, name)
-        c.forget(before, near, large, low)
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
-        if state == seen:
-            break
-        seen = state
+        c.forget(before, near, large)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node of the distinct edges (a, b), a > b, has larger neighbours only, or one neighbour that is such a node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("k"))
+    return per.where("up > 1 or (up = 1 and k > 1)").count() == 0
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, sim (inter, union) of pairs (a, b) by their full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
@@ -166,7 +168,7 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     apart = star.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = c.settle(_confirmed(_between(apart, comp), sets, percent), "tried")
     tried = tried.unionByName(more)
-    comp = _with_all(components(tried.where("ok")), involved)
+    comp = _linked(comp, more.where("ok"))
 
     # buckets that still hold several groups: their classes are compared by their rarest shingles
     placed = c.settle(member.join(comp.select(F.col("node").alias("id"), "comp"), "id"), "placed")
@@ -186,8 +188,7 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     most = F.least(shared_bits + F.least("x.slack", "y.slack"), "x.n", "y.n")
     alike = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
     last = c.settle(_confirmed(both.where(~apart & alike).select("a", "b"), sets, percent), "tried")
-    links = tried.where("ok").select("a", "b").unionByName(last.where("ok").select("a", "b"))
-    return _labelled(sig, classes, components(links))
+    return _labelled(sig, classes, _linked(comp, last.where("ok")))
 
 
 def _several(rows: DataFrame, key: str) -> DataFrame:
@@ -226,10 +227,17 @@ def _with_all(comp: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose two nodes are in different groups."""
+    """The pairs whose two nodes are in different groups, ca and cb."""
     a = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     b = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b", "ca", "cb")
+
+
+def _linked(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp with the groups that links (a, b) connect made one: a search among groups, whose members take no part in it."""
+    up = components(_between(links.select("a", "b"), comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    up = c.settle(up.select(F.col("node").alias("comp"), F.col("comp").alias("first")), "up")
+    return c.settle(c.join_by_size(comp, up, "comp", "left").select("node", F.coalesce("first", "comp").alias("comp")), "comp")
 
 
 def _labelled(sig: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:

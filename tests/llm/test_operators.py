@@ -127,6 +127,21 @@ def test_minhash_on_empty_table(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("edges", [[(5, 5)], [(i, i + 1) for i in range(9)], [(i * 7919 % 31, i * 104729 % 29) for i in range(24)] + [(-(2**63), 4)]])
+def test_components_by_force(spark, edges):
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    pairs = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(map(tuple, minhash.components(pairs).collect())) == sorted(root.items())
+    # the same in two steps: groups of the first half, then what the rest links
+    nodes = spark.createDataFrame([(x,) for x in root], "id long")
+    half = minhash._with_all(minhash.components(spark.createDataFrame(edges[::2], "a long, b long")), nodes)
+    assert sorted(map(tuple, minhash._linked(half, spark.createDataFrame(edges[1::2], "a long, b long")).collect())) == sorted(root.items())
+
+
 def test_warc_round_trip(spark):
     trap = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     htmls = [None, "", "one", "two" * 400, "one", trap * 3, "x" + trap, "one"]
