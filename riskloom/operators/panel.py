@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .long_series import exponential_average, smoothed, spline_fill
+from .quantiles import column_medians, percentile_rank, quantiles, running
+from .tables import settle
+
+__all__ = ["column_medians", "exponential_average", "percentile_rank", "quantiles", "running", "smoothed", "spline_fill"]
 SERIES = ("e", "i")
 
 
@@ -58,40 +62,10 @@ def coverage(panel: DataFrame, *keys: str, other: str) -> DataFrame:
     return panel.groupBy(*keys).agg(F.countDistinct(other).alias(f"n_{other}"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def running(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), bins: int = 64) -> DataFrame:
-    """counts (one row for each value of a group) with each sum over the group's smaller values (before_x) and over all (all_x).
-
-    A group is cut into bins at approximate quantiles, which any row tells from its value alone: bins are summed first, then the
-    rows of a bin are ordered by themselves, so no task orders a whole group.
-    """
-    cuts = F.percentile_approx(value, [k / bins for k in range(1, bins)], 10_000).alias("_cuts")
-    cuts = counts.groupBy(*by).agg(cuts)
-    placed = counts.join(cuts, list(by)) if by else counts.crossJoin(F.broadcast(cuts))  # one row
-    placed = placed.withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
-    keys = [*by, "_bin"]
-    whole = placed.groupBy(*keys).agg(*[F.sum(x).alias(f"_sum_{x}") for x in sums])
-    over = W.partitionBy(*by)  # `bins` rows of each group
-    ahead = over.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    whole = whole.select(*keys, *[F.coalesce(F.sum(f"_sum_{x}").over(ahead), F.lit(0)).alias(f"_first_{x}") for x in sums], *[F.sum(f"_sum_{x}").over(over).alias(f"all_{x}") for x in sums])
-    inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumns({f"_in_{x}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).join(whole, keys)
-    return placed.withColumns({f"before_{x}": F.col(f"_first_{x}") + F.col(f"_in_{x}") for x in sums}).drop("_bin", *[f"{k}_{x}" for k in ("_first", "_in") for x in sums])
-
-
-def percentile_rank(rows: DataFrame, value: str = "v", by: Sequence[str] = ("i",), name: str = "pct") -> DataFrame:
-    """rows with a non-null value (and group) and their mean rank over the count, ties averaged; equal values are counted before they are ordered."""
-    good = rows
-    for x in (value, *by):
-        good = good.where(F.col(x).isNotNull())
-    counts = running(good.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), value, ["_c"], by)
-    pct = (F.col("before__c") + (F.col("_c") + 1) / 2) / F.col("all__c")
-    return good.join(counts.select(*by, value, pct.alias(name)), [*by, value])
-
-
 def weighted_percentiles(last: DataFrame, *scores: tuple[str, dict[str, float]]) -> DataFrame:
     """e and, for each (name, weights), the mean over the entity's indicators of percentile x 100 x |weight|; a negative weight turns
     the percentile. An entity without any of a score's indicators has null there. All scores share one ranking."""
-    ranked = percentile_rank(last.where(F.col("i").isin(*{i for _, weights in scores for i in weights})))
+    ranked = percentile_rank(settle(last.where(F.col("i").isin(*{i for _, weights in scores for i in weights})), "latest"))
 
     def mean(weights: dict[str, float]) -> Column:
         w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("i")]
@@ -145,17 +119,6 @@ def moving_average(panel: DataFrame, k: int, name: str = "ma") -> DataFrame:
     return panel.withColumn(name, F.avg("v").over(W.partitionBy(*SERIES).orderBy("t").rowsBetween(-(k - 1), 0)))
 
 
-def exponential_average(panel: DataFrame, span: int, adjusted: bool = False) -> DataFrame:
-    """One row for each point with its exponential average, in one pass over each series in order."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["t", "v"])
-        return x.assign(ema=x["v"].ewm(span=span, adjust=adjusted).mean())[["e", "i", "t", "v", "ema"]]
-
-    points = panel.where("t is not null and v is not null").select("e", "i", "t", "v")
-    return points.groupBy(*SERIES).applyInPandas(run, "e string, i string, t date, v double, ema double")
-
-
 def crossovers(panel: DataFrame, short: int = 3, long: int = 8) -> DataFrame:
     order = W.partitionBy(*SERIES).orderBy("t")
     p = moving_average(moving_average(panel.where("t is not null and v is not null"), short, "a"), long, "b")
@@ -231,7 +194,8 @@ def credit_ratios(last: DataFrame, private: str, total: str, output: str, privat
     ratio = lambda x: F.when(F.col("g") != 0, F.col(x) / 1000 / F.col("g") * 100)
     inside = lambda x, lim: (F.col(x) > lim[0]) & (F.col(x) < lim[1])
     wide = wide.withColumns({"private": ratio("p"), "total": ratio("t")}).where(inside("private", private_range))
-    median = F.broadcast(wide.agg(F.median("private").alias("m")))  # one row
+    wide = settle(wide, "ratios")
+    median = F.broadcast(quantiles(wide, "private", {"m": 0.5}))  # one row
     return wide.crossJoin(median).select("e", "private", F.when(inside("total", total_range), F.col("total")).alias("total"), (F.col("private") - F.col("m")).alias("gap"), "year", "gdp_year")
 
 

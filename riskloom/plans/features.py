@@ -204,9 +204,8 @@ def j3(spark, d):
 
 @query("j4_cross_fill", "SELECT key, round(coalesce(discount, CASE WHEN n > 10 THEN tax * m END), 6) AS a, round(coalesce(tax, CASE WHEN n > 10 THEN discount / m END), 6) AS b FROM xs CROSS JOIN (SELECT median(discount / tax) AS m, count(discount / tax) AS n FROM xs WHERE tax <> 0)", XS)
 def j4(spark, d):
-    x = supplier_features(spark, d)
-    r = F.col("discount") / F.col("tax")
-    m = x.where("tax <> 0").agg(F.median(r).alias("m"), F.count(r).alias("n"))
+    x = p.settle(supplier_features(spark, d).withColumn("r", F.when(F.col("tax") != 0, F.col("discount") / F.col("tax"))), "features")
+    m = p.quantiles(x, "r", {"m": 0.5}).crossJoin(x.agg(F.count("r").alias("n")))  # one row
     out = x.join(F.broadcast(m))
     return rounded(out.select("key", F.coalesce("discount", F.when(F.col("n") > 10, F.col("tax") * F.col("m"))).alias("a"), F.coalesce("tax", F.when(F.col("n") > 10, F.col("discount") / F.col("m"))).alias("b")))
 
@@ -291,7 +290,9 @@ def a6_levels(spark, d):
 def a7(spark, d):
     n = F.count("v")
     skew = F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)
-    out = long_features(spark, d).groupBy("f").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.median("v").alias("median"), skew.alias("skew"))
+    x = p.settle(long_features(spark, d), "long")
+    out = x.groupBy("f").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), skew.alias("skew"))
+    out = out.join(p.quantiles(x, "v", {"median": 0.5}, ["f"]), "f", "left").select("f", "mean", "std", "median", "skew")
     return rounded(out.withColumn("skewed", F.abs("skew") > 2), 5)
 
 
@@ -426,7 +427,8 @@ def a16(spark, d):
 def a19(spark, d):
     """20 equal bins; the mean, median and deviation of all values stand in each row."""
     v = table(spark, d, "part").select(F.col("p_retailprice").alias("v"))
-    lim = F.broadcast(v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_samp("v").alias("std")))  # one row
+    lim = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    lim = F.broadcast(lim.crossJoin(p.quantiles(v, "v", {"median": 0.5})))  # one row
     b = F.least(F.lit(20).cast("long"), F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20)) + 1)
     return rounded(v.join(lim).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("mean", "median", "std")]), 5)
 
@@ -440,8 +442,8 @@ def a20(spark, d):
 
 @query("i4_median_fill", "SELECT key, xl.f, round(coalesce(v, m), 6) + 0.0 AS v FROM xl JOIN (SELECT f, median(v) AS m FROM xl GROUP BY f) USING (f)", XL)
 def i4(spark, d):
-    x = long_features(spark, d)
-    return rounded(x.join(x.groupBy("f").agg(F.median("v").alias("m")), "f").select("key", "f", F.coalesce("v", "m").alias("v")))
+    x = p.settle(long_features(spark, d), "long")
+    return rounded(x.join(p.quantiles(x, "v", {"m": 0.5}, ["f"]), "f", "left").select("key", "f", F.coalesce("v", "m").alias("v")))
 
 
 @query("i7_cell_status", "SELECT key, CASE WHEN price IS NOT NULL THEN 'actual' WHEN quantity IS NULL THEN 'missing' WHEN abs(quantity - 25.5) <= 0.1 THEN 'proxy' ELSE 'imputed' END AS status FROM xs", XS)
@@ -468,9 +470,9 @@ def m2(spark, d):
 
 
 def robust(x):
-    q = x.groupBy("f").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return x.where("v is not null").join(q, "f").select("key", "f", ((F.col("v") - F.col("q")[1]) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias("v"))
+    x = p.settle(x.where("v is not null"), "long")
+    iqr = F.col("q3") - F.col("q1")
+    return x.join(p.quantiles(x, "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["f"]), "f").select("key", "f", ((F.col("v") - F.col("q2")) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias("v"))
 
 
 M3 = "ds AS (SELECT key, round(sqrt(sum(pow((v - w) / s, 2))), 5) + 0.0 AS dist FROM (SELECT key, f, coalesce(v, m) AS v, s, max(CASE WHEN key = 1 THEN coalesce(v, m) END) OVER (PARTITION BY f) AS w FROM xl JOIN (SELECT f, median(v) AS m, stddev_pop(v) AS s FROM xl GROUP BY f) USING (f)) GROUP BY key)"
@@ -488,8 +490,9 @@ def m3_far(spark, d):
 
 def distances(wide, key: int = 1):
     """key, dist: standardised Euclidean distance from one entity, gaps at the median; what all rows need is one row of medians, deviations and the entity's own values."""
-    stats = [y for f in FEATURES for y in (F.median(f).alias(f + "_m"), F.stddev_pop(f).alias(f + "_s"), F.max(F.when(F.col("key") == key, F.col(f))).alias(f + "_w"))]
-    x = wide.crossJoin(F.broadcast(wide.agg(*stats)))
+    wide = p.settle(wide, "features")
+    stats = [y for f in FEATURES for y in (F.stddev_pop(f).alias(f + "_s"), F.max(F.when(F.col("key") == key, F.col(f))).alias(f + "_w"))]
+    x = wide.crossJoin(F.broadcast(wide.agg(*stats).crossJoin(p.column_medians(wide, FEATURES))))
     step = lambda f: F.pow((F.coalesce(f, f + "_m") - F.coalesce(f + "_w", f + "_m")) / F.col(f + "_s"), 2)
     return rounded(x.select("key", F.sqrt(sum((step(f) for f in FEATURES[1:]), step(FEATURES[0]))).alias("dist")), 5)
 
@@ -514,7 +517,7 @@ rk AS (SELECT key, 1 + 9 * (1 - (rank() OVER (ORDER BY s) + (count(*) OVER (PART
 
 def risks(x):
     s = 0.5 * F.coalesce("price", F.lit(35000.0)) / 1000 + 0.5 * F.coalesce("quantity", F.lit(25.0))
-    ranked = p.percentile_rank(x.select("key", s.alias("s")), "s", [])
+    ranked = p.percentile_rank(p.settle(x.select("key", s.alias("s")), "scores"), "s", [])
     return ranked.select("key", (1 + 9 * (1 - F.col("pct"))).alias("risk"))
 
 
@@ -648,7 +651,7 @@ tt AS (SELECT e, i, count(*) AS n, regr_slope(v, x) / abs(avg(v)) * 100 AS sp FR
 def r15(spark, d):
     """A sentence for each of six measures, the trend and the standing among peers of each indicator, with formatted values."""
     panel = nation_panel(spark, d)
-    last = p.latest(panel)
+    last = p.settle(p.latest(panel), "latest")
 
     def level(k):
         (i, a, b), (good, warn, up) = SOURCES[k], LIMITS[k]
@@ -664,7 +667,7 @@ def r15(spark, d):
     trend = F.when(way > 2, F.format_string(TREND_WORDS[0], "i", change, "n")).when(way < -2, F.format_string(TREND_WORDS[1], "i", change, "n")).otherwise(F.format_string(TREND_WORDS[2], "i"))
     out = out.unionByName(p.trends(panel).where("slope_pct is not null").select("e", F.concat(F.lit("trend "), "i").alias("topic"), trend.alias("sentence")))
     place, med = F.floor(F.round(F.col("pct") * 100, 6)), F.round("med", 6)
-    peers = p.percentile_rank(last).join(last.groupBy("i").agg(F.median("v").alias("med")), "i")
+    peers = p.percentile_rank(last).join(p.quantiles(last, "v", {"med": 0.5}, ["i"]), "i")
     said = F.when(F.col("pct") * 100 >= 60, F.format_string(PEER_WORDS[0], "i", place)).otherwise(F.format_string(PEER_WORDS[1], "i", place, med))
     return out.unionByName(peers.select("e", F.concat(F.lit("peers "), "i").alias("topic"), said.alias("sentence")))
 
@@ -697,8 +700,8 @@ def r18(spark, d):
 
 @query("w16_watchlist", """SELECT key, round(risk, 6) AS risk, CASE WHEN price IS NULL AND quantity IS NULL THEN NULL WHEN quantity IS NULL OR price / 1000 >= quantity THEN 'price' ELSE 'quantity' END AS driver FROM rk JOIN xs USING (key) WHERE balance > (SELECT median(balance) FROM xs) AND risk > 6 ORDER BY round(risk, 6) DESC, key LIMIT 10""", XS, RISK)
 def w16(spark, d):
-    x = supplier_features(spark, d)
-    m = F.broadcast(x.agg(F.median("balance").alias("m")))
+    x = p.settle(supplier_features(spark, d), "features")
+    m = F.broadcast(p.quantiles(x, "balance", {"m": 0.5}))  # one row
     driver = F.when(F.col("price").isNull() & F.col("quantity").isNull(), F.lit(None).cast("string")).when(F.col("quantity").isNull() | (F.col("price") / 1000 >= F.col("quantity")), "price").otherwise("quantity")
     rows = x.join(risks(x), "key").join(m).where("balance > m and risk > 6").select("key", F.round("risk", 6).alias("risk"), driver.alias("driver"))
     return rows.orderBy(F.desc("risk"), "key").limit(10)

@@ -228,35 +228,7 @@ def _smooth_sql() -> str:
 
 @query("w13_smoothed", f"SELECT e, i, t, round({_smooth_sql()}, 6) + 0.0 AS smooth FROM (SELECT e, i, t, row_number() OVER (PARTITION BY e, i ORDER BY t) - 1 AS x, count(*) OVER (PARTITION BY e, i) AS n, list(v ORDER BY t) OVER (PARTITION BY e, i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM pn)", PN)
 def w13(spark, d):
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("t")
-        return x.assign(smooth=h.smooth(x["v"].to_numpy()))[["e", "i", "t", "smooth"]]
-
-    return rounded(nation_panel(spark, d).where("v is not null").groupBy("e", "i").applyInPandas(run, "e string, i string, t date, smooth double"))
-
-
-def spline_fill(panel):
-    """e, i, t, v, confidence: gaps of each series (e, i, t, v) from the cubic spline through its points, lines for fewer than four.
-
-    Confidence is 1 for real points, else max(0.1, 1 - distance to the nearest / 5); 0.1 for a series of one point, 0 without any.
-    """
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("t")
-        at, v = x["x"].to_numpy(float), x["v"].to_numpy(float)
-        have = np.flatnonzero(~np.isnan(v))
-        sure = np.zeros(len(v))
-        if len(have) == 1:
-            v, sure = np.full(len(v), v[have[0]]), np.full(len(v), 0.1)
-        elif len(have):
-            k = np.searchsorted(at[have], at)
-            near = np.minimum(np.abs(at - at[have][np.maximum(k - 1, 0)]), np.abs(at - at[have][np.minimum(k, len(have) - 1)]))
-            v, sure = np.where(np.isnan(v), h.spline(at[have], v[have], at), v), np.maximum(0.1, 1 - near / 5)
-        sure[have] = 1.0
-        return x.assign(v=v, confidence=sure)[["e", "i", "t", "v", "confidence"]]
-
-    timed = panel.withColumn("x", F.year("t") + F.month("t") / 12)
-    return timed.groupBy("e", "i").applyInPandas(run, "e string, i string, t date, v double, confidence double")
+    return rounded(p.smoothed(nation_panel(spark, d)).select("e", "i", "t", "smooth"))
 
 
 #: A cubic through every series' own points, with a third of the points missing: the spline gives the cubic back, also beyond the edges.
@@ -268,13 +240,13 @@ def i2_cubic(spark, d):
     x = F.year("t") + F.month("t") / 12 - 1995
     n = nation_panel(spark, d)
     real = (F.length("e") + F.month("t") + F.year("t")) % 3 != 0
-    return rounded(spline_fill(n.withColumn("v", F.when(real, F.pow(x, 3) - F.length("i") * F.pow(x, 2) + 2))), 5)
+    return rounded(p.spline_fill(n.withColumn("v", F.when(real, F.pow(x, 3) - F.length("i") * F.pow(x, 2) + 2))), 5)
 
 
 @query("i2_spline_fill")
 def i2(spark, d):
     n = nation_panel(spark, d)
-    return rounded(spline_fill(n.withColumn("v", F.when((F.length("e") + F.month("t") + F.year("t")) % 3 != 0, F.col("v")))), 5)
+    return rounded(p.spline_fill(n.withColumn("v", F.when((F.length("e") + F.month("t") + F.year("t")) % 3 != 0, F.col("v")))), 5)
 
 
 # blocks of rows
@@ -593,7 +565,8 @@ def m9(spark, d):
 
 def key_drivers(x, weights, top: int = 5):
     """key, f, z, weight, risk, place: the features (key, f, v) whose distance from the median in deviations, times the feature's weight, is largest."""
-    x = x.where("v is not null").join(x.groupBy("f").agg(F.median("v").alias("m"), F.stddev_samp("v").alias("s")), "f").join(weights, "f")
+    x = p.settle(x.where("v is not null"), "long")
+    x = x.join(x.groupBy("f").agg(F.stddev_samp("v").alias("s")), "f").join(p.quantiles(x, "v", {"m": 0.5}, ["f"]), "f").join(weights, "f")
     x = x.withColumn("z", F.round((F.col("v") - F.col("m")) / F.col("s"), 5)).withColumn("weight", F.round(F.col("importance") * F.abs("z"), 6))
     x = x.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "f")).cast("long")).where(F.col("place") <= top)
     return rounded(x.select("key", "f", "z", "weight", (F.col("z") < -0.5).alias("risk"), "place"))

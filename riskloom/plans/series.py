@@ -124,8 +124,9 @@ def w4(spark, d):
 @query("w5_peer_comparison", """SELECT pc.e, pc.i, round(pct * 100, 6) AS percentile, n, round(lo, 6) AS lo, round(hi, 6) AS hi, round(med, 6) AS med, round(mean, 6) AS mean, round(v - med, 6) + 0.0 AS from_median
   FROM pc JOIN (SELECT i, count(*) AS n, min(v) AS lo, max(v) AS hi, median(v) AS med, avg(v) AS mean FROM la GROUP BY i) s ON pc.i = s.i""", PN, LATEST, PCT)
 def w5(spark, d):
-    last = p.latest(nation_panel(spark, d))
-    peers = last.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.median("v").alias("med"), F.avg("v").alias("mean"))
+    last = p.settle(p.latest(nation_panel(spark, d)), "latest")
+    peers = last.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))
+    peers = peers.join(p.quantiles(last, "v", {"med": 0.5}, ["i"]), "i")
     return rounded(p.percentile_rank(last).join(peers, "i").select("e", "i", (F.col("pct") * 100).alias("percentile"), "n", "lo", "hi", "med", "mean", (F.col("v") - F.col("med")).alias("from_median")))
 
 

@@ -192,7 +192,7 @@ def test_hybrid_fill_keeps_real_cells_and_fills_by_steps(spark):
 
 
 def test_spline_confidence(spark):
-    from riskloom.plans.models import spline_fill
+    from riskloom.operators.panel import spline_fill
 
     got = spline_fill(series(spark, [1.0, 8.0, None, 64.0, 125.0, None])).orderBy("t").collect()
     assert [round(r["v"], 6) for r in got] == [1, 8, 27, 64, 125, 216]
