@@ -23,10 +23,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a path of any store that Spark reads."""
+def _at(spark: SparkSession, path: str):
+    """A path's store and the path, of any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as Spark names it in the metadata of files."""
+    store, at = _at(spark, path)
+    return store.makeQualified(at).toString()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _at(spark, path)
+    return store.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none if it isn't there."""
+    store, at = _at(spark, path)
+    return sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path and all below it."""
+    store, at = _at(spark, path)
+    store.delete(at, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -27,21 +27,31 @@ from .series import ECON, INDUSTRY, LATEST, PCT, SCORES
 
 
 def write_wide(spark, d) -> str:
-    """The nation panel as wide CSV files: a byte-order mark, metadata columns and a column for each quarter there is."""
+    """The nation panel as wide CSV files of two kinds: until 1995, and after it without units, in another order of columns and with a byte-order mark."""
     x = nation_panel(spark, d).withColumn("period", F.concat(F.year("t").cast("string"), F.lit("-Q"), F.quarter("t").cast("string")))
     number = F.split_part("e", F.lit("_"), F.lit(2))
     x = x.withColumns({"series_key": F.concat(F.lpad(number, 3, "0"), F.lit("."), "i"), "COUNTRY": F.initcap(F.replace("e", F.lit("_"), F.lit(" "))), "INDICATOR": F.concat(F.lit("Mean "), "i"), "UNIT": F.when(F.col("i") == "price", "US dollar")})
-    path = scratch(spark, "wide")
-    wide = x.groupBy(F.lit("PN").alias("\ufeffDATASET"), "series_key", "COUNTRY", "INDICATOR", "UNIT").pivot("period").agg(F.first("v"))
-    files.write_csv(wide, path)
+    x, path = p.settle(x, "panel"), scratch(spark, "wide")
+    early = x.where("year(t) <= 1995").groupBy(F.lit("PN").alias("DATASET"), "series_key", "COUNTRY", "INDICATOR", "UNIT").pivot("period").agg(F.first("v"))
+    late = x.where("year(t) > 1995").groupBy("INDICATOR", "series_key", "COUNTRY").pivot("period").agg(F.first("v")).withColumnRenamed("INDICATOR", "\ufeffINDICATOR")
+    files.write_csv(early, f"{path}/early")
+    files.write_csv(late, f"{path}/late")
     return path
 
 
-@query("s1_read_wide_csv", "SELECT lpad(split_part(e, '_', 2), 3, '0') AS e, i, 'Nation ' || split_part(e, '_', 2) AS entity_name, 'Mean ' || i AS indicator_name, CASE WHEN i = 'price' THEN 'US dollar' ELSE '' END AS unit, 'Quarterly' AS freq, t, round(v, 6) + 0.0 AS v, 'pn' AS dataset FROM pn", PN)
+@query("s1_read_wide_csv", "SELECT lpad(split_part(e, '_', 2), 3, '0') AS e, i, 'Nation ' || split_part(e, '_', 2) AS entity_name, 'Mean ' || i AS indicator_name, CASE WHEN i = 'price' AND year(t) <= 1995 THEN 'US dollar' ELSE '' END AS unit, 'Quarterly' AS freq, t, round(v, 6) + 0.0 AS v, 'pn' AS dataset FROM pn", PN)
 def s1(spark, d):
+    """Files with different periods, columns and orders of columns."""
     return rounded(files.read_wide(spark, write_wide(spark, d), "pn").drop("period_str"))
 
 
+@query("s1_file_report", "SELECT early, count(DISTINCT (e, i)) AS n_series, count(*) AS n_values, count(DISTINCT t) AS n_periods, count(DISTINCT t) + CASE WHEN early THEN 5 ELSE 3 END AS n_columns FROM (SELECT *, year(t) <= 1995 AS early FROM pn) GROUP BY early", PN)
+def s1_files(spark, d):
+    """What each kind of file holds, from the counts of its files."""
+    each = files.file_report(spark, write_wide(spark, d))
+    return each.groupBy(F.col("file").contains("/early/").alias("early")).agg(F.sum("n_series").alias("n_series"), F.sum("n_values").alias("n_values"), F.max("n_periods").cast("long").alias("n_periods"), F.max("n_columns").cast("long").alias("n_columns"))
+
+
 @query("s1_load_report", "SELECT 'pn' AS dataset, count(*) AS n_rows, count(DISTINCT e) AS n_e FROM pn", PN)
 def s1_report(spark, d):
     return files.load_report(files.read_wide(spark, write_wide(spark, d), "pn"))
@@ -94,6 +104,18 @@ def s5(spark, d):
     return spark.read.parquet(path).groupBy(F.col("dataset").cast("string").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s5_reload", "SELECT 1 AS call, 'built' AS how, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 2, 'reloaded', (SELECT count(*) FROM nation) UNION ALL SELECT 3, 'built', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)")
+def s5_reload(spark, d):
+    """A dataset is built, read again without its source, and built anew when the source has changed."""
+    source, folder, calls = scratch(spark, "source"), scratch(spark, "cache"), []
+    load = lambda: files.cached(spark, folder, "names", source, lambda: spark.read.csv(source, header=True, schema="n string", recursiveFileLookup=True).withColumn("call", F.lit(len(calls) + 1)))
+    for name, column in (("nation", "n_name"), (None, None), ("region", "r_name")):
+        if name:
+            files.write_csv(table(spark, d, name).select(F.col(column).alias("n")), f"{source}/{name}")
+        calls.append(load().groupBy("call").agg(F.count(F.lit(1)).alias("n")).select(F.lit(len(calls) + 1).alias("call"), F.when(F.col("call") == len(calls) + 1, "built").otherwise("reloaded").alias("how"), "n"))
+    return calls[0].unionByName(calls[1]).unionByName(calls[2])
+
+
 @query("s6_exports", "SELECT e, i, round(v, 6) + 0.0 AS v, t FROM pn ORDER BY e, i, t LIMIT 1000", PN)
 def s6(spark, d):
     path = scratch(spark, "sample")

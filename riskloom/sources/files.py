@@ -2,49 +2,155 @@
 
 from __future__ import annotations
 
-import tempfile
+import csv
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import columns as c
+from ..operators.tables import children, exists, qualified, scratch
+
+__all__ = ["scratch"]
+#: Headers read at once.
+THREADS = 8
+#: How columns of periods are named.
+PERIOD_NAMES = re.compile(r"(19|20)\d\d|Q[1-4]\s*\d{4}|\d{4}[-_]?Q[1-4]|M\d\d\s*\d{4}|\d{4}[-_]?\d\d", re.IGNORECASE)
+
+
+class Header(NamedTuple):
+    """Where a wide file has what, as places of its columns; None where it has no such column."""
+
+    key: int | None
+    entity: int | None
+    indicator: int | None
+    freq: int | None
+    unit: int | None
+    periods: tuple[int, ...]
+
+    @classmethod
+    def of(cls, names: Sequence[str], key: str | None = None) -> Header:
+        """By the names, in any case. The series key is the second column or the last one named so, unless `key` names one."""
+        low = [x.strip().lower() for x in names]
+        periods = [k for k, x in enumerate(low) if PERIOD_NAMES.fullmatch(x)] or [k for k, x in enumerate(low) if x.replace(".", "").isdigit()]
+        free = [k for k in range(len(low)) if k not in periods]
+
+        def take(fits: Callable[[str], bool], last: bool = True) -> int | None:
+            found = [k for k in free if fits(low[k])]
+            for k in found:
+                free.remove(k)
+            return (found[-1] if last else found[0]) if found else None
+
+        if key is not None:
+            series = list(names).index(key)
+            free.remove(series)
+        else:
+            named = [k for k in free if k == 1 or "series_key" in low[k]]
+            series = named[-1] if named else None
+            free = [k for k in free if k not in named]
+        entity = take(lambda x: x in ("country", "reference area"))
+        if entity is None:
+            entity = take(lambda x: ("reference area" in x or x == "ref_area") and "date" not in x, last=False)
+        indicator, freq = take(lambda x: x in ("indicator", "indicator_name")), take(lambda x: x in ("freq", "frequency"))
+        return cls(series, entity, indicator, freq, take(lambda x: "unit" in x and "date" not in x), tuple(periods))
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, time of the files at and below a path; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("time"))
+
+
+def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files at and below path by their header. As Spark does for the schema of one, the first line of each file is read by a small job of its own; a header is one line."""
+
+    def first(name: str) -> tuple[str, ...] | None:
+        line = spark.read.text(name).first()
+        return tuple(next(csv.reader([line[0].removeprefix("\ufeff")]), ())) if line else None
+
+    names = sorted(r["path"] for r in listing(spark, path).select("path").collect())
+    with ThreadPool(THREADS) as pool:
+        lines = pool.map(first, names)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for name, header in zip(names, lines, strict=True):
+        if header:
+            found.setdefault(header, []).append(name)
+    return found
+
+
+def _texts(spark: SparkSession, header: Sequence[str], paths: Sequence[str]) -> DataFrame:
+    """The rows of files with one header, columns named by their place, all text."""
+    return spark.read.schema(", ".join(f"_{k} string" for k in range(len(header)))).option("header", True).csv(list(paths))
+
+
+def _long(spark: SparkSession, names: tuple[str, ...], paths: Sequence[str], dataset: str, key: str | None, monthly: bool) -> DataFrame:
+    at, wide = Header.of(names, key), _texts(spark, names, paths)
+    series = F.lit(None).cast("string") if at.key is None else F.col(f"_{at.key}")
+    text = lambda k: F.lit("") if k is None else F.coalesce(F.col(f"_{k}"), F.lit(""))
+    period = F.col("period_str")
+    kind = F.when(period.rlike(r"(?i)m") | period.rlike(r"^\d{4}[-_]\d\d$"), "Monthly").when(period.rlike(r"(?i)q"), "Quarterly").otherwise("Annual")
+    periods = spark.createDataFrame([(m, names[k].strip()) for m, k in enumerate(at.periods)], "_k int, period_str string")
+    periods = periods.select("_k", "period_str", c.parse_period(period, monthly).alias("t"), kind.alias("_kind"))  # a row for each column
+    freq = F.col("_kind") if at.freq is None else F.coalesce(F.nullif(F.trim(F.col("_freq")), F.lit("")), "_kind")
+    rows = wide.select(
+        F.upper(F.substring(c.key_part(series, 0), 1, 3)).alias("e"), c.key_part(series, 1).alias("i"), text(at.entity).alias("entity_name"), text(at.indicator).alias("indicator_name"),
+        text(at.unit).alias("unit"), text(at.freq).alias("_freq"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.array(*[f"_{k}" for k in at.periods])).alias("_k", "_text"),
+    )
+    rows = rows.where("_text is not null").withColumn("v", c.clean_number(F.col("_text"))).where("v is not null").join(F.broadcast(periods), "_k")
+    return rows.select("e", "i", "entity_name", "indicator_name", "unit", freq.alias("freq"), "period_str", "t", "v", F.lit(dataset).alias("dataset"), "file")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset, a local session gets one in /tmp; a cluster must set it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _is_period(name: str) -> bool:
-    return name[:2] in ("19", "20") and name[2:4].isdigit() or name[:1] in ("Q", "M") and name[1:2].isdigit()
+PANEL = "e string, i string, entity_name string, indicator_name string, unit string, freq string, period_str string, t date, v double, dataset string, file string"
 
 
-def read_wide(spark: SparkSession, path: str, dataset: str, key: str | None = None, monthly: bool = True) -> DataFrame:
-    """The long panel of a wide CSV: e, i, entity_name, indicator_name, unit, freq, period_str, t, v, dataset.
+def read_wide(spark: SparkSession, path: str, dataset: str, key: str | None = None, monthly: bool = True, with_file: bool = False) -> DataFrame:
+    """The long panel of wide CSV files: e, i, entity_name, indicator_name, unit, freq, period_str, t, v, dataset (and file).
 
-    Columns named like periods become rows, the others are metadata. The series key is the second column unless `key` names one.
-    A byte-order mark is skipped. Blank and unreadable values are left out; missing names and units are '', a missing
-    frequency follows from the period.
+    Files differ in their columns: each header is read, files with one header are scanned together by its names, and the parts united.
+    Columns named like periods become rows, the others are metadata by the rules of `Header`. A byte-order mark is skipped. Blank and unreadable
+    values are left out; missing names and units are '', a missing frequency follows from the period. A file without period columns, or without a line, has no rows.
     """
-    wide = spark.read.csv(path, header=True, inferSchema=False)
-    periods = [x for x in wide.columns if _is_period(x)]
-    meta = [x for x in wide.columns if x not in periods]
-    series = F.col(key or meta[1])
-    text = lambda name: F.coalesce(F.col(name), F.lit("")) if name in meta else F.lit("")
-    period = F.col("period_str")
-    freq = F.when(period.contains("M") | period.rlike(r"^\d{4}-\d\d$"), "Monthly").when(period.contains("Q"), "Quarterly").otherwise("Annual")
-    freq = F.coalesce(F.nullif(F.col("FREQUENCY"), F.lit("")), freq) if "FREQUENCY" in meta else freq
-    rows = wide.unpivot(meta, periods, "period_str", "text").withColumn("v", c.clean_number(F.col("text"))).where("v is not null")
-    return rows.select(
-        F.upper(F.substring(c.key_part(series, 0), 1, 3)).alias("e"), c.key_part(series, 1).alias("i"), text("COUNTRY").alias("entity_name"), text("INDICATOR").alias("indicator_name"),
-        text("UNIT").alias("unit"), freq.alias("freq"), "period_str", c.parse_period(period, monthly).alias("t"), "v", F.lit(dataset).alias("dataset"),
-    )
+    out = None
+    for names, paths in headers(spark, path).items():
+        if Header.of(names, key).periods:
+            part = _long(spark, names, paths, dataset, key, monthly)
+            out = part if out is None else out.unionByName(part)
+    out = spark.createDataFrame([], PANEL) if out is None else out
+    return out if with_file else out.drop("file")
+
+
+def file_report(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """file, n_columns, n_periods, n_series (its rows) and n_values (those that are numbers) of each wide CSV file that has a row."""
+    out = spark.createDataFrame([], "file string, n_columns int, n_periods int, n_series long, n_values long")
+    for names, paths in headers(spark, path).items():
+        periods = Header.of(names, key).periods
+        values = F.size(F.filter(F.array(*[f"_{k}" for k in periods]), lambda x: c.clean_number(x).isNotNull())) if periods else F.lit(0)
+        counts = _texts(spark, names, paths).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_series"), F.sum(values).cast("long").alias("n_values"))
+        out = out.unionByName(counts.select("file", F.lit(len(names)).alias("n_columns"), F.lit(len(periods)).alias("n_periods"), "n_series", "n_values"))
+    return out
+
+
+def cached(spark: SparkSession, folder: str, name: str, source: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
+    """The dataset `name` that build() makes of the files at source, from folder if it is there and those files are still the same.
+
+    A version is a folder of its own: the data, then a manifest of the source files' paths, sizes and times, which is written last, so a
+    version without one doesn't count. If no manifest fits, build() makes a new version; older ones stay for those that read them.
+    """
+    now = listing(spark, source)
+    held = now.collect()
+    for version in reversed(children(spark, f"{folder}/{name}")):
+        at = f"{folder}/{name}/{version}"
+        if exists(spark, f"{at}/manifest/_SUCCESS"):
+            then = spark.read.schema(now.schema).parquet(f"{at}/manifest").collect()
+            if sorted(map(tuple, then)) == sorted(map(tuple, held)):
+                return spark.read.parquet(f"{at}/data")
+    at = f"{folder}/{name}/{len(children(spark, f'{folder}/{name}')):06d}-{uuid.uuid4().hex}"
+    build().write.partitionBy(*partition_by).parquet(f"{at}/data")
+    spark.createDataFrame(held, now.schema).write.parquet(f"{at}/manifest")
+    return spark.read.parquet(f"{at}/data")
 
 
 def load_report(panel: DataFrame) -> DataFrame:
@@ -59,12 +165,11 @@ def newest(spark: SparkSession, folders: Sequence[str], patterns: dict[str, str]
     """
     every = None
     for place, folder in enumerate(folders):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
-        below = F.regexp_replace("path", r"^.*" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", "")
+        below = F.substring("path", len(qualified(spark, folder).rstrip("/")) + 2, 1 << 20)
         fits = F.array_compact(F.array(*[F.when(below.rlike(r), F.lit(k)) for k, r in patterns.items()]))
-        part = files.select(F.lit(place).alias("place"), "path", "modificationTime", F.explode(fits).alias("dataset"))
+        part = listing(spark, folder).select(F.lit(place).alias("place"), "path", "time", F.explode(fits).alias("dataset"))
         every = part if every is None else every.unionByName(part)
-    best = every.groupBy("dataset", "place").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+    best = every.groupBy("dataset", "place").agg(F.max_by("path", F.struct("time", "path")).alias("path"))
     return best.groupBy("dataset").agg(F.min(F.struct("place", "path")).alias("x")).select("dataset", "x.place", "x.path")
 
 
