@@ -8,10 +8,11 @@ pivots, of which one edit destroys one at most. All bigrams are ordered by the n
    frequency are its pivots, chosen by dynamic programming from left to right.
 2. Of two near words, take the one whose last prefix gram comes first in the order: a pivot of it that the edit spares is in the other word's gram prefix.
 3. Position limits: what stands on one side of the edit is the same in both words. If the edit is right of the left pivot, the words
-   agree from their starts to that pivot's end, if it is left of the right pivot, from that pivot's start to their ends; one of both holds. So
-   a word is indexed by its left pivot with all before it and by its right pivot with all after it, and looked up by each gram of its prefix in both ways.
-   Common bigrams thus make no hot keys: words meet only if they share a whole beginning or end that holds a rare bigram.
-4. Candidates of lengths that differ by more than one go; the others are verified by edit distance.
+   agree from their starts to that pivot's end, if it is left of the right pivot, from that pivot's start to their ends; one of both holds. What
+   is left has the edit in one of its halves, so the other half agrees as well. A word is looked up by each gram of its prefix at its place,
+   with all on one side of it and either half of the other side, and its length; it is indexed by its two pivots in the same way, for the three lengths that a
+   near word may have. Common bigrams thus make no hot keys: words meet only if they share more than half of their letters at fixed places.
+4. Candidates are verified by edit distance.
 
 Each word's form is its commonest near word, if that is `times` as common; forms are followed to the root by pointer jumping, whose rounds
 grow with the logarithm of the chains' lengths, themselves at most log(n) to base `times`.
@@ -117,15 +118,32 @@ def _one_apart(a: Column, b: Column) -> Column:
     return F.when(short, F.levenshtein(a, b, 1) == 1).otherwise(rest(a, b) == rest(b, a))
 
 
+def _head_keys(word: Column, at: Column, length: Column) -> list[Column]:
+    """Two keys of a word and its gram at `at` for near words of `length` whose edit is behind that gram: all up to the gram's end with the first, or with the second half of the rest."""
+    rest = F.greatest(length - at - 1, F.lit(0))
+    half = F.floor(rest / 2).cast("int")
+    return [F.xxhash64(F.lit(1), length, at, F.left(word, at + 1 + half)), F.xxhash64(F.lit(2), length, at, F.left(word, at + 1), F.right(word, rest - half))]
+
+
+def _tail_keys(word: Column, size: Column, length: Column) -> list[Column]:
+    """The same for an edit before a gram that begins `size` letters before the word's end."""
+    rest = F.greatest(length - size, F.lit(0))
+    half = F.floor(rest / 2).cast("int")
+    return [F.xxhash64(F.lit(3), length, size, F.left(word, half), F.right(word, size)), F.xxhash64(F.lit(4), length, size, F.right(word, size + rest - half))]
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """word, n, other, other_n for all words (word, n; settled) and all words near them, both ways round."""
     signed = c.settle(signatures(words, gram_weights(words)), "signed")
-    head = lambda at: F.xxhash64(F.lit("<"), F.substring("word", F.lit(1), at + 1))
-    tail = lambda at: F.xxhash64(F.lit(">"), F.substring("word", at, F.char_length("word")))
-    index = signed.select(F.col("word").alias("a"), F.col("n").alias("an"), F.col("last").alias("alast"), F.explode(F.array(head(F.col("pivots.left")), tail(F.col("pivots.right")))).alias("part"))
-    asked = signed.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.col("last").alias("blast"), F.explode(F.flatten(F.transform("prefix", lambda x: F.array(head(x.getField("at")), tail(x.getField("at")))))).alias("part"))
-    may = (F.col("alast") <= F.col("blast")) & (F.col("a") != F.col("b")) & (F.abs(F.char_length("a") - F.char_length("b")) <= 1)
-    met = index.join(asked, "part").where(may).where(_one_apart(F.col("a"), F.col("b")))
+    word = F.col("word")
+    index = signed.select(word, "n", "last", "pivots.left", "pivots.right", F.char_length("word").alias("l"))
+    keys = [key for k in (-1, 0, 1) for key in (*_head_keys(word, F.col("left"), F.col("l") + k), *_tail_keys(word, F.col("l") - F.col("right") + 1, F.col("l") + k))]
+    index = index.select(word.alias("a"), F.col("n").alias("an"), F.col("last").alias("alast"), F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    asked = signed.select(word, "n", "last", F.char_length("word").alias("l"), F.explode("prefix.at").alias("at"))
+    keys = (*_head_keys(word, F.col("at"), F.col("l")), *_tail_keys(word, F.col("l") - F.col("at") + 1, F.col("l")))
+    asked = asked.select(word.alias("b"), F.col("n").alias("bn"), F.col("last").alias("blast"), F.explode(F.array(*keys)).alias("key"))
+    may = (F.col("alast") <= F.col("blast")) & (F.col("a") != F.col("b"))
+    met = index.join(asked, "key").where(may).where(_one_apart(F.col("a"), F.col("b")))
     ends = [F.struct(F.col(word).alias("w"), F.col(n).alias("k")) for word, n in (("a", "an"), ("b", "bn"))]
     found = met.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).distinct()
     pairs = c.settle(found, "near")
