@@ -31,6 +31,12 @@ def widen(last: DataFrame, names: dict[str, str], years: bool = True) -> DataFra
     return last.where(F.col("i").isin(*names)).groupBy("e").agg(*out)
 
 
+def latest_of(last: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The latest values and years of some indicators, one row for each entity that has any value at all."""
+    pick = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    return last.groupBy("e").agg(*[x for i in names for x in (pick(i, "v").alias(i), pick(i, "year").alias(i + "_year"))])
+
+
 def covered(last: DataFrame, least: int) -> DataFrame:
     """The rows whose indicator has `least` entities at least."""
     enough = last.groupBy("i").agg(F.countDistinct("e").alias("n")).where(F.col("n") >= least).select("i")

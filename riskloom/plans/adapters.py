@@ -60,6 +60,22 @@ pn AS (SELECT e, t, 'price' AS i, price::DOUBLE / n / 100 AS v FROM lw UNION ALL
   UNION ALL SELECT e, t, 'returned', returned::DOUBLE / n FROM lw)"""
 
 
+#: Six dimensions of a nation: the panel's five and the number of lines.
+DIMENSIONS = (*MEASURES, "returned", "lines")
+
+
+def dimension_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation_panel with the number of lines as a sixth indicator."""
+    nations = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("e"))
+    t = F.make_date(F.year("l_shipdate"), F.quarter("l_shipdate") * 3, F.lit(1))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", t.alias("t")).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = rows.groupBy("e", "t").agg(F.count(F.lit(1)).cast("double").alias("v")).select("e", "t", F.lit("lines").alias("i"), "v")
+    return nation_panel(spark, sf_dir).unionByName(lines)
+
+
+PD = PN + ",\npd AS (SELECT e, t, i, v FROM pn UNION ALL SELECT e, t, 'lines', n::DOUBLE FROM lw)"
+
+
 def user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """e user, i event type, t day, v mean value."""
     v = F.sum(F.round(F.col("value") * 10000).cast("long")) / F.count(F.lit(1)) / 10000

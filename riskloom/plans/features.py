@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import columns as c
-from ..operators import panel as p
-from .adapters import FEATURES, PN, PU, XL, XS, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
+from ..functions import bands, columns as c
+from ..operators import checks, panel as p
+from .adapters import DIMENSIONS, FEATURES, IV, PD, PN, PU, XL, XS, dimension_panel, error_spans, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
 from .series import ECON, LATEST, PCT, SCORES
 
 
@@ -164,9 +164,28 @@ def l7(spark, d):
     return x.withColumn("k", F.row_number().over(W.partitionBy("e").orderBy("prio", F.desc("y"), "id"))).where("k = 1").select("e", "prio", "y", "v")
 
 
-@query("l9_latest_dimensions", "SELECT e, " + ", ".join(f"round(arg_max(v, t) FILTER (i = '{i}'), 6) + 0.0 AS {i}, year(max(t) FILTER (i = '{i}'))::INT AS {i}_year" for i in ("price", "tax", "returned")) + " FROM pn WHERE v > 0 GROUP BY e", PN)
+def _latest_sql(names):
+    return "SELECT e, " + ", ".join(f"round(arg_max(v, t) FILTER (i = '{i}'), 6) + 0.0 AS {i}, year(max(t) FILTER (i = '{i}'))::INT AS {i}_year" for i in names) + " FROM pd WHERE v > 0 GROUP BY e"
+
+
+#: The dimensions of each pillar.
+PILLARS = {"economic": ("price", "tax", "lines"), "industry": ("quantity", "discount", "returned")}
+
+
+@query("l9_latest_dimensions", _latest_sql(DIMENSIONS), PD)
 def l9(spark, d):
-    return rounded(p.widen(p.latest(nation_panel(spark, d).where("v > 0")), {x: x for x in ("price", "tax", "returned")}))
+    return rounded(p.widen(p.latest(dimension_panel(spark, d).where("v > 0")), {x: x for x in DIMENSIONS}))
+
+
+def _pillar(name):
+    @query(f"l9_{name}_pillar", _latest_sql(PILLARS[name]), PD)
+    def l9_pillar(spark, d):
+        """The latest scores of one pillar's dimensions, of every entity that has a score."""
+        return rounded(p.latest_of(p.latest(dimension_panel(spark, d).where("v > 0")), PILLARS[name]))
+
+
+for _name in PILLARS:
+    _pillar(_name)
 
 
 SIX = ("supplier_balance", "customer_balance", "order_value", "mean_quantity", "brand_price", "name_length")
@@ -197,6 +216,13 @@ def j2(spark, d):
     return rounded(supplier_features(spark, d).select("key", F.when((first < 20000) & (F.col("balance") > 5), F.col("balance")).otherwise(first).alias("exposure")))
 
 
+@query("j2_alternate_column", "SELECT key, round(coalesce(price, quantity * 1400), 6) + 0.0 AS loans, CASE WHEN price IS NOT NULL THEN 'own' WHEN quantity IS NOT NULL THEN 'alternate' END AS source FROM xs", XS)
+def j2_alternate(spark, d):
+    """A column, its alternate where it is null, and which of both counts."""
+    own, other = F.col("price"), F.col("quantity") * 1400
+    return rounded(supplier_features(spark, d).select("key", F.coalesce(own, other).alias("loans"), F.when(own.isNotNull(), "own").when(other.isNotNull(), "alternate").alias("source")))
+
+
 @query("j3_zero_for_reserve", "SELECT key, round(CASE WHEN nation IN (1, 2, 3, 5, 8) AND balance IS NULL THEN 0.0 ELSE balance END, 6) + 0.0 AS balance FROM xs", XS)
 def j3(spark, d):
     return rounded(supplier_features(spark, d).select("key", F.when(F.col("nation").isin(1, 2, 3, 5, 8) & F.col("balance").isNull(), 0.0).otherwise(F.col("balance")).alias("balance")))
@@ -210,12 +236,6 @@ def j4(spark, d):
     return rounded(out.select("key", F.coalesce("discount", F.when(F.col("n") > 10, F.col("tax") * F.col("m"))).alias("a"), F.coalesce("tax", F.when(F.col("n") > 10, F.col("discount") / F.col("m"))).alias("b")))
 
 
-def _compared(a, b):
-    """status of two cells by their difference in percent of a."""
-    pct = F.when(a == 0, 0.0).otherwise((b - a) / a * 100)
-    return pct, F.when(a.isNull() & b.isNull(), "BOTH_NULL").when(a.isNull(), "RAW_NULL").when(b.isNull(), "PARQUET_NULL").when(F.abs(pct) < 1, "MATCH").when(F.abs(pct) < 5, "CLOSE").otherwise("DIVERGE")
-
-
 CHANGED = "CASE key % 4 WHEN 0 THEN v * 1.03::DOUBLE WHEN 1 THEN v * 1.2::DOUBLE WHEN 2 THEN NULL ELSE v END"
 
 
@@ -223,13 +243,48 @@ CHANGED = "CASE key % 4 WHEN 0 THEN v * 1.03::DOUBLE WHEN 1 THEN v * 1.2::DOUBLE
   CASE WHEN v IS NULL AND w IS NULL THEN 'BOTH_NULL' WHEN v IS NULL THEN 'RAW_NULL' WHEN w IS NULL THEN 'PARQUET_NULL' WHEN abs(pct) < 1 THEN 'MATCH' WHEN abs(pct) < 5 THEN 'CLOSE' ELSE 'DIVERGE' END AS status
   FROM (SELECT f, v, w, CASE WHEN v = 0 THEN 0 ELSE (w - v) / v * 100 END AS pct FROM (SELECT key, f, v, {CHANGED} AS w FROM xl))) GROUP BY f""", XL)
 def j9(spark, d):
-    x = long_features(spark, d)
+    stored = p.settle(long_features(spark, d), "stored")
+    cells = checks.compared(_changed(stored), stored)
+    one, both = F.sum(F.col("status").isin("RAW_NULL", "PARQUET_NULL").cast("int")), F.col("status") == "BOTH_NULL"
+    return rounded(cells.groupBy("f").agg(F.count(F.lit(1)).alias("n"), (F.sum((F.col("status") == "MATCH").cast("int")) / F.count(F.lit(1)) * 100).alias("match_pct"), F.avg(F.when(~both, F.abs("pct"))).alias("mean_pct"), one.alias("one_null")))
+
+
+def _changed(x):
     k = F.col("key") % 4
-    y = x.select("key", "f", F.when(k == 0, F.col("v") * 1.03).when(k == 1, F.col("v") * 1.2).when(k == 3, F.col("v")).alias("w"))
-    pct, status = _compared(F.col("v"), F.col("w"))
-    cells = x.join(y, ["key", "f"]).select("f", pct.alias("pct"), status.alias("s"))
-    one = F.sum(F.col("s").isin("RAW_NULL", "PARQUET_NULL").cast("int"))
-    return rounded(cells.groupBy("f").agg(F.count(F.lit(1)).alias("n"), (F.sum((F.col("s") == "MATCH").cast("int")) / F.count(F.lit(1)) * 100).alias("match_pct"), F.avg(F.abs("pct")).alias("mean_pct"), one.alias("one_null")))
+    return x.select("key", "f", F.when(k == 0, F.col("v") * 1.03).when(k == 1, F.col("v") * 1.2).when(k == 3, F.col("v")).alias("v"))
+
+
+SIDES = f"ra AS (SELECT key, f, {CHANGED} AS v FROM xl WHERE key % 9 <> 1 AND f <> 'tax' UNION ALL SELECT key, 'new', 1.0::DOUBLE FROM xs WHERE key % 9 <> 1), sd AS (SELECT key, f, v FROM xl WHERE key % 9 <> 2)"
+
+
+def _sides(spark, d):
+    """Two tables with entities and features that the other one lacks, and changed values."""
+    x = p.settle(long_features(spark, d), "long")
+    raw = _changed(x.where("key % 9 <> 1 and f <> 'tax'")).unionByName(x.select("key").distinct().where("key % 9 <> 1").select("key", F.lit("new").alias("f"), F.lit(1.0).alias("v")))
+    return p.settle(raw, "raw"), x.where("key % 9 <> 2")
+
+
+@query("j9_cells", """SELECT key, f, round(w, 6) + 0.0 AS raw, round(v, 6) + 0.0 AS stored, round(coalesce(w - v, CASE WHEN w IS NULL AND v IS NULL THEN 0 END), 6) + 0.0 AS diff, round(CASE WHEN w IS NULL AND v IS NULL THEN 0 WHEN v = 0 AND w IS NOT NULL THEN 0 ELSE (w - v) / v * 100 END, 6) + 0.0 AS pct,
+  CASE WHEN w IS NULL AND v IS NULL THEN 'BOTH_NULL' WHEN w IS NULL THEN 'RAW_NULL' WHEN v IS NULL THEN 'PARQUET_NULL' WHEN v = 0 OR abs((w - v) / v * 100) < 1 THEN 'MATCH' WHEN abs((w - v) / v * 100) < 5 THEN 'CLOSE' ELSE 'DIVERGE' END AS status
+  FROM (SELECT key, f, ra.v AS w, sd.v FROM ra JOIN sd USING (key, f))""", XL, SIDES)
+def j9_cells(spark, d):
+    """Every cell of the entities and features that both tables have."""
+    return rounded(checks.compared(*_sides(spark, d)))
+
+
+@query("j9_one_sided", """SELECT 'entity' AS what, key::VARCHAR AS name, 'raw' AS side FROM (SELECT key FROM ra EXCEPT SELECT key FROM sd) UNION ALL SELECT 'entity', key::VARCHAR, 'stored' FROM (SELECT key FROM sd EXCEPT SELECT key FROM ra)
+  UNION ALL SELECT 'feature', f, 'raw' FROM (SELECT f FROM ra EXCEPT SELECT f FROM sd) UNION ALL SELECT 'feature', f, 'stored' FROM (SELECT f FROM sd EXCEPT SELECT f FROM ra)""", XL, SIDES)
+def j9_one_sided(spark, d):
+    """Entities and features that one table alone has."""
+    raw, stored = _sides(spark, d)
+    side = lambda column, what: checks.one_sided(raw, stored, column).select(F.lit(what).alias("what"), F.col(column).cast("string").alias("name"), "side")
+    return side("key", "entity").unionByName(side("f", "feature"))
+
+
+@query("j9_most_diverging", "SELECT key, f, round((w - v) / v * 100, 6) + 0.0 AS pct FROM (SELECT key, f, ra.v AS w, sd.v FROM ra JOIN sd USING (key, f)) WHERE v <> 0 AND abs((w - v) / v * 100) >= 5 ORDER BY round(abs((w - v) / v * 100), 6) DESC, key, f LIMIT 20", XL, SIDES)
+def j9_diverging(spark, d):
+    """The 20 cells that differ most (the report's size)."""
+    return checks.most_diverging(rounded(checks.compared(*_sides(spark, d)))).select("key", "f", "pct")
 
 
 @query("j10_attach_dimensions", "SELECT e, round(econ, 6) AS econ, r_name AS region FROM ec LEFT JOIN nation ON n_name = e LEFT JOIN region ON n_regionkey = r_regionkey", PN, LATEST, PCT, SCORES)
@@ -238,14 +293,22 @@ def j10(spark, d):
     return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ("econ", ECON)).join(F.broadcast(dims), "e", "left"))
 
 
-BANDS = [("AAA", 90, 100), ("AA", 80, 90), ("A", 70, 80), ("BBB", 60, 70), ("BB", 50, 60), ("B", 40, 50), ("CCC", 30, 40), ("CC/C", 0, 30)]
-
-
-@query("j11_rating_bands", "SELECT o_orderkey, s, coalesce(b, 'NR') AS rating FROM (SELECT o_orderkey, (o_orderkey % 112 - 5)::DOUBLE AS s FROM orders) LEFT JOIN (VALUES " + ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in BANDS) + ") q(b, lo, hi) ON s >= lo AND s < hi")
+@query("j11_rating_bands", "SELECT o_orderkey, s, coalesce(b, 'NR') AS rating FROM (SELECT o_orderkey, (o_orderkey % 112 - 5)::DOUBLE AS s FROM orders) LEFT JOIN (VALUES " + ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in bands.RATINGS) + ") q(b, lo, hi) ON s >= lo AND s < hi")
 def j11(spark, d):
     s = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 112 - 5).cast("double").alias("s"))
-    bands = F.broadcast(spark.createDataFrame(BANDS, "b string, lo int, hi int"))
-    return s.join(bands, (F.col("s") >= F.col("lo")) & (F.col("s") < F.col("hi")), "left").select("o_orderkey", "s", F.coalesce("b", F.lit("NR")).alias("rating"))
+    return checks.banded(s, "s", spark.createDataFrame(bands.RATINGS, "band string, lo int, hi int"), name="rating")
+
+
+LEVEL_ROWS = [(measure, level, lo, hi) for measure, levels in bands.LEVELS.items() for level, (lo, hi) in levels.items()]
+LEVEL_SQL = "lv(m, level, lo, hi) AS (VALUES " + ", ".join(f"('{m}', '{b}', '{lo}'::DOUBLE, '{hi}'::DOUBLE)" for m, b, lo, hi in LEVEL_ROWS) + ")"
+
+
+@query("j11_threshold_levels", "SELECT o_orderkey, q.m AS measure, s AS value, coalesce(level, 'NR') AS level FROM (SELECT o_orderkey, m, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 113 - 13) / 2.0::DOUBLE END AS s FROM orders, (SELECT DISTINCT m FROM lv)) q LEFT JOIN lv ON q.m = lv.m AND s >= lo AND s < hi", LEVEL_SQL)
+def j11_levels(spark, d):
+    """Each of four measures has levels of its own; a value below or without all of them is not rated."""
+    value = F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_orderkey") % 113 - 13) / 2.0)
+    rows = table(spark, d, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(m) for m in bands.LEVELS])).alias("measure"), value.alias("value"))
+    return checks.banded(rows, "value", spark.createDataFrame(LEVEL_ROWS, "measure string, band string, lo double, hi double"), ["measure"], "level")
 
 
 @query("a4_suspicious_percent", "SELECT p_type, round(avg(p_retailprice), 6) AS mean FROM part WHERE p_size % 5 = 0 GROUP BY p_type HAVING avg(p_retailprice) > 500 OR avg(p_retailprice) < -100")
@@ -322,13 +385,14 @@ def claims(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("e"), code.alias("i")).agg((F.sum(F.round(F.col("l_quantity") * 100).cast("long")) / 100).alias("v"))
 
 
-@query("a10_external_metrics", """SELECT key, round(fx, 6) AS fx, round(CASE WHEN months > 50 THEN NULL ELSE months END, 6) + 0.0 AS months, round(CASE WHEN balance / (quantity - tax) IS NOT NULL THEN greatest(-100, least(100, balance / CASE WHEN quantity - tax = 0 THEN 1 ELSE quantity - tax END)) END, 6) + 0.0 AS liab FROM (SELECT *, price / nullif(quantity, 0) AS fx, balance / 1000 / (tax * (price / nullif(quantity, 0)) / 12) AS months FROM xs)""", XS)
+@query("a10_external_metrics", """SELECT key, round(fx, 6) AS fx, round(CASE WHEN months > 50 THEN NULL ELSE months END, 6) + 0.0 AS months, round(CASE WHEN balance / (quantity - tax) IS NOT NULL THEN greatest(-100, least(100, balance / CASE WHEN quantity - tax = 0 THEN 1 ELSE quantity - tax END)) END, 6) + 0.0 AS liab, round(balance / CASE WHEN floor(quantity) = 25 THEN 1 ELSE floor(quantity) - 25 END, 6) + 0.0 AS to_reserves FROM (SELECT *, price / nullif(quantity, 0) AS fx, balance / 1000 / (tax * (price / nullif(quantity, 0)) / 12) AS months FROM xs)""", XS)
 def a10(spark, d):
     fx = F.try_divide("price", "quantity")
     months = F.col("balance") / 1000 / (F.col("tax") * fx / 12)
     left = F.col("quantity") - F.col("tax")
     liab = c.clip(F.col("balance") / F.when(left == 0, 1.0).otherwise(left), -100.0, 100.0)
-    return rounded(supplier_features(spark, d).select("key", fx.alias("fx"), F.when(months <= 50, months).alias("months"), liab.alias("liab")))
+    reserves = F.floor("quantity") - 25
+    return rounded(supplier_features(spark, d).select("key", fx.alias("fx"), F.when(months <= 50, months).alias("months"), liab.alias("liab"), (F.col("balance") / F.when(reserves == 0, 1).otherwise(reserves)).alias("to_reserves")))
 
 
 #: The inputs of the balance ratios, here by line number and return flag.
@@ -440,6 +504,15 @@ def a20(spark, d):
     return n.withColumn("k", F.row_number().over(W.partitionBy("f").orderBy(F.desc("n"), "v"))).where("k = 1").select("f", "v", "n", (F.col("n") > 20).alias("warn"))
 
 
+@query("a20_imputed_variance", "SELECT f, n, round(var, 5) + 0.0 AS variance, var < 0.01 AS warn FROM (SELECT f, count(*) AS n, var_pop(CASE WHEN f IN ('price', 'balance') THEN m ELSE key % 13 * length(f) / 10.0::DOUBLE END) AS var FROM xl JOIN (SELECT f, median(v) AS m FROM xl GROUP BY f) USING (f) WHERE v IS NULL GROUP BY f HAVING count(*) > 1)", XL)
+def a20_variance(spark, d):
+    """The spread of what was imputed: none where all gaps got the median."""
+    raw = p.settle(long_features(spark, d), "raw")
+    own = F.when(F.col("f").isin("price", "balance"), F.col("m")).otherwise(F.col("key") % 13 * F.length("f") / 10.0)
+    filled = raw.join(p.quantiles(raw, "v", {"m": 0.5}, ["f"]), "f", "left").select("key", "f", F.coalesce("v", own).alias("v"))
+    return rounded(checks.imputed_variance(raw, filled), 5)
+
+
 @query("i4_median_fill", "SELECT key, xl.f, round(coalesce(v, m), 6) + 0.0 AS v FROM xl JOIN (SELECT f, median(v) AS m FROM xl GROUP BY f) USING (f)", XL)
 def i4(spark, d):
     x = p.settle(long_features(spark, d), "long")
@@ -592,6 +665,41 @@ def r11(spark, d):
     return rounded(asked.join(risks(x), "key", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg(ok).alias("share")))
 
 
+REQUIRED_SQL = "rq(name) AS (VALUES " + ", ".join(f"('{x}')" for x in bands.REQUIRED) + "), nf AS (SELECT DISTINCT CASE f " + " ".join(f"WHEN '{f}' THEN '{x}'" for f, x in zip(FEATURES, bands.REQUIRED[3:], strict=False)) + " END AS f FROM xl)"
+
+
+@query("r10_required_features", "SELECT name, f IS NOT NULL AS present, round((SELECT count(*) FROM nf JOIN rq ON f = name) * 100 / (SELECT count(*) FROM rq)::DOUBLE, 6) AS share FROM rq LEFT JOIN nf ON f = name", XL, REQUIRED_SQL)
+def r10_required(spark, d):
+    """Which of the required features there are, here six under required names, and their share."""
+    names = F.create_map(*[F.lit(x) for pair in zip(FEATURES, bands.REQUIRED[3:], strict=False) for x in pair])
+    return rounded(checks.required_features(long_features(spark, d).select(names[F.col("f")].alias("f")), bands.REQUIRED))
+
+
+@query("r10_sample_size", "SELECT events, features, round(events / features::DOUBLE, 6) AS ratio, CASE WHEN events / features::DOUBLE < 1 THEN 'critical' WHEN events / features::DOUBLE < 5 THEN 'warning' WHEN events / features::DOUBLE < 10 THEN 'marginal' ELSE 'adequate' END AS band FROM (SELECT count(*) AS events FROM iv), (SELECT count(DISTINCT f) AS features FROM xl)", IV, XL)
+def r10_sample(spark, d):
+    return rounded(checks.sample_size(error_spans(spark, d), long_features(spark, d)))
+
+
+LISTS = "ls AS (SELECT key, CASE WHEN key % 10 = 1 THEN 'high' ELSE 'low' END AS kind FROM xs WHERE key % 10 IN (1, 2) UNION ALL SELECT -key, CASE WHEN key % 10 = 1 THEN 'high' ELSE 'low' END FROM xs WHERE key % 40 IN (1, 2))"
+
+
+@query("r11_validated_lists", "SELECT kind, count(*) AS n, count(risk) AS found, (sum(coalesce(CASE WHEN kind = 'high' THEN risk >= 6 ELSE risk <= 4 END, false)::INT))::BIGINT AS validated, round(sum(coalesce(CASE WHEN kind = 'high' THEN risk >= 6 ELSE risk <= 4 END, false)::INT)::DOUBLE / count(*) * 100, 6) AS share FROM ls LEFT JOIN rk USING (key) GROUP BY kind", XS, RISK, LISTS)
+def r11_lists(spark, d):
+    """Listed entities without a score count as not validated."""
+    x = p.settle(supplier_features(spark, d), "features")
+    kind = F.when(F.col("key") % 10 == 1, "high").otherwise("low").alias("kind")
+    lists = x.where("key % 10 in (1, 2)").select("key", kind).unionByName(x.where("key % 40 in (1, 2)").select((-F.col("key")).alias("key"), kind))
+    return rounded(checks.expected(risks(x).withColumnRenamed("risk", "score"), lists))
+
+
+@query("r11_ordered_pairs", "SELECT p.a, p.b, round(x.risk, 6) AS sa, round(y.risk, 6) AS sb, CASE WHEN round(x.risk, 9) < round(y.risk, 9) THEN '<' ELSE '>' END AS relation FROM (SELECT key AS a, key + 3 AS b FROM xs) p JOIN rk x ON x.key = p.a JOIN rk y ON y.key = p.b", XS, RISK)
+def r11_pairs(spark, d):
+    """How the scores of given pairs stand to each other; a pair without both scores is left out."""
+    x = p.settle(supplier_features(spark, d), "features")
+    scores = p.settle(risks(x).select("key", F.round("risk", 9).alias("score")), "scores")
+    return rounded(checks.ordered_pairs(scores, x.select(F.col("key").alias("a"), (F.col("key") + 3).alias("b"))))
+
+
 BASE = {"price": (35000.0, 0.001), "quantity": (25.0, 1.0), "tax": (0.04, -100.0)}
 
 

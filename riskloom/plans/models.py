@@ -19,7 +19,7 @@ from ..functions import columns as c
 from ..operators import helpers as h, panel as p
 from ..sources import files
 from ..sources.files import scratch
-from .adapters import FEATURES, IV, PN, PU, XL, XS, error_spans, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
+from .adapters import DIMENSIONS, FEATURES, IV, PD, PN, PU, XL, XS, dimension_panel, error_spans, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
 from .series import ECON, INDUSTRY, LATEST, PCT, SCORES
 
 
@@ -89,11 +89,13 @@ def s3(spark, d):
     return got.unpivot(["COUNTRY", "SECTOR", "INDICATOR", "code"], years, "y", "n").where("n is not null").withColumn("y", F.col("y").cast("long"))
 
 
-@query("s4_merge_dimensions", "SELECT e, year(t)::INT AS y, " + ", ".join(f"round(arg_max(v, t) FILTER (i = '{i}'), 6) + 0.0 AS {i}" for i in ("price", "tax", "returned")) + " FROM pn WHERE v IS NOT NULL GROUP BY 1, 2", PN)
+@query("s4_merge_dimensions", "SELECT e, year(t)::INT AS y, " + ", ".join(f"round(arg_max(v, t) FILTER (i = '{i}'), 6) + 0.0 AS {i}" for i in DIMENSIONS) + " FROM pd WHERE v IS NOT NULL AND (length(e) + year(t)) % 5 <> length(i) % 5 GROUP BY 1, 2", PD)
 def s4(spark, d):
-    parts = [nation_panel(spark, d).where(F.col("i") == i).select("e", F.year("t").alias("y"), "t", "v", F.lit(i).alias("dim")) for i in ("price", "tax", "returned")]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("v is not null")
-    return rounded(every.groupBy("e", "y").pivot("dim", ["price", "tax", "returned"]).agg(F.max_by("v", "t")))
+    """Six dimensions, each in a file of its own with years of its own, merged to one row for each (entity, year)."""
+    panel, path = p.settle(dimension_panel(spark, d).where("(length(e) + year(t)) % 5 <> length(i) % 5"), "panel"), scratch(spark, "dimensions")
+    for i in DIMENSIONS:
+        files.write_csv(panel.where(F.col("i") == i).select("e", "t", "v"), f"{path}/{i}")
+    return rounded(files.read_dimensions(spark, {i: f"{path}/{i}" for i in DIMENSIONS}))
 
 
 @query("s5_parquet_cache", "SELECT dataset, count(*) AS n FROM (SELECT 'nation' AS dataset FROM pn UNION ALL SELECT 'user' FROM pu) GROUP BY 1", PN, PU)
@@ -390,6 +392,21 @@ def i6_stats(spark, d):
     return x.agg(F.lit("all").alias("cells"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - n("real")).alias("missing_before"), n("temporal").alias("temporal"), n("neighbours").alias("neighbours"), F.count("v").alias("filled"))
 
 
+@query("i6_fill_statistics", """SELECT count(*) FILTER (v IS NULL) AS missing_before, count(*) FILTER (v IS NULL) AS imputed, (count(*) FILTER (v IS NULL AND k > 0))::BIGINT AS temporal, (count(*) FILTER (v IS NULL AND k = 0))::BIGINT AS neighbours, 0::BIGINT AS low_rank,
+  round(avg(CASE WHEN v IS NOT NULL THEN 1.0::DOUBLE WHEN k = 0 THEN 0.7 WHEN k = 1 THEN 0.1 ELSE greatest(0.1, 1 - least(coalesce(x - l, 1e9), coalesce(f - x, 1e9)) / 5) END), 6) AS confidence FROM
+  (SELECT *, count(v) OVER s AS k, max(CASE WHEN v IS NOT NULL THEN x END) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l, min(CASE WHEN v IS NOT NULL THEN x END) OVER (s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM
+   (SELECT z.e, g.i, g.t, h.v, year(g.t) + month(g.t) / 12::DOUBLE AS x FROM (SELECT DISTINCT i, t FROM ps) g CROSS JOIN (SELECT DISTINCT e FROM ps) z LEFT JOIN ps h ON h.e = z.e AND h.i = g.i AND h.t = g.t) WINDOW s AS (PARTITION BY e, i ORDER BY t))""".replace("count(v) OVER s AS k", "count(v) OVER (PARTITION BY e, i) AS k").replace("OVER (s ROWS", "OVER (PARTITION BY e, i ORDER BY t ROWS").replace(" WINDOW s AS (PARTITION BY e, i ORDER BY t)", ""), PN, "ps AS (SELECT * FROM pn WHERE (length(e) + month(t) + year(t)) % 3 <> 0 AND NOT (i = 'tax' AND e LIKE '%7'))")
+def i6_statistics(spark, d):
+    return rounded(fill_statistics(hybrid_fill(_gappy(spark, d), ("price", "quantity", "discount", "tax", "returned"))))
+
+
+def fill_statistics(filled):
+    """One row: cells missing before, cells imputed, how many by each step, and the mean confidence of all cells that have a value."""
+    n = lambda cond: F.count(F.when(cond, 1))
+    how = lambda x: n(F.col("how") == x)
+    return filled.agg(n(F.col("how") != "real").alias("missing_before"), n((F.col("how") != "real") & F.col("v").isNotNull()).alias("imputed"), how("temporal").alias("temporal"), how("neighbours").alias("neighbours"), how("low rank").alias("low_rank"), F.avg(F.when(F.col("v").isNotNull(), F.col("confidence"))).alias("confidence"))
+
+
 @query("m11_nearest_peers", """SELECT key, peer, place FROM (SELECT a.key, b.key AS peer, row_number() OVER (PARTITION BY a.key ORDER BY round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6), b.key) AS place FROM (SELECT key, price / 1000 AS x, quantity AS y FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL) a JOIN (SELECT key, price / 1000 AS x, quantity AS y FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL) b ON a.key <> b.key) WHERE place <= 4""", XS)
 def m11(spark, d):
     x = supplier_features(spark, d).where("price is not null and quantity is not null")
@@ -507,13 +524,23 @@ def m5(spark, d):
     return rounded(oriented(pc.join(wide.select("key", F.log10(F.greatest(F.col("balance"), F.lit(100.0))).alias("anchor")), "key")), 4)
 
 
-@query("m6_cluster_matrix", """SELECT key, round(max(v) FILTER (f = 'price'), 6) + 0.0 AS price, round(max(-v) FILTER (f = 'tax'), 6) + 0.0 AS tax, round(max(v) FILTER (f = 'balance'), 6) + 0.0 AS balance FROM xl WHERE f IN (SELECT f FROM xl GROUP BY f HAVING avg((v IS NOT NULL)::INT) > 0.5) AND f IN ('price', 'tax', 'balance') GROUP BY key HAVING avg((v IS NOT NULL)::INT) > 0.3""", XL)
+WORSE = ("discount", "tax", "returned")
+
+
+@query("m6_cluster_matrix", "SELECT key, " + ", ".join(f"round(max({'-' if f in WORSE else ''}v) FILTER (f = '{f}'), 6) + 0.0 AS {f}" for f in FEATURES) + " FROM (SELECT * FROM xl UNION ALL SELECT key, 'rare', CASE WHEN key % 3 = 0 THEN 1.0::DOUBLE END FROM xs) x WHERE f IN (SELECT f FROM (SELECT * FROM xl UNION ALL SELECT key, 'rare', CASE WHEN key % 3 = 0 THEN 1.0::DOUBLE END FROM xs) GROUP BY f HAVING avg((v IS NOT NULL)::INT) > 0.5) GROUP BY key HAVING avg((v IS NOT NULL)::INT) > 0.3", XL)
 def m6(spark, d):
-    x = long_features(spark, d)
-    good = x.groupBy("f").agg(F.avg(F.col("v").isNotNull().cast("int")).alias("n")).where("n > 0.5").select("f")
-    x = x.join(F.broadcast(good), "f", "left_semi").where("f in ('price', 'tax', 'balance')").withColumn("v", F.when(F.col("f") == "tax", -F.col("v")).otherwise(F.col("v")))
-    w = x.groupBy("key").agg(*[F.max(F.when(F.col("f") == f, F.col("v"))).alias(f) for f in ("price", "tax", "balance")], F.avg(F.col("v").isNotNull().cast("int")).alias("n"))
-    return rounded(w.where("n > 0.3").drop("n"))
+    """All features, and one that is too rare to stay."""
+    x = p.settle(long_features(spark, d).unionByName(supplier_features(spark, d).select("key", F.lit("rare").alias("f"), F.when(F.col("key") % 3 == 0, 1.0).alias("v"))), "long")
+    return rounded(cluster_matrix(x, WORSE))
+
+
+def cluster_matrix(x, worse, columns: float = 0.5, rows: float = 0.3):
+    """key and a column for each feature of x (key, f, v) that more than a share of the rows have, lower-is-better ones turned; of rows that have more than a share of those."""
+    good = x.groupBy("f").agg(F.avg(F.col("v").isNotNull().cast("int")).alias("n")).where(F.col("n") > columns).select("f")
+    names = sorted(r["f"] for r in good.collect())  # the columns of the result
+    x = x.where(F.col("f").isin(names)).withColumn("v", F.when(F.col("f").isin(*worse), -F.col("v")).otherwise(F.col("v")))
+    w = x.groupBy("key").agg(*[F.max(F.when(F.col("f") == f, F.col("v"))).alias(f) for f in names], F.avg(F.col("v").isNotNull().cast("int")).alias("_n"))
+    return w.where(F.col("_n") > rows).drop("_n")
 
 
 def clustered(spark, d, k: int = 5):

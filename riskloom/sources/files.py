@@ -173,6 +173,15 @@ def newest(spark: SparkSession, folders: Sequence[str], patterns: dict[str, str]
     return best.groupBy("dataset").agg(F.min(F.struct("place", "path")).alias("x")).select("dataset", "x.place", "x.path")
 
 
+def read_dimensions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """e, y and a column for each dimension (name -> CSV files of e, t, v): the last non-null score of the year; one pivot merges all."""
+    every = None
+    for name, path in paths.items():
+        part = spark.read.option("header", True).schema("e string, t date, v double").csv(path).where("v is not null").withColumn("dim", F.lit(name))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("e", F.year("t").alias("y")).pivot("dim", list(paths)).agg(F.max_by("v", "t"))
+
+
 def read_balance(spark: SparkSession, path: str, sector: str, codes: DataFrame) -> DataFrame:
     """The balance-sheet table of one sector: COUNTRY, SECTOR, INDICATOR, the year columns that start with 20, and the code of codes (name, code), null if unknown."""
     wide = spark.read.csv(path, header=True, inferSchema=False)
