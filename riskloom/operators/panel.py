@@ -147,7 +147,7 @@ def fill_gaps(panel: DataFrame) -> DataFrame:
     Confidence is 1 for real points, else max(0.1, 1 - distance to the nearest / 5); a series with one
     point is constant with 0.1, one without points stays null with 0.
     """
-    have = panel.where("t is not null").groupBy("e", "i", "t").agg(F.avg("v").alias("v"))
+    have = settle(panel.where("t is not null").groupBy("e", "i", "t").agg(F.avg("v").alias("v")), "points")  # read three times
     grid = have.select("i", "t").distinct().crossJoin(have.select("e").distinct())  # the result has as many rows
     p = grid.join(have, ["e", "i", "t"], "left").withColumn("x", F.year("t") + F.month("t") / 12)
     order = W.partitionBy(*SERIES).orderBy("t")

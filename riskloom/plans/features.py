@@ -573,15 +573,16 @@ def distances(wide, key: int = 1):
 COVER = "cv AS (SELECT key, avg((v IS NOT NULL)::INT) AS cov, avg((v IS NOT NULL)::INT) FILTER (f IN ('price', 'quantity', 'returned')) AS econ, avg((v IS NOT NULL)::INT) FILTER (f NOT IN ('price', 'quantity', 'returned')) AS ind FROM xl GROUP BY key HAVING avg((v IS NOT NULL)::INT) >= 0.2)"
 
 
-def coverages(x):
-    have = F.col("v").isNotNull().cast("int")
-    econ = F.col("f").isin("price", "quantity", "returned")
-    return x.groupBy("key").agg(F.avg(have).alias("cov"), F.avg(F.when(econ, have)).alias("econ"), F.avg(F.when(~econ, have)).alias("ind")).where("cov >= 0.2")
+def coverages(wide):
+    """key and the filled shares of all features and of each pillar's, counted in the wide row; below a fifth a row is left out."""
+    share = lambda names: sum((F.col(f).isNotNull().cast("int") for f in names[1:]), F.col(names[0]).isNotNull().cast("int")) / len(names)
+    econ = [f for f in FEATURES if f in ("price", "quantity", "returned")]
+    return wide.select("key", share(FEATURES).alias("cov"), share(econ).alias("econ"), share([f for f in FEATURES if f not in econ]).alias("ind")).where("cov >= 0.2")
 
 
 @query("r1_coverage", "SELECT key, round(cov, 6) AS cov, round(econ, 6) AS econ, round(ind, 6) AS ind FROM cv", XL, COVER)
 def r1(spark, d):
-    return rounded(coverages(long_features(spark, d)))
+    return rounded(coverages(supplier_features(spark, d)))
 
 
 RISK = """pi AS (SELECT key, 0.5::DOUBLE * coalesce(price, 35000) / 1000 + 0.5::DOUBLE * coalesce(quantity, 25) AS s FROM xs),
@@ -603,8 +604,9 @@ FLOOR = """, sh AS (SELECT key, cov, econ, ind, sqrt(cov) * risk + (1 - sqrt(cov
 fl AS (SELECT *, CASE WHEN least(econ, ind) < 0.3 THEN greatest(5.0, g) ELSE g END AS h FROM (SELECT *, CASE WHEN cov < 0.5 THEN greatest(s, 6.0) WHEN cov < 0.7 THEN greatest(s, 4.0) ELSE s END AS g FROM sh))"""
 
 
-def shrunk(x, long):
-    return risks(x).join(coverages(long), "key").withColumn("s", F.sqrt("cov") * F.col("risk") + (1 - F.sqrt("cov")) * 5.5)
+def shrunk(x):
+    x = p.settle(x, "features")
+    return risks(x).join(coverages(x), "key").withColumn("s", F.sqrt("cov") * F.col("risk") + (1 - F.sqrt("cov")) * 5.5)
 
 
 def floored(sh):
@@ -614,12 +616,12 @@ def floored(sh):
 
 @query("r3_confidence_shrink", "SELECT key, round(s, 6) AS s FROM sh", XL, COVER, RISK + FLOOR)
 def r3(spark, d):
-    return rounded(shrunk(supplier_features(spark, d), long_features(spark, d)).select("key", "s"))
+    return rounded(shrunk(supplier_features(spark, d)).select("key", "s"))
 
 
 @query("r4_coverage_floors", "SELECT key, round(h, 1) AS risk_score, h > s AS risk_floor_applied FROM fl", XL, COVER, RISK + FLOOR)
 def r4(spark, d):
-    f = floored(shrunk(supplier_features(spark, d), long_features(spark, d)))
+    f = floored(shrunk(supplier_features(spark, d)))
     return f.select("key", F.round("h", 1).alias("risk_score"), (F.col("h") > F.col("s")).alias("risk_floor_applied"))
 
 
@@ -651,7 +653,8 @@ def r8(spark, d):
 
 @query("r10_quality_checks", """SELECT 'range' AS name, bool_and(risk BETWEEN 1 AND 10) AS passed FROM rk UNION ALL SELECT 'spread', stddev_samp(risk) > 1.5 AND stddev_samp(risk) < 4 FROM rk UNION ALL SELECT 'coverage', abs(corr(cov, risk)) < 0.4 FROM rk JOIN cv USING (key)""", XL, COVER, RISK)
 def r10(spark, d):
-    x = risks(supplier_features(spark, d)).join(coverages(long_features(spark, d)), "key", "left")
+    x = p.settle(supplier_features(spark, d), "features")
+    x = risks(x).join(coverages(x), "key", "left")
     std = F.stddev_samp("risk")
     one = x.agg(F.bool_and(F.col("risk").between(1, 10)).alias("range"), ((std > 1.5) & (std < 4)).alias("spread"), (F.abs(F.corr("cov", "risk")) < 0.4).alias("coverage"))
     return one.unpivot([], ["range", "spread", "coverage"], "name", "passed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import panel as p
+from ..operators import intervals, panel as p
 from .adapters import IV, PN, PU, error_spans, nation_panel, query, rounded, table, user_panel
 
 EVENTS = ("click", "error", "purchase", "signup", "view")
@@ -211,17 +211,18 @@ def i1(spark, d):
 
 @query("j5_horizon_label", "SELECT u.e, y.y, max(CASE WHEN s <= y.y + 3 AND z >= y.y + 1 THEN 1 ELSE 0 END) AS label FROM (SELECT DISTINCT e FROM iv) u CROSS JOIN (SELECT DISTINCT s - 2 AS y FROM iv) y JOIN iv ON iv.e = u.e GROUP BY 1, 2", IV)
 def j5(spark, d):
-    spans = error_spans(spark, d)
-    asked = spans.select("e").distinct().crossJoin(F.broadcast(spans.select((F.col("start") - 2).alias("y")).distinct()))
-    hit = (F.col("start") <= F.col("y") + 3) & (F.col("end") >= F.col("y") + 1)
-    return asked.join(spans, "e").groupBy("e", "y").agg(F.max(hit.cast("int")).alias("label"))
+    """Each entity and each asked day: the result has as many rows as there are pairs of these."""
+    spans = p.settle(error_spans(spark, d), "spans")
+    asked = spans.select("e").distinct().crossJoin(spans.select((F.col("start") - 2).alias("y")).distinct())
+    found = intervals.overlaps(asked.withColumns({"lo": F.col("y") + 1, "hi": F.col("y") + 3}), spans)
+    return found.select("e", "y", (F.col("n_spans") > 0).cast("int").alias("label"))
 
 
 @query("j6_in_event", "SELECT DISTINCT o.e, o.d FROM (SELECT user_id AS e, (ts::DATE - DATE '2020-01-01')::INT AS d FROM events WHERE event_type = 'purchase') o JOIN iv ON iv.e = o.e AND o.d BETWEEN s AND z", IV)
 def j6(spark, d):
     asked = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("e"), F.datediff(F.to_date("ts"), F.lit("2020-01-01").cast("date")).alias("d")).distinct()
-    spans = error_spans(spark, d).withColumnRenamed("e", "e_")
-    return asked.join(spans, (F.col("e") == F.col("e_")) & F.col("d").between(F.col("start"), F.col("end")), "left_semi")
+    found = intervals.overlaps(asked.withColumns({"lo": F.col("d"), "hi": F.col("d")}), error_spans(spark, d))
+    return found.where("n_spans > 0").select("e", "d")
 
 
 @query("j7_overlapping_entities", "SELECT DISTINCT e FROM iv WHERE s <= (SELECT min(s) + 5 FROM iv) AND z >= (SELECT min(s) + 3 FROM iv)", IV)
