@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import columns as c
-from ..operators import helpers as h, panel as p
+from ..operators import helpers as h, nearest, panel as p
 from ..sources import files
 from ..sources.files import scratch
 from .adapters import DIMENSIONS, FEATURES, IV, PD, PN, PU, XL, XS, dimension_panel, error_spans, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
@@ -410,43 +410,7 @@ def fill_statistics(filled):
 @query("m11_nearest_peers", """SELECT key, peer, place FROM (SELECT a.key, b.key AS peer, row_number() OVER (PARTITION BY a.key ORDER BY round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6), b.key) AS place FROM (SELECT key, price / 1000 AS x, quantity AS y FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL) a JOIN (SELECT key, price / 1000 AS x, quantity AS y FROM xs WHERE price IS NOT NULL AND quantity IS NOT NULL) b ON a.key <> b.key) WHERE place <= 4""", XS)
 def m11(spark, d):
     x = supplier_features(spark, d).where("price is not null and quantity is not null")
-    return nearest_peers(x.select("key", (F.col("price") / 1000).alias("x"), F.col("quantity").alias("y")))
-
-
-def nearest_peers(points, k: int = 4, block: int = 1000):
-    """key, peer, place: the k nearest others of each point (key, x, y) by rounded distance, then key.
-
-    Points are cut into strips at quantiles of x and these into blocks at quantiles of y, of about `block` points. The k nearest of a
-    point are no further than its block is wide (if it holds more than k points), so a block meets only the blocks that are
-    as near as that; each pair of blocks gives the k best of its points, Spark merges them.
-    """
-    strips = max(1, round((points.count() / block) ** 0.5))
-    cuts = lambda c: F.percentile_approx(c, [(m + 1) / strips for m in range(strips - 1)], 10_000) if strips > 1 else F.array().cast("array<double>")
-    below = lambda cs, v: F.size(F.filter(cs, lambda c: c < F.col(v)))
-    a = points.crossJoin(F.broadcast(points.agg(cuts("x").alias("cx")))).withColumn("sx", below("cx", "x")).drop("cx")  # one row
-    a = a.join(F.broadcast(a.groupBy("sx").agg(cuts("y").alias("cy"))), "sx").withColumn("b", F.col("sx") * strips + below("cy", "y"))  # a row for each strip
-    rows = a.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("key", "x", "y"))).alias("rows"), *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n"))
-    path = scratch(points.sparkSession, "blocks")
-    rows.write.parquet(path)
-    rows = points.sparkSession.read.parquet(path)
-    one = rows.select(F.col("b").alias("b1"), *[F.col(f"{n}{c}").alias(f"{n}{c}1") for c in "xy" for n in ("lo", "hi")], F.col("n").alias("n1"))
-    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"lo{c}") - F.col(f"hi{c}1"), F.col(f"lo{c}1") - F.col(f"hi{c}"))
-    wide = F.when(F.col("n1") > k, F.hypot(F.col("hix1") - F.col("lox1"), F.col("hiy1") - F.col("loy1")) + 1e-5)
-    near = one.join(rows.drop("rows"), F.coalesce(F.hypot(gap("x"), gap("y")) <= wide, F.lit(True))).select("b1", F.col("b").alias("b2"))
-    pairs = near.join(rows.select(F.col("b").alias("b1"), F.col("rows").alias("r1")), "b1").join(rows.select(F.col("b").alias("b2"), F.col("rows").alias("r2")), "b2")
-
-    def run(batches):
-        for batch in batches:
-            for r1, r2 in zip(batch["r1"], batch["r2"], strict=True):
-                (ka, xa, ya), (kb, xb, yb) = (tuple(np.array([r[c] for r in r_]) for c in ("key", "x", "y")) for r_ in (r1, r2))
-                dist = np.hypot(xa[:, None] - xb[None, :], ya[:, None] - yb[None, :])
-                dist[ka[:, None] == kb[None, :]] = np.inf
-                far = np.partition(dist, min(k, len(kb) - 1), axis=1)[:, min(k, len(kb) - 1)] + 1e-5  # ties after rounding come along
-                i, j = np.nonzero((dist <= far[:, None]) & np.isfinite(dist))
-                yield pd.DataFrame({"key": ka[i], "d": dist[i, j], "peer": kb[j]})
-
-    every = pairs.select("r1", "r2").mapInPandas(run, "key long, d double, peer long").withColumn("d", F.round("d", 6))
-    return every.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("d", "peer")).cast("long")).where(F.col("place") <= k).select("key", "peer", "place")
+    return nearest.nearest_peers(x.select("key", (F.col("price") / 1000).alias("x"), F.col("quantity").alias("y")))
 
 
 # pyspark.ml

@@ -142,7 +142,7 @@ def test_sequence_ratio_of_all_pairs(spark):
 
 
 def test_nearest_peers_in_blocks(spark):
-    from riskloom.plans.models import nearest_peers
+    from riskloom.operators.nearest import nearest_peers
 
     rng = np.random.default_rng(4)
     xy = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(30, 0.1, (60, 2)), np.zeros((20, 2)), [[500.0, 500.0]]])
