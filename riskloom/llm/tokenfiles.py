@@ -1,7 +1,7 @@
 """Token ids in binary files: ids ranked by frequency, codes of one to four whole bytes, control bytes apart from them.
 
 1. Documents become token ids and an end id; the table of ids is settled once.
-2. Each task counts ids, Spark sums the counts (a row for each id that occurs, so the vocabulary bounds them). The commonest id
+2. Each task counts the ids it made, Spark sums the counts (a row for each id that occurs, so the vocabulary bounds them). The commonest id
    gets rank 0. A rank below 256 takes one byte, below 65,536 two, and so on.
 3. A task encodes its documents: a control byte holds the lengths of four codes, the codes' bytes follow in a stream of their
    own. Documents begin at a control byte, so they can be moved whole.
@@ -68,46 +68,60 @@ def decode(control: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def id_type(path: str, end: int, added: dict[str, int] | None) -> str:
+    """Two bytes for an id where all fit in, else four."""
+    with open(path, "rb") as file:
+        most = max([end, *(added or {}).values(), *(int(line.split()[1]) for line in file if line.strip())])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def token_ids(docs: DataFrame, path: str | None = None, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, the end id last)."""
+    """doc_id, ids (of id_type's bytes, the end id last) of each document; and for each task a row of counts (pairs of ids and counts, 64-bit) alone."""
     path = path or vocabulary()
+    kind = id_type(path, end, added)
+    names = ["doc_id", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path, added), np.uint32(end)
+        encoder, total = Encoder(path, added), np.zeros(1 << 16, np.int64)
         for batch in batches:
             for part, ids in _sliced(batch, encoder):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.append(x, last).astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+                ends = [np.append(x, np.uint32(end)) for x in ids]
+                own = np.bincount(np.concatenate(ends)) if ends else total[:0]
+                total = np.append(total, np.zeros(max(0, len(own) - len(total)), np.int64))
+                total[: len(own)] += own
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype(kind).tobytes() for x in ends], pa.binary()), pa.nulls(len(ends), pa.binary())], names=names)
+        found = np.flatnonzero(total)
+        if len(found):
+            counts = np.column_stack([found, total[found]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(c.in_arrow, run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(c.in_arrow, run, "doc_id long, ids binary, counts binary")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column and each row's number of them."""
     column = column.cast(pa.binary())
     off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view("<u4"), np.diff(off) // 4
+    ids = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind)
+    return ids, np.diff(off) // ids.itemsize
 
 
 def ranking(tokens: DataFrame) -> np.ndarray:
     """The ids that occur, commonest first, equal counts by id; as many as the vocabulary has at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.bincount(_flat(batch.column("ids"))[0]) if batch.num_rows else total
-            longer, shorter = (total, own) if len(total) >= len(own) else (own, total)
-            longer[: len(shorter)] += shorter
-            total = longer
-        ids = np.flatnonzero(total)
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
-
-    counted = tokens.select("ids").transform(c.in_arrow, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+            for counts in batch.column("counts"):
+                pairs = np.frombuffer(counts.as_py(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n"])
+
+    told = tokens.where("counts is not null").select("counts")  # a row for each task
+    counted = told.transform(c.in_arrow, rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = (counted.column(x).to_numpy() for x in ("id", "n"))
     return ids[np.lexsort((ids, -n))].astype(np.uint32)
 
 
-def encoded(tokens: DataFrame, by_rank: np.ndarray) -> DataFrame:
+def encoded(tokens: DataFrame, by_rank: np.ndarray, kind: str) -> DataFrame:
     """doc_id, n_tokens, control, codes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +130,7 @@ def encoded(tokens: DataFrame, by_rank: np.ndarray) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, n = _flat(batch.column("ids"))
+            ids, n = _flat(batch.column("ids"), kind)
             lanes = -(-n // 4)
             first = np.cumsum(lanes) - lanes
             padded = np.zeros(4 * int(lanes.sum()), np.uint32)
@@ -126,7 +140,7 @@ def encoded(tokens: DataFrame, by_rank: np.ndarray) -> DataFrame:
             lists = lambda data, off: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), lists(control, np.append(first, len(control))), lists(codes, edge)], names=["doc_id", "n_tokens", "control", "codes"])
 
-    return tokens.transform(c.in_arrow, run, "doc_id long, n_tokens long, control binary, codes binary")
+    return tokens.where("counts is null").select("doc_id", "ids").transform(c.in_arrow, run, "doc_id long, n_tokens long, control binary, codes binary")
 
 
 def _block(rows: list[tuple]) -> bytes:
@@ -168,7 +182,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{_files.at(folder)[1]}/{name}"]), pa.array([n_docs]), pa.array([n_tokens])], names=["part", "path", "docs", "tokens"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("control", "codes"), F.col("n_tokens")]
-    dealt = encoded(tokens, by_rank).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = encoded(tokens, by_rank, id_type(path or vocabulary(), end, added)).repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = c.settle(dealt.transform(c.in_arrow, run, "part long, path string, docs long, tokens long"), "manifest")
     c.forget(tokens)
     return manifest
