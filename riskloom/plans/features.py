@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import bands, columns as c
-from ..operators import checks, panel as p
+from ..operators import checks, gram, panel as p
 from .adapters import DIMENSIONS, FEATURES, IV, PD, PN, PU, XL, XS, dimension_panel, error_spans, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
 from .series import ECON, LATEST, PCT, SCORES
 
@@ -415,10 +415,8 @@ CORR = "co AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a},
 
 
 def correlations(x):
-    """a, b, r of every pair of features, from one aggregate."""
-    one = x.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in PAIRS])
-    long = one.unpivot([], [f"{a}|{b}" for a, b in PAIRS], "ab", "r")
-    return long.select(F.split_part("ab", F.lit("|"), F.lit(1)).alias("a"), F.split_part("ab", F.lit("|"), F.lit(2)).alias("b"), "r")
+    """a, b, r of every pair of features, over the rows that have both."""
+    return gram.named_correlations(p.settle(x, "features"), FEATURES).select("a", "b", "r")
 
 
 @query("a12_correlations", "SELECT a, b, round(r, 6) + 0.0 AS r, CASE WHEN abs(r) > 0.7 THEN 'HIGH' WHEN abs(r) > 0.4 THEN 'MED' ELSE 'LOW' END AS level FROM co", XS, CORR)
@@ -442,9 +440,11 @@ def a13(spark, d):
 
 def dropped(x, priority, limit: float = 0.85, suffix: str = "_fsibsis"):
     """Of each two features that correlate beyond limit the one that goes: with the suffix, else of the larger priority number, else with more nulls, else the second."""
-    pairs = [(a, b) for k, a in enumerate(priority) for b in list(priority)[k + 1 :]]
-    one = x.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), F.count(F.when(F.col(a).isNull(), 1)).alias("na"), F.count(F.when(F.col(b).isNull(), 1)).alias("nb"), F.lit(priority[a]).alias("pa"), F.lit(priority[b]).alias("pb")).alias(f"{a}|{b}") for a, b in pairs])
-    rows = one.select(F.explode(F.array(*[F.col(f"`{a}|{b}`") for a, b in pairs])).alias("x")).select("x.*").where(F.abs("r") > limit)
+    x = p.settle(x.select(*priority), "features")
+    nulls = x.agg(*[F.count(F.when(F.col(f).isNull(), 1)).alias(f) for f in priority]).unpivot([], list(priority), "f", "n")
+    facts = nulls.join(x.sparkSession.createDataFrame(list(priority.items()), "f string, p int"), "f")  # a row for each feature
+    side = lambda k: F.broadcast(facts.select(F.col("f").alias(k), F.col("n").alias("n" + k), F.col("p").alias("p" + k)))
+    rows = gram.named_correlations(x, list(priority)).where(F.abs("r") > limit).join(side("a"), "a").join(side("b"), "b")
     ends = lambda c: F.col(c).endswith(suffix)
     loser = F.when(ends("a") & ~ends("b"), F.col("a")).when(ends("b") & ~ends("a"), F.col("b")).when(F.col("pa") > F.col("pb"), F.col("a")).when(F.col("pb") > F.col("pa"), F.col("b")).when(F.col("na") > F.col("nb"), F.col("a")).otherwise(F.col("b"))
     return rows.select(loser.alias("dropped")).distinct()

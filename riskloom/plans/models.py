@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -16,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import columns as c
-from ..operators import helpers as h, nearest, panel as p
+from ..operators import gram, helpers as h, names, nearest, panel as p
 from ..sources import files
 from ..sources.files import scratch
 from .adapters import DIMENSIONS, FEATURES, IV, PD, PN, PU, XL, XS, dimension_panel, error_spans, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
@@ -161,65 +159,19 @@ def s6_loadings(spark, d):
 # names
 
 
-def within_distance(names, k: int = 4):
-    """a, b: all pairs a < b of the distinct names n at an edit distance of k at most.
-
-    Of a name cut into k + 1 even parts one is left whole by k edits, and stands at most k places further in the other name:
-    the parts of a name meet the pieces of that length of every name that is as long or up to k longer.
-    """
-    n = names.select("n").where("n is not null").distinct().withColumn("l", F.length("n"))
-    begin = lambda i, length: F.floor(i * length / (k + 1)).cast("int")
-    piece = lambda i, length: begin(i + 1, length) - begin(i, length)
-    parts = n.select(F.col("n").alias("short"), F.col("l"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.substring("n", begin(i, F.col("l")) + 1, piece(i, F.col("l"))))).alias("i", "s"))
-    other = n.select(F.col("n").alias("long"), F.col("l").alias("ll"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("l") - k), F.col("l"))).alias("l"))
-    other = other.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("at", F.explode(F.sequence(F.lit(-k), F.lit(k)))).withColumn("from", begin(F.col("i"), F.col("l")) + F.col("at"))
-    other = other.where("from >= 0 and from <= ll").select("long", "l", "i", F.substring("long", F.col("from") + 1, piece(F.col("i"), F.col("l"))).alias("s")).distinct()
-    pairs = parts.join(other, ["l", "i", "s"]).where("short <> long").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
-    return pairs.where(F.levenshtein("a", "b") <= k)
-
-
 @query("j12_similar_names", """SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT p_name AS n FROM part) a JOIN (SELECT DISTINCT p_name AS n FROM part) b ON a.n < b.n AND levenshtein(a.n, b.n) <= 4""")
 def j12(spark, d):
-    return within_distance(table(spark, d, "part").select(F.col("p_name").alias("n")))
+    return names.within_distance(table(spark, d, "part").select(F.col("p_name").alias("n")))
 
 
 @query("j12_similar_product_names", """SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT p_type || p_brand || p_name AS n FROM part) a JOIN (SELECT DISTINCT p_type || p_brand || p_name AS n FROM part) b ON a.n < b.n AND levenshtein(a.n, b.n) <= 2 WHERE length(a.n) - length(b.n) BETWEEN -2 AND 2""")
 def j12_long(spark, d):
-    return within_distance(table(spark, d, "part").select(F.concat("p_type", "p_brand", "p_name").alias("n")), 2)
-
-
-def similar_by_ratio(names, least: float = 0.9):
-    """a, b, ratio of all pairs a < b of the distinct names n whose sequence-match ratio is above least.
-
-    The ratio is at most 2 x common characters / both lengths, so a pair has more than length x share characters of
-    each name in common: in one order of all (occurrence, character) the names' prefixes, as long as that leaves, share one.
-    """
-    share = least / (2 - least)
-
-    @F.pandas_udf("array<string>")
-    def prefix(n: pd.Series) -> pd.Series:
-        def run(x: str) -> list[str]:
-            seen, every = Counter(), []
-            for ch in x:
-                seen[ch] += 1
-                every.append((-seen[ch], ch))
-            return [f"{-k} {ch}" for k, ch in sorted(every)[: len(x) - int(len(x) * share - 1e-9)]]
-
-        return n.map(run)
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    n = names.select("n").where("n is not null").distinct().select("n", F.explode(prefix("n")).alias("k"))
-    pairs = n.withColumnRenamed("n", "a").join(n.withColumnRenamed("n", "b"), "k").where("a < b")
-    close = F.least(F.length("a"), F.length("b")) * 2 > (F.length("a") + F.length("b")) * F.lit(least) - 1e-9
-    return pairs.where(close).select("a", "b").distinct().select("a", "b", ratio("a", "b").alias("ratio")).where(F.col("ratio") > least)
+    return names.within_distance(table(spark, d, "part").select(F.concat("p_type", "p_brand", "p_name").alias("n")), 2)
 
 
 @query("j12_sequence_ratio")
 def j12_ratio(spark, d):
-    return rounded(similar_by_ratio(table(spark, d, "part").select(F.col("p_name").alias("n"))))
+    return rounded(names.similar_by_ratio(table(spark, d, "part").select(F.col("p_name").alias("n"))))
 
 
 # series
@@ -669,14 +621,20 @@ def area(curve):
     return curve.select(step.alias("s")).agg(F.sum("s").alias("auc"))
 
 
+def folded(x, k: int, seed: int = 42):
+    """x (key, label, ...) with its fold: rows of a label, in the order of a hash, take folds in turn. The order comes from counts of hashes (`running`), so no task orders a label."""
+    x = x.withColumn("_h", F.xxhash64("key", F.lit(seed)))
+    counts = p.running(x.groupBy("label", "_h").agg(F.count(F.lit(1)).alias("_c")), "_h", ["_c"], ["label"])
+    among = F.row_number().over(W.partitionBy("label", "_h").orderBy("key"))
+    placed = x.join(counts.select("label", "_h", "before__c"), ["label", "_h"]).withColumn("fold", ((F.col("before__c") + among) % k).cast("int"))
+    return placed.select(*[c for c in x.columns if c != "_h"], "fold")
+
+
 def cross_validated(x, seed: int = 42, rounds: int = ROUNDS):
     """key, label, p, fold: every row scored by a model of the other folds; k = min(5, smaller class), 2 at least. The fits run side by side."""
     small = x.groupBy("label").count().agg(F.min("count")).first()[0] or 0
     k = max(2, min(5, small))
-    spark, path = x.sparkSession, scratch(x.sparkSession, "folds")
-    fold = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("key", F.lit(seed)))) % k
-    x.withColumn("fold", fold).write.parquet(path)
-    x = spark.read.parquet(path)
+    spark, x = x.sparkSession, p.settle(folded(x, k, seed), "folds")
     with ThreadPool(k) as pool:
         parts = pool.map(lambda i: probabilities(fitted(x.where(F.col("fold") != i), rounds), x.where(F.col("fold") == i)).withColumn("fold", F.lit(i)), range(k))
     every = parts[0]
@@ -772,21 +730,23 @@ def m16(spark, d):
     return rounded(spark.createDataFrame(rows, "f string, importance double").orderBy(F.desc("importance"), "f").limit(10), 4)
 
 
-@query("a12_gram_correlations")
+EMBEDDED = "em AS (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+@query("a12_gram_correlations", "SELECT a.k::INT AS a, b.k::INT AS b, round(corr(a.v, b.v), 5) + 0.0 AS r FROM em a JOIN em b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY 1, 2", EMBEDDED)
 def a12_gram(spark, d):
     """The correlations of many columns (embeddings) from sums of products taken task by task."""
-    rows = table(spark, d, "embeddings").where("embedding is not null").select("embedding")
-    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
+    return rounded(_embedded(spark, d, F.lit(False)).select("a", "b", "r"), 5)
 
-    def sums(batches):
-        s, g, n = np.zeros(dim), np.zeros((dim, dim)), 0
-        for pdf in batches:
-            x = np.array(pdf["embedding"].to_list(), float)
-            s, g, n = s + x.sum(axis=0), g + x.T @ x, n + len(x)
-        i, j = np.triu_indices(dim, 1)
-        yield pd.DataFrame({"a": i, "b": j, "n": n, "sa": s[i], "sb": s[j], "saa": np.diag(g)[i], "sbb": np.diag(g)[j], "sab": g[i, j]})
-
-    t = rows.mapInPandas(sums, "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double").groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
-    var = lambda x: F.col("s" + x + x) - F.col("s" + x) * F.col("s" + x) / F.col("n")
-    return rounded(t.select("a", "b", (cov / F.sqrt(var("a") * var("b"))).alias("r")))
+
+@query("a12_gapped_correlations", "SELECT a.k::INT AS a, b.k::INT AS b, count(*) AS n, round(corr(a.v, b.v), 5) + 0.0 AS r FROM em a JOIN em b ON a.vec_id = b.vec_id AND a.k < b.k WHERE (a.vec_id + a.k * 3) % 7 <> 0 AND (b.vec_id + b.k * 3) % 7 <> 0 GROUP BY 1, 2", EMBEDDED)
+def a12_gapped(spark, d):
+    """The same over the rows that have both, with a seventh of the values missing."""
+    return rounded(_embedded(spark, d, lambda k: (F.col("vec_id") + k * 3) % 7 == 0), 5)
+
+
+def _embedded(spark, d, gap):
+    rows = table(spark, d, "embeddings").where("embedding is not null")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    missing = gap if callable(gap) else lambda k: gap
+    return gram.correlations(rows.select(F.transform("embedding", lambda v, k: F.when(~missing(k), v.cast("double"))).alias("x")), width)

@@ -127,7 +127,7 @@ def test_sequence_ratio_of_all_pairs(spark):
     import difflib
     import random
 
-    from riskloom.plans import models
+    from riskloom.operators import names as models
 
     rng = random.Random(12)
     base = ["".join(rng.choice("abcde é😀") for _ in range(rng.randint(1, 45))) for _ in range(25)]
@@ -139,6 +139,8 @@ def test_sequence_ratio_of_all_pairs(spark):
     got = models.similar_by_ratio(spark.createDataFrame([(x,) for x in [*names, *base, None]], "n string")).collect()
     assert len(got) == len(want) and {(r["a"], r["b"]): r["ratio"] for r in got} == want
     assert any(a.split(" ")[0] != b.split(" ")[0] for a, b in want)
+    tried = models.ratio_candidates(spark.createDataFrame([(x,) for x in names], "n string"))
+    assert len(want) <= tried.count() <= 6 * len(want)
 
 
 def test_nearest_peers_in_blocks(spark):
