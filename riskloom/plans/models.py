@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import columns as c
-from ..operators import gram, helpers as h, names, nearest, panel as p
+from ..operators import gram, helpers as h, names, nearest, neighbours, panel as p
 from ..sources import files
 from ..sources.files import scratch
 from .adapters import DIMENSIONS, FEATURES, IV, PD, PN, PU, XL, XS, dimension_panel, error_spans, long_features, nation_panel, query, rounded, supplier_features, table, user_panel
@@ -228,44 +228,14 @@ def i2(spark, d):
 # blocks of rows
 
 
-def knn_fill(wide, features, k: int = 5, block: int = 2000):
-    """key, f, v, confidence: every missing cell from the k nearest rows that have the feature.
-
-    Rows are packed in blocks by hash; each pair of blocks gives the k best donors of its cells, Spark merges them.
-    """
-    cells = wide.select("key", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    n = max(1, -(-cells.count() // block))
-    packed = cells.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("key", "x"))).alias("rows"))  # about `block` rows each
-    pairs = packed.select(F.col("b").alias("b1"), F.col("rows").alias("r1")).join(packed.select(F.col("b").alias("b2"), F.col("rows").alias("r2")), F.lit(True))
-
-    def run(batches):
-        for batch in batches:
-            for r1, r2 in zip(batch["r1"], batch["r2"], strict=True):
-                ka, kb = np.array([r["key"] for r in r1]), np.array([r["key"] for r in r2])
-                a, b = (np.array([r["x"] for r in rows], float) for rows in (r1, r2))
-                dist = h.nan_distances(a, b)
-                dist[ka[:, None] == kb[None, :]] = np.inf
-                out = []
-                for j in range(a.shape[1]):
-                    donors = np.flatnonzero(~np.isnan(b[:, j]))
-                    for i in np.flatnonzero(np.isnan(a[:, j])):
-                        near = donors[np.lexsort((kb[donors], dist[i, donors]))[:k]]
-                        out += [(int(ka[i]), features[j], float(dist[i, m]), int(kb[m]), float(b[m, j])) for m in near if np.isfinite(dist[i, m])]
-                yield pd.DataFrame(out, columns=["key", "f", "dist", "donor", "v"])
-
-    donors = pairs.select("r1", "r2").mapInPandas(run, "key long, f string, dist double, donor long, v double")
-    best = donors.withColumn("r", F.row_number().over(W.partitionBy("key", "f").orderBy("dist", "donor"))).where(F.col("r") <= k)
-    zero = F.min("dist").over(W.partitionBy("key", "f")) == 0
-    best = best.withColumn("w", F.when(zero, (F.col("dist") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), "dist")))
-    found = best.groupBy("key", "f").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
-    means = wide.agg(*[F.avg(f).alias(f) for f in features]).unpivot([], list(features), "f", "m")
-    gaps = wide.unpivot(["key"], list(features), "f", "v").where("v is null").select("key", "f")
-    return gaps.join(found, ["key", "f"], "left").join(F.broadcast(means), "f").select("key", "f", F.coalesce("v", "m").alias("v"), F.when(F.coalesce("v", "m").isNotNull(), 0.7).otherwise(0.0).alias("confidence"))
-
-
-@query("i3_nearest_fill")
+NEAREST = """dd AS (SELECT a.key, b.key AS donor, sqrt(6 / count(*)::DOUBLE * sum(pow(a.v - b.v, 2))) AS dist FROM xl a JOIN xl b ON a.f = b.f AND a.key <> b.key AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2),
+nb AS (SELECT *, row_number() OVER (PARTITION BY key, f ORDER BY dist, donor) AS m FROM (SELECT g.key, g.f, d.dist, d.donor, b.v FROM xl g JOIN dd d ON d.key = g.key JOIN xl b ON b.key = d.donor AND b.f = g.f AND b.v IS NOT NULL WHERE g.v IS NULL)),
+nw AS (SELECT key, f, v, CASE WHEN min(dist) OVER (PARTITION BY key, f) = 0 THEN (dist = 0)::INT ELSE 1 / dist END AS w FROM nb WHERE m <= 5)"""
+
+
+@query("i3_nearest_fill", "SELECT g.key, g.f, round(coalesce(n.v, a.m), 5) + 0.0 AS v, CASE WHEN coalesce(n.v, a.m) IS NULL THEN 0.0 ELSE 0.7 END::DOUBLE AS confidence FROM xl g LEFT JOIN (SELECT key, f, sum(w * v) / sum(w) AS v FROM nw GROUP BY 1, 2) n ON n.key = g.key AND n.f = g.f JOIN (SELECT f, avg(v) AS m FROM xl GROUP BY f) a ON a.f = g.f WHERE g.v IS NULL", XL, NEAREST)
 def i3(spark, d):
-    return rounded(knn_fill(supplier_features(spark, d), FEATURES), 5)
+    return rounded(neighbours.knn_fill(supplier_features(spark, d), FEATURES), 5)
 
 
 def gram_fill(wide, features, rank: int = 10):
@@ -318,7 +288,7 @@ def hybrid_fill(panel, features):
     cells.write.parquet(path)  # three fills read them
     cells = panel.sparkSession.read.parquet(path)
     wide = cells.groupBy("key").pivot("i", list(features)).agg(F.first("v"))
-    near, low = knn_fill(wide, features), gram_fill(wide, features)
+    near, low = neighbours.knn_fill(wide, features), gram_fill(wide, features)
     out = cells.join(near.select("key", F.col("f").alias("i"), F.col("v").alias("v2"), F.col("confidence").alias("c2")), ["key", "i"], "left").join(low.select("key", F.col("f").alias("i"), F.col("v").alias("v3"), F.col("confidence").alias("c3")), ["key", "i"], "left")
     how = F.when(F.col("real"), "real").when(F.col("v").isNotNull(), "temporal").when(F.col("v2").isNotNull(), "neighbours").when(F.col("v3").isNotNull(), "low rank").otherwise("none")
     sure = F.when(F.col("v").isNotNull(), F.col("confidence")).when(F.col("v2").isNotNull(), F.col("c2")).otherwise(F.least("c2", "c3"))

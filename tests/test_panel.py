@@ -86,7 +86,7 @@ def test_helpers():
 
 
 def test_nearest_fill_by_brute_force(spark):
-    from riskloom.plans.models import knn_fill
+    from riskloom.operators.neighbours import knn_fill
 
     rng = np.random.default_rng(0)
     a = rng.normal(size=(30, 3))
