@@ -20,6 +20,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _common.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = _common.settle(stage(spark, docs, sf_dir), name)
+        if before is not None:  # nothing reads the stage before any more
+            _common.forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
