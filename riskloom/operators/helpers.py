@@ -7,29 +7,33 @@ import math
 import numpy as np
 
 
-def t_tail(t: float, df: int) -> float:
-    """Two-sided tail of Student's t, by the continued fraction of the incomplete beta function."""
-    if df < 1 or not math.isfinite(t):
-        return math.nan
-    return _beta_inc(df / 2, 0.5, df / (df + t * t))
+def t_tail(t, df) -> np.ndarray:
+    """Two-sided tails of Student's t, by the continued fraction of the incomplete beta function; NaN without a degree of freedom."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    good = (df >= 1) & np.isfinite(t)
+    t, n = np.where(good, t, 0.0), np.where(good, df, 1.0)
+    return np.where(good, _beta_inc(n / 2, np.full(n.shape, 0.5), n / (n + t * t)), np.nan)
 
 
-def _beta_inc(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_inc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d, tiny = 1.0, 1 - (a + b) * x / (a + 1), 1e-300
-    d = 1 / (d or tiny)
-    h = d
+def _beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    turned = x > (a + 1) / (a + b + 2)  # the fraction converges fast on one side of this
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    inside = np.clip(x, 1e-300, 1 - 1e-16)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(inside) + b * np.log1p(-inside)) / a
+    tiny = 1e-300
+    safe = lambda v: np.where(v == 0, tiny, v)
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * inside / (a + 1))
+    h = d.copy()
     for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 / ((1 + num * d) or tiny), (1 + num / c) or tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
+        for num in (m * (b - m) * inside / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * inside / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / safe(1 + num * d), safe(1 + num / c)
+            step = d * c
+            h = h * step
+        if (np.abs(step - 1) < 1e-15).all():
             break
-    return front * h
+    value = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, front * h))
+    return np.where(turned, 1 - value, value)
 
 
 def smooth(v: np.ndarray) -> np.ndarray:

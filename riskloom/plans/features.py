@@ -290,7 +290,7 @@ def j9_diverging(spark, d):
 @query("j10_attach_dimensions", "SELECT e, round(econ, 6) AS econ, r_name AS region FROM ec LEFT JOIN nation ON n_name = e LEFT JOIN region ON n_regionkey = r_regionkey", PN, LATEST, PCT, SCORES)
 def j10(spark, d):
     dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("e"), F.col("r_name").alias("region"))
-    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ("econ", ECON)).join(F.broadcast(dims), "e", "left"))
+    return rounded(p.weighted_percentiles(p.latest(nation_panel(spark, d)), ("econ", ECON)).join(dims, "e", "left"))
 
 
 @query("j11_rating_bands", "SELECT o_orderkey, s, coalesce(b, 'NR') AS rating FROM (SELECT o_orderkey, (o_orderkey % 112 - 5)::DOUBLE AS s FROM orders) LEFT JOIN (VALUES " + ", ".join(f"('{b}', {lo}, {hi})" for b, lo, hi in bands.RATINGS) + ") q(b, lo, hi) ON s >= lo AND s < hi")

@@ -181,7 +181,10 @@ def j12_ratio(spark, d):
 def w6_p(spark, d):
     @F.pandas_udf("double")
     def tail(r2: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([h.t_tail((r * (k - 2) / (1 - r)) ** 0.5, int(k) - 2) if r is not None and r == r and r < 1 else (0.0 if r == r else None) for r, k in zip(r2, n, strict=True)])
+        r, k = r2.to_numpy(float), n.to_numpy(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.sqrt(r * (k - 2) / (1 - r))
+        return pd.Series(np.where(r >= 1, 0.0, h.t_tail(t, k - 2)))
 
     return rounded(p.trends(user_panel(spark, d)).select("e", "i", "n", "r2", tail("r2", "n").alias("p")))
 
