@@ -501,6 +501,15 @@ def m9(spark, d):
     return rounded(cluster_scores(clustered(spark, d), supplier_features(spark, d)), 3)
 
 
+@query("m9_scores_of_labels", "SELECT key, round(score, 4) + 0.0 AS score, round(confidence, 4) AS confidence, CASE WHEN score >= 80 THEN 'very low' WHEN score >= 65 THEN 'low' WHEN score >= 50 THEN 'medium' WHEN score >= 35 THEN 'high' ELSE 'very high' END AS tier FROM (SELECT key, greatest(0, least(100, 100 - key % 3 / 4.0::DOUBLE * 70 + sum(mi / top * coalesce(v, 0) / (1 + abs(coalesce(v, 0))) * 5))) AS score, avg((v IS NOT NULL)::INT) AS confidence FROM xl JOIN mi USING (f) CROSS JOIN (SELECT max(mi) AS top FROM mi) GROUP BY key)", XL, BINNED)
+def m9_labels(spark, d):
+    """The scores that given clusters lead to."""
+    wide = p.settle(supplier_features(spark, d), "features")
+    value = lambda f: F.coalesce(f, F.lit(0.0)) / (1 + F.abs(F.coalesce(f, F.lit(0.0))))
+    x = wide.select("key", (F.col("key") % 3).alias("cluster"), F.array(*[value(f) for f in FEATURES]).alias("x"))
+    return rounded(cluster_scores(x, wide), 4)
+
+
 def key_drivers(x, weights, top: int = 5):
     """key, f, z, weight, risk, place: the features (key, f, v) whose distance from the median in deviations, times the feature's weight, is largest."""
     x = p.settle(x.where("v is not null"), "long")
