@@ -3,7 +3,7 @@
 1. Documents become token ids and an end id; the table of ids is settled once.
 2. Each task counts the ids it made, Spark sums the counts (a row for each id that occurs, so the vocabulary bounds them). The commonest id
    gets rank 0. A rank below 256 takes one byte, below 65,536 two, and so on.
-3. A task encodes its documents: a control byte holds the lengths of four codes, the codes' bytes follow in a stream of their
+3. Each task encodes documents, which are settled once more: a control byte holds the lengths of four codes, the codes' bytes follow in a stream of their
    own. Documents begin at a control byte, so they can be moved whole.
 4. Spark range-sorts the encoded documents by doc_id. Each task writes one file of blocks (a table of documents, the control
    bytes, the codes, a checksum). The manifest names the files of finished attempts in order; a running sum over it, a row for
@@ -182,9 +182,11 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{_files.at(folder)[1]}/{name}"]), pa.array([n_docs]), pa.array([n_tokens])], names=["part", "path", "docs", "tokens"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("control", "codes"), F.col("n_tokens")]
-    dealt = encoded(tokens, by_rank, id_type(path or vocabulary(), end, added)).repartitionByRange(*order).sortWithinPartitions(*order)
-    manifest = c.settle(dealt.transform(c.in_arrow, run, "part long, path string, docs long, tokens long"), "manifest")
+    coded = c.settle(encoded(tokens, by_rank, id_type(path or vocabulary(), end, added)), "coded")  # the range sort reads it twice
     c.forget(tokens)
+    dealt = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    manifest = c.settle(dealt.transform(c.in_arrow, run, "part long, path string, docs long, tokens long"), "manifest")
+    c.forget(coded)
     return manifest
 
 
