@@ -19,10 +19,18 @@ MOST = 100_000
 CUTS = 256
 
 
-def running(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), most: int = MOST, cuts: int = CUTS) -> DataFrame:
-    """counts (one row for each value of a group, no nulls among them) with each sum over the group's smaller values (before_x) and over all (all_x)."""
-    counts = settle(counts.select(*by, value, *sums), "counts")
-    largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+def running(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), most: int = MOST, cuts: int = CUTS, bound: int | None = None) -> DataFrame:
+    """counts (one row for each value of a group, no nulls among them) with each sum over the group's smaller values (before_x) and over all (all_x).
+
+    bound: what no group has more rows than, if that is known. Otherwise, or if it is beyond `most`, the counts are settled and groups measured.
+    """
+    counts = counts.select(*by, value, *sums)
+    if bound is not None and bound <= most:
+        return _ordered(counts, value, list(sums), list(by), bound, most, cuts)
+    counts = settle(counts, "counts")
+    largest = counts.rows_at_most
+    if largest > most:
+        largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     return _ordered(counts, value, list(sums), list(by), largest, most, cuts)
 
 
@@ -53,12 +61,12 @@ def percentile_rank(rows: DataFrame, value: str = "v", by: Sequence[str] = ("i",
     good = rows
     for x in (value, *by):
         good = good.where(F.col(x).isNotNull())
-    counts = running(good.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), value, ["_c"], by)
+    counts = running(good.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), value, ["_c"], by, bound=getattr(rows, "rows_at_most", None))
     pct = (F.col("before__c") + (F.col("_c") + 1) / 2) / F.col("all__c")
     return good.join(counts.select(*by, value, pct.alias(name)), [*by, value])
 
 
-def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), most: int = MOST, cuts: int = CUTS) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), most: int = MOST, cuts: int = CUTS, bound: int | None = None) -> DataFrame:
     """by and a column for each name in shares: the exact quantile of the non-null values, linear between its two neighbours.
 
     Rows with a null in `by` don't count, nor do NaN values. A group without values has no row; without `by` there is always one row.
@@ -66,7 +74,7 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: Sequenc
     good = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     for x in by:
         good = good.where(F.col(x).isNotNull())
-    counts = running(good.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), value, ["_c"], by, most, cuts)
+    counts = running(good.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), value, ["_c"], by, most, cuts, getattr(rows, "rows_at_most", None) if bound is None else bound)
     at = lambda k: F.max(F.when((F.col("before__c") <= k) & (k < F.col("before__c") + F.col("_c")), F.col(value).cast("double")))
 
     def exact(share: float) -> Column:
@@ -80,5 +88,5 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: Sequenc
 def column_medians(wide: DataFrame, columns: Sequence[str], suffix: str = "_m") -> DataFrame:
     """One row with the exact median of each column, named with the suffix; null for a column without values."""
     long = wide.select(*columns).unpivot([], list(columns), "_f", "_v")
-    found = quantiles(long, "_v", {"_q": 0.5}, ["_f"])
+    found = quantiles(long, "_v", {"_q": 0.5}, ["_f"], bound=getattr(wide, "rows_at_most", None))
     return found.agg(*[F.max(F.when(F.col("_f") == x, F.col("_q"))).alias(x + suffix) for x in columns])

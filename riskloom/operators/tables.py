@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -53,11 +53,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """df, written as Parquet and read again, with the number of its rows (rows_at_most) that the writing job observed; a repeated stage may count rows again."""
+    path, seen = scratch(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.settled_at = path
+    out.settled_at, out.rows_at_most = path, seen.get["rows"]
     return out
 
 

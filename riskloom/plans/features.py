@@ -591,7 +591,12 @@ rk AS (SELECT key, 1 + 9 * (1 - (rank() OVER (ORDER BY s) + (count(*) OVER (PART
 
 def risks(x):
     s = 0.5 * F.coalesce("price", F.lit(35000.0)) / 1000 + 0.5 * F.coalesce("quantity", F.lit(25.0))
-    ranked = p.percentile_rank(p.settle(x.select("key", s.alias("s")), "scores"), "s", [])
+    scores = x.select("key", s.alias("s"))
+    if hasattr(x, "rows_at_most"):  # settled features give the bound of their scores
+        scores.rows_at_most = x.rows_at_most
+    else:
+        scores = p.settle(scores, "scores")
+    ranked = p.percentile_rank(scores, "s", [])
     return ranked.select("key", (1 + 9 * (1 - F.col("pct"))).alias("risk"))
 
 

@@ -30,8 +30,9 @@ def write_wide(spark, d) -> str:
     number = F.split_part("e", F.lit("_"), F.lit(2))
     x = x.withColumns({"series_key": F.concat(F.lpad(number, 3, "0"), F.lit("."), "i"), "COUNTRY": F.initcap(F.replace("e", F.lit("_"), F.lit(" "))), "INDICATOR": F.concat(F.lit("Mean "), "i"), "UNIT": F.when(F.col("i") == "price", "US dollar")})
     x, path = p.settle(x, "panel"), scratch(spark, "wide")
-    early = x.where("year(t) <= 1995").groupBy(F.lit("PN").alias("DATASET"), "series_key", "COUNTRY", "INDICATOR", "UNIT").pivot("period").agg(F.first("v"))
-    late = x.where("year(t) > 1995").groupBy("INDICATOR", "series_key", "COUNTRY").pivot("period").agg(F.first("v")).withColumnRenamed("INDICATOR", "\ufeffINDICATOR")
+    periods = sorted(r["period"] for r in x.select("period").distinct().collect())  # the columns
+    early = x.where("year(t) <= 1995").groupBy(F.lit("PN").alias("DATASET"), "series_key", "COUNTRY", "INDICATOR", "UNIT").pivot("period", [y for y in periods if y < "1996"]).agg(F.first("v"))
+    late = x.where("year(t) > 1995").groupBy("INDICATOR", "series_key", "COUNTRY").pivot("period", [y for y in periods if y > "1996"]).agg(F.first("v")).withColumnRenamed("INDICATOR", "\ufeffINDICATOR")
     files.write_csv(early, f"{path}/early")
     files.write_csv(late, f"{path}/late")
     return path
