@@ -137,3 +137,19 @@ def balance_ratios(wide: DataFrame) -> DataFrame:
         there = F.expr(f"{guard} <> 0 and {denominator} > 0")
         out += [F.when(there, F.expr(f"{numerator} / {denominator} * 100")).alias(ratio), F.when(there, F.col(guard + "_y")).alias(ratio + "_year")]
     return x.select("e", *out)
+
+
+def one_decimal(x: Column) -> Column:
+    """x with one decimal as text, the exact binary value rounded half to even: 6.25 is 6.2, 0.15 (a little less than that) 0.1.
+
+    Spark's own `%.1f` rounds the shortest decimal form half up. Twenty times the fraction, scaled by 2^57, is exact as a
+    long; values without a fraction (2^52 and more) and non-finite ones are left to Spark. Null stays null.
+    """
+    size = F.abs(x)
+    whole = F.floor(size).cast("long")
+    scaled = ((size - whole) * float(2**57)).cast("long") * 20
+    rest, half = scaled.bitwiseAND(F.lit(2**58 - 1)), F.lit(2**57)
+    down = whole * 10 + F.shiftright(scaled, 58)
+    tenths = down + F.when((rest > half) | ((rest == half) & (down % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(x.isNull(), F.lit(None)).when(size < float(2**52), text).otherwise(F.format_string("%.1f", x))

@@ -766,6 +766,8 @@ tt AS (SELECT e, i, count(*) AS n, regr_slope(v, x) / abs(avg(v)) * 100 AS sp FR
   SELECT e, 'peers ' || i, CASE WHEN pct * 100 >= 60 THEN printf('{PEER_WORDS[0]}', i, floor(round(pct * 100, 6))::BIGINT) ELSE printf('{PEER_WORDS[1]}', i, floor(round(pct * 100, 6))::BIGINT, round(med, 6)) END FROM lm)""", PN, LATEST, PCT, R15)
 def r15(spark, d):
     """A sentence for each of six measures, the trend and the standing among peers of each indicator, with formatted values."""
+    said_as = lambda words, *values: F.format_string(words.replace("%.1f", "%s"), *values)
+    tenths = lambda x: c.one_decimal(F.col(x) if isinstance(x, str) else x)
     panel = nation_panel(spark, d)
     last = p.settle(p.latest(panel), "latest")
 
@@ -773,18 +775,18 @@ def r15(spark, d):
         (i, a, b), (good, warn, up) = SOURCES[k], LIMITS[k]
         x = last.where(F.col("i") == i).select("e", (F.round(F.col("v") * a + b, 6) + 0.0).alias("v"))
         at = (lambda y: F.col("v") >= y) if up else (lambda y: F.col("v") <= y)
-        text = F.when(at(good), F.format_string(WORDS[k][0], "v")).when(at(warn), F.format_string(WORDS[k][1], "v")).otherwise(F.format_string(WORDS[k][2], "v"))
+        text = F.when(at(good), said_as(WORDS[k][0], tenths("v"))).when(at(warn), said_as(WORDS[k][1], tenths("v"))).otherwise(said_as(WORDS[k][2], tenths("v")))
         return x.select("e", F.lit(k).alias("topic"), text.alias("sentence"))
 
     out = level("capital")
     for k in list(SOURCES)[1:]:
         out = out.unionByName(level(k))
     change, way = F.round(F.abs("slope_pct"), 6), F.col("slope_pct")
-    trend = F.when(way > 2, F.format_string(TREND_WORDS[0], "i", change, "n")).when(way < -2, F.format_string(TREND_WORDS[1], "i", change, "n")).otherwise(F.format_string(TREND_WORDS[2], "i"))
+    trend = F.when(way > 2, said_as(TREND_WORDS[0], "i", tenths(change), "n")).when(way < -2, said_as(TREND_WORDS[1], "i", tenths(change), "n")).otherwise(F.format_string(TREND_WORDS[2], "i"))
     out = out.unionByName(p.trends(panel).where("slope_pct is not null").select("e", F.concat(F.lit("trend "), "i").alias("topic"), trend.alias("sentence")))
     place, med = F.floor(F.round(F.col("pct") * 100, 6)), F.round("med", 6)
     peers = p.percentile_rank(last).join(p.quantiles(last, "v", {"med": 0.5}, ["i"]), "i")
-    said = F.when(F.col("pct") * 100 >= 60, F.format_string(PEER_WORDS[0], "i", place)).otherwise(F.format_string(PEER_WORDS[1], "i", place, med))
+    said = F.when(F.col("pct") * 100 >= 60, F.format_string(PEER_WORDS[0], "i", place)).otherwise(said_as(PEER_WORDS[1], "i", place, tenths(med)))
     return out.unionByName(peers.select("e", F.concat(F.lit("peers "), "i").alias("topic"), said.alias("sentence")))
 
 

@@ -26,6 +26,12 @@ def test_periods(spark):
     assert column(spark, ["M01 2020"], "string", lambda x: c.parse_period(x, monthly=False)) == [None]
 
 
+def test_one_decimal_rounds_as_python_does(spark):
+    rng = np.random.default_rng(3)
+    asked = [0.0, 6.25, 6.75, 0.15, 0.25, 0.05, 0.35, -2.45, -0.04, 1e17, 9.95, 99.95, 2.675, *(float(x) for x in rng.integers(-4000, 4000, 400) / 20), *(float(x) for x in rng.normal(0, 1e4, 200)), *(float(x) for x in rng.normal(0, 0.05, 200))]
+    assert column(spark, [*asked, None], "double", c.one_decimal) == [*(f"{x:.1f}" for x in asked), None]
+
+
 def test_clean_numbers(spark):
     assert column(spark, [" 1.5 ", "", "NA", "nan", "x", None], "string", c.clean_number) == [1.5, None, None, None, None, None]
 
