@@ -1,14 +1,18 @@
 """License scans: a trained paragraph classifier over licence families, confirmed by comparison with templates.
 
 Features are hashed word unigrams and bigrams. The classifier is a sparse multinomial logistic regression,
-trained here on the templates with words dropped, swapped and surrounded by ordinary words, against an unknown
-class: paragraphs of a bounded sample of the corpus and phrases that only mention licences. A temperature fitted on held-out
-examples calibrates the probabilities. A paragraph is read in overlapping windows of WINDOW words, so a notice in
-the middle of a long paragraph counts as much as one that stands alone. Paragraphs end at blank lines and at
-the ends of texts; windows and word pairs go across single newlines, so a wrapped notice is read as a whole. Reported
-are the family whose calibrated probability is P_LEAST at least, when the window holds CONFIRM of one of its templates' word
-pairs, no more of another family's, and not merely a part of a notice of another family; and each family of which the window holds CONFIRM of a template's word pairs and
-CONFIRM of those among them that no other family has: a window with two notices has two families.
+trained here on the templates with words dropped and surrounded by ordinary words, alone and two of them joined, against an unknown
+class: paragraphs of a bounded sample of the corpus, phrases that only mention licences, and the templates denied ("is
+not licensed under ..."). A temperature fitted on held-out examples calibrates the probabilities. A paragraph is read in
+overlapping windows of WINDOW words, so a notice in the middle of a long paragraph counts as much as one that stands
+alone. Paragraphs end at blank lines and at the ends of texts; windows and word pairs go across single newlines, so a
+wrapped notice is read as a whole.
+
+The classifier predicts and the templates confirm; no family is reported that it doesn't predict. A window's predictions
+are the families whose calibrated probability against the unknown class is P_LEAST at least, the most probable one first:
+a window with two notices has two families. The first prediction is confirmed when the window holds CONFIRM of one
+of the family's templates' word pairs, no more of another family's, and not merely a part of a notice of another family;
+it and any later one also when the window holds CONFIRM of a template's pairs and CONFIRM of those among them that no other family has.
 
 Defined cases: null and empty texts have no paragraphs and no family. Very long texts and paragraphs are read
 whole. Several families in a document: the one with the highest probability is `family`, all are in `families`, sorted. Repeated rows get a
@@ -32,29 +36,33 @@ SAMPLES = 400
 LINES, LINE_CHARS = 8, 4000
 WINDOW, STEP = 24, 12
 P_LEAST, CONFIRM = 0.5, 0.6
-EPOCHS, COPIES = 60, 40
+EPOCHS, COPIES, JOINED = 30, 40, 400
 
-#: Usual short notices of licence families.
+#: Usual short notices, titles, identifiers and short forms of licence families.
 TEMPLATES = {
-    "AGPL": ("licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-or-later"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "released under the Apache 2.0 license", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD": ("licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause"),
+    "AGPL": ("licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "GNU Affero General Public License Version 3, 19 November 2007", "licensed under AGPLv3", "License: AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "released under the Apache 2.0 license", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "License: Apache-2.0", "uses the Apache License", "SPDX-License-Identifier: Apache-2.0"),
+    "BSD": ("licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "released under the BSD license", "BSD License", "BSD 2-Clause License", "License: BSD-2-Clause", "License: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY": ("licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"),
+    "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "CC0": ("Released under CC0 1.0", "dedicated to the public domain under the Creative Commons Zero CC0 1.0 Universal dedication", "SPDX-License-Identifier: CC0-1.0"),
-    "GPL": ("This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "licensed under the GPL version 2 or later", "SPDX-License-Identifier: GPL-3.0-only"),
-    "LGPL": ("licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later"),
-    "MIT": ("Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "GPL": ("This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "licensed under the GPL version 2 or later", "GNU General Public License Version 3, 29 June 2007", "GNU General Public License Version 2, June 1991", "licensed under GPLv3", "licensed under GPLv2", "License: GPL-3.0", "License: GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-only"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "licensed under the ISC License", "ISC License", "License: ISC", "SPDX-License-Identifier: ISC"),
+    "LGPL": ("licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "GNU Lesser General Public License Version 3, 29 June 2007", "licensed under LGPLv3", "License: LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    "MIT": ("Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License", "The MIT License (MIT)", "License: MIT", "SPDX-License-Identifier: MIT"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "Mozilla Public License Version 2.0", "License: MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     "Proprietary": ("All rights reserved", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher", "This software is proprietary and confidential. Unauthorized copying is strictly prohibited"),
-}
-#: Phrases that mention licences without granting one.
+    "Unlicense": ("This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary", "released under the Unlicense", "License: Unlicense", "SPDX-License-Identifier: Unlicense"),
+}
+#: Phrases that mention licences without granting one, and how a notice is denied.
 DECOYS = (
     "you need a driver license to rent a car", "the license plate of the vehicle was stolen", "she is a licensed nurse in this state", "the city issued a liquor license to the bar", "read the license before you use the software",
     "the general public was invited to the free concert", "under the terms of the agreement the company paid", "the apache helicopter landed near the village", "he studied at mit before he moved", "version 2 of the report was released today",
     "a work of creative people and common sense", "the foundation published a free guide", "this work was released to the public in may", "permission to enter was granted to the person", "all rights of the citizens are protected by law",
 )
+DENIALS = ("not", "is not", "are not", "isn't", "aren't", "wasn't", "never", "was never", "no longer", "is no longer")
+VERBS = ("licensed", "released", "uses", "available")
 FAMILIES = ("unknown", *sorted(TEMPLATES))
 
 _WORDY = np.ones(256, bool)
@@ -112,25 +120,6 @@ class Model:
         others = {f: np.concatenate([p for g, p in templates if g != f] or [keys[:0]]) for f, _ in templates}
         #: Of each template, the pairs that no other family has.
         self.own = [np.setdiff1d(p, others[f]) for f, p in templates]
-        self.counts = [self._places(sets) for sets in ([p for _, p in templates], self.own)]
-
-    def _places(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Which features are in which of the sets of pairs, and how many features make up CONFIRM of each set (at least one)."""
-        inside = np.stack([np.isin(self.keys, x) for x in sets], axis=1) if sets else np.zeros((len(self.keys), 0), bool)
-        others = np.array([len(x) for x in sets], np.int64) - inside.sum(axis=0)  # pairs that aren't features might all be there
-        need = np.array([max(1, CONFIRM * len(x)) for x in sets]) - others
-        return inside, np.where([len(x) > 0 for x in sets], need, np.inf)
-
-    def may_hold(self, window: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        """Which of n windows have enough of a template's pairs for `held`, from the distinct (window, feature) rows, sorted by window."""
-        enough = True
-        for inside, need in self.counts:
-            some = np.flatnonzero(inside.any(axis=1)[feature])
-            total = np.zeros((n, inside.shape[1]), np.int64)
-            row, which = np.nonzero(inside[feature[some]])
-            np.add.at(total, (window[some][row], which), 1)
-            enough = enough & (total >= need)
-        return enough.any(axis=1)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are features, and which ones."""
@@ -139,10 +128,9 @@ class Model:
         real = self.keys[row] == hashes[at]
         return at[real], row[real]
 
-    def probabilities(self, logits: np.ndarray) -> np.ndarray:
-        z = logits / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+    def against_unknown(self, logits: np.ndarray) -> np.ndarray:
+        """Calibrated probability of each family, if it is that family or the unknown class."""
+        return 1 / (1 + np.exp(np.clip((logits[:, :1] - logits) / self.temperature, -500, 500)))
 
     def confirmed(self, family: int, pairs: np.ndarray) -> bool:
         """Whether the window holds enough of one of the family's templates, and no more of another family's longer one."""
@@ -170,19 +158,31 @@ class Model:
 
 
 def examples(negatives: list[str], seed: int = 4) -> list[tuple[int, str]]:
-    """(family, text): noisy templates and what belongs to no family."""
+    """(family, text): noisy templates with up to a window of words around them, what belongs to no family, and denied templates."""
     rng = np.random.default_rng(seed)
-    filler = [w for x in negatives for w in x.split()][:20_000] or ["and"]
+    filler = np.array([w for x in negatives for w in x.split()][:20_000] or ["and"])
     out = [(0, x) for x in negatives] + [(0, x) for x in DECOYS for _ in range(8)]
+
+    def among(words: list[str], most: int) -> str:
+        (before, after), (i, j) = rng.integers(0, most // 2 + 1, 2), rng.integers(0, len(filler), 2)
+        return " ".join([*filler[i : i + before], *words, *filler[j : j + after]])  # as they follow each other in the corpus
+
     for f, family in enumerate(FAMILIES[1:], 1):
         for template in TEMPLATES[family]:
+            words = template.split()
             for i in range(COPIES):
-                words = template.split()
-                if i:
-                    words = [w for w in words if rng.random() > 0.06]
-                    around = rng.integers(0, 10, 2)
-                    words = [*rng.choice(filler, around[0]), *words, *rng.choice(filler, around[1])]
-                out.append((f, " ".join(words)))
+                kept = [w for w in words if rng.random() > 0.06] if i else words
+                out.append((f, among(kept, 18 if i % 2 else max(18, WINDOW - len(words))) if i else template))
+            said = [i for i, w in enumerate(words) if w.lower() in VERBS]
+            at = said[0] if said else 0
+            how = words[at:] if said else ["licensed", "under", "the", *words]
+            for denial in DENIALS:
+                out.append((0, among([*denial.split(), *how], 18)))
+    every = [(f, x.split()) for f, family in enumerate(FAMILIES) if f for x in TEMPLATES[family]]
+    for _ in range(JOINED):
+        (f, x), (g, y) = (every[i] for i in rng.integers(0, len(every), 2))
+        text = among([*x, ("or", "and")[rng.integers(0, 2)], *y], 8)
+        out += [(f, text), (g, text)]
     return out
 
 
@@ -191,12 +191,16 @@ def train(docs: DataFrame, samples: int = SAMPLES, epochs: int = EPOCHS, lines:
     id, `lines` lines, the first ones, with 2 * WINDOW words (and LINE_CHARS characters) of each give paragraphs of no family."""
     usable = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull())
     picked = usable.select("doc_id", F.xxhash64("doc_id").alias("m"), F.transform(F.slice(F.split("text", "\n"), 1, lines), lambda x: F.substring(x, 1, LINE_CHARS)).alias("p")).orderBy("m", "doc_id", "p").limit(samples).collect()
-    rows = [{"p": p} for _, p in sorted({r["doc_id"]: r["p"] for r in reversed(picked)}.items())]
+    return fitted([p for _, p in sorted({r["doc_id"]: r["p"] for r in reversed(picked)}.items())], epochs)
+
+
+def fitted(sample: list[list[str]], epochs: int = EPOCHS) -> Model:
+    """The classifier fitted on the templates and the lines of the sampled documents."""
     pairs = [(f, _of_text(x)[1]) for f, family in enumerate(FAMILIES) if f for x in TEMPLATES[family]]
     known = np.unique(np.concatenate([p for _, p in pairs]))
     negatives = []
-    for r in rows:
-        for x in r["p"]:
+    for lines in sample:
+        for x in lines:
             words = x.split()[: 2 * WINDOW]
             if words and len(np.intersect1d(_of_text(" ".join(words))[1], known)) < 2:
                 negatives.append(" ".join(words))
@@ -205,8 +209,9 @@ def train(docs: DataFrame, samples: int = SAMPLES, epochs: int = EPOCHS, lines:
     order = rng.permutation(len(every))
     sets = [np.unique(np.concatenate(_of_text(x))) for _, x in every]
     label = np.array([f for f, _ in every])
-    keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-    keys = keys[counts >= 3]
+    # features are what notices, decoys and denials are made of: the words around a notice have no say
+    said = [x for f in TEMPLATES.values() for x in f] + list(DECOYS) + [f"{d} {v}" for d in DENIALS for v in VERBS]
+    keys = np.unique(np.concatenate([g for x in said for g in _of_text(x)]))
     index = [np.searchsorted(keys, s[np.isin(s, keys)]) for s in sets]
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     weights, bias = np.zeros((len(keys), len(FAMILIES))), np.zeros(len(FAMILIES))
@@ -236,12 +241,18 @@ def _loss(z: np.ndarray, label: np.ndarray) -> float:
     return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), label]).mean())
 
 
+def predicted(model: Model, logits: np.ndarray) -> list[tuple[int, float]]:
+    """The families a window is predicted to have, the most probable first, each with its probability against the unknown class."""
+    chance = model.against_unknown(logits[None])[0]
+    return [(int(f), float(chance[f])) for f in np.argsort(-logits, kind="stable") if f and chance[f] >= P_LEAST]
+
+
 def _found(model: Model, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float]]:
     """(row, family, probability) of the families of the windows of the rows of b."""
     starts, one, two, paragraph = _grams(b, off)
     at1, f1 = model.find(one)
     at2, f2 = model.find(two)
-    if not len(at1) and not len(at2):
+    if not len(at2):  # without one pair of a template nothing can be confirmed
         return []
     at, feature = np.concatenate([at1, at2]), np.concatenate([f1, f2])
     first = np.searchsorted(paragraph, paragraph[at])
@@ -252,22 +263,21 @@ def _found(model: Model, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
         names, inverse = np.unique(window, return_inverse=True)
         # a feature counts once in a window
         w_of, f_of = np.divmod(np.unique(inverse * len(model.keys) + feature), len(model.keys))
-        p = model.probabilities(model.bias + np.add.reduceat(model.weights[f_of], np.searchsorted(w_of, np.arange(len(names))), axis=0))
-        best = p.argmax(axis=1)
-        sure = (best > 0) & (p[np.arange(len(best)), best] >= P_LEAST)
-        maybe = model.may_hold(w_of, f_of, len(names))
-        for w in np.flatnonzero(sure | maybe):
+        logits = model.bias + np.add.reduceat(model.weights[f_of], np.searchsorted(w_of, np.arange(len(names))), axis=0)
+        for w in np.flatnonzero((model.against_unknown(logits)[:, 1:] >= P_LEAST).any(axis=1)):
             mine = at[inverse == w]
             lo, hi = mine.min(), mine.max() + 1
             pairs = np.unique(two[lo:hi])
-            families = model.held(pairs) if maybe[w] else set()
-            if sure[w] and int(best[w]) not in families and model.confirmed(int(best[w]), pairs):
-                near = slice(max(0, lo - STEP), hi + STEP)  # a window may hold only a part of another family's notice
-                around = np.unique(two[near][paragraph[near] == paragraph[lo]])
-                if not model.explained(int(best[w]), pairs, model.held(around)):
-                    families.add(int(best[w]))
+            held = model.held(pairs)
             row = int(np.searchsorted(off, starts[lo], side="right")) - 1
-            out += [(row, f, float(p[w, f])) for f in sorted(families)]
+            for rank, (f, chance) in enumerate(predicted(model, logits[w])):
+                sure = f in held
+                if not sure and rank == 0 and model.confirmed(f, pairs):
+                    near = slice(max(0, lo - STEP), hi + STEP)  # a window may hold only a part of another family's notice
+                    around = np.unique(two[near][paragraph[near] == paragraph[lo]])
+                    sure = not model.explained(f, pairs, model.held(around))
+                if sure:
+                    out.append((row, f, chance))
     return out
 
 
