@@ -188,8 +188,13 @@ def examples(negatives: list[str], seed: int = 4) -> list[tuple[int, str]]:
 
 def train(docs: DataFrame, samples: int = SAMPLES, epochs: int = EPOCHS, lines: int = LINES) -> Model:
     """The classifier. The bounded sample it is fitted on: of at most `samples` documents, those with the smallest hash of their
-    id, `lines` lines, the first ones, with 2 * WINDOW words (and LINE_CHARS characters) of each give paragraphs of no family."""
-    usable = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    id, `lines` lines, the first ones, with 2 * WINDOW words (and LINE_CHARS characters) of each give paragraphs of no family.
+
+    Hashes that about 4 * samples of all rows have are asked for, so that what the tasks send doesn't grow with their number.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull()).count()
+    last = -(2**63) + min(2**64 - 1, 2**64 * 4 * samples // max(rows, 1))
+    usable = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull() & (F.xxhash64("doc_id") <= last))
     picked = usable.select("doc_id", F.xxhash64("doc_id").alias("m"), F.transform(F.slice(F.split("text", "\n"), 1, lines), lambda x: F.substring(x, 1, LINE_CHARS)).alias("p")).orderBy("m", "doc_id", "p").limit(samples).collect()
     return fitted([p for _, p in sorted({r["doc_id"]: r["p"] for r in reversed(picked)}.items())], epochs)
 
