@@ -210,7 +210,7 @@ def test_license_scan_of_odd_rows(spark, docs):
     assert licenses.scan(table.limit(0), model).count() == 0 and len(licenses.train(table.limit(0), epochs=2).keys) > 0
 
 
-#: Notices in wordings and layouts that aren't templates, by family, and what grants nothing.
+#: Usual notices, titles and identifiers in their layouts, by family, and what grants nothing. Templates and classifier were chosen with these in view.
 NOTICES = {
     "AGPL": ["This server is licensed under the terms of the GNU Affero General Public License, version 3.", "// SPDX-License-Identifier: AGPL-3.0-or-later"],
     "Apache-2.0": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 since this file is licensed under the Apache License, Version 2.0", "Distributed under the Apache License, Version 2.0 (the License)", "                Apache License\n          Version 2.0, January 2004\n       http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"],
@@ -229,8 +229,24 @@ GRANTS_NOTHING = [
 ]
 
 
-def test_license_families_of_notices_that_no_template_has(spark):
-    """Recall and precision on wordings of other authors, held out from the templates."""
+#: Other wordings, written after the classifier was chosen and never used to change it.
+FRESH = [("Apache-2.0", "All source in this folder is made available under version 2.0 of the Apache License."), ("Apache-2.0", "Unless required by applicable law, software distributed under the Apache License, Version 2.0 is distributed on an as is basis."), ("MIT", "Code samples are MIT licensed."), ("MIT", "Use of this library is governed by the MIT License found in the root folder."), ("MIT", "Dual licensed: choose the MIT License for commercial work."),
+ ("GPL", "You may copy this program under the GNU General Public License, version 2 or any later version."), ("GPL", "GPL-3.0 applies to every file here."), ("LGPL", "The library part may be linked under the GNU Lesser General Public License, version 2.1."), ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."), ("BSD", "Copyright holders publish this under the 3-Clause BSD License."),
+ ("CC-BY", "Photos: Creative Commons Attribution 4.0 International."), ("CC-BY-SA", "Articles are shared under CC BY-SA 4.0 unless noted."), ("CC0", "To the extent possible the author has waived all rights under CC0 1.0 Universal."), ("MPL-2.0", "If a copy of the MPL was not distributed with this file, get the Mozilla Public License, v. 2.0 from its site."), ("Proprietary", "Copyright 2021 Example Ltd. All rights reserved worldwide."), ("ISC", "Published with the ISC license."), ("AGPL", "The hosted edition follows the GNU Affero General Public License version 3."), ("Unlicense", "This code is placed under the Unlicense.")]
+CLEAN = ["The committee discussed which license to choose and postponed the vote.", "Students at MIT wrote a license plate reader.", "The Mozilla team met the public in Berlin.", "Creative people share common ground.", "A BSD conference was held in May.", "You do not have permission to use this room, free of charge or otherwise.", "The GNU is a large antelope, a general favourite of the public.", "Nobody may redistribute the minutes of the meeting."]
+
+
+def test_license_families_of_untried_wordings(spark):
+    """The first run on these found 15 of 18, none false; that is a floor against decay, not a target that was met."""
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([x for _, x in FRESH] + CLEAN)], "doc_id long, text string")
+    model = licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = [r["families"] for r in licenses.scan(docs, model).orderBy("doc_id").collect()]
+    right = sum(f in g for (f, _), g in zip(FRESH, got, strict=False))
+    assert right >= 15 and sum(map(len, got)) == right, got
+
+
+def test_license_families_of_usual_notices(spark):
+    """Recall and precision on the list above, which isn't held out."""
     rows = [(f, x) for f, every in NOTICES.items() for x in every] + [(None, x) for x in GRANTS_NOTHING]
     docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, text string")
     model = licenses.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
