@@ -16,8 +16,8 @@ from . import _files
 
 #: Bytes up to which a keyed side may be broadcast; beyond it the same join shuffles.
 BROADCAST_BYTES = 16 << 20
-#: What a job that settles a table runs with: small Arrow batches, and no shuffle files left when it is over.
-_SETTLING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: What a job that settles a table runs with: no shuffle files left when it is over.
+_SETTLING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -73,17 +73,23 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+def settle(df: DataFrame, name: str, batch: int = 4 << 20) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. Rows reach Python in batches of `batch` bytes."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    with _settings(spark, _SETTLING):
+    with _settings(spark, _SETTLING | {"spark.sql.execution.arrow.maxBytesPerBatch": str(batch)}):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
 
 
+def of_rows(spark: SparkSession, rows: list[tuple], names: list[str], types: list[pa.DataType]) -> DataFrame:
+    """A table of a few rows of the driver, by way of Arrow: tuples would go through an RDD, for which each executor starts Python workers beside those of mapInArrow."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, types, strict=True)], names=names))
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more."""
     for df in tables:

@@ -55,7 +55,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 up to n, and of its inverse."""
     have = _POWERS.get(which)
     if have is None or have[0] < n:
-        size = max(n, 2 * SLICE) + 1
+        size = max(n, SLICE + 1024) + 1
 
         def run(base: int) -> np.ndarray:
             a = np.full(size, np.uint64(base))
@@ -63,7 +63,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             return np.cumprod(a, dtype=np.uint64)
 
         have = (size - 1, run(_BASES[which]), run(pow(_BASES[which], -1, 2**64)))
-        if n <= 1 << 22:  # very long texts aren't kept
+        if n <= 2 * SLICE:  # those of long texts aren't kept, workers live on
             _POWERS[which] = have
     return have[1], have[2]
 

@@ -147,7 +147,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """id, n, comp for every row of docs."""
-    sig = c.settle(signatures(docs, size), "sig")
+    sig = c.settle(signatures(docs, size), "sig", 1 << 20)
     classes = sig.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "bands", "bits", "slack")).alias("r"))
     classes = c.settle(classes.select("s1", "s2", "n", "r.*"), "classes")
     band = classes.select("id", "n", F.explode("bands").alias("band"))
@@ -159,7 +159,7 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
         links = docs.sparkSession.createDataFrame([], "node long, comp long")
         return _labelled(sig, classes, links)
     mine = c.join_by_size(docs.select("doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))), involved.withColumnRenamed("id", "_id"), "_id", "left_semi", involved)
-    sets = c.settle(full_sets(mine, size).groupBy("id").agg(F.min("set").alias("set")), "sets")
+    sets = c.settle(full_sets(mine, size).groupBy("id").agg(F.min("set").alias("set")), "sets", 1 << 20)
 
     # one centre for each class, the smallest of its buckets', then the other centres while groups are apart
     star = member.where("id <> centre")

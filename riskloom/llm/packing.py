@@ -221,7 +221,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
 def packed(pieces: DataFrame, room: int = LENGTH) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32; settled) with sequence_id and offset."""
     total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # room rows at most
-    plan = pieces.sparkSession.createDataFrame(supersteps(total, room), "l long, rank0 long, pieces long, fit long, sequence0 long, offset0 long")
+    plan = c.of_rows(pieces.sparkSession, list(supersteps(total, room)), ["l", "rank0", "pieces", "fit", "sequence0", "offset0"], [pa.int64()] * 6)
     placed = ranked(pieces).join(F.broadcast(plan), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("pieces")))
     at = F.col("rank") - F.col("rank0")
     return placed.select(*pieces.columns, (F.col("sequence0") + F.expr("(rank - rank0) div fit")).alias("sequence_id"), (F.col("offset0") + at % F.col("fit") * F.col("length")).alias("offset"))

@@ -46,7 +46,9 @@ WIDE = 16
 #: Groups of suffixes are named by partition and row: bits of the row's number.
 PART_BITS = 36
 #: Rows of an Arrow batch that a task passes on.
-BATCH = 1 << 15
+BATCH = 1 << 13
+#: Bytes of an Arrow batch that a task gets.
+TAKEN = 1 << 20
 _NULL = -(2**63)
 
 
@@ -132,13 +134,14 @@ def _anchored(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _dealt(parts: list[tuple[np.ndarray, ...]], most: int | None) -> Iterator[pa.RecordBatch]:
-    """Of some anchors: marks of the repeats among them, and the earliest of each class with the key by which it is dealt.
+    """Of some anchors (which are let go): marks of the repeats among them, and the earliest of each class with the key by which it is dealt.
     Without `most` each class is dealt by itself.
 
     e is an end for a mark, 0 for an anchor, -1 for one of a k-gram that is dealt out wide, and -2 for the row that tells
     those anchors of such a k-gram that other tasks deal narrowly.
     """
     kg, cx, ids, twin, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order = np.lexsort((at, twin, ids, cx, kg))
     kg, cx, ids, twin, at = (x[order] for x in (kg, cx, ids, twin, at))
     new = _changes(kg, cx)
@@ -281,7 +284,7 @@ def named(rows: DataFrame, level: int) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())] + [pa.array([last], pa.binary()), pa.array([n], pa.int64()), pa.array([part], pa.int32()), pa.array([True])], names=names)
 
-    found = c.settle(dealt.withColumn("part", F.spark_partition_id()).transform(c.in_arrow, run, "id long, twin long, at long, side int, bytes binary, name long, part int, edge boolean"), "named")
+    found = c.settle(dealt.withColumn("part", F.spark_partition_id()).transform(c.in_arrow, run, "id long, twin long, at long, side int, bytes binary, name long, part int, edge boolean"), "named", TAKEN)
     edges: dict[int, list] = {}
     for r in found.where("edge").select("part", "name", "bytes").collect():
         edges.setdefault(r["part"], []).append((r["name"], bytes(r["bytes"])))
@@ -291,7 +294,7 @@ def named(rows: DataFrame, level: int) -> DataFrame:
         base -= first == before
         starts.append((part, base))
         base, before = base + n + 1, last
-    offsets = found.sparkSession.createDataFrame(starts, "part int, base long")
+    offsets = c.of_rows(found.sparkSession, starts, ["part", "base"], [pa.int32(), pa.int64()])
     out = found.where("not edge").join(F.broadcast(offsets), "part")
     out = out.select("id", "twin", "at", "side", "bytes", (F.col("name") + F.col("base")).alias("name"))
     out.settled_at = found.settled_at
@@ -374,7 +377,7 @@ def adjacent(rows: DataFrame) -> DataFrame:
             none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([start.tolist()], pa.list_(pa.int64())), pa.array([part], pa.int32()), pa.array([opened], pa.binary()), pa.array([before], pa.binary())], names=schema)
 
-    found = c.settle(dealt.transform(c.in_arrow, run, "id long, twin long, at long, side int, least int, names array<long>, part int, first binary, last binary"), "adjacent")
+    found = c.settle(dealt.transform(c.in_arrow, run, "id long, twin long, at long, side int, least int, names array<long>, part int, first binary, last binary"), "adjacent", TAKEN)
     carried, last, groups = [], None, [-1] * len(lengths)
     for r in found.where("last is not null").orderBy("part").select("part", "names", "first", "last").collect():
         first = bytes(r["first"])
@@ -383,7 +386,7 @@ def adjacent(rows: DataFrame) -> DataFrame:
         carried.append((r["part"], before))
         groups = [b if g == -1 else g for g, b in zip(r["names"], before, strict=True)]
         last = bytes(r["last"])
-    carry = found.sparkSession.createDataFrame(carried, "part int, before array<long>")
+    carry = c.of_rows(found.sparkSession, carried, ["part", "before"], [pa.int32(), pa.list_(pa.int64())])
     whole = F.transform("names", lambda x, i: F.when(x == -1, F.element_at("before", F.col("least") - GRAM + i + 1)).otherwise(x))
     out = found.where("last is null").join(F.broadcast(carry), "part").select("id", "twin", "at", "side", "least", whole.alias("names"))
     out.settled_at = found.settled_at
@@ -400,7 +403,7 @@ def repeated_windows(near: DataFrame) -> DataFrame:
     start = F.shiftright("at", 20) + F.expr("(shiftright(at, 10) & 1023)") - F.col("d")
     left = F.shiftleft(F.element_at("nl", F.col("d") + GRAM - F.col("ll") + 1), 7) + F.col("d")
     windows = both.select("id", "twin", F.shiftleft(start, 20).alias("at"), F.element_at("nr", WIDTH - F.col("d") - F.col("lr") + 1).alias("kg"), left.alias("cx"))
-    return c.settle(classes(windows, lambda batch: [tuple(_cols(batch, "kg", "cx", "id", "twin", "at"))], None).where("e > 0"), "again")
+    return c.settle(classes(windows, lambda batch: [tuple(_cols(batch, "kg", "cx", "id", "twin", "at"))], None).where("e > 0"), "again", TAKEN)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,9 +445,9 @@ def marks(docs: DataFrame, wide: int = WIDE, merged: int = MERGED) -> DataFrame:
     """id, twin, spans (settled): the byte ranges to remove from docs (doc_id, text), sorted, apart; a row for each document that has any."""
     own, several = with_keys(docs.select("doc_id", "text"))
     own = own.select("id", "twin", F.coalesce("text", F.lit("")).alias("text"))
-    found = c.settle(classes(own, _anchored, wide, merged), "classes")
+    found = c.settle(classes(own, _anchored, wide, merged), "classes", TAKEN)
     apart = own.dropDuplicates(["id", "twin"]) if several else own
-    rows = c.settle(sides(apart, found.where("e = 0")).withColumn("name", F.col("side").cast("long")), "sides")
+    rows = c.settle(sides(apart, found.where("e = 0")).withColumn("name", F.col("side").cast("long")), "sides", TAKEN)
     for level in range(WIDTH // TRIPLE):
         after = named(rows, level)
         c.forget(rows)
@@ -454,7 +457,7 @@ def marks(docs: DataFrame, wide: int = WIDE, merged: int = MERGED) -> DataFrame:
     again = repeated_windows(near)
     c.forget(near)
     dealt = found.where("e > 0").unionByName(again).repartition("id", "twin").sortWithinPartitions("id", "twin", "at")
-    out = c.settle(dealt.transform(c.in_arrow, _merged, "id long, twin long, spans array<long>"), "marks")
+    out = c.settle(dealt.transform(c.in_arrow, _merged, "id long, twin long, spans array<long>"), "marks", TAKEN)
     c.forget(found, again)
     return out
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("riskloom.llm")
-from riskloom.llm import langid, licenses, media, minhash, mixing, packing, suffix_dedup, topk, urlfilter, warc  # noqa: E402
+from riskloom.llm import _text, langid, licenses, media, minhash, mixing, packing, suffix_dedup, topk, urlfilter, warc  # noqa: E402
 
 CLASHES = ["_id", "_spans", "_gone", "_mix", "_row", "_source", "_size", "_key", "_bucket", "_doc", "_crc", "_position", "id", "n", "comp", "kg", "band", "part", "rank", "length"]
 LONG = "some words that go on and on in a long line " * 30
@@ -356,3 +356,25 @@ def test_media_digests_by_force(spark, docs, tmp_path):
         assert r["feature"] == want
     empty = media.write_archives(docs.limit(0), str(tmp_path / "e"))
     assert media.digests(media.read_archives(spark, str(tmp_path / "e"), manifest=empty.settled_at)).count() == 0
+
+
+def test_small_tables_of_the_driver_start_no_python_workers(spark, capsys):
+    rows = [(1, 0, 7, side, bytes([65 + side]) * 100, side) for side in (0, 1)]
+    sides = suffix_dedup.c.settle(spark.createDataFrame(rows, "id long, twin long, at long, side int, bytes binary, name long"), "sides")
+    names = suffix_dedup.named(sides, 0)
+    pieces = packing.c.settle(packing.tokenized(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), length=16), "pieces")
+    for df in (names, suffix_dedup.adjacent(names), packing.packed(pieces, 16)):
+        df.explain()
+        assert "ExistingRDD" not in capsys.readouterr().out
+        assert df.count()
+
+
+def test_workers_keep_no_tables_of_long_texts():
+    kept, n = _text._POWERS.pop(0, None), 1 << 20
+    long = _text.Hashes(np.zeros(n, np.uint8)).all(32)
+    assert len(long) == n - 31 and (long == long[0]).all()
+    assert 0 not in _text._POWERS
+    _text.Hashes(np.zeros(100, np.uint8))
+    assert _text._POWERS[0][0] < 2 * _text.SLICE
+    if kept is not None:
+        _text._POWERS[0] = kept
