@@ -449,11 +449,12 @@ def m7(spark, d):
 
 
 def importance(x):
-    """f, importance: binned mutual information of a feature and the cluster, over the largest."""
-    long = x.select("key", "cluster", F.posexplode("x").alias("f", "v"))
-    cuts = long.groupBy("f").agg(F.percentile_approx("v", [k / 10 for k in range(1, 10)], 10_000).alias("cuts"))  # a row for each feature
-    bin_ = F.size(F.filter("cuts", lambda x: x < F.col("v")))
-    bins = long.join(F.broadcast(cuts), "f").groupBy("f", bin_.alias("bin"), "cluster").agg(F.count(F.lit(1)).alias("c"))
+    """f, importance: mutual information of a feature, binned at its exact tenths, and the cluster, over the largest."""
+    long = x.select("cluster", F.posexplode("x").alias("f", "v"))
+    counts = p.settle(long.groupBy("f", "v", "cluster").agg(F.count(F.lit(1)).alias("c")), "counts")  # read twice
+    values = p.running(counts.groupBy("f", "v").agg(F.sum("c").alias("c")), "v", ["c"], ["f"], bound=counts.rows_at_most)
+    bin_ = F.call_function("div", F.col("before_c") * 10, F.col("all_c"))  # how many of the nine cuts lie below the value
+    bins = counts.join(values.select("f", "v", bin_.alias("bin")), ["f", "v"]).groupBy("f", "bin", "cluster").agg(F.sum("c").alias("c"))
     total = F.sum("c").over(W.partitionBy("f"))
     joint = bins.withColumns({"p": F.col("c") / total, "pb": F.sum("c").over(W.partitionBy("f", "bin")) / total, "pc": F.sum("c").over(W.partitionBy("f", "cluster")) / total})
     mi = joint.groupBy("f").agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pb") * F.col("pc")))).alias("mi"))
