@@ -485,13 +485,17 @@ BINNED = "mb AS (SELECT key % 3 AS cluster, f, (SELECT count(*) FROM (SELECT unn
 @query("m8_information_of_labels", "SELECT CASE f " + " ".join(f"WHEN '{f}' THEN {k}" for k, f in enumerate(FEATURES)) + " END AS f, round(mi / max(mi) OVER (), 5) + 0.0 AS importance FROM mi", XL, BINNED)
 def m8_labels(spark, d):
     """The same measure for labels that SQL has, too."""
-    x = supplier_features(spark, d).select("key", (F.col("key") % 3).alias("cluster"), F.array(*[F.coalesce(f, F.lit(0.0)) for f in FEATURES]).alias("x"))
-    return rounded(importance(x), 5)
+    return rounded(importance(key_labels(supplier_features(spark, d))), 5)
 
 
-def cluster_scores(x, wide, k: int = 5):
-    """key, score, confidence, tier: the cluster's base score moved by importance x scaled value x 5, in 0..100; confidence is the filled share."""
-    long = x.select("key", "cluster", F.posexplode("x").alias("f", "v")).join(F.broadcast(importance(x)), "f")  # a row for each feature
+def key_labels(wide):
+    """key, cluster, x: entities by key arithmetic, with the unscaled features."""
+    return wide.select("key", (F.col("key") % 3).alias("cluster"), F.array(*[F.coalesce(f, F.lit(0.0)) for f in FEATURES]).alias("x"))
+
+
+def cluster_scores(x, wide, weights, k: int = 5):
+    """key, score, confidence, tier: the cluster's base score moved by importance (weights) x scaled value x 5, in 0..100; confidence is the filled share."""
+    long = x.select("key", "cluster", F.posexplode("x").alias("f", "v")).join(F.broadcast(weights), "f")  # a row for each feature
     s = long.groupBy("key", "cluster").agg(F.sum(F.col("importance") * F.col("v") * 5).alias("a"))
     score = c.clip(100 - F.col("cluster") / (k - 1) * 70 + F.col("a"), 0.0, 100.0)
     filled = wide.select("key", (sum((F.col(f).isNotNull().cast("int") for f in FEATURES[1:]), F.col(FEATURES[0]).isNotNull().cast("int")) / len(FEATURES)).alias("confidence"))
@@ -500,16 +504,17 @@ def cluster_scores(x, wide, k: int = 5):
 
 @query("m9_cluster_scores")
 def m9(spark, d):
-    return rounded(cluster_scores(clustered(spark, d), supplier_features(spark, d)), 3)
+    x = clustered(spark, d)
+    return rounded(cluster_scores(x, supplier_features(spark, d), importance(x)), 3)
 
 
 @query("m9_scores_of_labels", "SELECT key, round(score, 4) + 0.0 AS score, round(confidence, 4) AS confidence, CASE WHEN score >= 80 THEN 'very low' WHEN score >= 65 THEN 'low' WHEN score >= 50 THEN 'medium' WHEN score >= 35 THEN 'high' ELSE 'very high' END AS tier FROM (SELECT key, greatest(0, least(100, 100 - key % 3 / 4.0::DOUBLE * 70 + sum(mi / top * coalesce(v, 0) / (1 + abs(coalesce(v, 0))) * 5))) AS score, avg((v IS NOT NULL)::INT) AS confidence FROM xl JOIN mi USING (f) CROSS JOIN (SELECT max(mi) AS top FROM mi) GROUP BY key)", XL, BINNED)
 def m9_labels(spark, d):
-    """The scores that given clusters lead to."""
+    """The scores that given clusters lead to. Bins are those of unscaled values: scaling makes some unequal large ones equal."""
     wide = p.settle(supplier_features(spark, d), "features")
-    value = lambda f: F.coalesce(f, F.lit(0.0)) / (1 + F.abs(F.coalesce(f, F.lit(0.0))))
-    x = wide.select("key", (F.col("key") % 3).alias("cluster"), F.array(*[value(f) for f in FEATURES]).alias("x"))
-    return rounded(cluster_scores(x, wide), 4)
+    raw = key_labels(wide)
+    scaled = raw.withColumn("x", F.transform("x", lambda v: v / (1 + F.abs(v))))
+    return rounded(cluster_scores(scaled, wide, importance(raw)), 4)
 
 
 def key_drivers(x, weights, top: int = 5):
