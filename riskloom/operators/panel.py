@@ -178,16 +178,17 @@ def merge_sets(sets: Sequence[DataFrame], features: Sequence[str]) -> DataFrame:
     return every.groupBy("key").pivot("f", list(features)).agg(F.max("v"))
 
 
-def features_by_name(panel: DataFrame, patterns: dict[str, str]) -> DataFrame:
+def features_by_name(panel: DataFrame, patterns: dict[str, str], first: Sequence[str] = ()) -> DataFrame:
     """e, f, v, year: the last value by t of the rows (e, n, t, v) whose name n fits the feature's pattern, in any case.
 
-    Patterns are tried on distinct names; a name may serve several features.
+    Patterns are tried on distinct names; a name may serve several features. Of equal t the row counts that comes first by the columns `first`, then that of the larger value.
     """
     rows = panel.where("t is not null and v is not null")
     fits = F.array_compact(F.array(*[F.when(F.col("n").rlike("(?i)" + r), F.lit(f)) for f, r in patterns.items()]))
     names = rows.select("n").distinct().select("n", F.explode(fits).alias("f"))
-    last = rows.join(names, "n").groupBy("e", "f").agg(F.max(F.struct("t", "v")).alias("x"))
-    return last.select("e", "f", F.col("x.v").alias("v"), F.year("x.t").alias("year"))
+    order = W.partitionBy("e", "f").orderBy(F.desc("t"), *first, F.desc("v"))  # each task keeps one row of a group before the shuffle
+    last = rows.join(names, "n").withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    return last.select("e", "f", "v", F.year("t").alias("year"))
 
 
 def credit_ratios(last: DataFrame, private: str, total: str, output: str, private_range: tuple[float, float] = (5.0, 500.0), total_range: tuple[float, float] = (5.0, 600.0)) -> DataFrame:
